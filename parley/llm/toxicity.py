@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,8 +157,6 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that don't score as toxic; texts are scored in place, so nothing is shuffled."""
-    import pandas as pd
-
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = spark.sparkContext.broadcast((model.weights, model.bias))
 
