@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,29 +18,46 @@ from .common import cut, fresh, held_out
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: Longer documents of the sample give their features like any other, but no more than so many each.
 SAMPLE_FEATURES = 40_000
-BITS = 20
-PREFIXES = (4, 5, 6)
-STRIP = b".,;:!?\"()[]{}*|%&$#<>'-"
+BITS = 22
+PREFIXES = (4, 5, 6, 7)
+STRIP = ".,;:!?\"()[]{}*|%&$#<>'-"
+#: Levels of a feature: it occurs once, twice, three times or more, or twice or more and in at least so large a share of the words.
+COUNTS, DENSE = (1, 2, 3), 0.01
 #: A feature counts if at least so many positives have it, and it is so many times as frequent in them as in unlabelled text, beyond so many standard errors.
-LEAST_POSITIVES, LEAST_RATIO, LEAST_ERRORS = 3, 4.0, 3.5
+LEAST_POSITIVES, LEAST_RATIO, LEAST_ERRORS = 3, 4.0, 2.0
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 
 
-def word_features(word: bytes) -> list[int]:
-    """Hashed features of a lower-cased word: itself and its beginnings, which inflected words share."""
-    mask = (1 << BITS) - 1
-    return [zlib.crc32(word) & mask, *(zlib.crc32(word[:k] + b"*") & mask for k in PREFIXES if len(word) > k)]
+def stems(word: str) -> list[int]:
+    """Hashes of a lower-cased word and of its beginnings, which inflected words share."""
+    return [zlib.crc32(word.encode()), *(zlib.crc32((word[:k] + "*").encode()) for k in PREFIXES if len(word) > k)]
 
 
-def words(text: str) -> set[bytes]:
-    found = {w.strip(STRIP) for w in text.lower().encode().split()}
-    found.discard(b"")
-    return found
+def words(text: str) -> Counter:
+    """How often each lower-cased word occurs, without the signs around it."""
+    out: Counter = Counter()
+    for w, n in Counter(text.lower().split()).items():
+        out[w.strip(STRIP)] += n
+    out.pop("", None)
+    return out
+
+
+def levels(count: int, total: int) -> list[int]:
+    return [k for k, least in enumerate(COUNTS) if count >= least] + [len(COUNTS)] * (count >= 2 and count >= DENSE * total)
+
+
+def feature(stem: int, level: int) -> int:
+    return (stem * 2654435761 + level * 40503) >> 7 & ((1 << BITS) - 1)
 
 
 def features(text: str) -> np.ndarray:
     """The distinct features of a whole text."""
-    return np.unique(np.array([f for w in words(text) for f in word_features(w)], np.int32))
+    found, counts = words(text), Counter()
+    for w, n in found.items():
+        for s in stems(w):
+            counts[s] += n
+    total = sum(found.values())
+    return np.unique(np.array([feature(s, k) for s, n in counts.items() for k in levels(n, total)], np.int32))
 
 
 class Classifier:
@@ -47,22 +65,28 @@ class Classifier:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._known: dict[bytes, tuple[int, ...]] = {}
+        self._known: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: str) -> float:
         """The probability of label 1. Every feature of the text counts once."""
-        known, weights, hit = self._known, self.weights, set()
-        for w in words(text):
-            found = known.get(w)
-            if found is None:
+        known, weights, counts, found = self._known, self.weights, Counter(), words(text)
+        every = range(len(COUNTS) + 1)
+        for w, n in found.items():
+            own = known.get(w)
+            if own is None:
                 if len(known) > 300_000:
                     known.clear()
-                found = tuple(f for f in word_features(w) if f in weights)
+                own = tuple(s for s in stems(w) if any(feature(s, k) in weights for k in every))
                 if len(w) < 64:
-                    known[w] = found
-            if found:
-                hit.update(found)
-        z = self.bias + sum(weights[f] for f in sorted(hit))
+                    known[w] = own
+            for s in own:
+                counts[s] += n
+        if not counts:
+            z = self.bias
+        else:
+            total = sum(found.values())
+            hit = {feature(s, k) for s, n in counts.items() for k in levels(n, total)}
+            z = self.bias + sum(weights[f] for f in sorted(hit) if f in weights)
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
