@@ -37,4 +37,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
  CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
 FROM d LEFT JOIN k ON d.digest = k.digest AND n >= 1000"""
 
-SQL: dict[str, str] = {"op6_mixing": mixing.oracle(), "op9_warc": OP9_SQL, "op10_quality": quality.oracle()}
+SQL: dict[str, str] = {"op6_mixing": mixing.oracle(), "op7_substrings": substrings.oracle(), "op9_warc": OP9_SQL, "op10_quality": quality.oracle()}

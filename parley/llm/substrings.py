@@ -18,7 +18,20 @@ from .common import cut, drop_tables, forget, fresh, whole_text
 WINDOW = 13
 ANCHOR_WORDS = 5
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) | 1 for i in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        n = max(n, 2 * len(_powers[0]))
+        for i, x in enumerate((_BASE, _INVERSE)):
+            steps = np.full(n, x, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps, dtype=np.uint64)
+    return [p[:n] for p in _powers]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,48 +42,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_known: dict[bytes, int] = {}
+class _Hashes(dict):
+    """Hashes of words seen before, up to half a million."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) < 64:
+            self[word] = h
+        return h
+
+
+_known = _Hashes()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word. Hashes of words seen before are kept, up to half a million."""
-    if len(_known) > 500_000:
-        _known.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _known.get(w)
-        if h is None:
-            h = xxhash.xxh64_intdigest(w)
-            if len(w) < 64:
-                _known[w] = h
-        out[i] = h
-    return out
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+
+
+class Runs:
+    """Hashes of runs of words, of any length, from one cumulated sum: a run's hash depends on its words alone, not on where it stands."""
 
+    def __init__(self, words: list[bytes]):
+        n = len(words)
+        up, self.down = powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(word_hashes(words) * up[:n], out=self.sums[1:])
 
-def grams(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A hash for each run of k words, by where it starts."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out += hashes[i : i + n] * _MULTIPLIERS[i]
-    return mix(out)
-
-
-def anchor_of_windows(hashes: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The run hashes, and for each window where its anchor starts: its least run, the last of equal ones. It depends on the window's words alone, so equal windows of any two documents have equal anchors."""
-    runs = grams(hashes, k)
-    n = len(hashes) - window + 1
-    if n <= 0:
-        return runs, np.empty(0, np.int64)
-    best, where = runs[:n].copy(), np.arange(n)
-    for i in range(1, window - k + 1):
-        other = runs[i : i + n]
-        less = other <= best
-        best[less] = other[less]
-        where[less] = np.flatnonzero(less) + i
-    return runs, where
+    def of(self, k: int) -> np.ndarray:
+        """By where they start."""
+        n = len(self.sums) - k
+        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
+
+    def anchors(self, window: int, k: int) -> np.ndarray:
+        """For each window its anchor: the least hash of its runs of k words. It depends on the window's words alone, so equal windows of any two documents share it."""
+        if len(self.sums) <= window:
+            return np.empty(0, np.uint64)
+        least, have, want = self.of(k), 1, window - k + 1
+        while have < want:
+            step = min(have, want - have)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            have += step
+        return least
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -85,8 +100,8 @@ def anchors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col
             ids, found, counts, held = batch.column(0), [], [], 0
             start = 0
             for i, text in enumerate(batch.column(1)):
-                runs, where = anchor_of_windows(word_hashes(text.as_py().split()), window, k)
-                own = np.unique(runs[where])
+                least = Runs(text.as_py().split()).anchors(window, k)
+                own = np.unique(least[np.concatenate(([True], least[1:] != least[:-1]))]) if len(least) else least
                 found.append(own)
                 counts.append(len(own))
                 held += len(own)
@@ -105,10 +120,9 @@ def candidate_windows(docs: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             ids, found, counts, held, start = batch.column(0), [], [], 0, 0
             for i, (text, shared) in enumerate(zip(batch.column(1), batch.column(2))):
-                hashes = word_hashes(text.as_py().split())
-                runs, where = anchor_of_windows(hashes, window, k)
-                hit = np.isin(runs, shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                own = np.unique(grams(hashes, window)[hit[where]]) if len(where) else np.empty(0, np.uint64)
+                runs = Runs(text.as_py().split())
+                hit = np.isin(runs.anchors(window, k), shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                own = np.unique(runs.of(window)[hit])
                 found.append(own)
                 counts.append(len(own))
                 held += len(own)
@@ -154,7 +168,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORD
 def removed_words(words: list[bytes], windows: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Whether each word is covered by one of the windows whose hashes are given."""
     out = np.zeros(len(words) + 1, np.int64)
-    starts = np.flatnonzero(np.isin(grams(word_hashes(words), window), windows))
+    starts = np.flatnonzero(np.isin(Runs(words).of(window), windows))
     np.add.at(out, starts, 1)
     np.add.at(out, starts + window, -1)
     return np.cumsum(out[:-1]) > 0
@@ -183,12 +197,12 @@ def _windows(x: pa.Scalar) -> np.ndarray | None:
     return x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else None
 
 
-DIGEST = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<first:int,end:int>>"
+REPEATS = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<first:int,end:int>>"
 
 
-def op7_substrings(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
-    """Null texts have no words. A row without doc_id loses none and takes none; rows that repeat a doc_id are judged each by its own text against smaller ids."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """For each row how many words it has, how many of them repeated passages cover, the SHA-256 of the rest joined by spaces, and the maximal repeats as (first, end) words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined, own = _attach(docs, repeated_windows(docs, window), ["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +220,25 @@ def op7_substrings(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
 
-    return joined.select("doc_id", whole_text().alias("text"), own).mapInArrow(run, DIGEST)
+    return joined.select("doc_id", whole_text().alias("text"), own).mapInArrow(run, REPEATS)
+
+
+def op7_substrings(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
+    """Null texts have no words. A row without doc_id loses none and takes none; rows that repeat a doc_id are judged each by its own text against smaller ids."""
+    return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window).drop("repeats")
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The same in DuckDB SQL, window by window."""
+    return rf"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM d WHERE len(ws) >= {window}),
+w AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + {window - 1}], ' ') AS win FROM g),
+m AS (SELECT rid, i FROM (SELECT rid, doc_id, i, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id),
+gone AS (SELECT DISTINCT rid, i + o AS i FROM m, (SELECT unnest(range(0, {window})) AS o)),
+n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+word AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS k FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)"""
 
 
 def cut_repeats(spark, docs: DataFrame, sf_dir: str, window: int = WINDOW) -> DataFrame:
