@@ -29,14 +29,17 @@ def canonical_text(document: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def canonical_json(documents: pd.Series) -> pd.Series:
+def canonical_json(document) -> Column:
     """Canonical form of any depth; no built-in function sorts lists inside JSON."""
-    return documents.map(canonical_text, na_action="ignore").astype(object)
+
+    def run(documents: pd.Series) -> pd.Series:
+        return documents.map(canonical_text, na_action="ignore").astype(object)
+
+    return F.pandas_udf(run, "string")(document)
 
 
 def content_hash(document) -> Column:
-    return F.sha2(canonical_json(F.col(document) if isinstance(document, str) else document), 256)
+    return F.sha2(canonical_json(document), 256)
 
 
 def text_hash(text) -> Column:

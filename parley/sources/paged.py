@@ -6,6 +6,8 @@ The function is given by name (module:function), so that executors find it."""
 from __future__ import annotations
 
 import importlib
+import os
+import sys
 import time
 from collections.abc import Iterator
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
 
 FORMAT = "paged_listing"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 ROW = "id string, title string, model string, created_at string, updated_at string"
 TRIES, WAIT = 4, 10.0
 
@@ -61,9 +64,11 @@ class PagedReader(DataSourceReader):
         return [InputPartition(0)]  # an early stop needs the pages in order
 
     def read(self, partition):
-        module, name = self.options["fetch"].split(":")
-        fetch = getattr(importlib.import_module(module), name)
         o = self.options
+        if o.get("root") and o["root"] not in sys.path:  # workers of data sources don't get the session's path
+            sys.path.append(o["root"])
+        module, name = o["fetch"].split(":")
+        fetch = getattr(importlib.import_module(module), name)
         for r in walk_pages(fetch, self.after, int(o.get("size", 100)), int(o["most"]) if o.get("most") else None, o.get("retryempty", "false") == "true", float(o.get("wait", WAIT))):
             yield tuple(r.get(k) for k in ("id", "title", "model", "created_at", "updated_at"))
 
@@ -84,7 +89,7 @@ def read_listing(spark: SparkSession, fetch: str, after: str | None = None, **op
     """A listing as a DataFrame, with the bound pushed to the reader, which stops early."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedListing)
-    out = spark.read.format(FORMAT).option("fetch", fetch).options(**{k: str(v) for k, v in options.items()}).load()
+    out = spark.read.format(FORMAT).option("fetch", fetch).option("root", ROOT).options(**{k: str(v) for k, v in options.items()}).load()
     return out.where(F.col("updated_at") >= after) if after else out
 
 
