@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import whole_text
 
 #: Words kept with their ids in a Python worker, twice: those of late and those from before. It bounds memory, not results.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 1_000_000
 
 
@@ -89,8 +89,9 @@ class Tokenizer:
         # The library's \s is Unicode's White_Space; that of regex has four more control characters.
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self._beside: dict[int, bool] = {}
-        self._known = Recent(KEPT_WORDS)
         self._parts = Recent(KEPT_WORDS)
+        self.decimal = list(map(str, range(size)))
+        self.signs = {c: self._packed(self.encode_word(c.encode())) for c in map(chr, range(33, 127)) if not c.isalnum()}
 
     def can_stand(self, left: int, right: int) -> bool:
         """Whether the two tokens stay as they are side by side.
@@ -160,20 +161,29 @@ class Tokenizer:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
-    def _digest_of(self, text: str) -> tuple[str, int, bytes]:
-        """The ids of text without added tokens as decimals, their number, and the bytes that they decode to."""
-        known = self._known
-        ids = [i for w in self.words(text) for i in (known[w] or self._word(w))]
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
+    def _packed(self, ids: list[int]) -> tuple[str, int, bytes]:
+        """The ids as decimals, their number, and the bytes that they decode to."""
+        return ",".join([self.decimal[i] for i in ids]), len(ids), b"".join([self.bytes_of[i] for i in ids])
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.encode_word(word.encode())
-        if len(word) <= 64:
-            self._known.keep(word, ids)
-        return ids
+    def _digest_of(self, text: str) -> tuple[str, int, bytes]:
+        """The same of text without added tokens."""
+        return self._packed([i for w in self.words(text) for i in self.encode_word(w.encode())])
+
+    def _chunk(self, c: str) -> tuple[str, int, bytes]:
+        """The same of a space and ``c``, which neither begins nor ends with white space; kept, as is the word before a last sign."""
+        if c.isalpha():
+            found = self._packed(self.encode_word(b" " + c.encode()))
+        elif c[-1] in self.signs and c[:-1].isalpha():
+            word, sign = self._parts[c[:-1]] or self._chunk(c[:-1]), self.signs[c[-1]]
+            found = word[0] + "," + sign[0], word[1] + sign[1], word[2] + sign[2]
+        else:
+            found = self._digest_of(" " + c)
+        if len(c) <= 64:
+            self._parts.keep(c, found)
+        return found
 
     def _chunks(self, text: str) -> list[tuple[str, int, bytes]]:
-        """As _digest_of, in parts. A single space between two other characters always starts a pre-token, so what lies between such spaces is encoded once and kept."""
+        """The same in parts. A single space between two other characters always starts a pre-token, so what lies between such spaces is encoded once and kept."""
         first, *rest = text.split(" ")
         kept, out = self._parts, []
         if not first or first[-1].isspace():
@@ -183,9 +193,7 @@ class Tokenizer:
             if found is None:
                 if not c or c[0].isspace() or c[-1].isspace():
                     return [self._digest_of(text)]
-                found = self._digest_of(" " + c)
-                if len(c) <= 64:
-                    kept.keep(c, found)
+                found = self._chunk(c)
             out.append(found)
         return [self._digest_of(first), *out]
 

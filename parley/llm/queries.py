@@ -32,7 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 OP9_SQL = """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
 k AS (SELECT digest, max(page_id) AS kept FROM d WHERE n >= 1000 GROUP BY digest)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
  CASE WHEN kept IS NOT NULL AND kept IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
  CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
 FROM d LEFT JOIN k ON d.digest = k.digest AND n >= 1000"""
