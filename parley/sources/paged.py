@@ -6,6 +6,7 @@ The function is given by name (module:function), so that executors find it."""
 from __future__ import annotations
 
 import importlib
+import json
 import os
 import sys
 import time
@@ -107,7 +108,8 @@ def fetch_details(ids: DataFrame, fetch: str, id_col: str = "id") -> DataFrame:
                 raw, error, n = None, None, 0
                 for n in range(1, TRIES + 1):
                     try:
-                        raw, error = get(i), None
+                        found = get(i)
+                        raw, error = found if isinstance(found, str) else json.dumps(found, ensure_ascii=False), None
                         break
                     except Exception as e:  # whatever a request raises is the row's error
                         error = str(e)
