@@ -112,9 +112,9 @@ def cutoffs(ruled: DataFrame, labels: DataFrame, false_rejection: float = FALSE_
     labelled = ruled.join(good, ruled["doc_id"] == good["good_id"], "left_semi")
     cells = [(r, t) for r, ts in RULES.items() for t in ts]
     counted = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(r) > t).alias(f"k{i}") for i, (r, t) in enumerate(cells)))
-    counted = counted.crossJoin(F.broadcast(ruled.agg(F.count_distinct("stratum").alias("strata"))))
-    long = counted.select("stratum", "n", "strata", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(t).alias("t"), F.col(f"k{i}").alias("k")) for i, (r, t) in enumerate(cells)))).alias("c")).select("stratum", "n", "strata", "c.*")
-    tested = long.withColumn("safe", (binomial_tail(F.col("k"), F.col("n"), false_rejection / len(RULES)) <= F.lit(error / len(RULES)) / F.col("strata")).cast("int"))
+    strata = ruled.agg(F.count_distinct("stratum")).first()[0]
+    long = counted.select("stratum", "n", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(t).alias("t"), F.col(f"k{i}").alias("k")) for i, (r, t) in enumerate(cells)))).alias("c")).select("stratum", "n", "c.*")
+    tested = long.withColumn("safe", (binomial_tail(F.col("k"), F.col("n"), false_rejection / len(RULES)) <= error / len(RULES) / max(strata, 1)).cast("int"))
     passed = tested.withColumn("safe", F.min("safe").over(Window.partitionBy("stratum", "rule").orderBy(F.desc("t")))).where("safe = 1")
     return passed.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("t"))).alias(f"cut_{r}") for r in RULES))
 
