@@ -40,6 +40,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(table: DataFrame, rows_a_task: int, *keys: str) -> DataFrame:
+    """``table``, whose few rows stand for much work each, dealt out by its own number of rows; by size alone Spark would put them all in one task."""
+    return table.repartition(max(1, -(-table.count() // rows_a_task)), *keys)
+
+
 def forget(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished stages whose frames nobody holds any more; otherwise they stay until the driver's next full collection."""
     gc.collect()

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, forget, new_folder, whole_text
+from .common import cut, dealt, forget, new_folder, whole_text
 from .files import Reader, opened
 
 #: Payloads of at least so many bytes are stored once. Bytes of records after which another ZIP file begins. Bytes that one range read fetches at most, if a record isn't longer.
 REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
+#: ZIP directories that a task parses, and ranges that one reads.
+FILES_A_TASK, RANGES_A_TASK = 8, 4
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -231,6 +233,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     written = write_archives(with_revisits(pages), folder)
     forget(spark)
-    ranges = index_ranges(written.repartition(F.col("uri")))
+    ranges = cut(index_ranges(dealt(written, FILES_A_TASK, "uri")), "ranges")
     number = lambda c: F.expr(f"try_cast(nullif(substr({c}, 10), '') as bigint)")
-    return read_records(ranges.repartition(F.col("uri"), F.col("start")), payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", F.col("declared_digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    return read_records(dealt(ranges, RANGES_A_TASK, "uri", "start"), payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", F.col("declared_digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
