@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder
+from .common import cut, dealt, new_folder
 from .files import Reader, opened
 
 #: Tokens in a block that one range read fetches; blocks in a group of the prefix scan's first level.
 BLOCK_TOKENS = 1 << 20
 GROUP_BLOCKS = 1024
+#: Files whose sizes a task looks up, and blocks that one searches.
+FILES_A_TASK, BLOCKS_A_TASK = 64, 16
 #: Tokens after which the writer starts another file.
 FILE_TOKENS = 1 << 24
 EOD = 50256
@@ -100,9 +102,9 @@ def scan_token_files(files: DataFrame, eod: int = EOD, dtype: str = "<u2", block
                 found = first + np.flatnonzero(np.frombuffer(reader.at(uri, first * width, n * width), dtype) == eod)
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([block], pa.int64()), pa.array([tokens], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["uri", "block", "tokens", "ends"])
 
-    known = files.select("uri").distinct().mapInArrow(sizes, "uri string, tokens long").where("tokens > 0")
+    known = cut(dealt(files.select("uri").distinct(), FILES_A_TASK, "uri").mapInArrow(sizes, "uri string, tokens long").where("tokens > 0"), "token-files")
     blocks = known.select("uri", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block"))
-    ends = cut(blocks.repartition(F.col("uri"), F.col("block")).mapInArrow(search, "uri string, block long, tokens long, ends array<long>"), "separators")
+    ends = cut(dealt(blocks, BLOCKS_A_TASK, "uri", "block").mapInArrow(search, "uri string, block long, tokens long, ends array<long>"), "separators")
 
     summary = ends.select("uri", "block", (F.col("block") / group_blocks).cast("long").alias("group"), F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
     inner = Window.partitionBy("uri", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
