@@ -87,7 +87,7 @@ def early_stop(paged: DataFrame, time: str, after: Column) -> DataFrame:
     """The pages up to and with the first whose last, oldest row is before ``after``. A page with a null time goes on."""
     ends = paged.groupBy("page").agg(F.min(time).alias("oldest"))
     stop = ends.where(F.col("oldest") < after).agg(F.min("page").alias("stop"))
-    return paged.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.col("page") <= F.col("stop"))).drop("stop")
+    return paged.where(F.col("page") <= F.coalesce(stop.scalar(), F.lit((1 << 63) - 1)))
 
 
 def fold_events(events: DataFrame, key: str, order: str, replaces: Column, text: Column) -> DataFrame:
@@ -132,5 +132,6 @@ def newest_first(conversations: DataFrame, limit: int | None = None) -> DataFram
 def listing_lines(rows: DataFrame, selected: DataFrame) -> DataFrame:
     """(line) of a printed listing: id and title of the selected rows in order, then how many of all they are."""
     line = F.concat_ws("  ", "conversation_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")))
-    of = selected.agg(F.count(F.lit(1)).alias("n")).crossJoin(rows.agg(F.count(F.lit(1)).alias("m"))).select(F.lit(1).alias("k"), F.lit(None).cast("int").alias("pos"), F.concat(F.col("n").cast("string"), F.lit(" of "), F.col("m").cast("string")).alias("line"))
+    total = rows.agg(F.count(F.lit(1))).scalar().cast("string")
+    of = selected.agg(F.count(F.lit(1)).alias("n")).select(F.lit(1).alias("k"), F.lit(None).cast("int").alias("pos"), F.concat(F.col("n").cast("string"), F.lit(" of "), total).alias("line"))
     return selected.select(F.lit(0).alias("k"), F.col("pos").cast("int").alias("pos"), line.alias("line")).unionByName(of).orderBy("k", "pos").select("line")
