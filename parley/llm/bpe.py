@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import texts_to_python, whole_text
 
 #: Words kept with their ids in a Python worker, twice: those of late and those from before. It bounds memory, not results.
 KEPT_WORDS = 400_000
@@ -242,7 +242,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 part = batch.slice(i, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array((t.encode(x.as_py()) for x in part.column(1)), pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts_to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -254,7 +254,7 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((t.decode(x.as_py() or []) for x in batch.column(1)), pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return texts_to_python(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -268,7 +268,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
             kinds = [pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 3, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, DIGEST)
+    return texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, DIGEST)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

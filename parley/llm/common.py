@@ -40,6 +40,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def texts_to_python(df: DataFrame, rows: int = 500) -> DataFrame:
+    """``df``, whose rows hold whole texts, in Arrow batches of so few rows that some very long ones among them fit a Python worker's memory."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        df.sparkSession.conf.set(key, str(value))
+    return df
+
+
 def dealt(table: DataFrame, rows_a_task: int, *keys: str) -> DataFrame:
     """``table``, whose few rows stand for much work each, dealt out by its own number of rows; by size alone Spark would put them all in one task."""
     return table.repartition(max(1, -(-table.count() // rows_a_task)), *keys)

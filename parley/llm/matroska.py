@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import texts_to_python, whole_text
 
 # Element ids of the public EBML and Matroska specifications.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -302,7 +302,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t.as_py() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array((write_samples(pad(t)) for t in texts), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return texts_to_python(docs).select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "id long, track long, timestamp_ns long, offset long, size long, keyframe boolean, lacing string, cluster long, error string"
@@ -323,7 +323,7 @@ def packet_table(files: DataFrame, id_col: str = "doc_id", media_col: str = "med
                     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in PACKETS.split(", ")])
 
-    return files.select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, PACKETS)
+    return texts_to_python(files).select(F.col(id_col).cast("long"), F.col(media_col)).mapInArrow(run, PACKETS)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -342,7 +342,7 @@ def digests(files: DataFrame) -> DataFrame:
                 rows.append((name.as_py(), n.as_py(), len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(data), hashlib.sha256(data).hexdigest(), features(samples, media)))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=[x.split()[0] for x in DIGEST.split(", ")])
 
-    return files.mapInArrow(run, DIGEST)
+    return texts_to_python(files).mapInArrow(run, DIGEST)
 
 
 def op1_matroska(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, new_folder
+from .common import cut, dealt, new_folder, texts_to_python
 from .files import Reader, opened
 
 #: Tokens in a block that one range read fetches; blocks in a group of the prefix scan's first level.
@@ -71,7 +71,7 @@ def write_token_files(docs: DataFrame, folder: str, eod: int = EOD, vocabulary:
         if out is not None:
             out.close()
 
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "uri string, ordinal long, doc_id long"), "token-manifest")
+    return cut(texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "uri string, ordinal long, doc_id long"), "token-manifest")
 
 
 def scan_token_files(files: DataFrame, eod: int = EOD, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS, group_blocks: int = GROUP_BLOCKS) -> DataFrame:

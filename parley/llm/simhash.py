@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, cut, forget, fresh, whole_text
+from .common import LOWER_AZ, components, cut, forget, fresh, texts_to_python, whole_text
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), shingle_words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return texts_to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -107,4 +107,4 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", shingle
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64))
 
-    return docs.withColumn(name, fp(whole_text(text_col)))
+    return texts_to_python(docs).withColumn(name, fp(whole_text(text_col)))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_tables, forget, fresh, whole_text
+from .common import cut, drop_tables, forget, fresh, texts_to_python, whole_text
 
 WINDOW = 13
 ANCHOR_WORDS = 5
@@ -110,7 +110,7 @@ def anchors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), ids.take(pa.array(at))], names=["anchor", "doc_id"])
                     found, counts, held, start = [], [], 0, i + 1
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).where("doc_id is not null").mapInArrow(run, "anchor long, doc_id long")
+    return texts_to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).where("doc_id is not null").mapInArrow(run, "anchor long, doc_id long")
 
 
 def candidate_windows(docs: DataFrame, window: int, k: int) -> DataFrame:
@@ -131,7 +131,7 @@ def candidate_windows(docs: DataFrame, window: int, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), ids.take(pa.array(at))], names=["h", "doc_id"])
                     found, counts, held, start = [], [], 0, i + 1
 
-    return docs.mapInArrow(run, "h long, doc_id long")
+    return texts_to_python(docs).mapInArrow(run, "h long, doc_id long")
 
 
 def shared(pairs: DataFrame, key: str) -> DataFrame:
@@ -220,7 +220,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
 
-    return joined.select("doc_id", whole_text().alias("text"), own).mapInArrow(run, REPEATS)
+    return texts_to_python(joined).select("doc_id", whole_text().alias("text"), own).mapInArrow(run, REPEATS)
 
 
 def op7_substrings(spark, sf_dir: str, window: int = WINDOW) -> DataFrame:
@@ -256,7 +256,7 @@ def cut_repeats(spark, docs: DataFrame, sf_dir: str, window: int = WINDOW) -> Da
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    edited = joined.withColumn("text", edit("text", own))
+    edited = texts_to_python(joined).withColumn("text", edit("text", own))
     if "n_chars" in names:
         edited = edited.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return edited.select(*names)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, held_out
+from .common import cut, fresh, held_out, texts_to_python
 
 #: The classifier is fitted on at most so many confirmed toxic and so many unlabelled documents of the training folds, those with the least hashes of their ids.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -100,22 +100,28 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positives or not unlabelled:
         return Classifier({}, bias)
     n_p, n_u, size = len(positives), len(unlabelled), 1 << BITS
-    flat = lambda xs: (np.concatenate(xs).astype(np.int64), np.repeat(np.arange(len(xs)), [len(x) for x in xs]))
-    (cols_p, rows_p), (cols_u, rows_u) = flat(positives), flat(unlabelled)
-    in_p, in_u = np.bincount(cols_p, minlength=size), np.bincount(cols_u, minlength=size)
-    f_p, f_u = in_p / n_p, in_u / n_u
+
+    def counted(texts: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(size, np.int32)
+        for x in texts:
+            out[x] += 1  # a text has each feature once
+        return out
+
+    in_p, in_u = counted(positives), counted(unlabelled)
+    seen = np.flatnonzero(in_p >= min(LEAST_POSITIVES, n_p))
+    f_p, f_u = in_p[seen] / n_p, in_u[seen] / n_u
     error = np.sqrt(f_p * (1 - f_p) / n_p + (f_u * (1 - f_u) + 1 / n_u) / n_u)
     # A feature of toxic text alone is 1/prior times as frequent in positives, so less than this is asked where toxic text is common.
     least = min(LEAST_RATIO, 0.5 / max(prior, 1e-6))
-    chosen = np.flatnonzero((in_p >= min(LEAST_POSITIVES, n_p)) & (f_p - f_u > LEAST_ERRORS * error) & (f_p > least * f_u))
-    index = np.full(size, -1)
+    chosen = seen[(f_p - f_u > LEAST_ERRORS * error) & (f_p > least * f_u)]
+    index = np.full(size, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
 
-    def reduced(cols: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = index[cols]
-        return k[k >= 0], rows[k >= 0]
+    def reduced(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        own = [k[k >= 0] for k in (index[x] for x in texts)]
+        return np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
 
-    (cols_p, rows_p), (cols_u, rows_u), k = reduced(cols_p, rows_p), reduced(cols_u, rows_u), len(chosen)
+    (cols_p, rows_p), (cols_u, rows_u), k = reduced(positives), reduced(unlabelled), len(chosen)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     w, b = np.zeros(k + 1), bias
     w[k] = b
@@ -141,7 +147,7 @@ def sample_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((features(x.as_py())[:SAMPLE_FEATURES] for x in batch.column(1)), pa.list_(pa.int32()))], names=["toxic", "features"])
 
-    joined = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen_id"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    joined = texts_to_python(docs).join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen_id"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     return joined.mapInArrow(run, "toxic int, features array<int>")
 
 
@@ -157,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     chosen = cut(pick(known.where("toxic = 1"), positives).select("chosen_id", F.lit(1).alias("toxic")).union(pick(known, unlabelled).select("chosen_id", F.lit(0).alias("toxic"))), "sample")
     found = sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen).toArrow()
     marks, rows = found.column(0).to_numpy(), [x.values.to_numpy() for x in found.column(1)]
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes()))  # the order that rows arrive in must not matter
+    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), zlib.crc32(rows[i]), int(rows[i].sum())))  # the order that rows arrive in must not matter
     return fit([rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior)
 
 
@@ -170,7 +176,7 @@ def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((own.score(x.as_py()) for x in batch.column(1)), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return texts_to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,4 +197,4 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             yield pd.Series([own.score(t) for t in texts], dtype=float)
 
     own = fresh(docs.columns, "toxic_score")
-    return docs.withColumn(own, score(F.coalesce("text", F.lit("")))).where(F.col(own) < 0.5).select(*docs.columns)
+    return texts_to_python(docs).withColumn(own, score(F.coalesce("text", F.lit("")))).where(F.col(own) < 0.5).select(*docs.columns)

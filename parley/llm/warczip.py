@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, forget, new_folder, whole_text
+from .common import cut, dealt, forget, new_folder, texts_to_python, whole_text
 from .files import Reader, opened
 
 #: Payloads of at least so many bytes are stored once. Bytes of records after which another ZIP file begins. Bytes that one range read fetches at most, if a record isn't longer.
@@ -174,7 +174,7 @@ def write_archives(rows: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -
             flush()
         yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["uri", "n"])
 
-    return cut(rows.mapInArrow(run, "uri string, n long"), "archives")
+    return cut(texts_to_python(rows).mapInArrow(run, "uri string, n long"), "archives")
 
 
 RECORDS = "uri string, record_id string, record_type string, target_uri string, refers_to string, declared_digest string, payload_bytes long, payload binary"
