@@ -45,7 +45,7 @@ def uniform(doc_id: Column, seed: str = "mix") -> Column:
 def target_shares(cells: DataFrame, dimension: str, temper: float = TEMPER) -> DataFrame:
     """(dimension, share): each category's share of the tokens, raised to the power ``temper`` and made to add up to 1."""
     own = cells.groupBy(dimension).agg(F.sum("base").alias("mass")).where("mass > 0").withColumn("mass", F.pow(F.col("mass") / 1e6, F.lit(temper)))
-    return own.crossJoin(F.broadcast(own.agg(F.sum("mass").alias("whole")))).select(dimension, (F.col("mass") / F.col("whole")).alias("share"))
+    return own.select(dimension, (F.col("mass") / own.agg(F.sum("mass")).scalar()).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS, one_task_rows: int = BROADCAST_ROWS) -> DataFrame:
