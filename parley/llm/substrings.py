@@ -42,24 +42,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Hashes(dict):
-    """Hashes of words seen before, up to half a million."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) < 64:
-            self[word] = h
-        return h
-
-
-_known = _Hashes()
-
-
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 class Runs:
