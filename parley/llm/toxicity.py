@@ -23,8 +23,8 @@ PREFIXES = (4, 5, 6, 7)
 STRIP = ".,;:!?\"()[]{}*|%&$#<>'-"
 #: Levels of a feature: it occurs once, twice, three times or more, or twice or more and in at least so large a share of the words.
 COUNTS, DENSE = (1, 2, 3), 0.01
-#: A feature counts if at least so many positives have it, and it is so many times as frequent in them as in unlabelled text, beyond so many standard errors.
-LEAST_POSITIVES, LEAST_RATIO, LEAST_ERRORS = 3, 4.0, 2.0
+#: A feature counts if at least so many positives have it, and so large a share of them; and if it is so many times as frequent in them as in unlabelled text, beyond so many standard errors.
+LEAST_POSITIVES, LEAST_SHARE, LEAST_RATIO, LEAST_ERRORS = 3, 0.01, 4.0, 2.0
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 
 
@@ -108,7 +108,7 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         return out
 
     in_p, in_u = counted(positives), counted(unlabelled)
-    seen = np.flatnonzero(in_p >= min(LEAST_POSITIVES, n_p))
+    seen = np.flatnonzero(in_p >= max(min(LEAST_POSITIVES, n_p), LEAST_SHARE * n_p))
     f_p, f_u = in_p[seen] / n_p, in_u[seen] / n_u
     error = np.sqrt(f_p * (1 - f_p) / n_p + (f_u * (1 - f_u) + 1 / n_u) / n_u)
     # A feature of toxic text alone is 1/prior times as frequent in positives, so less than this is asked where toxic text is common.
