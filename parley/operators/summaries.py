@@ -77,10 +77,18 @@ def progress(rows: DataFrame, key: str, order: str, minutes: Column) -> DataFram
     return out.withColumn("eta", F.try_divide(F.col("n") - F.col("i"), F.nullif("rate", F.lit(0.0))))
 
 
-def pages(rows: DataFrame, order: list[Column], size: int, partition: str | None = None) -> DataFrame:
-    """``rows`` with page, by place in order. A listing has one order, so without a partition the whole of it is one window; keep to listings there."""
-    w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*order)
-    return rows.withColumn("page", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+def pages(rows: DataFrame, order: list[Column], size: int, coarse: Column, descending: bool = True) -> DataFrame:
+    """``rows`` with page, by place in the whole order.
+
+    coarse: a coarse form of what comes first in the order, such as a day. Rows are numbered within each coarse value, after the number of rows of those
+    before it, so that only the counts by coarse value meet in one task."""
+    tagged = rows.withColumn("coarse_", coarse)
+    first = F.desc_nulls_last("coarse_") if descending else F.asc_nulls_last("coarse_")
+    counts = tagged.groupBy("coarse_").agg(F.count(F.lit(1)).alias("n_"))
+    before = counts.select(F.col("coarse_").alias("of_"), F.coalesce(F.sum("n_").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    own = tagged.withColumn("own_", F.row_number().over(Window.partitionBy("coarse_").orderBy(*order)))
+    joined = own.join(before, own["coarse_"].eqNullSafe(before["of_"]))
+    return joined.withColumn("page", F.floor((F.col("before_") + F.col("own_") - 1) / size).cast("long")).drop("coarse_", "of_", "own_", "before_")
 
 
 def early_stop(paged: DataFrame, time: str, after: Column) -> DataFrame:

@@ -110,7 +110,7 @@ def unchanged_skip(spark, sf_dir):
 
 @query("WITH p AS (SELECT event_id, ts, (row_number() OVER (ORDER BY ts DESC, event_id) - 1) // 100 AS page FROM events), s AS (SELECT min(page) AS stop FROM (SELECT page, min(ts) AS oldest FROM p GROUP BY page) WHERE oldest < TIMESTAMP '2024-01-20') SELECT event_id, CAST(page AS BIGINT) AS page FROM p, s WHERE stop IS NULL OR page <= stop")
 def paged_early_stop(spark, sf_dir):
-    paged = summaries.pages(read(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], 100)
+    paged = summaries.pages(read(spark, sf_dir, "events").select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], 100, F.to_date("ts"))
     return summaries.early_stop(paged, "ts", F.expr("TIMESTAMP_NTZ'2024-01-20'")).select("event_id", "page")
 
 
