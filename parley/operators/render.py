@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import export_filename, or_else, sender_label, strip
 from ..functions.times import iso_text, parse_timestamp
-from ..schema import LIST_PAYLOAD, LIST_SOURCE, TREE_PAYLOAD, TREE_SOURCE
+from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, TREE_PAYLOAD, TREE_SOURCE
 from .branch import active_branch
 from .filters import not_empty
 
@@ -72,3 +72,11 @@ def last_per_name(rows: DataFrame, name: str | list[str], order: str) -> DataFra
     names = [name] if isinstance(name, str) else name
     rn = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc(order)))
     return rows.withColumn("rn_", rn).where("rn_ = 1").drop("rn_")
+
+
+def random_context(conversations: DataFrame, seed: int | None = None) -> DataFrame:
+    """The Markdown of one API row at random; none where there is none."""
+    api = conversations.where(F.col("raw_source") == API)
+    one = api.select("source", "conversation_id").orderBy(F.rand(seed) if seed is not None else F.rand()).limit(1)
+    keys = one.select(*(F.col(c).alias(f"one_{c}") for c in one.columns))
+    return render(api.join(keys, (F.col("source") == F.col("one_source")) & (F.col("conversation_id") == F.col("one_conversation_id")), "left_semi"))

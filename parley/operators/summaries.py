@@ -131,6 +131,11 @@ def browse(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def table_columns(spark: SparkSession, name: str) -> DataFrame:
+    """(pos, column_name, data_type) of a table of the catalog."""
+    return spark.createDataFrame([(i, c, t) for i, (c, t) in enumerate(browse(spark, name).dtypes)], "pos int, column_name string, data_type string")
+
+
 def newest_first(conversations: DataFrame, limit: int | None = None) -> DataFrame:
     """The list view: no payloads, newest first, unknown times last."""
     out = conversations.select("source", "conversation_id", "title", "created_at").orderBy(F.desc_nulls_last("created_at"), "source", "conversation_id")

@@ -38,6 +38,13 @@ def fold_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(step, FOLD, "text string, limit string, events long", "update", GroupStateTimeout.NoTimeout)
 
 
+def completions(results: DataFrame, column: str = "result") -> DataFrame:
+    """``results`` with text and message_limit of a completion that may come as JSON text or as a struct already; text that isn't JSON gives nulls."""
+    if dict(results.dtypes)[column] == "string":
+        results = results.withColumn(column, F.from_json(column, "text string, messageLimit string"))
+    return results.select("*", F.col(f"{column}.text").alias("text"), F.col(f"{column}.messageLimit").alias("message_limit"))
+
+
 def dumps(event: dict) -> str:
     """An event as a stream line."""
     return "data: " + json.dumps(event)

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from test_conversations import LIST, stored
 
-from parley.operators import summaries
+from parley.operators import render, summaries
 from parley.sources import files, paged
 from parley.sources.snapshots import RunLock, SnapshotTable
-from parley.streaming import folds, ingest
+from parley.streaming import folds, ingest, notices
 
 NOW = datetime(2025, 1, 10)
 
@@ -180,3 +180,30 @@ def test_listing_lines(spark):
 
 def test_json_lines_are_plain():
     assert json.loads(folds.dumps({"a": 1}).removeprefix("data: ")) == {"a": 1}
+
+
+def test_notices(spark):
+    sent = []
+    assert notices.push(lambda *x: sent.append(x), "t", "m") and sent == [("t", "m")]
+    assert not notices.push(None, "t", "m") and not notices.push(lambda *_: 1 / 0, "t", "m")
+    notes = summaries.change_notes(spark.createDataFrame([("s", "new", 1, ["a"])], "source string, verb string, n int, titles array<string>"))
+    assert notices.push_changes(lambda *x: sent.append(x), notes) == 1 and sent[-1] == ("1 new s conversation", "1 new s conversation:\n- a")
+    assert isinstance(notices.Heartbeat(None), notices.StreamingQueryListener)
+
+
+def test_completions(spark):
+    df = spark.createDataFrame([('{"text": "a", "messageLimit": null}',), ("bad",)], "result string")
+    assert [r.text for r in folds.completions(df).collect()] == ["a", None]
+    df = spark.createDataFrame([(("b", "few"),)], "result struct<text:string,messageLimit:string>")
+    assert folds.completions(df).first().message_limit == "few"
+
+
+def test_random_context(spark):
+    rows = stored(spark, ("claude", "a", LIST), ("claude", "b", LIST, {"raw_source": "markdown_reconstructed"}))
+    assert [r.conversation_id for r in render.random_context(rows).collect()] == ["a"]
+    assert render.random_context(rows.limit(0)).count() == 0
+
+
+def test_table_columns(spark):
+    spark.range(1).createOrReplaceTempView("one_row")
+    assert [tuple(r) for r in summaries.table_columns(spark, "one_row").collect()] == [(0, "id", "bigint")]
