@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import texts_to_python, whole_text
 
 #: Words kept with their ids in a Python worker, twice: those of late and those from before. It bounds memory, not results.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 KEPT_PAIRS = 1_000_000
 
 

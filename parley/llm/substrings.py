@@ -135,7 +135,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORD
     found = cut(anchors(table, window, k), "anchors")
     seeds = cut(shared(found, "anchor"), "seeds")
     forget(spark)
-    lists = cut(found.join(seeds, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors")), "seeded")
+    lists = cut(found.join(seeds, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "seeded")
     drop_tables(found, seeds)
     forget(spark)
     seeded = table.join(lists.withColumnRenamed("doc_id", "seeded_id"), F.col("doc_id") == F.col("seeded_id")).select("doc_id", whole_text().alias("text"), "anchors")

@@ -74,7 +74,7 @@ class Classifier:
         for w, n in found.items():
             own = known.get(w)
             if own is None:
-                if len(known) > 300_000:
+                if len(known) > 150_000:
                     known.clear()
                 own = tuple(s for s in stems(w) if any(feature(s, k) in weights for k in every))
                 if len(w) < 64:
