@@ -18,7 +18,7 @@ from .common import cut, fresh, held_out, texts_to_python
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: Longer documents of the sample give their features like any other, but no more than so many each.
 SAMPLE_FEATURES = 40_000
-BITS = 22
+BITS = 23
 PREFIXES = (4, 5, 6, 7)
 STRIP = ".,;:!?\"()[]{}*|%&$#<>'-"
 #: Levels of a feature: it occurs once, twice, three times or more, or twice or more and in at least so large a share of the words.
@@ -28,18 +28,13 @@ LEAST_POSITIVES, LEAST_SHARE, LEAST_RATIO, LEAST_ERRORS = 3, 0.01, 4.0, 2.0
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 
 
-def stems(word: str) -> list[int]:
-    """Hashes of a lower-cased word and of its beginnings, which inflected words share."""
-    return [zlib.crc32(word.encode()), *(zlib.crc32((word[:k] + "*").encode()) for k in PREFIXES if len(word) > k)]
-
-
-def words(text: str) -> Counter:
-    """How often each lower-cased word occurs, without the signs around it."""
-    out: Counter = Counter()
-    for w, n in Counter(text.lower().split()).items():
-        out[w.strip(STRIP)] += n
-    out.pop("", None)
-    return out
+def stems(token: str) -> list[int]:
+    """Hashes of a lower-cased token without the signs around it, and of its beginnings, which inflected words share."""
+    word = token.strip(STRIP)
+    if not word:
+        return []
+    mask = (1 << BITS - 2) - 1
+    return [zlib.crc32(word.encode()) & mask, *(zlib.crc32(word[:k].encode(), 1) & mask for k in PREFIXES if len(word) > k)]
 
 
 def levels(count: int, total: int) -> list[int]:
@@ -47,17 +42,17 @@ def levels(count: int, total: int) -> list[int]:
 
 
 def feature(stem: int, level: int) -> int:
-    return (stem * 2654435761 + level * 40503) >> 7 & ((1 << BITS) - 1)
+    return stem << 2 | level
 
 
 def features(text: str) -> np.ndarray:
     """The distinct features of a whole text."""
-    found, counts = words(text), Counter()
-    for w, n in found.items():
-        for s in stems(w):
+    tokens = text.lower().split()
+    counts: Counter = Counter()
+    for t, n in Counter(tokens).items():
+        for s in stems(t):
             counts[s] += n
-    total = sum(found.values())
-    return np.unique(np.array([feature(s, k) for s, n in counts.items() for k in levels(n, total)], np.int32))
+    return np.unique(np.array([feature(s, k) for s, n in counts.items() for k in levels(n, len(tokens))], np.int32))
 
 
 class Classifier:
@@ -65,28 +60,28 @@ class Classifier:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
+        self.stems = {f >> 2 for f in weights}
         self._known: dict[str, tuple[int, ...]] = {}
 
+    def _look_up(self, token: str) -> tuple[int, ...]:
+        found = tuple(s for s in stems(token) if s in self.stems)
+        if len(self._known) > 150_000:  # bounds memory, not results
+            self._known.clear()
+        if len(token) < 64:
+            self._known[token] = found
+        return found
+
     def score(self, text: str) -> float:
         """The probability of label 1. Every feature of the text counts once."""
-        known, weights, counts, found = self._known, self.weights, Counter(), words(text)
-        every = range(len(COUNTS) + 1)
-        for w, n in found.items():
-            own = known.get(w)
-            if own is None:
-                if len(known) > 150_000:
-                    known.clear()
-                own = tuple(s for s in stems(w) if any(feature(s, k) in weights for k in every))
-                if len(w) < 64:
-                    known[w] = own
-            for s in own:
+        tokens, known, counts = text.lower().split(), self._known.get, Counter()
+        for t, n in Counter(tokens).items():
+            found = known(t)
+            if found is None:
+                found = self._look_up(t)
+            for s in found:
                 counts[s] += n
-        if not counts:
-            z = self.bias
-        else:
-            total = sum(found.values())
-            hit = {feature(s, k) for s, n in counts.items() for k in levels(n, total)}
-            z = self.bias + sum(weights[f] for f in sorted(hit) if f in weights)
+        hit = sorted(f for s, n in counts.items() for k in levels(n, len(tokens)) if (f := feature(s, k)) in self.weights)
+        z = self.bias + sum(self.weights[f] for f in hit)
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
