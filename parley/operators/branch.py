@@ -13,23 +13,17 @@ from .filters import shown_message
 MESSAGES = ("source", "conversation_id", "pos", "node_id", "parent_id", "role", "content_type", "text", "on_branch")
 
 
-def walk(start: Column, parents: Column) -> Column:
-    """The ids from ``start`` up to the last one that the map holds, in that order."""
+def walk(start: Column, ids: Column, parents: Column) -> Column:
+    """The ids from ``start`` up to the last known one, in that order. ids and parents: arrays in step; of equal ids the first counts."""
 
     def step(acc: Column, _: Column) -> Column:
         now = acc["next"]
-        go = now.isNotNull() & F.map_contains_key(parents, F.coalesce(now, F.lit(""))) & ~F.array_contains(acc["path"], F.coalesce(now, F.lit("")))
-        return F.when(go, F.struct(F.try_element_at(parents, now).alias("next"), F.concat(acc["path"], F.array(now)).alias("path"))).otherwise(F.struct(F.lit(None).cast("string").alias("next"), acc["path"].alias("path")))
+        at = F.when(F.array_contains(acc["path"], now), 0).otherwise(F.array_position(ids, now))
+        up = F.struct(F.get(parents, (at - 1).cast("int")).alias("next"), F.array_append(acc["path"], now).alias("path"))
+        return F.when(at > 0, up).otherwise(F.struct(F.lit(None).cast("string").alias("next"), acc["path"].alias("path")))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.size(parents), F.lit(1)))
-    return F.aggregate(steps, F.struct(start.cast("string").alias("next"), F.array().cast("array<string>").alias("path")), step)["path"]
-
-
-def _map(entries: Column, key, value) -> Column:
-    """A map of an array of entries where the last of equal keys counts."""
-    pairs = F.transform(entries, lambda e: F.struct(key(e).alias("k"), value(e).alias("v")))
-    last = F.filter(pairs, lambda e, i: e["k"].isNotNull() & ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda later: later["k"] == e["k"]))
-    return F.map_from_entries(last)
+    nothing = F.array().cast("array<string>")
+    return F.when(start.isNull() | (F.size(ids) <= 0), nothing).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), F.struct(start.cast("string").alias("next"), nothing.alias("path")), step)["path"])
 
 
 def list_text(message: Column) -> Column:
@@ -55,8 +49,8 @@ def string_parts(raw_json: Column, node_id: Column) -> Column:
 def list_messages(conversations: DataFrame, id_col: str = "conversation_id", raw: str = "raw_json") -> DataFrame:
     """Every message of list payloads; on the branch are those from the leaf up to and with the root, at their place from the top."""
     p = conversations.select(F.col(id_col).alias("conversation_id"), F.from_json(raw, LIST_PAYLOAD).alias("p"))
-    p = p.where(F.size("p.chat_messages") > 0).withColumn("path", F.when(F.length("p.current_leaf_message_uuid") > 0, walk(F.col("p.current_leaf_message_uuid"), _map(F.col("p.chat_messages"), lambda m: m["uuid"], lambda m: m["parent_message_uuid"]))).otherwise(F.array().cast("array<string>")))
-    m = p.select("conversation_id", "path", F.posexplode("p.chat_messages").alias("i", "m"), F.transform("p.chat_messages", lambda x: x["uuid"]).alias("ids"))
+    p = p.where(F.size("p.chat_messages") > 0).withColumn("path", walk(F.nullif(F.col("p.current_leaf_message_uuid"), F.lit("")), F.reverse("p.chat_messages.uuid"), F.reverse("p.chat_messages.parent_message_uuid")))
+    m = p.select("conversation_id", "path", F.posexplode("p.chat_messages").alias("i", "m"), F.col("p.chat_messages.uuid").alias("ids"))
     at = F.array_position("path", F.col("m.uuid"))
     latest = ~F.array_contains(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0))), F.col("m.uuid"))
     on = (at > 0) & F.coalesce(latest, F.lit(True))
@@ -68,8 +62,9 @@ def tree_messages(conversations: DataFrame, id_col: str = "conversation_id", raw
     p = conversations.select(F.col(id_col).alias("conversation_id"), F.col(raw).alias("raw"), F.from_json(raw, TREE_PAYLOAD).alias("p")).where(F.size("p.mapping") > 0)
     first_leaf = F.get(F.filter(F.map_entries("p.mapping"), lambda e: F.coalesce(F.size(e["value"]["children"]), F.lit(0)) <= 0), 0)["key"]
     start = F.coalesce(F.nullif(F.col("p.current_node"), F.lit("")), first_leaf)
-    parents = F.transform_values("p.mapping", lambda _, v: v["parent"])
-    p = p.withColumn("path", F.filter(walk(start, parents), lambda n: F.try_element_at(parents, n).isNotNull()))
+    ids, parents = F.map_keys("p.mapping"), F.transform(F.map_values("p.mapping"), lambda v: v["parent"])
+    rooted = F.map_from_arrays(ids, F.transform(parents, lambda x: x.isNull()))
+    p = p.withColumn("path", F.filter(walk(start, ids, parents), lambda n: ~F.try_element_at(rooted, n)))
     n = p.select("conversation_id", "raw", "path", F.posexplode(F.map_entries("p.mapping")).alias("i", "e")).select("*", F.col("e.value").alias("v"), F.col("e.key").alias("node_id"))
     at = F.array_position("path", F.col("node_id"))
     role, kind = F.col("v.message.author.role"), F.col("v.message.content.content_type")
