@@ -31,10 +31,11 @@ def first_non_empty(rows: DataFrame, key: str, value: str, order: str) -> DataFr
 
 
 def top_titles(rows: DataFrame, key: str, title: str, order: str, shown: int = SHOWN_TITLES) -> DataFrame:
-    """The first titles of each key in order, and how many more there are. Only ``shown`` rows a key are kept while sorting."""
-    w = Window.partitionBy(key)
-    ranked = rows.select(key, title, F.row_number().over(w.orderBy(order)).alias("rn"), F.count(F.lit(1)).over(w).alias("total"))
-    return ranked.where(F.col("rn") <= shown).withColumn("more", F.greatest(F.col("total") - shown, F.lit(0)))
+    """The first titles of each key in order, and how many more there are. Ranks are cut off before the shuffle and totals are summed before theirs, so a key with most of the rows is no more work than others."""
+    ranked = rows.select(key, title, F.row_number().over(Window.partitionBy(key).orderBy(order)).alias("rn")).where(F.col("rn") <= shown)
+    totals = rows.groupBy(F.col(key).alias("of_")).agg(F.count(F.lit(1)).alias("total"))
+    joined = ranked.join(totals, F.col(key).eqNullSafe(F.col("of_")))
+    return joined.select(key, title, "rn", "total", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
 
 
 def change_notes(stats: DataFrame, shown: int = SHOWN_TITLES) -> DataFrame:
@@ -101,8 +102,8 @@ def early_stop(paged: DataFrame, time: str, after: Column) -> DataFrame:
 def fold_events(events: DataFrame, key: str, order: str, replaces: Column, text: Column) -> DataFrame:
     """(key, text): the last text that replaces all before it, and what was appended since. Found by the order of the last replacement, so no whole stream is folded in one value."""
     marked = events.select(key, F.col(order).alias("o_"), replaces.alias("r_"), text.alias("t_"))
-    last = F.max(F.when(F.col("r_"), F.col("o_"))).over(Window.partitionBy(key))
-    kept = marked.withColumn("last_", last).where(F.col("last_").isNull() | (F.col("o_") >= F.col("last_")))
+    last = marked.where("r_").groupBy(F.col(key).alias("of_")).agg(F.max("o_").alias("last_"))
+    kept = marked.join(last, F.col(key).eqNullSafe(F.col("of_")), "left").where(F.col("last_").isNull() | (F.col("o_") >= F.col("last_")))
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_", F.coalesce("t_", F.lit("")).alias("t_")))), lambda x: x["t_"]), "").alias("text"))
 
 
