@@ -102,9 +102,10 @@ def scan_token_files(files: DataFrame, eod: int = EOD, dtype: str = "<u2", block
                 found = first + np.flatnonzero(np.frombuffer(reader.at(uri, first * width, n * width), dtype) == eod)
                 yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([block], pa.int64()), pa.array([tokens], pa.int64()), pa.array([found], pa.list_(pa.int64()))], names=["uri", "block", "tokens", "ends"])
 
-    known = cut(dealt(files.select("uri").distinct(), FILES_A_TASK, "uri").mapInArrow(sizes, "uri string, tokens long").where("tokens > 0"), "token-files")
+    known = dealt(files.select("uri").distinct(), FILES_A_TASK, "uri").mapInArrow(sizes, "uri string, tokens long").where("tokens > 0")
+    tasks = max(1, (known.agg(F.sum(F.ceil(F.col("tokens") / block_tokens))).first()[0] or 0) // BLOCKS_A_TASK)
     blocks = known.select("uri", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / block_tokens))).alias("block"))
-    ends = cut(dealt(blocks, BLOCKS_A_TASK, "uri", "block").mapInArrow(search, "uri string, block long, tokens long, ends array<long>"), "separators")
+    ends = cut(blocks.repartition(tasks, "uri", "block").mapInArrow(search, "uri string, block long, tokens long, ends array<long>"), "separators")
 
     summary = ends.select("uri", "block", (F.col("block") / group_blocks).cast("long").alias("group"), F.size("ends").cast("long").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("last"))
     inner = Window.partitionBy("uri", "group").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

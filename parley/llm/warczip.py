@@ -23,8 +23,8 @@ from .files import Reader, opened
 REVISIT_BYTES = 1000
 FILE_BYTES = 32 << 20
 RANGE_BYTES = 4 << 20
-#: ZIP directories that a task parses, and ranges that one reads.
-FILES_A_TASK, RANGES_A_TASK = 8, 4
+#: ZIP directories that a task parses, and records that one reads.
+FILES_A_TASK, RECORDS_A_TASK = 8, 5000
 MEMBER, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -233,6 +233,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     written = write_archives(with_revisits(pages), folder)
     forget(spark)
-    ranges = cut(index_ranges(dealt(written, FILES_A_TASK, "uri")), "ranges")
+    ranges = index_ranges(dealt(written, FILES_A_TASK, "uri"))
+    tasks = max(1, (written.agg(F.sum("n")).first()[0] or 0) // RECORDS_A_TASK)
     number = lambda c: F.expr(f"try_cast(nullif(substr({c}, 10), '') as bigint)")
-    return read_records(dealt(ranges, RANGES_A_TASK, "uri", "start"), payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", F.col("declared_digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
+    return read_records(ranges.repartition(tasks, "uri", "start"), payloads=False).select(number("record_id").alias("page_id"), "payload_bytes", F.col("declared_digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"))
