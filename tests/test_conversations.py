@@ -259,3 +259,9 @@ def test_rehash(spark):
     once = merge.rehash(rows)
     assert merge.rehash_report(once).first().asDict() == {"changed": 2, "total": 2}
     assert merge.rehash_report(merge.rehash(once.drop("changed"))).first().changed == 0
+
+
+def test_first_tab(spark):
+    tabs = spark.createDataFrame([(2, "page", "https://a/2"), (1, "page", "https://a/1"), (0, "worker", "https://a/0"), (3, "page", "https://b")], "pos int, type string, url string")
+    assert filters.first_tab(tabs, "https://a").first().url == "https://a/1" and filters.first_tab(tabs, "x").count() == 0
+    assert filters.next_offset(spark.createDataFrame([(4,), (9,)], "update_id long")).first().offset == 10
