@@ -94,8 +94,8 @@ def read_listing(spark: SparkSession, fetch: str, after: str | None = None, **op
     return out.where(F.col("updated_at") >= after) if after else out
 
 
-def fetch_details(ids: DataFrame, fetch: str, id_col: str = "id") -> DataFrame:
-    """(id, raw_json, attempts, error) of each id: one request each, tried up to four times with growing waits, spread over the executors."""
+def fetch_details(ids: DataFrame, fetch: str, id_col: str = "id", wait: float = WAIT) -> DataFrame:
+    """(id, raw_json, attempts, error) of each id: one request each, tried up to four times with waits of once, twice, three times ``wait`` seconds, spread over the executors."""
 
     def run(batches):
         import pandas as pd
@@ -113,6 +113,8 @@ def fetch_details(ids: DataFrame, fetch: str, id_col: str = "id") -> DataFrame:
                         break
                     except Exception as e:  # whatever a request raises is the row's error
                         error = str(e)
+                        if n < TRIES:
+                            time.sleep(wait * n)
                 rows.append((i, raw, n, error))
             yield pd.DataFrame(rows, columns=["id", "raw_json", "attempts", "error"])
 

@@ -53,7 +53,7 @@ def test_empty_first_page():
 
 
 def test_details(spark):
-    found = {r.id: r for r in paged.fetch_details(spark.createDataFrame([("1",), ("x",)], "id string"), "builtins:int").collect()}
+    found = {r.id: r for r in paged.fetch_details(spark.createDataFrame([("1",), ("x",)], "id string"), "builtins:int", wait=0).collect()}
     assert found["1"].attempts == 1 and found["1"].error is None and found["x"].attempts == 4 and "invalid literal" in found["x"].error
 
 
