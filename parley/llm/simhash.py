@@ -12,23 +12,35 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, cut, forget, fresh, texts_to_python, whole_text
+from .common import LOWER_AZ, components, cut, drop_tables, forget, fresh, texts_to_python, whole_text
 
 SHINGLE_WORDS = 3
 RADIUS = 2
+#: The pipeline's stage links texts whose sets of five-word shingles have at least this Jaccard similarity.
+STAGE_WORDS, SIMILARITY = 5, 0.8
+#: Its candidates share one of so many fingerprints, each made of the least shingles in so many orders: at similarity 0.8 a pair is missed with probability (1 - 0.8^6)^40 = 5e-6.
+BANDS, BAND_ORDERS = 40, 6
+SKETCH_BITS = 1024
+_SEEDS, _FACTORS = (np.array([[xxhash.xxh64_intdigest(b"%d" % i, k) | k] for i in range(BANDS * BAND_ORDERS)], np.uint64) for k in (0, 1))
 
 
-def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a text's lower-cased word shingles, repeats included. A text of fewer words is one shingle; one without words gives 0."""
+def shingle_hashes(data: bytes, shingle_words: int) -> np.ndarray:
+    """64-bit hashes of a text's lower-cased word shingles, repeats included. A text of fewer words is one shingle; one without words has none."""
     words = data.translate(LOWER_AZ).split()
-    n = len(words)
-    if not n:
-        return 0
-    if n < shingle_words:
+    if not words:
+        return np.zeros(0, np.uint64)
+    if len(words) < shingle_words:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle_words))))
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64)
+
+
+def fingerprint(data: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of a text's shingles. A text without words gives 0."""
+    hashes = shingle_hashes(data, shingle_words)
+    if not len(hashes):
+        return 0
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         part = hashes[i : i + 8192]
@@ -83,10 +95,107 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def set_key(hashes: np.ndarray) -> int:
+    """One number for a set of shingles, given sorted and without repeats."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A set's fingerprints, one for each band: a hash of its least shingles in the band's orders. Two sets share the least of an order with a probability equal to their similarity."""
+    least = np.full(BANDS * BAND_ORDERS, ~np.uint64(0))
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[i : i + 1024] ^ _SEEDS) * _FACTORS).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), band) for band, x in enumerate(least.reshape(BANDS, BAND_ORDERS))], np.uint64)
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """The similarity of two sets of 64-bit hashes; two empty ones are equal."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    either = len(x) + len(y) - both
+    return both / either if either else 1.0
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Which of ``SKETCH_BITS`` equal ranges of hashes a set reaches, as longs. A bit that only one of two sets has is a shingle that only that one has, at least."""
+    bits = np.zeros(SKETCH_BITS, np.uint8)
+    bits[(hashes >> np.uint64(65 - SKETCH_BITS.bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, bands, n, bits, hashes): each row's set of five-word shingles, its number, fingerprints, size and sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), STAGE_WORDS)) for t in batch.column(1)]
+            fps = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
+            lists = [pa.array([f(x).view(np.int64) for x in sets], pa.list_(pa.int64())) for f in (band_keys, sketch)]
+            columns = [batch.column(0), pa.array(fps), lists[0], pa.array([len(x) for x in sets], pa.int64()), lists[1], pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "n", "bits", "hashes"])
+
+    return texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long, bands array<long>, n long, bits array<long>, hashes binary")
+
+
+def may_be_similar(a: str, b: str):
+    """False only for sets whose sizes and sketches (columns a_n, a_bits, b_n, b_bits) rule out the similarity asked for."""
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}_bits")[i].bitwiseAND(F.bitwise_not(F.col(f"{y}_bits")[i]))) for i in range(1, SKETCH_BITS // 64)), F.bit_count(F.col(f"{x}_bits")[0].bitwiseAND(F.bitwise_not(F.col(f"{y}_bits")[0]))))
+    shared = F.least(F.col(f"{a}_n") - alone(a, b), F.col(f"{b}_n") - alone(b, a))
+    return shared * F.lit(1 + SIMILARITY) >= (F.col(f"{a}_n") + F.col(f"{b}_n")) * F.lit(SIMILARITY) - F.lit(1e-6)
+
+
+def side(sets: DataFrame, key: str, *columns: str) -> DataFrame:
+    return sets.select(F.col("fp").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in columns))
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets have at least the similarity asked for."""
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
+
+    both = texts_to_python(pairs).join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
+    return both.where(near("a_hashes", "b_hashes")).select("a", "b")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): each row of ``docs`` with the smallest doc_id that links between similar texts lead to; ids as in ``near_duplicates``.
+
+    Texts that share a fingerprint are compared, unless they are linked already or their sketches rule the similarity out: first each with one text of its band,
+    then what is in one band but not yet in one component. So a large group of copies of one text is settled without its pairs."""
+    spark = docs.sparkSession
+    rows = cut(shingle_sets(docs), "shingles")
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    banded = rows.select("fp", F.explode("bands").alias("band"))
+    hubs = cut(banded.groupBy("band").agg(F.min_by("fp", F.xxhash64("fp", "band")).alias("hub"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("band", "hub"), "hubs")
+    members = cut(banded.join(hubs, "band").distinct(), "members")
+    forget(spark)
+    sets = cut(rows.join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "bits", "hashes"), "sets")
+    tied = members.where("fp <> hub").select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
+    first = cut(tied.join(side(sets, "a", "n", "bits"), "a").join(side(sets, "b", "n", "bits"), "b").where(may_be_similar("a", "b")).select("a", "b"), "pairs")
+    linked = cut(similar(first, sets), "links")
+    roots = components(linked)
+    placed = members.select("band", "fp").join(roots, members.fp == roots.node, "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
+    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
+    unsettled = cut(placed.join(mixed, "band").join(sets.select("fp", "n", "bits"), "fp"), "unsettled")
+    a, b = (unsettled.select("band", F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("root", "n", "bits"))) for k in ("a", "b"))
+    rest = cut(a.join(b, (a["band"] == b["band"]) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_similar("a", "b")).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    roots = components(linked.union(similar(rest, sets)))
+    drop_tables(members, first, rest, unsettled, sets)
+    forget(spark)
+    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(rooted.join(best, "root").select("fp", "component_id"), "components")
+    found = cut(rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), "groups")
+    drop_tables(rows)
+    return found
+
+
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its near-duplicate group. Rows that repeat a doc_id are one document and stay together; a row
+    """The rows of ``docs`` whose document is the least of its group of similar texts. Rows that repeat a doc_id are one document and stay together; a row
     without doc_id stays if no row of its group has one. Whichever texts repeat an id, the row's own text decides."""
-    found = near_duplicates(docs).where("not (doc_id <=> component_id)").select("doc_id", "fp").distinct()
+    found = similar_groups(docs).where("not (doc_id <=> component_id)").select("doc_id", "fp").distinct()
     repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     names = docs.columns
     if not repeated:
@@ -100,11 +209,11 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.join(gone, marked["doc_id"].eqNullSafe(gone[gone.columns[0]]) & (marked[own] == gone[gone.columns[1]]), "left_anti").select(*names)
 
 
-def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text", shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs`` with its rows' fingerprints in one more column."""
+def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the numbers of its rows' sets of five-word shingles in one more column."""
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t, shingle_words) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([set_key(np.unique(shingle_hashes(t, STAGE_WORDS))) for t in texts], np.uint64).view(np.int64))
 
     return texts_to_python(docs).withColumn(name, fp(whole_text(text_col)))

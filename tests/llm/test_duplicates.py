@@ -189,3 +189,38 @@ def test_cut_keeps_spacing(spark, tmp_path):
     assert cut.columns == docs.columns
     found = {r.doc_id: (r.text, r.n_chars) for r in cut.collect()}
     assert found == {1: (f"one\ntwo  {passage}\nthree", 1), 2: ("first\n\tline last  line", 22), 3: (None, 1), 4: (" keep \n me ", 1), 5: ("", 0)}
+
+
+def plain_similar(rows):
+    sets = []
+    for _, t in rows:
+        ws = (t or "").lower().split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)} or {tuple(ws)})
+    root = groups([(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])], range(len(rows)))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root[i]] = min(d, least.get(root[i], d))
+    return [(d, least.get(root[i])) for i, (d, _) in enumerate(rows)]
+
+
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.sample(range(len(out)), n):
+        out[i] = f"edit{rng.random()}"
+    return " ".join(out)
+
+
+def test_stage_links_similar_texts(spark, tmp_path):
+    """Few of these copies are within two bits of three-word SimHash, and a group of them has more pairs that aren't similar."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        rows += [(len(rows) + k, edited(rng, words, n)) for k, n in enumerate([0, 1, 2, 3, 4, 6, 8, 12, 20, 3, 3, 3])]
+    rows += [(1000, ""), (1001, " "), (1002, None), (1003, "one two"), (1004, "One  two"), (1005, "one")]
+    docs = write(spark, tmp_path, rows)
+    expected = plain_similar(rows)
+    assert sum(c != d for d, c in expected) > 30
+    assert sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()) == sorted(expected)
+    assert sorted(r.doc_id for r in simhash.keep_one(spark, docs, str(tmp_path)).collect()) == sorted(d for d, c in expected if c == d)
