@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from .common import cut, drop_tables, forget, fresh
 
 #: The share of all tokens that the sample should have; how far marginals move from their natural shares (1) to equal ones (0); raking rounds.
 KEEP, TEMPER, ROUNDS = 0.6, 0.7, 8
+#: The pipeline's stage rakes until each category has its target to within this share of all tokens, or so often the rounds above.
+TOLERANCE, MOST_TIMES = 1e-4, 25
 #: Tables of cells and targets counted to have no more rows than this are raked in one task and broadcast; larger ones are joined by key.
 BROADCAST_ROWS = 10_000
 UNKNOWN = "unknown"
@@ -49,20 +52,20 @@ def target_shares(cells: DataFrame, dimension: str, temper: float = TEMPER) -> D
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS, one_task_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``cells`` (dimensions, base) with w: the tokens to take from each cell.
+    """``cells`` (dimensions, base) with w: the tokens to take from each cell. Cells that have a w already are raked on from there.
 
     Each step multiplies the cells of a category by its target over its present sum, and bounds each cell by the tokens that it has, so that w / base is a
     probability. Up to ``one_task_rows`` cells and targets are counted first and then raked in one task, without an exchange. More of them are raked by grouped
     sums, combined before the shuffle and joined back by key, each step written to the shared folder. Both give the same weights."""
     whole = float(cells.agg(F.sum("base")).first()[0] or 0)
-    columns = cells.columns
+    columns = [c for c in cells.columns if c != "w"]
     small = cells.count() <= one_task_rows and all(t.count() <= one_task_rows for t in targets.values())
 
     def scaled(step: DataFrame, sum_w: Column) -> DataFrame:
         factor = F.when(sum_w > 0, F.col("share") * F.lit(float(keep) * whole) / sum_w).otherwise(0.0)
         return step.select(*columns, F.least(F.col("w") * factor, F.col("base").cast("double")).alias("w"))
 
-    now = cells.withColumn("w", F.col("base").cast("double") * F.lit(float(keep)))
+    now = cells if "w" in cells.columns else cells.withColumn("w", F.col("base").cast("double") * F.lit(float(keep)))
     if small:
         now = now.repartition(1)
         for _ in range(rounds):
@@ -80,18 +83,60 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
     return now
 
 
+def feasible_shares(cells: DataFrame, dimension: str, target: DataFrame, keep: float = KEEP) -> DataFrame:
+    """``target`` (dimension, share) with no category asked for more than it has: what one lacks is asked of those that have more, in proportion to their shares."""
+    want = float(keep) * float(cells.agg(F.sum("base")).first()[0] or 0)
+    has = cut(target.join(cells.groupBy(dimension).agg(F.sum("base").cast("double").alias("has")), dimension), "has")
+    scale, was = want, None
+    while True:
+        short = F.col("share") * F.lit(scale) >= F.col("has")
+        n, full, free = has.agg(F.count_if(short), F.sum(F.when(short, F.col("has"))), F.sum(F.when(~short, F.col("share")))).first()
+        if n == was or not free:
+            return has.select(dimension, (F.least(F.col("share") * F.lit(scale), F.col("has")) / F.lit(want or 1.0)).alias("share"))
+        scale, was = (want - (full or 0.0)) / free, n
+
+
+def marginals(raked: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP) -> DataFrame:
+    """(dimension, category, wanted, got): each category's target and what ``raked`` takes of it, as shares of all tokens."""
+    whole = float(raked.agg(F.sum("base")).first()[0] or 0) or 1.0
+    out = None
+    for d, target in targets.items():
+        got = raked.groupBy(d).agg(F.sum("w").alias("sum_w"))
+        one = target.join(got, d, "left").select(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("category"), (F.col("share") * F.lit(float(keep))).alias("wanted"), (F.coalesce("sum_w", F.lit(0.0)) / F.lit(whole)).alias("got"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def rake_to_targets(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """``rake`` until each category has its target to within ``TOLERANCE``. How far the marginals are off is logged; single cells may have too few tokens for targets that each dimension could meet."""
+    now = rake(cells, targets, keep, rounds)
+    for i in range(1, MOST_TIMES + 1):
+        off = marginals(now, targets, keep).agg(F.max(F.abs(F.col("wanted") - F.col("got")))).first()[0] or 0.0
+        if off <= TOLERANCE or i == MOST_TIMES:
+            logging.getLogger(__name__).log(logging.INFO if off <= TOLERANCE else logging.WARNING, "after %d rounds no category is further than %.2g of all tokens from its target", i * rounds, off)
+            return now
+        after = rake(now, targets, keep, rounds)
+        drop_tables(now)
+        now = after
+
+
 def with_cells(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, topic, n_tokens) of each row; null categories are 'unknown', null texts are empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.coalesce(F.col(c), F.lit(UNKNOWN)).alias(c) for c in ("source", "lang")), topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"))
 
 
-def probabilities(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(dimensions, base, w, prob): what to sample each cell's documents with. targets: (dimension, share) tables; else tempered natural shares. A cell without tokens is kept whole."""
+def probabilities(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, keep: float = KEEP, temper: float = TEMPER, rounds: int = ROUNDS, targets: dict[str, DataFrame] | None = None, feasible: bool = False) -> DataFrame:
+    """(dimensions, base, w, prob): what to sample each cell's documents with. targets: (dimension, share) tables; else tempered natural shares. A cell without tokens is kept whole.
+
+    ``feasible``: targets that a category can't fill are made feasible first, and raking goes on until they are met."""
     dimensions = list(dimensions)
     cells = cut(rows.groupBy(*dimensions).agg(F.sum("n_tokens").alias("base")), "cells")
     targets = targets or {d: cut(target_shares(cells, d, temper), "shares") for d in dimensions}
-    raked = rake(cells.where("base > 0"), targets, keep, rounds).select(*dimensions, "base", "w", (F.col("w") / F.col("base")).alias("prob"))
+    full = cells.where("base > 0")
+    if feasible:
+        targets = {d: cut(feasible_shares(full, d, t, keep), "shares") for d, t in targets.items()}
+    raked = (rake_to_targets if feasible else rake)(full, targets, keep, rounds).select(*dimensions, "base", "w", (F.col("w") / F.col("base")).alias("prob"))
     return raked.union(cells.where("base = 0").select(*dimensions, "base", F.lit(0.0), F.lit(1.0)))
 
 
@@ -110,9 +155,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the sample keeps. The probability is looked up by the row's own categories, so texts aren't shuffled where the table of cells is small."""
+    """The rows of ``docs`` that a sample with feasible targets keeps. The probability is looked up by the row's own categories, so texts aren't shuffled where the table of cells is small."""
     names = docs.columns
-    raked = cut(probabilities(cut(with_cells(docs), "tokens")), "raked")
+    raked = cut(probabilities(cut(with_cells(docs), "tokens"), feasible=True), "raked")
     forget(spark)
     keys = {d: fresh(names, f"cell_{d}") for d in DIMENSIONS}
     prob = fresh(names, "cell_prob")

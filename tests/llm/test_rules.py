@@ -198,6 +198,25 @@ def test_mix_stage(spark, tmp_path):
     assert mixing.mix(spark, docs.limit(0), d).count() == 0
 
 
+def test_mix_stage_hands_on_what_topics_lack(spark, tmp_path):
+    """Tempered shares ask the small topics for more than they have."""
+    rng = random.Random(10)
+    ends = rng.choices(["", " | x", " @", " !!", " license"], [90, 4, 2, 1.5, 2.5], k=20_000)
+    docs = spark.createDataFrame([(i, " ".join(["word"] * rng.randint(1, 40)) + e, rng.choices(["en", "de"], [3, 1])[0], rng.choice("abc")) for i, e in enumerate(ends)], "doc_id long, text string, lang string, source string")
+    rows = mixing.with_cells(docs)
+    kept = mixing.with_cells(mixing.mix(spark, docs, str(tmp_path)))
+    whole = rows.agg(F.sum("n_tokens")).first()[0]
+    assert math.isclose(kept.agg(F.sum("n_tokens")).first()[0] / whole, mixing.KEEP, abs_tol=0.01)
+    cells = rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("n_tokens").alias("base")).where("base > 0").cache()
+    targets = {d: mixing.feasible_shares(cells, d, mixing.target_shares(cells, d)) for d in mixing.DIMENSIONS}
+    raked = mixing.rake_to_targets(cells, targets)
+    found = mixing.marginals(raked, targets).collect()
+    has = {(d, r[0]): r[1] / whole for d in mixing.DIMENSIONS for r in cells.groupBy(d).agg(F.sum("base")).collect()}
+    assert all(abs(r.wanted - r.got) <= mixing.TOLERANCE and r.wanted <= has[r.dimension, r.category] * (1 + 1e-9) for r in found)
+    assert {r.category for r in found if math.isclose(r.wanted, has[r.dimension, r.category])} == {"table", "contact", "shout", "legal"}
+    assert all(math.isclose(sum(r.wanted for r in found if r.dimension == d), mixing.KEEP) for d in mixing.DIMENSIONS)
+
+
 # Quality
 
 
