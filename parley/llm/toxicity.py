@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,12 +12,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, held_out, texts_to_python
+from .common import cut, drop_tables, fresh, held_out, texts_to_python
 
 #: The classifier is fitted on at most so many confirmed toxic and so many unlabelled documents of the training folds, those with the least hashes of their ids.
 POSITIVES, UNLABELLED = 4_000, 12_000
-#: Longer documents of the sample give their features like any other, but no more than so many each.
-SAMPLE_FEATURES = 40_000
 BITS = 23
 PREFIXES = (4, 5, 6, 7)
 STRIP = ".,;:!?\"()[]{}*|%&$#<>'-"
@@ -85,35 +83,50 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
-    """Minimises the non-negative risk estimate.
+def counted(texts: Iterable[np.ndarray]) -> np.ndarray:
+    """How many of the texts have each feature."""
+    out = np.zeros(1 << BITS, np.int32)
+    for x in texts:
+        out[x] += 1  # a text has each feature once
+    return out
 
-    With the class prior p, losses l+ and l- and means over positives P and unlabelled U: risk = p P[l+] + max(0, U[l-] - p P[l-]). The second term stands for
-    the negatives, which nobody labelled; where it falls below zero the fit has begun to learn the sample by heart, and the step goes the other way.
-    Without positives or without unlabelled text everything scores the prior."""
-    bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
-    if not positives or not unlabelled:
-        return Classifier({}, bias)
-    n_p, n_u, size = len(positives), len(unlabelled), 1 << BITS
 
-    def counted(texts: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros(size, np.int32)
-        for x in texts:
-            out[x] += 1  # a text has each feature once
-        return out
+def least_positives(n_p: int) -> float:
+    return max(min(LEAST_POSITIVES, n_p), LEAST_SHARE * n_p)
 
-    in_p, in_u = counted(positives), counted(unlabelled)
-    seen = np.flatnonzero(in_p >= max(min(LEAST_POSITIVES, n_p), LEAST_SHARE * n_p))
-    f_p, f_u = in_p[seen] / n_p, in_u[seen] / n_u
+
+def choose(seen: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """The features to learn from among ``seen``, which in_p of n_p positives and in_u of n_u unlabelled texts have."""
+    f_p, f_u = in_p / n_p, in_u / n_u
     error = np.sqrt(f_p * (1 - f_p) / n_p + (f_u * (1 - f_u) + 1 / n_u) / n_u)
     # A feature of toxic text alone is 1/prior times as frequent in positives, so less than this is asked where toxic text is common.
     least = min(LEAST_RATIO, 0.5 / max(prior, 1e-6))
-    chosen = seen[(f_p - f_u > LEAST_ERRORS * error) & (f_p > least * f_u)]
-    index = np.full(size, -1, np.int32)
-    index[chosen] = np.arange(len(chosen))
+    return seen[(in_p >= least_positives(n_p)) & (f_p - f_u > LEAST_ERRORS * error) & (f_p > least * f_u)]
+
+
+def start_bias(prior: float) -> float:
+    return float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+
+
+def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
+    """``fit_chosen`` on the features that ``choose`` picks from the texts' own counts. Without positives or without unlabelled text everything scores the prior."""
+    if not positives or not unlabelled:
+        return Classifier({}, start_bias(prior))
+    in_p, in_u = counted(positives), counted(unlabelled)
+    seen = np.flatnonzero(in_p)
+    chosen = choose(seen, in_p[seen], in_u[seen], len(positives), len(unlabelled), prior)
+    return fit_chosen(chosen, *([x[np.isin(x, chosen)] for x in texts] for texts in (positives, unlabelled)), prior, steps, rate, decay)
+
+
+def fit_chosen(chosen: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
+    """Minimises the non-negative risk estimate over texts given by those of their features that are in ``chosen``, which is sorted.
+
+    With the class prior p, losses l+ and l- and means over positives P and unlabelled U: risk = p P[l+] + max(0, U[l-] - p P[l-]). The second term stands for
+    the negatives, which nobody labelled; where it falls below zero the fit has begun to learn the sample by heart, and the step goes the other way."""
+    bias, n_p, n_u = start_bias(prior), len(positives), len(unlabelled)
 
     def reduced(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = [k[k >= 0] for k in (index[x] for x in texts)]
+        own = [np.searchsorted(chosen, x) for x in texts]
         return np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
 
     (cols_p, rows_p), (cols_u, rows_u), k = reduced(positives), reduced(unlabelled), len(chosen)
@@ -136,16 +149,45 @@ def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def sample_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(toxic, features) of the documents in ``chosen`` (chosen_id, toxic), whose size the sample's bounds limit."""
+    """(toxic, features) of the documents in ``chosen`` (chosen_id, toxic), whose number the sample's bounds limit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((features(x.as_py())[:SAMPLE_FEATURES] for x in batch.column(1)), pa.list_(pa.int32()))], names=["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((features(x.as_py()) for x in batch.column(1)), pa.list_(pa.int32()))], names=["toxic", "features"])
 
     joined = texts_to_python(docs).join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen_id"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     return joined.mapInArrow(run, "toxic int, features array<int>")
 
 
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(feature, in_p, in_u): how many positives and unlabelled texts of ``sample`` (toxic, features) have each feature of a positive. Tasks count in arrays of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_p, in_u = np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)
+        for batch in batches:
+            for toxic, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                (in_p if toxic else in_u)[x.values.to_numpy()] += 1
+        seen = np.flatnonzero(in_p | in_u).astype(np.int32)
+        for i in range(0, len(seen), 100_000):
+            k = seen[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(in_p[k]), pa.array(in_u[k])], names=["feature", "in_p", "in_u"])
+
+    return texts_to_python(sample).select("toxic", "features").mapInArrow(run, "feature int, in_p int, in_u int").groupBy("feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")).where("in_p > 0")
+
+
+def chosen_only(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(toxic, features, n, crc, total) of ``sample``: the chosen ones of each text's features, and the number, checksum and sum of all."""
+    held = sample.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x.values.to_numpy() for x in batch.column(1)]
+            numbers = [pa.array([f(x) for x in rows], pa.int64()) for f in (len, zlib.crc32, lambda x: int(x.sum(dtype=np.int64)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[np.isin(x, held.value)] for x in rows], pa.list_(pa.int32())), *numbers], names=["toxic", "features", "n", "crc", "total"])
+
+    return texts_to_python(sample).mapInArrow(run, "toxic int, features array<int>, n long, crc long, total long")
+
+
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
     """A classifier from the confirmed toxic documents of the training folds, and a sample of those folds' documents whose labels are not looked at.
 
@@ -156,10 +198,19 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
     pick = lambda rows, n: rows.orderBy("h", "chosen_id").limit(n)
     chosen = cut(pick(known.where("toxic = 1"), positives).select("chosen_id", F.lit(1).alias("toxic")).union(pick(known, unlabelled).select("chosen_id", F.lit(0).alias("toxic"))), "sample")
-    found = sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen).toArrow()
-    marks, rows = found.column(0).to_numpy(), [x.values.to_numpy() for x in found.column(1)]
-    order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), zlib.crc32(rows[i]), int(rows[i].sum())))  # the order that rows arrive in must not matter
-    return fit([rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior)
+    sample = cut(sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen), "features")
+    n_p, n_u = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    if not n_p or not n_u:
+        return Classifier({}, start_bias(prior))
+    counts = feature_counts(sample).where(F.col("in_p") >= least_positives(n_p)).orderBy("feature").toArrow()  # no more rows than features have numbers
+    seen, in_p, in_u = (counts.column(c).to_numpy() for c in ("feature", "in_p", "in_u"))
+    picked = choose(seen, in_p, in_u, n_p, n_u, prior)
+    found = chosen_only(sample, picked).toArrow()
+    marks, rows = found.column("toxic").to_numpy(), [x.values.to_numpy() for x in found.column("features")]
+    keys = list(zip(*(found.column(c).to_pylist() for c in ("n", "crc", "total"))))
+    order = sorted(range(len(rows)), key=keys.__getitem__)  # the order that rows arrive in must not matter
+    drop_tables(sample)
+    return fit_chosen(picked, [rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior)
 
 
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -146,6 +146,17 @@ def test_risk_stays_above_zero():
     assert toxicity.fit([], unlabelled, 0.0).score("x") < 0.5
 
 
+def test_long_training_texts_keep_all_their_words(spark, tmp_path):
+    """Toxic words have the highest hashes of texts of more than 40,000 features."""
+    filler = [f"{i:x}" for i in range(60_000)]
+    words = sorted((f"zz{i}" for i in range(4000)), key=lambda w: toxicity.stems(w)[0])[-3:]
+    filler = [w for w in filler if max(toxicity.stems(w)) < min(toxicity.stems(w)[0] for w in words)]
+    rows = [(i, " ".join([*filler, *(words if i % 4 == 0 else ["plain"] * 3)]), int(i % 4 == 0)) for i in range(40)]
+    d = write_toxic(spark, tmp_path, rows, [(i, 1, x) for i, _, x in rows])
+    assert min(len(toxicity.features(t)) for _, t, _ in rows) > 40_000
+    assert {r.doc_id for r in toxicity.op3_toxicity(spark, d).where("predicted = 1").collect()} == {i for i, _, x in rows if x}
+
+
 # Mixing
 
 
