@@ -196,7 +196,7 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its group of similar texts. Rows that repeat a doc_id are one document and stay together; a row
     without doc_id stays if no row of its group has one. Whichever texts repeat an id, the row's own text decides."""
     found = similar_groups(docs).where("not (doc_id <=> component_id)").select("doc_id", "fp").distinct()
-    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()  # null ids repeat each other
     names = docs.columns
     if not repeated:
         gone = cut(found.select(F.col("doc_id").alias(fresh(names, "gone_id"))).distinct(), "gone")

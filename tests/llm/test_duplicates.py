@@ -224,3 +224,12 @@ def test_stage_links_similar_texts(spark, tmp_path):
     assert sum(c != d for d, c in expected) > 30
     assert sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(docs).collect()) == sorted(expected)
     assert sorted(r.doc_id for r in simhash.keep_one(spark, docs, str(tmp_path)).collect()) == sorted(d for d, c in expected if c == d)
+
+
+def test_rows_without_id_stay_one_by_one(spark, tmp_path):
+    """No id repeats, so ids alone would tell identified rows apart, but not those without one."""
+    docs = write(spark, tmp_path, [(1, "a b c d"), (2, "x y z w"), (None, "a b c d"), (None, "q r s t"), (None, "u v")])
+    kept = sorted(((r.doc_id, r.text) for r in simhash.keep_one(spark, docs, str(tmp_path)).collect()), key=str)
+    assert kept == sorted([(1, "a b c d"), (2, "x y z w"), (None, "q r s t"), (None, "u v")], key=str)
+    one = docs.where("doc_id is not null or text = 'a b c d'")
+    assert sorted(r.doc_id for r in simhash.keep_one(spark, one, str(tmp_path)).collect()) == [1, 2]
