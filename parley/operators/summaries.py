@@ -38,12 +38,15 @@ def top_titles(rows: DataFrame, key: str, title: str, order: str, shown: int = S
     return joined.select(key, title, "rn", "total", F.greatest(F.col("total") - shown, F.lit(0)).alias("more"))
 
 
-def change_notes(stats: DataFrame, shown: int = SHOWN_TITLES) -> DataFrame:
-    """(source, verb, note) of (source, verb, n, titles): what was new or updated, the first titles by line and how many more; nothing for no change."""
+def change_notes(stats: DataFrame, shown: int = SHOWN_TITLES, total: str | None = None) -> DataFrame:
+    """(source, verb, note) of (source, verb, n, titles): what was new or updated, the first titles by line and how many more; nothing for no change.
+
+    ``total``: the column that counts the titles, where ``titles`` holds only the first ones."""
     titles = F.coalesce("titles", F.array().cast("array<string>"))
     head = F.concat(F.col("n").cast("string"), F.lit(" "), "verb", F.lit(" "), "source", F.lit(" conversation"), F.when(F.col("n") != 1, "s").otherwise(""))
     lines = F.array_join(F.transform(F.slice(titles, 1, shown), lambda t: F.concat(F.lit("- "), t)), "\n")
-    more = F.when(F.size(titles) > shown, F.concat(F.lit("\n- (+"), (F.size(titles) - shown).cast("string"), F.lit(" more)"))).otherwise("")
+    count = F.col(total) if total else F.size(titles)
+    more = F.when(count > shown, F.concat(F.lit("\n- (+"), (count - shown).cast("string"), F.lit(" more)"))).otherwise("")
     note = F.when(F.size(titles) > 0, F.concat(head, F.lit(":\n"), lines, more)).otherwise(F.concat(head, F.lit(" stored")))
     return stats.where(F.col("n") > 0).select("source", "verb", note.alias("note"))
 

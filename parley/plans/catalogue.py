@@ -143,8 +143,9 @@ def top_titles(spark, sf_dir):
 @query("SELECT event_type AS source, 'new' AS verb, count(*) || ' new ' || event_type || ' conversation' || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END || e':\\n' || array_to_string(list_transform(list(event_id ORDER BY event_id)[1:10], lambda x: '- ' || x), e'\\n') || CASE WHEN count(*) > 10 THEN e'\\n- (+' || (count(*) - 10) || ' more)' ELSE '' END AS note FROM events WHERE user_id < 20 GROUP BY event_type")
 def change_notes(spark, sf_dir):
     e = read(spark, sf_dir, "events").where("user_id < 20")
-    g = e.groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")).alias("titles"))
-    return summaries.change_notes(g.withColumn("verb", F.lit("new")))
+    first = summaries.top_titles(e, "event_type", "event_id", "event_id")
+    g = first.groupBy(F.col("event_type").alias("source")).agg(F.max("total").alias("n"), F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")).alias("titles"))
+    return summaries.change_notes(g.withColumn("verb", F.lit("new")), total="n")
 
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")

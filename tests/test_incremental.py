@@ -145,6 +145,12 @@ def test_change_notes(spark):
     assert notes[0].startswith("15 new s conversations:\n- t0\n") and notes[0].endswith("- t9\n- (+5 more)") and notes[1] == "1 updated s conversation stored"
 
 
+def test_change_notes_of_first_titles(spark):
+    df = spark.createDataFrame([("s", "new", 15, [f"t{i}" for i in range(10)]), ("t", "new", 10, [f"t{i}" for i in range(10)])], "source string, verb string, n long, titles array<string>")
+    notes = [r.note for r in summaries.change_notes(df, total="n").orderBy("source").collect()]
+    assert notes[0].endswith("- t9\n- (+5 more)") and notes[1].endswith("- t9")
+
+
 def test_run_stats(spark):
     df = spark.createDataFrame([(2, "inserted", ""), (1, "inserted", "one"), (3, "failed", "x")], "pos int, outcome string, title string")
     row = summaries.run_stats(df).first()
