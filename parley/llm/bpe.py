@@ -2,7 +2,8 @@
 
 A prefix of a word has exactly one last token in its encoding, and the encoding of the prefix is that of what stands before the token, followed by it. A
 token that ends at a prefix is its last one exactly if it can stand beside the last token of what is before it: no merge across their border would come
-before the merges that made them. So one pass over all tokens that end at each position, longest first, finds the encoding; nothing is merged or undone."""
+before the merges that made them. So one pass over all tokens that end at each position, longest first, finds the encoding; nothing is merged or undone.
+A suffix automaton of the vocabulary gives these tokens: its state after a prefix is the longest end of the prefix that occurs in any token."""
 
 from __future__ import annotations
 
@@ -11,7 +12,6 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -51,6 +51,82 @@ class Recent(dict):
         self[key] = value
 
 
+class SuffixAutomaton:
+    """All substrings of some words, by state; strings that end at the same places of the words share one.
+
+    A state's strings are the ends of its longest one that are longer than the longest of the state it links to. A word is the longest string of its state,
+    as it stands at its own start too, where nothing precedes it; so a state stands for one word at most."""
+
+    def __init__(self, words: dict[bytes, int]):
+        self.go: list[dict[int, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        own: dict[int, tuple[int, int]] = {}
+        for word, token in words.items():
+            state = 0
+            for byte in word:
+                state = self._extended(state, byte)
+            own[state] = (token, len(word))
+        self._ends: list[tuple[tuple[int, int], ...]] = [()] * len(self.go)  # by state: the words that end where its longest string ends, longest first
+        for state in sorted(range(1, len(self.go)), key=self.length.__getitem__):
+            above = self._ends[self.link[state]]
+            self._ends[state] = (own[state], *above) if state in own else above
+        #: Strings that were reached, by number: what each is, the string after each byte that followed it, and the words at its end. No more than the words have substrings.
+        self._strings: list[tuple[int, int]] = []
+        self._numbers: dict[tuple[int, int], int] = {}
+        self.after: list[dict[int, int]] = []
+        self.words: list[tuple[tuple[int, int], ...]] = []
+        self._number(0, 0)
+
+    def _number(self, state: int, held: int) -> int:
+        """The number of the string of ``held`` bytes in ``state``."""
+        found = self._numbers.get((state, held))
+        if found is None:
+            found = self._numbers[state, held] = len(self._strings)
+            self._strings.append((state, held))
+            self.after.append({})
+            self.words.append(() if not state else self._ends[state] if held == self.length[state] else self._ends[self.link[state]])
+        return found
+
+    def step(self, string: int, byte: int) -> int:
+        """The longest end of the string and ``byte`` that is in a word; kept in ``after``."""
+        state, held = self._strings[string]
+        while state and byte not in self.go[state]:
+            state = self.link[state]
+            held = self.length[state]
+        to = self.go[state].get(byte)
+        found = self.after[string][byte] = 0 if to is None else self._number(to, held + 1)
+        return found
+
+    def _added(self, length: int, go: dict[int, int], link: int) -> int:
+        self.go.append(go)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.go) - 1
+
+    def _split(self, state: int, byte: int) -> int:
+        """The state of the longest string of ``state`` with ``byte`` after it: cut off from the state that it is in, where that has longer ones."""
+        after, size = self.go[state][byte], self.length[state] + 1
+        if self.length[after] == size:
+            return after
+        part = self._added(size, dict(self.go[after]), self.link[after])
+        self.link[after] = part
+        while state >= 0 and self.go[state].get(byte) == after:
+            self.go[state][byte] = part
+            state = self.link[state]
+        return part
+
+    def _extended(self, state: int, byte: int) -> int:
+        if byte in self.go[state]:
+            return self._split(state, byte)
+        new = self._added(self.length[state] + 1, {}, 0)
+        while state >= 0 and byte not in self.go[state]:
+            self.go[state][byte] = new
+            state = self.link[state]
+        if state >= 0:
+            self.link[new] = self._split(state, byte)
+        return new
+
+
 class Tokenizer:
     """Encodes as a byte-level BPE file of the tokenizers library does; added tokens are found in the text first."""
 
@@ -77,20 +153,18 @@ class Tokenizer:
             if whole not in self.parts:
                 self.parts[whole], first_rank[whole] = (left, right), r
         self.rank_of = [first_rank.get(i, -1) for i in range(size)]
-        self.matches = ahocorasick.Automaton()
-        for i, b in enumerate(self.bytes_of):
-            if b and (len(b) == 1 or i in self.parts):
-                self.matches.add_word(b.decode("latin-1"), (i, len(b)))
-        self.matches.make_automaton()
+        self.matches = SuffixAutomaton({b: i for i, b in enumerate(self.bytes_of) if b and (len(b) == 1 or i in self.parts)})
         self.added = {t["content"]: t["id"] for t in file["added_tokens"]}
         for s, i in self.added.items():
             self.bytes_of[i] = s.encode()
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.spaces_split = pattern == default_pattern()
         # The library's \s is Unicode's White_Space; that of regex has four more control characters.
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
+        self.length_of = list(map(len, self.bytes_of))
         self._beside: dict[int, bool] = {}
         self._parts = Recent(KEPT_WORDS)
-        self.decimal = list(map(str, range(size)))
+        self._decimal_of, self._bytes_of = list(map(str, range(size))).__getitem__, self.bytes_of.__getitem__
         self.signs = {c: self._packed(self.encode_word(c.encode())) for c in map(chr, range(33, 127)) if not c.isalnum()}
 
     def can_stand(self, left: int, right: int) -> bool:
@@ -128,23 +202,31 @@ class Tokenizer:
     def encode_word(self, word: bytes) -> list[int]:
         """The ids of one pre-token: the last token of every prefix, then back from the end."""
         last, beside, size = [-1] * (len(word) + 1), self._beside, self.size
-        for end, (token, length) in self.matches.iter(word.decode("latin-1")):
-            if last[end + 1] < 0:
-                left = last[end + 1 - length]
-                if left < 0:  # nothing stands before it
-                    last[end + 1] = token
-                    continue
-                fits = beside.get(left * size + token)
-                if fits is None:
-                    fits = self.can_stand(left, token)
-                if fits:
-                    last[end + 1] = token
-        ids, at, spelled = [], len(word), self.bytes_of
+        after, words, string = self.matches.after, self.matches.words, 0
+        for end, byte in enumerate(word, 1):
+            to = after[string].get(byte)
+            string = self.matches.step(string, byte) if to is None else to
+            for token, n in words[string]:
+                if n == end:  # nothing stands before it
+                    last[end] = token
+                    break
+                left = last[end - n]
+                if left >= 0:
+                    fits = beside.get(left * size + token)
+                    if fits is None:
+                        fits = self.can_stand(left, token)
+                    if fits:
+                        last[end] = token
+                        break
+        ids, at, lengths = [], len(word), self.length_of
         while at:
             token = last[at]
+            if token < 0:
+                raise ValueError(f"the vocabulary cannot spell byte {word[at - 1]}")
             ids.append(token)
-            at -= len(spelled[token])
-        return ids[::-1]
+            at -= lengths[token]
+        ids.reverse()
+        return ids
 
     def pieces(self, text: str) -> Iterator[tuple[str, int]]:
         """The pre-tokens with id -1, and the added tokens with theirs."""
@@ -159,11 +241,11 @@ class Tokenizer:
         return [i for w, known in self.pieces(text) for i in ([known] if known >= 0 else self.encode_word(w.encode()))]
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return b"".join(map(self._bytes_of, ids)).decode("utf-8", "replace")
 
     def _packed(self, ids: list[int]) -> tuple[str, int, bytes]:
         """The ids as decimals, their number, and the bytes that they decode to."""
-        return ",".join([self.decimal[i] for i in ids]), len(ids), b"".join([self.bytes_of[i] for i in ids])
+        return ",".join(map(self._decimal_of, ids)), len(ids), b"".join(map(self._bytes_of, ids))
 
     def _digest_of(self, text: str) -> tuple[str, int, bytes]:
         """The same of text without added tokens."""
@@ -183,18 +265,18 @@ class Tokenizer:
         return found
 
     def _chunks(self, text: str) -> list[tuple[str, int, bytes]]:
-        """The same in parts. A single space between two other characters always starts a pre-token, so what lies between such spaces is encoded once and kept."""
+        """The same in parts. By the default pattern a single space between two other characters always starts a pre-token, so what lies between such spaces is encoded once and kept."""
         first, *rest = text.split(" ")
-        kept, out = self._parts, []
-        if not first or first[-1].isspace():
+        if not self.spaces_split or not first or first[-1].isspace():
             return [self._digest_of(text)]
-        for c in rest:
-            found = kept[c]
-            if found is None:
-                if not c or c[0].isspace() or c[-1].isspace():
-                    return [self._digest_of(text)]
-                found = self._chunk(c)
-            out.append(found)
+        out = list(map(self._parts.__getitem__, rest))
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    c = rest[i]
+                    if not c or c[0].isspace() or c[-1].isspace():
+                        return [self._digest_of(text)]
+                    out[i] = self._chunk(c)
         return [self._digest_of(first), *out]
 
     def digest(self, text: str) -> tuple[int, str, str]:
@@ -272,4 +354,5 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
+    """A null text is an empty one, which has no tokens; a null doc_id stays null; repeated rows repeat; an empty table gives no rows; other columns aren't read."""
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -54,6 +54,26 @@ def test_long_runs(text):
     assert OURS.encode(text) == theirs(text) and OURS.digest(text) == digest(text)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=5).map(str.encode), min_size=1, max_size=8), st.text("abcd", max_size=20))
+def test_automaton_finds_all_words_that_end(words, text):
+    found = bpe.SuffixAutomaton({w: i for i, w in enumerate(words)})
+    last, string = {w: i for i, w in enumerate(words)}, 0
+    for end, byte in enumerate(text.encode(), 1):
+        string = found.after[string].get(byte) or found.step(string, byte)
+        expected = sorted(((len(w), i) for w, i in last.items() if text.encode()[:end].endswith(w)), reverse=True)
+        assert [(n, i) for i, n in found.words[string]] == expected
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["a", "the ", " ", "x-y ", "z", ". ", "\n", "ing "]), max_size=15).map("".join))
+def test_other_patterns_take_no_shortcut(text):
+    own = bpe.tokenizer(bpe.default_path(), r"\p{L}+ ?|[^\p{L}]+")
+    ids = own.encode(text)
+    assert own.digest(text)[:2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    assert own.decode(ids) == text
+
+
 def test_small_caches_change_nothing(monkeypatch):
     small = bpe.Tokenizer(bpe.default_path(), bpe.default_pattern())
     small._parts = bpe.Recent(3)
