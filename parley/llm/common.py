@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset (tests on one machine) a new temporary folder is used."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a session on this machine alone uses a new temporary folder; on a cluster it is an error, as executors would each write to a disk of their own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="parley-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = f"file://{own}"
@@ -34,13 +37,30 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own for a table or files, in one of this application that goes when it ends."""
+    top = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of a query go when it has ended, not when the driver next collects garbage. The session's own setting comes back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, so that a lost executor costs no earlier stage."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with short_lived_shuffles(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -56,12 +76,6 @@ def dealt(table: DataFrame, rows_a_task: int, *keys: str) -> DataFrame:
     return table.repartition(max(1, -(-table.count() // rows_a_task)), *keys)
 
 
-def forget(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished stages whose frames nobody holds any more; otherwise they stay until the driver's next full collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_tables(*tables: DataFrame) -> None:
     """Deletes tables made by ``cut`` once nothing reads them any more."""
     for t in tables:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_tables, forget, fresh
+from .common import cut, drop_tables, fresh
 
 #: The share of all tokens that the sample should have; how far marginals move from their natural shares (1) to equal ones (0); raking rounds.
 KEEP, TEMPER, ROUNDS = 0.6, 0.7, 8
@@ -143,7 +143,6 @@ def probabilities(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, keep:
 def sample(rows: DataFrame, dimensions: Sequence[str] = DIMENSIONS, **how) -> DataFrame:
     """``rows`` (doc_id, dimensions, n_tokens) with prob and kept. Rows that repeat a doc_id in a cell stay or go together; those without one share one draw."""
     raked = cut(probabilities(rows, dimensions, **how), "raked")
-    forget(rows.sparkSession)
     few = raked.count() <= BROADCAST_ROWS
     joined = rows.join(F.broadcast(raked.drop("base", "w")) if few else raked.drop("base", "w"), list(dimensions))
     return joined.withColumn("kept", uniform(F.col("doc_id")) < F.col("prob"))
@@ -158,7 +157,6 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of ``docs`` that a sample with feasible targets keeps. The probability is looked up by the row's own categories, so texts aren't shuffled where the table of cells is small."""
     names = docs.columns
     raked = cut(probabilities(cut(with_cells(docs), "tokens"), feasible=True), "raked")
-    forget(spark)
     keys = {d: fresh(names, f"cell_{d}") for d in DIMENSIONS}
     prob = fresh(names, "cell_prob")
     right = raked.select(*(F.col(d).alias(k) for d, k in keys.items()), F.col("prob").alias(prob))

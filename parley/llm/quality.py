@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget
+from .common import cut
 
 SYMBOLS = "#*$%&|<>"
 REPEAT_WORDS = 8
@@ -123,7 +123,6 @@ def judged(docs: DataFrame, labels: DataFrame, false_rejection: float = FALSE_RE
     """Each row's counts, base_failed, kept, and the rules that reject it. Without enough labels no rule rejects; an empty table gives none."""
     ruled = cut(with_rules(measures(docs)), "measures")
     safe = cut(cutoffs(ruled, labels, false_rejection, error), "cutoffs")
-    forget(docs.sparkSession)
     safe = safe.withColumnRenamed("stratum", "of")
     joined = ruled.join(F.broadcast(safe) if safe.count() <= BROADCAST_ROWS else safe, F.col("stratum") == F.col("of"), "left")
     reasons = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))

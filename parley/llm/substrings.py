@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_tables, forget, fresh, texts_to_python, whole_text
+from .common import cut, drop_tables, fresh, texts_to_python, whole_text
 
 WINDOW = 13
 ANCHOR_WORDS = 5
@@ -134,19 +134,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORD
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(anchors(table, window, k), "anchors")
     seeds = cut(shared(found, "anchor"), "seeds")
-    forget(spark)
     lists = cut(found.join(seeds, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "seeded")
     drop_tables(found, seeds)
-    forget(spark)
     seeded = table.join(lists.withColumnRenamed("doc_id", "seeded_id"), F.col("doc_id") == F.col("seeded_id")).select("doc_id", whole_text().alias("text"), "anchors")
     windows = cut(candidate_windows(seeded, window, k), "windows")
     drop_tables(lists)
-    forget(spark)
     firsts = cut(shared(windows, "h"), "firsts")
-    forget(spark)
     out = cut(windows.join(firsts, "h").where("least < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("windows")), "repeats")
     drop_tables(windows, firsts)
-    forget(spark)
     return out
 
 

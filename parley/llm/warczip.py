@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dealt, forget, new_folder, texts_to_python, whole_text
+from .common import cut, dealt, new_folder, texts_to_python, whole_text
 from .files import Reader, opened
 
 #: Payloads of at least so many bytes are stored once. Bytes of records after which another ZIP file begins. Bytes that one range read fetches at most, if a record isn't longer.
@@ -232,7 +232,6 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     written = write_archives(with_revisits(pages), folder)
-    forget(spark)
     ranges = index_ranges(dealt(written, FILES_A_TASK, "uri"))
     tasks = max(1, (written.agg(F.sum("n")).first()[0] or 0) // RECORDS_A_TASK)
     number = lambda c: F.expr(f"try_cast(nullif(substr({c}, 10), '') as bigint)")
