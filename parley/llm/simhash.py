@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, cut, drop_tables, forget, fresh, texts_to_python, whole_text
+from .common import LOWER_AZ, components, cut, drop_tables, fresh, texts_to_python, whole_text
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -83,7 +83,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     fps = cut(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), radius))
-    forget(spark)
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(best, "root").select("fp", "component_id"), "components")
@@ -91,6 +90,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` with its fingerprint and component, by ``near_duplicates``, which says what nulls, repeated rows and empty tables give."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -123,18 +123,37 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, bands, n, bits, hashes): each row's set of five-word shingles, its number, fingerprints, size and sketch."""
+def set_of(data: bytes) -> np.ndarray:
+    """A text's five-word shingles, as sorted hashes without repeats."""
+    return np.unique(shingle_hashes(data, STAGE_WORDS))
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, bands, n, bits): the number, fingerprints, size and sketch of each row's set of five-word shingles; the sets themselves, which are larger than the texts, aren't kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(set_key(x), band_keys(x).view(np.int64), len(x), sketch(x)) for x in (set_of(t.as_py()) for t in batch.column(1))]
+            fps, bands, sizes, bits = zip(*rows) if rows else [()] * 4
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "n", "bits"])
+
+    return texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long, bands array<long>, n long, bits array<long>")
+
+
+def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fp, hashes) of ``classes`` (fp, least), whose sets are made again from the texts of the rows whose doc_id is ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), STAGE_WORDS)) for t in batch.column(1)]
-            fps = np.array([set_key(x) for x in sets], np.uint64).view(np.int64)
-            lists = [pa.array([f(x).view(np.int64) for x in sets], pa.list_(pa.int64())) for f in (band_keys, sketch)]
-            columns = [batch.column(0), pa.array(fps), lists[0], pa.array([len(x) for x in sets], pa.int64()), lists[1], pa.array([x.tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "n", "bits", "hashes"])
+            for i in range(0, batch.num_rows, 100):
+                sets = [set_of(t.as_py()) for t in batch.column(0).slice(i, 100)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(x) for x in sets], np.uint64).view(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary())], names=["fp", "hashes"])
 
-    return texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long, bands array<long>, n long, bits array<long>, hashes binary")
+    ids = classes.select(F.col("least").alias("own_id")).distinct()
+    texts = texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    made = texts.join(ids, F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi").select("text").mapInArrow(run, "fp long, hashes binary")
+    return made.join(classes.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def may_be_similar(a: str, b: str):
@@ -148,47 +167,48 @@ def side(sets: DataFrame, key: str, *columns: str) -> DataFrame:
     return sets.select(F.col("fp").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in columns))
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets have at least the similarity asked for."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x, y) >= SIMILARITY for x, y in zip(a, b)], dtype=bool)
 
-    both = texts_to_python(pairs).join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
-    return both.where(near("a_hashes", "b_hashes")).select("a", "b")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct()
+    sets = cut(sets_of(docs, cut(classes.join(needed, F.col("fp") == F.col("needed"), "left_semi"), "needed")), "sets")
+    both = pairs.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
+    found = cut(both.where(near("a_hashes", "b_hashes")).select("a", "b"), "links")
+    drop_tables(sets)
+    return found
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): each row of ``docs`` with the smallest doc_id that links between similar texts lead to; ids as in ``near_duplicates``.
 
     Texts that share a fingerprint are compared, unless they are linked already or their sketches rule the similarity out: first each with one text of its band,
-    then what is in one band but not yet in one component. So a large group of copies of one text is settled without its pairs."""
-    spark = docs.sparkSession
-    rows = cut(shingle_sets(docs), "shingles")
+    then what is in one band but not yet in one component. So a large group of copies of one text is settled without its pairs. Sets are made only for texts
+    that are compared."""
+    rows = cut(sketches(docs), "sketches")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     banded = rows.select("fp", F.explode("bands").alias("band"))
     hubs = cut(banded.groupBy("band").agg(F.min_by("fp", F.xxhash64("fp", "band")).alias("hub"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("band", "hub"), "hubs")
     members = cut(banded.join(hubs, "band").distinct(), "members")
-    forget(spark)
-    sets = cut(rows.join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "bits", "hashes"), "sets")
+    known = cut(rows.join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "bits"), "known")
     tied = members.where("fp <> hub").select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
-    first = cut(tied.join(side(sets, "a", "n", "bits"), "a").join(side(sets, "b", "n", "bits"), "b").where(may_be_similar("a", "b")).select("a", "b"), "pairs")
-    linked = cut(similar(first, sets), "links")
+    first = cut(tied.join(side(known, "a", "n", "bits"), "a").join(side(known, "b", "n", "bits"), "b").where(may_be_similar("a", "b")).select("a", "b"), "pairs")
+    linked = similar(first, docs, classes)
     roots = components(linked)
     placed = members.select("band", "fp").join(roots, members.fp == roots.node, "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    unsettled = cut(placed.join(mixed, "band").join(sets.select("fp", "n", "bits"), "fp"), "unsettled")
+    unsettled = cut(placed.join(mixed, "band").join(known, "fp"), "unsettled")
     a, b = (unsettled.select("band", F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("root", "n", "bits"))) for k in ("a", "b"))
     rest = cut(a.join(b, (a["band"] == b["band"]) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_similar("a", "b")).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    roots = components(linked.union(similar(rest, sets)))
-    drop_tables(members, first, rest, unsettled, sets)
-    forget(spark)
+    roots = components(linked.union(similar(rest, docs, classes)))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(best, "root").select("fp", "component_id"), "components")
     found = cut(rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), "groups")
-    drop_tables(rows)
+    drop_tables(rows, hubs, members, known, first, rest, unsettled, named)
     return found
 
 
@@ -200,10 +220,8 @@ def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     if not repeated:
         gone = cut(found.select(F.col("doc_id").alias(fresh(names, "gone_id"))).distinct(), "gone")
-        forget(spark)
         return docs.join(gone, docs["doc_id"].eqNullSafe(gone[gone.columns[0]]), "left_anti").select(*names)
     gone = cut(found.select(F.col("doc_id").alias(fresh(names, "gone_id")), F.col("fp").alias(fresh(names, "gone_fp"))), "gone")
-    forget(spark)
     own = fresh(names, "own_fp")
     marked = with_fingerprint(docs, own)
     return marked.join(gone, marked["doc_id"].eqNullSafe(gone[gone.columns[0]]) & (marked[own] == gone[gone.columns[1]]), "left_anti").select(*names)
@@ -214,6 +232,6 @@ def with_fingerprint(docs: DataFrame, name: str, text_col: str = "text") -> Data
 
     @F.pandas_udf("long")
     def fp(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([set_key(np.unique(shingle_hashes(t, STAGE_WORDS))) for t in texts], np.uint64).view(np.int64))
+        return pd.Series(np.array([set_key(set_of(t)) for t in texts], np.uint64).view(np.int64))
 
     return texts_to_python(docs).withColumn(name, fp(whole_text(text_col)))
