@@ -1,14 +1,15 @@
-"""Repeated passages across documents: seed with winnowed anchors, extend, cut maximal repeats."""
+"""Repeated passages across documents: join on winnowed anchors, extend the matches both ways, cut maximal repeats."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,96 +62,190 @@ class Runs:
         n = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
-    def anchors(self, window: int, k: int) -> np.ndarray:
-        """For each window its anchor: the least hash of its runs of k words. It depends on the window's words alone, so equal windows of any two documents share it."""
+    def picks(self, window: int, k: int) -> np.ndarray:
+        """For each window where its anchor starts: the first of its runs of k words with the least hash. That depends on the window's words alone, so equal windows pick equal places."""
         if len(self.sums) <= window:
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.int64)
         least, have, want = self.of(k), 1, window - k + 1
+        at = np.arange(len(least))
         while have < want:
             step = min(have, want - have)
-            least = np.minimum(least[: len(least) - step], least[step:])
+            later = least[step:] < least[: len(least) - step]
+            at = np.where(later, at[step:], at[: len(at) - step])
+            least = np.where(later, least[step:], least[: len(least) - step])
             have += step
-        return least
+        return at
+
+    def seeds(self, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, place, first window, number of windows) of each anchor: the windows that pick one place follow each other."""
+        picks = self.picks(window, k)
+        if not len(picks):
+            return (np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
+        first = np.flatnonzero(np.concatenate(([True], picks[1:] != picks[:-1])))
+        return self.of(k)[picks[first]], picks[first], first, np.diff(np.append(first, len(picks)))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(anchor, doc_id): the distinct anchors of each document that has an id."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, text): the rows that have an id; rows of equal id and text share a key."""
+    text = whole_text(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(F.col(id_col), text).alias("row_key"), text.alias("text")).where("doc_id is not null")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, found, counts, held = batch.column(0), [], [], 0
-            start = 0
-            for i, text in enumerate(batch.column(1)):
-                least = Runs(text.as_py().split()).anchors(window, k)
-                own = np.unique(least[np.concatenate(([True], least[1:] != least[:-1]))]) if len(least) else least
-                found.append(own)
-                counts.append(len(own))
-                held += len(own)
-                if held > 200_000 or i == batch.num_rows - 1:
-                    at = np.repeat(np.arange(start, i + 1), counts)
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), ids.take(pa.array(at))], names=["anchor", "doc_id"])
-                    found, counts, held, start = [], [], 0, i + 1
 
-    return texts_to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).where("doc_id is not null").mapInArrow(run, "anchor long, doc_id long")
+def row_key(doc_id, text):
+    return F.xxhash64(doc_id.cast("long"), text)
 
 
-def candidate_windows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(h, doc_id): the windows that extend a shared anchor, of (doc_id, text, anchors)."""
+def anchors(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """(anchor, doc_id, row_key): the distinct anchors of each of ``rows`` (doc_id, row_key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found, counts, held, start = batch.column(0), [], [], 0, 0
-            for i, (text, shared) in enumerate(zip(batch.column(1), batch.column(2))):
-                runs = Runs(text.as_py().split())
-                hit = np.isin(runs.anchors(window, k), shared.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                own = np.unique(runs.of(window)[hit])
+            found, counts, held, start = [], [], 0, 0
+            for i, text in enumerate(batch.column(2)):
+                own = np.unique(Runs(text.as_py().split()).seeds(window, k)[0])
                 found.append(own)
                 counts.append(len(own))
                 held += len(own)
                 if held > 200_000 or i == batch.num_rows - 1:
-                    at = np.repeat(np.arange(start, i + 1), counts)
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), ids.take(pa.array(at))], names=["h", "doc_id"])
+                    at = pa.array(np.repeat(np.arange(start, i + 1), counts))
+                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), batch.column(0).take(at), batch.column(1).take(at)], names=["anchor", "doc_id", "row_key"])
                     found, counts, held, start = [], [], 0, i + 1
 
-    return texts_to_python(docs).mapInArrow(run, "h long, doc_id long")
+    return texts_to_python(rows).select("doc_id", "row_key", "text").mapInArrow(run, "anchor long, doc_id long, row_key long")
 
 
-def shared(pairs: DataFrame, key: str) -> DataFrame:
-    """(key, least): the keys that more than one document has, with the least of these. Combined before the shuffle, so a key that a third of all documents share costs a row a task."""
-    return pairs.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(key, "least")
+CONTEXT = "anchor long, doc_id long, row_key long, hub boolean, first int, lead int, windows int, words binary"
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, windows): for each document the hashes of its windows that also start in a document with a smaller id.
+def contexts(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """A row for each place of a shared anchor in ``rows`` (doc_id, row_key, text, anchors: array of (anchor, least document)): the words of all windows that pick it,
+    the first of them and how many words of theirs stand before the anchor. hub: it is the first place of its text, in the least document."""
 
-    Every window has one anchor, a run of k words picked by winnowing, which depends on the window's words alone; equal windows share it. Anchors that more
-    than one document has are the seeds; each seed extends to all windows around it that it is the anchor of, and only those are compared, by 64-bit hashes
-    (a false match is likely only near 2^32 windows). Nothing is paired: the least document of each window settles it for all others."""
-    spark = docs.sparkSession
-    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = cut(anchors(table, window, k), "anchors")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                out: list[tuple] = []
+                for doc, key, text, shared in zip(*(c.slice(i, 200) for c in batch.columns)):
+                    words = text.as_py().split()
+                    hashes, places, firsts, counts = Runs(words).seeds(window, k)
+                    pairs = shared.values
+                    known, least = pairs.field("anchor").to_numpy(zero_copy_only=False).view(np.uint64), pairs.field("least").to_numpy(zero_copy_only=False)
+                    order = np.argsort(known)
+                    at = np.minimum(np.searchsorted(known, hashes, sorter=order), len(known) - 1)
+                    hit = np.flatnonzero(known[order[at]] == hashes)
+                    line = b" ".join(words)
+                    starts = np.zeros(len(words) + 1, np.int64)
+                    np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
+                    own, own_key, seen = doc.as_py(), key.as_py(), set()
+                    h, f, n = hashes.view(np.int64)[hit].tolist(), firsts[hit], counts[hit]
+                    is_least = (least[order[at[hit]]] == own).tolist()
+                    for anchor, hub, first, lead, windows, a, b in zip(h, is_least, f.tolist(), (places[hit] - f).tolist(), n.tolist(), starts[f].tolist(), starts[f + n + window - 1].tolist()):
+                        out.append((anchor, own, own_key, hub and anchor not in seen, first, lead, windows, line[a : b - 1]))
+                        seen.add(anchor)
+                    if len(out) > 50_000:
+                        yield _batch(out, CONTEXT)
+                        out = []
+                yield _batch(out, CONTEXT)
+
+    return texts_to_python(rows).select("doc_id", "row_key", "text", "anchors").mapInArrow(run, CONTEXT)
+
+
+KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(c.split(" ") for c in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(c, KINDS[t]) for c, t in zip(zip(*rows) if rows else [()] * len(names), kinds)], names=list(names))
+
+
+def extended(words: list[bytes], lead: int, hub: list[bytes], hub_lead: int) -> tuple[int, int]:
+    """How far the match of an anchor at ``lead`` and one at ``hub_lead`` reaches, word by word to the left and to the right, as (first, end) of ``words``."""
+    left = 0
+    while left < lead and left < hub_lead and words[lead - left - 1] == hub[hub_lead - left - 1]:
+        left += 1
+    right, most = 0, min(len(words) - lead, len(hub) - hub_lead)
+    while right < most and words[lead + right] == hub[hub_lead + right]:
+        right += 1
+    return lead - left, lead + right
+
+
+MATCH = "doc_id long, row_key long, first int, end int, high long, low long"
+
+
+def matches(seeds: DataFrame, window: int) -> DataFrame:
+    """For ``seeds`` (a context with its hub's hub_doc, hub_lead, hub_words): the (first, end) words that the seed extends to in a smaller document; and each window
+    beyond that extent, which other documents may have, with 128 bits of hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, key, first, lead, windows, words, hub_doc, hub_lead, hub_words = batch.columns
+            same = pc.and_(pc.equal(words, hub_words), pc.equal(lead, hub_lead))
+            gone = pc.and_(same, pc.less(hub_doc, doc))
+            ends = pc.add(pc.add(first, windows), pa.scalar(window - 1, pa.int32()))
+            found = pa.RecordBatch.from_arrays([doc, key, first, ends, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64())], names=["doc_id", "row_key", "first", "end", "high", "low"])
+            yield found.filter(gone)
+            out: list[tuple] = []
+            for doc_id, row_key, first, lead, windows, words, hub_doc, hub_lead, hub_words in zip(*(c.to_pylist() for c in batch.filter(pc.invert(same)).columns)):
+                own = words.split(b" ")
+                begin, end = extended(own, lead, hub_words.split(b" "), hub_lead)
+                last = min(windows - 1, end - window)
+                if last >= begin and hub_doc < doc_id:
+                    out.append((doc_id, row_key, first + begin, first + last + window, None, None))
+                for i in range(windows):
+                    if not begin <= i <= last:
+                        high, low = struct.unpack(">qq", xxhash.xxh3_128_digest(b" ".join(own[i : i + window])))
+                        out.append((doc_id, row_key, first + i, first + i + window, high, low))
+                if len(out) > 100_000:
+                    yield _batch(out, MATCH)
+                    out = []
+            yield _batch(out, MATCH)
+
+    columns = ("doc_id", "row_key", "first", "lead", "windows", "words", "hub_doc", "hub_lead", "hub_words")
+    return seeds.select(*columns).mapInArrow(run, MATCH)
+
+
+def shared(pairs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, least): the keys that more than one document has, with the least of these. Combined before the shuffle, so a key that a third of all documents share costs a row a task."""
+    return pairs.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(*keys, "least")
+
+
+def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row_key, extents): for each text the (first, end) words of the matches, of at least ``window`` words, with documents of smaller ids.
+
+    Every window has one anchor, a run of k words picked by winnowing; equal windows have equal anchors. Documents are joined on anchors: each place of a shared
+    anchor is a seed, and is extended both ways, word by word, against one place in the least document that has it, its hub. An extent in a smaller document
+    settles its windows, and so it does in every document, as all are compared with the same hub. The few windows beyond the extents may still be shared by
+    documents that differ from the hub; these are joined on 128 bits of hash of their words (among 10^13 windows two differing ones are equal with a
+    probability of 10^-13), again with the least document of each. So pairs of documents are never listed, and nothing is missed."""
+    rows = keyed(docs, id_col, text_col)
+    found = cut(anchors(rows, window, k), "anchors")
     seeds = cut(shared(found, "anchor"), "seeds")
-    lists = cut(found.join(seeds, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "seeded")
+    lists = cut(found.join(seeds, "anchor").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("anchor", "least")).alias("anchors")), "seeded")
     drop_tables(found, seeds)
-    seeded = table.join(lists.withColumnRenamed("doc_id", "seeded_id"), F.col("doc_id") == F.col("seeded_id")).select("doc_id", whole_text().alias("text"), "anchors")
-    windows = cut(candidate_windows(seeded, window, k), "windows")
+    places = cut(contexts(rows.join(lists, ["doc_id", "row_key"]), window, k), "contexts")
     drop_tables(lists)
-    firsts = cut(shared(windows, "h"), "firsts")
-    out = cut(windows.join(firsts, "h").where("least < doc_id").groupBy("doc_id").agg(F.collect_set("h").alias("windows")), "repeats")
-    drop_tables(windows, firsts)
+    hub = F.min(F.struct("doc_id", "row_key", "lead", "words")).alias("h")
+    hubs = places.where("hub").groupBy("anchor").agg(hub).select("anchor", F.col("h.doc_id").alias("hub_doc"), F.col("h.lead").alias("hub_lead"), F.col("h.words").alias("hub_words"))
+    found = cut(matches(places.join(hubs, "anchor"), window), "matches")
+    drop_tables(places)
+    rest = found.where("high is not null")
+    firsts = cut(shared(rest, "high", "low"), "firsts")
+    late = rest.join(firsts, ["high", "low"]).where("least < doc_id").select("doc_id", "row_key", "first", "end")
+    every = found.where("high is null").select("doc_id", "row_key", "first", "end").union(late)
+    out = cut(every.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "end")).alias("extents")), "repeats")
+    drop_tables(found, firsts)
     return out
 
 
-def removed_words(words: list[bytes], windows: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Whether each word is covered by one of the windows whose hashes are given."""
-    out = np.zeros(len(words) + 1, np.int64)
-    starts = np.flatnonzero(np.isin(Runs(words).of(window), windows))
-    np.add.at(out, starts, 1)
-    np.add.at(out, starts + window, -1)
+def covered(n: int, extents: pa.StructArray) -> np.ndarray:
+    """Whether each of n words is in one of the extents."""
+    out = np.zeros(n + 1, np.int64)
+    np.add.at(out, extents.field("first").to_numpy(zero_copy_only=False), 1)
+    np.add.at(out, extents.field("end").to_numpy(zero_copy_only=False), -1)
     return np.cumsum(out[:-1]) > 0
 
 
@@ -167,35 +262,36 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
 
 
 def _attach(docs: DataFrame, repeats: DataFrame, names: list[str]):
-    """``docs`` with each row's repeated windows (null: none) in one more column, whose name is also returned."""
-    key, own = fresh(names, "repeat_id"), fresh(names, "repeat_windows")
-    right = repeats.select(F.col("doc_id").alias(key), F.col("windows").alias(own))
-    return docs.join(right, docs["doc_id"] == right[key], "left").select(*names, own), own
-
-
-def _windows(x: pa.Scalar) -> np.ndarray | None:
-    return x.values.to_numpy(zero_copy_only=False).view(np.uint64) if x.is_valid else None
+    """``docs`` with the extents of each row (null: none) in one more column, whose name is also returned."""
+    taken, columns = list(names), []
+    for c in ("repeat_id", "repeat_key", "repeat_extents"):
+        columns.append(fresh(taken, c))
+        taken.append(columns[-1])
+    key, other, own = columns
+    right = repeats.select(F.col("doc_id").alias(key), F.col("row_key").alias(other), F.col("extents").alias(own))
+    on = (docs["doc_id"].cast("long") == right[key]) & (row_key(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).cast("binary")) == right[other])
+    return docs.join(right, on, "left").select(*(docs[c] for c in names), own), own
 
 
 REPEATS = "doc_id long, n_words long, n_removed long, kept_sha256 string, repeats array<struct<first:int,end:int>>"
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each row how many words it has, how many of them repeated passages cover, the SHA-256 of the rest joined by spaces, and the maximal repeats as (first, end) words."""
+    """For each row how many words it has, how many of them repeated passages cover, the SHA-256 of the rest joined by spaces, and the maximal repeats as (first, end) words.
+
+    Null texts have no words. A row without doc_id loses none and takes none; rows that repeat a doc_id are judged each by its own text against smaller ids; an
+    empty table gives no rows; other columns aren't read."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    joined, own = _attach(docs, repeated_windows(docs, window), ["doc_id", "text"])
+    joined, own = _attach(docs, repeated_passages(docs, window), ["doc_id", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, found in zip(batch.column(1), batch.column(2)):
-                words, hashes = text.as_py().split(), _windows(found)
-                if hashes is None:
-                    rows.append((len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest(), []))
-                else:
-                    gone = removed_words(words, hashes, window)
-                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                    rows.append((len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), [{"first": a, "end": b} for a, b in spans(gone)]))
+                words = text.as_py().split()
+                gone = covered(len(words), found.values) if found.is_valid else np.zeros(len(words), bool)
+                kept = [w for w, g in zip(words, gone.tolist()) if not g] if found.is_valid else words
+                rows.append((len(words), int(gone.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), [{"first": a, "end": b} for a, b in spans(gone)]))
             columns = list(zip(*rows)) if rows else [[]] * 4
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "repeats"])
@@ -224,17 +320,18 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT
 def cut_repeats(spark, docs: DataFrame, sf_dir: str, window: int = WINDOW) -> DataFrame:
     """``docs`` with the repeated passages cut out of their texts and n_chars counted anew. No row goes; a text without repeats (a null one too) stays as it is."""
     names = docs.columns
-    joined, own = _attach(docs, repeated_windows(docs, window), names)
+    joined, own = _attach(docs, repeated_passages(docs, window), names)
 
-    @F.pandas_udf("string")
-    def edit(texts: pd.Series, found: pd.Series) -> pd.Series:
+    @F.arrow_udf("string")
+    def edit(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for t, f in zip(texts, found):
-            if t is not None and f is not None:
-                data = t.encode()
-                t = without(data, removed_words(data.split(), np.array(f, np.int64).view(np.uint64), window)).decode()
-            out.append(t)
-        return pd.Series(out, dtype=object)
+            if t.is_valid and f.is_valid:
+                data = t.as_py().encode()
+                out.append(without(data, covered(len(data.split()), f.values)).decode())
+            else:
+                out.append(t.as_py())
+        return pa.array(out, pa.string())
 
     edited = texts_to_python(joined).withColumn("text", edit("text", own))
     if "n_chars" in names:

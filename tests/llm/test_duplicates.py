@@ -169,8 +169,42 @@ def test_anchors_cover_every_window():
     shared = b[50:63]
     a[100:113] = shared
     x, y = substrings.Runs(a), substrings.Runs(b)
-    assert x.anchors(13, 5)[100] == y.anchors(13, 5)[50] and x.of(13)[100] == y.of(13)[50]
-    assert len(substrings.Runs([]).anchors(13, 5)) == 0 == len(substrings.Runs(a[:12]).anchors(13, 5))
+    assert x.picks(13, 5)[100] - 100 == y.picks(13, 5)[50] - 50 and x.of(13)[100] == y.of(13)[50]
+    for runs, words in ((x, a), (y, b)):
+        hashes = runs.of(5).tolist()
+        assert runs.picks(13, 5).tolist() == [min(range(i, i + 9), key=lambda j: (hashes[j], j)) for i in range(len(words) - 12)]
+        _, places, firsts, counts = runs.seeds(13, 5)
+        assert [p for p, n in zip(places.tolist(), counts.tolist()) for _ in range(n)] == runs.picks(13, 5).tolist() and firsts[0] == 0
+    assert len(substrings.Runs([]).picks(13, 5)) == 0 == len(substrings.Runs(a[:12]).seeds(13, 5)[0])
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b"]), max_size=12), st.lists(st.sampled_from([b"a", b"b"]), max_size=12), st.integers(0, 11), st.integers(0, 11))
+def test_extension(words, hub, i, j):
+    i, j = min(i, len(words)), min(j, len(hub))
+    first, end = substrings.extended(words, i, hub, j)
+    assert words[first:end] == hub[first - i + j : end - i + j]
+    assert first == 0 or first - i + j == 0 or words[first - 1] != hub[first - i + j - 1]
+    assert end == len(words) or end - i + j == len(hub) or words[end] != hub[end - i + j]
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_repeats_that_the_least_document_lacks(spark, seed):
+    """Passages shared by some documents and cut off differently in each, around phrases that all have; ids repeat, some are null."""
+    rng = random.Random(seed)
+    phrase, passages = sentence(rng, 6), [sentence(rng, rng.randint(5, 30)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages).split()
+            a = rng.randint(0, 4)
+            parts += [*p[a : len(p) - rng.randint(0, 4)], phrase, f"u{rng.random()}" if rng.random() < 0.4 else ""]
+        rows.append((rng.choice([i, i, i // 2, None]), " ".join(parts)))
+    rows += rows[:5]
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("repeats").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(plain_repeats(rows), key=str)
 
 
 def test_maximal_repeats(spark):
