@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return. ``bytes.split()`` splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
+#: Of tables between steps. A row group is held in memory whole by the task that writes it, and its columns by the one that reads it.
+ROW_GROUP_BYTES = 16 << 20
 #: ``bytes.translate`` table that lower-cases A-Z only.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -60,7 +62,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, so that a lost executor costs no earlier stage."""
     path = new_folder(df.sparkSession, name)
     with short_lived_shuffles(df.sparkSession):
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -62,6 +62,17 @@ class Runs:
         n = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:n]) * self.down[:n]) if n > 0 else np.empty(0, np.uint64)
 
+    def anchors(self, window: int, k: int) -> np.ndarray:
+        """The distinct anchors of the windows, which are the least hashes of their runs of k words."""
+        if len(self.sums) <= window:
+            return np.empty(0, np.uint64)
+        least, have, want = self.of(k), 1, window - k + 1
+        while have < want:
+            step = min(have, want - have)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            have += step
+        return np.unique(least[np.concatenate(([True], least[1:] != least[:-1]))])
+
     def picks(self, window: int, k: int) -> np.ndarray:
         """For each window where its anchor starts: the first of its runs of k words with the least hash. That depends on the window's words alone, so equal windows pick equal places."""
         if len(self.sums) <= window:
@@ -106,7 +117,7 @@ def anchors(rows: DataFrame, window: int, k: int) -> DataFrame:
         for batch in batches:
             found, counts, held, start = [], [], 0, 0
             for i, text in enumerate(batch.column(2)):
-                own = np.unique(Runs(text.as_py().split()).seeds(window, k)[0])
+                own = Runs(text.as_py().split()).anchors(window, k)
                 found.append(own)
                 counts.append(len(own))
                 held += len(own)
@@ -128,7 +139,8 @@ def contexts(rows: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
-                out: list[tuple] = []
+                parts: list[list[np.ndarray]] = []
+                lines: list[bytes] = []
                 for doc, key, text, shared in zip(*(c.slice(i, 200) for c in batch.columns)):
                     words = text.as_py().split()
                     hashes, places, firsts, counts = Runs(words).seeds(window, k)
@@ -140,20 +152,27 @@ def contexts(rows: DataFrame, window: int, k: int) -> DataFrame:
                     line = b" ".join(words)
                     starts = np.zeros(len(words) + 1, np.int64)
                     np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1, out=starts[1:])
-                    own, own_key, seen = doc.as_py(), key.as_py(), set()
-                    h, f, n = hashes.view(np.int64)[hit].tolist(), firsts[hit], counts[hit]
-                    is_least = (least[order[at[hit]]] == own).tolist()
-                    for anchor, hub, first, lead, windows, a, b in zip(h, is_least, f.tolist(), (places[hit] - f).tolist(), n.tolist(), starts[f].tolist(), starts[f + n + window - 1].tolist()):
-                        out.append((anchor, own, own_key, hub and anchor not in seen, first, lead, windows, line[a : b - 1]))
-                        seen.add(anchor)
-                    if len(out) > 50_000:
-                        yield _batch(out, CONTEXT)
-                        out = []
-                yield _batch(out, CONTEXT)
+                    h, f, n = hashes.view(np.int64)[hit], firsts[hit], counts[hit]
+                    hub = np.zeros(len(hit), bool)
+                    hub[np.unique(h, return_index=True)[1]] = True
+                    hub &= least[order[at[hit]]] == doc.as_py()
+                    lines += [line[a:b] for a, b in zip(starts[f].tolist(), (starts[f + n + window - 1] - 1).tolist())]
+                    own = [np.full(len(hit), x.as_py()) for x in (doc, key)]
+                    parts.append([h, *own, hub, f, places[hit] - f, n])
+                    if len(lines) > 50_000:
+                        yield _contexts(parts, lines)
+                        parts, lines = [], []
+                if lines:
+                    yield _contexts(parts, lines)
 
     return texts_to_python(rows).select("doc_id", "row_key", "text", "anchors").mapInArrow(run, CONTEXT)
 
 
+def _contexts(parts: list[list[np.ndarray]], lines: list[bytes]) -> pa.RecordBatch:
+    columns = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts), (*[pa.int64()] * 3, pa.bool_(), *[pa.int32()] * 3))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.binary())], names=[c.split(" ")[0] for c in CONTEXT.split(", ")])
+
+
 KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
 
 
@@ -229,9 +248,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
     places = cut(contexts(rows.join(lists, ["doc_id", "row_key"]), window, k), "contexts")
     drop_tables(lists)
     hub = F.min(F.struct("doc_id", "row_key", "lead", "words")).alias("h")
-    hubs = places.where("hub").groupBy("anchor").agg(hub).select("anchor", F.col("h.doc_id").alias("hub_doc"), F.col("h.lead").alias("hub_lead"), F.col("h.words").alias("hub_words"))
+    hubs = cut(places.where("hub").groupBy("anchor").agg(hub).select("anchor", F.col("h.doc_id").alias("hub_doc"), F.col("h.lead").alias("hub_lead"), F.col("h.words").alias("hub_words")), "hubs")
     found = cut(matches(places.join(hubs, "anchor"), window), "matches")
-    drop_tables(places)
+    drop_tables(places, hubs)
     rest = found.where("high is not null")
     firsts = cut(shared(rest, "high", "low"), "firsts")
     late = rest.join(firsts, ["high", "low"]).where("least < doc_id").select("doc_id", "row_key", "first", "end")
