@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,15 +15,28 @@ from pyspark.sql import functions as F
 
 from .common import cut, drop_tables, fresh, held_out, texts_to_python
 
-#: The classifier is fitted on at most so many confirmed toxic and so many unlabelled documents of the training folds, those with the least hashes of their ids.
+#: The classifier is fitted on at most so many confirmed toxic documents and so many unlabelled ones, of the training folds, those with the least hashes of their ids.
 POSITIVES, UNLABELLED = 4_000, 12_000
 BITS = 23
 PREFIXES = (4, 5, 6, 7)
 STRIP = ".,;:!?\"()[]{}*|%&$#<>'-"
 #: Levels of a feature: it occurs once, twice, three times or more, or twice or more and in at least so large a share of the words.
 COUNTS, DENSE = (1, 2, 3), 0.01
-#: A feature counts if at least so many positives have it, and so large a share of them; and if it is so many times as frequent in them as in unlabelled text, beyond so many standard errors.
-LEAST_POSITIVES, LEAST_SHARE, LEAST_RATIO, LEAST_ERRORS = 3, 0.01, 4.0, 2.0
+#: A feature counts if at least so many positives have it, and if it is so many times as frequent in them as in unlabelled text.
+LEAST_POSITIVES, LEAST_RATIO = 3, 4.0
+
+
+class Rule(NamedTuple):
+    """Which features are learned from: those that at least a share of the positives have, that are more frequent in them than in unlabelled text by so many standard errors, of the levels given."""
+
+    share: float
+    errors: float
+    levels: tuple[int, ...]
+
+
+#: Rules tried, the strictest first, in so many folds of the training sample, with so many steps.
+RULES = tuple(Rule(s, e, v) for v in ((0,), (0, 1, 2, 3)) for s in (0.03, 0.01) for e in (4.0, 2.0))
+FOLDS, FOLD_STEPS = 3, 150
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 
 
@@ -83,69 +97,103 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def counted(texts: Iterable[np.ndarray]) -> np.ndarray:
-    """How many of the texts have each feature."""
-    out = np.zeros(1 << BITS, np.int32)
-    for x in texts:
-        out[x] += 1  # a text has each feature once
-    return out
-
+def least_positives(n_p: int, share: float) -> float:
+    return max(min(LEAST_POSITIVES, n_p), share * n_p)
 
-def least_positives(n_p: int) -> float:
-    return max(min(LEAST_POSITIVES, n_p), LEAST_SHARE * n_p)
 
-
-def choose(seen: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
-    """The features to learn from among ``seen``, which in_p of n_p positives and in_u of n_u unlabelled texts have."""
+def choose(seen: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, rule: Rule) -> np.ndarray:
+    """Which of the features ``seen`` to learn from, by the rule; in_p of n_p positives and in_u of n_u unlabelled texts have them."""
     f_p, f_u = in_p / n_p, in_u / n_u
     error = np.sqrt(f_p * (1 - f_p) / n_p + (f_u * (1 - f_u) + 1 / n_u) / n_u)
     # A feature of toxic text alone is 1/prior times as frequent in positives, so less than this is asked where toxic text is common.
     least = min(LEAST_RATIO, 0.5 / max(prior, 1e-6))
-    return seen[(in_p >= least_positives(n_p)) & (f_p - f_u > LEAST_ERRORS * error) & (f_p > least * f_u)]
+    return np.isin(seen & 3, rule.levels) & (in_p >= least_positives(n_p, rule.share)) & (f_p - f_u > rule.errors * error) & (f_p > least * f_u)
 
 
 def start_bias(prior: float) -> float:
     return float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
 
 
-def fit(positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
-    """``fit_chosen`` on the features that ``choose`` picks from the texts' own counts. Without positives or without unlabelled text everything scores the prior."""
-    if not positives or not unlabelled:
-        return Classifier({}, start_bias(prior))
-    in_p, in_u = counted(positives), counted(unlabelled)
-    seen = np.flatnonzero(in_p)
-    chosen = choose(seen, in_p[seen], in_u[seen], len(positives), len(unlabelled), prior)
-    return fit_chosen(chosen, *([x[np.isin(x, chosen)] for x in texts] for texts in (positives, unlabelled)), prior, steps, rate, decay)
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+class Sample:
+    """Texts as rows of a sparse matrix whose columns are features."""
+
+    def __init__(self, features: np.ndarray, texts: list[np.ndarray]):
+        self.n, self.k = len(texts), len(features)
+        own = [np.searchsorted(features, x) for x in texts]
+        self.cols, self.rows = np.concatenate([*own, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(self.n), [len(x) for x in own])
 
+    def part(self, rows: np.ndarray, cols: np.ndarray) -> Sample:
+        """Of the rows and columns marked."""
+        out, kept = object.__new__(Sample), rows[self.rows] & cols[self.cols]
+        out.n, out.k = int(rows.sum()), int(cols.sum())
+        out.rows, out.cols = (np.cumsum(rows) - 1)[self.rows[kept]], (np.cumsum(cols) - 1)[self.cols[kept]]
+        return out
 
-def fit_chosen(chosen: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> Classifier:
-    """Minimises the non-negative risk estimate over texts given by those of their features that are in ``chosen``, which is sorted.
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the rows marked have each column."""
+        return np.bincount(self.cols[rows[self.rows]], minlength=self.k)
 
-    With the class prior p, losses l+ and l- and means over positives P and unlabelled U: risk = p P[l+] + max(0, U[l-] - p P[l-]). The second term stands for
-    the negatives, which nobody labelled; where it falls below zero the fit has begun to learn the sample by heart, and the step goes the other way."""
-    bias, n_p, n_u = start_bias(prior), len(positives), len(unlabelled)
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.rows, weights=w[self.cols], minlength=self.n) + w[self.k]
 
-    def reduced(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        own = [np.searchsorted(chosen, x) for x in texts]
-        return np.concatenate(own), np.repeat(np.arange(len(own)), [len(k) for k in own])
+    def back(self, by_row: np.ndarray) -> np.ndarray:
+        """The gradient by column, and by the bias, of one by row."""
+        return np.append(np.bincount(self.cols, weights=by_row[self.rows], minlength=self.k), by_row.sum())
 
-    (cols_p, rows_p), (cols_u, rows_u), k = reduced(positives), reduced(unlabelled), len(chosen)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-    w, b = np.zeros(k + 1), bias
-    w[k] = b
-    first, second = np.zeros(k + 1), np.zeros(k + 1)
+
+def minimised(p: Sample, u: Sample, prior: float, steps: int = STEPS, rate: float = RATE, decay: float = DECAY) -> np.ndarray:
+    """Weights by column, and the bias, that minimise the non-negative risk estimate over positives ``p`` and unlabelled texts ``u``.
+
+    With the class prior q, losses l+ and l- and means over P and U: risk = q P[l+] + max(0, U[l-] - q P[l-]). The second term stands for the negatives, which
+    nobody labelled; where it falls below zero the fit has begun to learn the sample by heart, and the step goes the other way."""
+    w = np.zeros(p.k + 1)
+    w[-1] = start_bias(prior)
+    first, second = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        z_p = np.bincount(rows_p, weights=w[cols_p], minlength=n_p) + w[k]
-        z_u = np.bincount(rows_u, weights=w[cols_u], minlength=n_u) + w[k]
+        z_p, z_u = p.scores(w), u.scores(w)
         negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        d_plus, d_minus_p, d_minus_u = -prior * sigmoid(-z_p) / n_p, prior * sigmoid(z_p) / n_p, sigmoid(z_u) / n_u
+        d_plus, d_minus_p, d_minus_u = -prior * sigmoid(-z_p) / p.n, prior * sigmoid(z_p) / p.n, sigmoid(z_u) / u.n
         g_p, g_u = (d_plus - d_minus_p, d_minus_u) if negative >= 0 else (d_minus_p, -d_minus_u)
-        g = np.zeros(k + 1)
-        g[:k] = np.bincount(cols_p, weights=g_p[rows_p], minlength=k)[:k] + np.bincount(cols_u, weights=g_u[rows_u], minlength=k)[:k] + decay * w[:k]
-        g[k] = g_p.sum() + g_u.sum()
+        g = p.back(g_p) + u.back(g_u)
+        g[:-1] += decay * w[:-1]
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         w -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return Classifier({int(c): float(x) for c, x in zip(chosen, w[:k])}, float(w[k]))
+    return w
+
+
+def risk_of(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
+    """The estimate for the loss that counts wrong answers."""
+    return prior * (z_p < 0).mean() + max(0.0, (z_u >= 0).mean() - prior * (z_p >= 0).mean())
+
+
+def fit(features: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rules: tuple[Rule, ...] = RULES, folds: int = FOLDS) -> Classifier:
+    """A classifier over texts given by those of their features that are in ``features``, which is sorted. The rule is the one with the least risk over the folds, each
+    scored by what the others teach; of equals the first. Without positives or without unlabelled text everything scores the prior."""
+    if not positives or not unlabelled:
+        return Classifier({}, start_bias(prior))
+    p, u = Sample(features, positives), Sample(features, unlabelled)
+
+    def chosen(rule: Rule, in_p: np.ndarray, in_u: np.ndarray) -> np.ndarray:
+        return choose(features, p.counts(in_p), u.counts(in_u), int(in_p.sum()), int(in_u.sum()), prior, rule)
+
+    def risk(rule: Rule) -> float:
+        out = 0.0
+        for f in range(folds):
+            own_p, own_u = np.arange(p.n) % folds == f, np.arange(u.n) % folds == f
+            cols = chosen(rule, ~own_p, ~own_u)
+            w = minimised(p.part(~own_p, cols), u.part(~own_u, cols), prior, FOLD_STEPS)
+            out += risk_of(p.part(own_p, cols).scores(w), u.part(own_u, cols).scores(w), prior)
+        return out
+
+    all_p, all_u = np.ones(p.n, bool), np.ones(u.n, bool)
+    best = min(rules, key=risk) if len(rules) > 1 and min(p.n, u.n) >= 2 * folds else rules[0]
+    cols = chosen(best, all_p, all_u)
+    w = minimised(p.part(all_p, cols), u.part(all_u, cols), prior)
+    return Classifier({int(c): float(x) for c, x in zip(features[cols], w)}, float(w[-1]))
 
 
 def sample_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -189,28 +237,30 @@ def chosen_only(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Classifier:
-    """A classifier from the confirmed toxic documents of the training folds, and a sample of those folds' documents whose labels are not looked at.
+    """A classifier from the confirmed toxic documents of the training folds and a sample of all documents of those folds, labelled or not, whose labels are not looked at.
 
-    Only labels give the positives and the class prior; a document labelled more than once is toxic if any label says so; null labels and ids are left out."""
+    Only labels of the training folds give the positives and the class prior; a document labelled more than once is toxic if any label says so; null labels and
+    ids are left out. Without labels everything scores near 0."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy(F.col("doc_id").alias("chosen_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    known = cut(known.withColumn("h", F.xxhash64("chosen_id")), "labels")
     total = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
-    pick = lambda rows, n: rows.orderBy("h", "chosen_id").limit(n)
-    chosen = cut(pick(known.where("toxic = 1"), positives).select("chosen_id", F.lit(1).alias("toxic")).union(pick(known, unlabelled).select("chosen_id", F.lit(0).alias("toxic"))), "sample")
+    pick = lambda rows, n: rows.orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(n).select("chosen_id")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("chosen_id"))
+    chosen = cut(pick(known.where("toxic = 1"), positives).withColumn("toxic", F.lit(1)).union(pick(every, unlabelled).distinct().withColumn("toxic", F.lit(0))), "sample")
     sample = cut(sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen), "features")
     n_p, n_u = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     if not n_p or not n_u:
         return Classifier({}, start_bias(prior))
-    counts = feature_counts(sample).where(F.col("in_p") >= least_positives(n_p)).orderBy("feature").toArrow()  # no more rows than features have numbers
-    seen, in_p, in_u = (counts.column(c).to_numpy() for c in ("feature", "in_p", "in_u"))
-    picked = choose(seen, in_p, in_u, n_p, n_u, prior)
-    found = chosen_only(sample, picked).toArrow()
+    # What a rule could choose in two of three folds: no more rows than features have numbers.
+    least = min(r.share for r in RULES) * n_p * (FOLDS - 1) / FOLDS
+    counts = feature_counts(sample).where((F.col("in_p") >= min(LEAST_POSITIVES, n_p)) & (F.col("in_p") >= least) & (F.col("in_p") / n_p > F.col("in_u") / n_u)).select("feature").orderBy("feature").toArrow()
+    seen = counts.column("feature").to_numpy()
+    found = chosen_only(sample, seen).toArrow()
     marks, rows = found.column("toxic").to_numpy(), [x.values.to_numpy() for x in found.column("features")]
     keys = list(zip(*(found.column(c).to_pylist() for c in ("n", "crc", "total"))))
     order = sorted(range(len(rows)), key=keys.__getitem__)  # the order that rows arrive in must not matter
-    drop_tables(sample)
-    return fit_chosen(picked, [rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior)
+    drop_tables(sample, chosen)
+    return fit(seen, [rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior)
 
 
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +276,7 @@ def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null texts are empty and score by the bias alone. Repeated rows repeat. Without any labels everything scores near 0."""
+    """Null texts are empty and score by the bias alone. Repeated rows repeat, null ids stay null and count as held out. Without any labels everything scores near 0; an empty table gives no rows."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return scores(docs, train(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

@@ -135,15 +135,92 @@ def test_op3_without_labels_or_documents(spark, tmp_path):
     assert toxicity.op3_toxicity(spark, d).count() == 0
 
 
+ALL_LEVELS = toxicity.Rule(0.0, 2.0, (0, 1, 2, 3))
+
+
 def test_risk_stays_above_zero():
     """With positives among the unlabelled, the uncorrected risk would push them all to the negative side."""
     rng = np.random.default_rng(0)
     common = lambda: rng.integers(1000, 2000, 20).astype(np.int32)
     positives = [np.unique(np.append(common(), np.int32(7))) for _ in range(60)]
     unlabelled = [np.unique(np.append(common(), np.int32(7))) for _ in range(30)] + [np.unique(common()) for _ in range(270)]
-    model = toxicity.fit(positives, unlabelled, 0.1)
+    every = np.unique(np.concatenate(positives + unlabelled))
+    model = toxicity.fit(every, positives, unlabelled, 0.1, (ALL_LEVELS,))
     assert model.weights[7] + model.bias > 0 > model.bias
-    assert toxicity.fit([], unlabelled, 0.0).score("x") < 0.5
+    assert toxicity.fit(every, [], unlabelled, 0.0).score("x") < 0.5
+
+
+def plain_fit(x_p, x_u, prior, steps):
+    """The same risk, gradient by gradient, over dense matrices."""
+    w, b = np.zeros(x_p.shape[1]), np.log(prior / (1 - prior))
+    moments = [np.zeros(len(w) + 1), np.zeros(len(w) + 1)]
+    for t in range(1, steps + 1):
+        z_p, z_u = x_p @ w + b, x_u @ w + b
+        s_p, s_u = 1 / (1 + np.exp(-z_p)), 1 / (1 + np.exp(-z_u))
+        plus = [(-(1 - s_p)[:, None] * x_p).mean(0), -(1 - s_p).mean()]
+        minus_p, minus_u = [(s_p[:, None] * x_p).mean(0), s_p.mean()], [(s_u[:, None] * x_u).mean(0), s_u.mean()]
+        rest = np.log1p(np.exp(z_u)).mean() - prior * np.log1p(np.exp(z_p)).mean()
+        g = [prior * a + c - prior * m if rest >= 0 else prior * m - c for a, m, c in zip(plus, minus_p, minus_u)]
+        g = np.append(g[0] + toxicity.DECAY * w, g[1])
+        moments = [0.9 * moments[0] + 0.1 * g, 0.999 * moments[1] + 0.001 * g**2]
+        step = toxicity.RATE * (moments[0] / (1 - 0.9**t)) / (np.sqrt(moments[1] / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return w, b
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.6])
+def test_fit_equals_plain_numpy(prior):
+    rng = np.random.default_rng(3)
+    x_p, x_u = ((rng.random((n, 12)) < q).astype(float) for n, q in ((40, np.linspace(0.9, 0.3, 12)), (150, np.linspace(0.1, 0.2, 12))))
+    features = np.arange(12, dtype=np.int32) * 4
+    as_rows = lambda x: [features[r > 0] for r in x]
+    model = toxicity.fit(features, as_rows(x_p), as_rows(x_u), prior, (toxicity.Rule(0.0, -1e9, (0,)),))
+    kept = [i for i, f in enumerate(features.tolist()) if f in model.weights]
+    assert len(kept) > 5
+    w, b = plain_fit(x_p[:, kept], x_u[:, kept], prior, toxicity.STEPS)
+    assert np.allclose([model.weights[int(features[i])] for i in kept], w, atol=1e-6) and math.isclose(model.bias, b, abs_tol=1e-6)
+
+
+def test_score_equals_plain_sum():
+    rng = random.Random(2)
+    words = ["fool", "Foolish,", "fools!", "plain", "words", "(vile)", "vilest", "a", "*", "é"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 60))) for _ in range(50)]
+    every = sorted({int(f) for t in texts for f in toxicity.features(t)})
+    model = toxicity.Classifier({f: rng.uniform(-1, 1) for f in every if rng.random() < 0.6}, -0.3)
+    for t in texts:
+        tokens = [w.strip(toxicity.STRIP) for w in t.lower().split()]
+        counts = {}
+        for w in tokens:
+            for name in {w, *(w[:k] + "~" * k for k in toxicity.PREFIXES if len(w) > k)} - {""}:
+                counts[name] = counts.get(name, 0) + 1
+        stem = lambda n: toxicity.stems(n.rstrip("~") + ("x" if "~" in n else ""))[0 if "~" not in n else -1]
+        found = {stem(n) << 2 | k for n, c in counts.items() for k in toxicity.levels(c, len(tokens))}
+        z = model.bias + sum(model.weights.get(f, 0.0) for f in found)
+        assert math.isclose(model.score(t), 1 / (1 + math.exp(-z)), abs_tol=1e-9)
+
+
+def test_rule_is_chosen_by_what_other_folds_teach():
+    """Levels beyond the first are noise here: the rule with them fits the sample and not the fold left out."""
+    rng = np.random.default_rng(5)
+    noise = lambda: (rng.integers(100, 4000, 60) << 2 | 1).astype(np.int32)
+    positives = [np.unique(np.append(noise(), np.int32(28))) for _ in range(60)]
+    unlabelled = [np.unique(np.append(noise(), np.int32(28))) for _ in range(20)] + [np.unique(noise()) for _ in range(180)]
+    every = np.unique(np.concatenate(positives + unlabelled))
+    model = toxicity.fit(every, positives, unlabelled, 0.1, (toxicity.Rule(0.0, 1.0, (1,)), toxicity.Rule(0.0, 1.0, (0,))))
+    assert set(model.weights) == {28}
+
+
+def test_unlabelled_text_is_of_all_documents(spark, tmp_path, monkeypatch):
+    """Documents that nobody labelled are drawn too, those that are held out aren't."""
+    rows = toxic_corpus(300)
+    d = write_toxic(spark, tmp_path, rows, [(i, 1, x) for i, _, x in rows[:60]])
+    drawn = []
+    whole = toxicity.sample_features
+    monkeypatch.setattr(toxicity, "sample_features", lambda docs, chosen: drawn.extend(chosen.collect()) or whole(docs, chosen))
+    toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    training = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5}
+    assert {r.chosen_id for r in drawn if not r.toxic} == training
+    assert {r.chosen_id for r in drawn if r.toxic} == {i for i, _, x in rows[:60] if x and i in training}
 
 
 def test_long_training_texts_keep_all_their_words(spark, tmp_path):
