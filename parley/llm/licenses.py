@@ -33,15 +33,32 @@ NOTICES = (
     ("all rights reserved", "all-rights-reserved"),
 )
 TAG = "spdx license identifier"
-#: Identifiers of expressions whose label differs from the identifier in lower case.
-IDENTIFIERS = {"apache-2.0": "apache-2", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-sa-4.0": "cc-by-sa", "cc-by-4.0": "cc-by", "cc0-1.0": "cc0", "mpl-2.0": "mpl"}
+# Licence identifiers of the public SPDX list, in lower case, whose label is another; then those that are their own label; then exceptions.
+IDENTIFIERS = {
+    "apache-2.0": "apache-2", "gpl-3.0": "gpl-3", "gpl-3.0-only": "gpl-3", "gpl-3.0-or-later": "gpl-3", "gpl-2.0": "gpl-2", "gpl-2.0-only": "gpl-2", "gpl-2.0-or-later": "gpl-2",
+    "gpl-1.0": "gpl", "gpl-1.0-only": "gpl", "gpl-1.0-or-later": "gpl", "lgpl-2.0": "lgpl", "lgpl-2.0-only": "lgpl", "lgpl-2.0-or-later": "lgpl", "lgpl-2.1": "lgpl", "lgpl-2.1-only": "lgpl",
+    "lgpl-2.1-or-later": "lgpl", "lgpl-3.0": "lgpl", "lgpl-3.0-only": "lgpl", "lgpl-3.0-or-later": "lgpl", "agpl-3.0": "agpl", "agpl-3.0-only": "agpl", "agpl-3.0-or-later": "agpl",
+    "cc-by-3.0": "cc-by", "cc-by-4.0": "cc-by", "cc-by-nc-3.0": "cc-by-nc", "cc-by-nc-4.0": "cc-by-nc", "cc-by-sa-3.0": "cc-by-sa", "cc-by-sa-4.0": "cc-by-sa", "cc-by-nd-4.0": "cc-by-nd",
+    "cc0-1.0": "cc0", "mpl-1.1": "mpl", "mpl-2.0": "mpl", "mpl-2.0-no-copyleft-exception": "mpl",
+}
+OWN_LABELS = frozenset((
+    "0bsd", "afl-3.0", "apache-1.0", "apache-1.1", "artistic-1.0", "artistic-2.0", "blueoak-1.0.0", "bsd-1-clause", "bsd-2-clause", "bsd-2-clause-patent", "bsd-3-clause", "bsd-3-clause-clear",
+    "bsd-4-clause", "bsl-1.0", "cc-by-nc-nd-4.0", "cc-by-nc-sa-4.0", "cddl-1.0", "cddl-1.1", "cecill-2.1", "ecl-2.0", "epl-1.0", "epl-2.0", "eupl-1.1", "eupl-1.2", "gfdl-1.3-only", "gfdl-1.3-or-later",
+    "ijg", "isc", "lppl-1.3c", "mit", "mit-0", "ms-pl", "ms-rl", "mulanpsl-2.0", "ncsa", "odbl-1.0", "ofl-1.1", "openssl", "osl-3.0", "php-3.01", "postgresql", "psf-2.0", "python-2.0", "unicode-dfs-2016",
+    "unlicense", "upl-1.0", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl-2.1",
+))
+EXCEPTION = re.compile(r"[a-z0-9.+\-]*exception[a-z0-9.+\-]*|llvm-exception|openjdk-assembly-exception-1\.0")
+#: Names that a document defines itself.
+OWN_NAME = re.compile(r"(?:documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+")
 PERMISSIVE = frozenset(("mit", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "cc0", "cc-by", "zlib", "unlicense", "public-domain"))
 #: Bytes of words stand for themselves, A-Z for a-z, all others for a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-#: Where a tag's expression ends at the latest.
-EXPRESSION = re.compile(rb"[ \t]*[:=]?[ \t]*([A-Za-z0-9.+() \t\-]+)")
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-]+")
+#: The words of a text, in bytes, as ``FOLD`` separates them.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: What follows a tag: the expression ends at its line's end at the latest.
+EXPRESSION = re.compile(rb"[ \t]*[:=][ \t]*([A-Za-z0-9.+():\- \t]+)")
+TOKEN = re.compile(r"[()]|(?:DocumentRef-[A-Za-z0-9.\-]+:)?[A-Za-z0-9.+\-]+", re.IGNORECASE)
 
 
 class ExpressionError(ValueError):
@@ -85,17 +102,39 @@ def to_postfix(text: str) -> list[str]:
     return out
 
 
+def label_of(name: str) -> str:
+    """The label of a licence identifier in lower case; a name that nobody knows makes no expression."""
+    for known in (name, name.rstrip("+."), name.rstrip(".")):
+        if known in IDENTIFIERS:
+            return IDENTIFIERS[known]
+        if known in OWN_LABELS or OWN_NAME.fullmatch(known):
+            return known
+    raise ExpressionError(f"{name} is no licence identifier")
+
+
 def evaluate(postfix: list[str], allowed: frozenset[str] = PERMISSIVE) -> tuple[set[str], bool]:
     """The labels that the expression names, and whether a choice of its ``or`` needs allowed ones only. An exception after ``with`` lends its licence no new label."""
-    held: list[tuple[set[str], bool]] = []
+    held: list[str | tuple[set[str], bool]] = []
+
+    def take() -> tuple[set[str], bool]:
+        top = held.pop()
+        if isinstance(top, str):
+            label = label_of(top)
+            return {label}, label in allowed
+        return top
+
     for token in postfix:
-        if token in PRECEDENCE:
-            (right, right_ok), (left, left_ok) = held.pop(), held.pop()
-            held.append({"or": (left | right, left_ok or right_ok), "and": (left | right, left_ok and right_ok), "with": (left, left_ok)}[token])
+        if token == "with":
+            exception = held.pop()
+            if not isinstance(exception, str) or not EXCEPTION.fullmatch(exception.rstrip(".")):
+                raise ExpressionError("no exception after with")
+            held.append(take())
+        elif token in PRECEDENCE:
+            (right, right_ok), (left, left_ok) = take(), take()
+            held.append((left | right, left_ok or right_ok if token == "or" else left_ok and right_ok))
         else:
-            label = IDENTIFIERS.get(token, IDENTIFIERS.get(token.rstrip("+"), token.rstrip(".")))
-            held.append(({label}, label in allowed))
-    return held[0]
+            held.append(token)
+    return take()
 
 
 @lru_cache(maxsize=4)
@@ -113,11 +152,11 @@ def _automaton(base: tuple, notices: tuple, tag: str) -> ahocorasick.Automaton:
 
 
 def scan(data: bytes, base: tuple = BASE, notices: tuple = NOTICES, tag: str = TAG) -> dict:
-    """What one text has: places of phrases by word, labels, expressions."""
+    """What one text has: places of phrases by word, labels, expressions. Tags are where the automaton finds them; what follows one counts if all of it is an expression of known identifiers, up to a second name in a row."""
     words = data.translate(FOLD).split(b" ")
     words = [w for w in words if w]
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-    n_base, first, last, labels, base_labels, expressions, tagged = 0, None, None, set(), set(), [], False
+    n_base, first, last, labels, base_labels, expressions, tags = 0, None, None, set(), set(), [], []
     at_char, at_word = 0, 0
     for end, (length, uses) in _automaton(base, notices, tag).iter(line):
         start = end - length + 1
@@ -126,7 +165,7 @@ def scan(data: bytes, base: tuple = BASE, notices: tuple = NOTICES, tag: str = T
         else:
             at_word -= line.count(" ", start, at_char)
         at_char = start
-        for kind, label, _ in uses:
+        for kind, label, n in uses:
             if kind == "base":
                 n_base += 1
                 first = at_word if first is None else min(first, at_word)
@@ -135,11 +174,12 @@ def scan(data: bytes, base: tuple = BASE, notices: tuple = NOTICES, tag: str = T
             elif kind == "notice":
                 labels.add(label)
             else:
-                tagged = True
+                tags.append(at_word + n - 1)
     permissive = None
-    if tagged:
-        for m in re.finditer(rb"spdx[^\x30-\x39A-Za-z\x80-\xff]+license[^\x30-\x39A-Za-z\x80-\xff]+identifier", data, re.IGNORECASE):
-            after = EXPRESSION.match(data, m.end())
+    if tags:
+        ends = [m.end() for m in WORD.finditer(data)]
+        for last_of_tag in sorted(tags):
+            after = EXPRESSION.match(data, ends[last_of_tag])
             if after:
                 try:
                     named, ok = evaluate(to_postfix(after[1].decode("latin-1")))
@@ -174,4 +214,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op8_licenses(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` by ``scan_licenses``; repeated rows repeat, a null doc_id stays null, an empty table gives no rows, other columns aren't read."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))

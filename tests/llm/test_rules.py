@@ -48,8 +48,9 @@ def test_base_places(text):
         ("MIT AND GPL-2.0+", ["mit", "gpl-2.0+", "and"], {"mit", "gpl-2"}, False),
         ("(MIT OR GPL-3.0) AND Apache-2.0", ["mit", "gpl-3.0", "or", "apache-2.0", "and"], {"mit", "gpl-3", "apache-2"}, True),
         ("GPL-2.0 WITH Classpath-exception-2.0 OR MIT", ["gpl-2.0", "classpath-exception-2.0", "with", "mit", "or"], {"gpl-2", "mit"}, True),
-        ("a and b or c and d", ["a", "b", "and", "c", "d", "and", "or"], {"a", "b", "c", "d"}, False),
-        ("MIT and so on", ["mit", "so", "and"], {"mit", "so"}, False),
+        ("mit and isc or epl-2.0 and wtfpl", ["mit", "isc", "and", "epl-2.0", "wtfpl", "and", "or"], {"mit", "isc", "epl-2.0", "wtfpl"}, True),
+        ("MIT This file is free", ["mit"], {"mit"}, True),
+        ("LicenseRef-Mine OR DocumentRef-a.b:LicenseRef-c", ["licenseref-mine", "documentref-a.b:licenseref-c", "or"], {"licenseref-mine", "documentref-a.b:licenseref-c"}, False),
     ],
 )
 def test_expressions(text, postfix, labels, ok):
@@ -63,6 +64,31 @@ def test_broken_expressions(text):
         li.to_postfix(text)
 
 
+@pytest.mark.parametrize("text", ["MIT and so on", "this file is free", "zz", "MIT WITH ISC", "Classpath-exception-2.0", "MIT OR (GPL-2.0 WITH nothing)"])
+def test_unknown_names_make_no_expression(text):
+    with pytest.raises(li.ExpressionError):
+        li.evaluate(li.to_postfix(text))
+    got = li.scan(f"SPDX-License-Identifier: {text}".encode())
+    assert (got["labels"], got["score"], got["expressions"]) == ("", 0.0, [])
+
+
+@pytest.mark.parametrize("text", ["xspdx license identifier: MIT", "spdx license identifierzz: MIT", "spdx license identifier MIT", "spdx license: MIT", "éspdx license identifier: MIT"])
+def test_tags_are_whole_words_and_end_in_a_mark(text):
+    assert li.scan(text.encode())["labels"] == ""
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["SPDX-License-Identifier", "spdx", "license", "identifier", ": MIT", ": ISC OR Zlib", ":", "\n", "é", ",", "= wtfpl", "spdx license identifier:", " "]), max_size=12).map(" ".join))
+def test_tags_by_brute_force(text):
+    data, expected = text.encode(), set()
+    for m in re.finditer(rb"(?<![0-9A-Za-z\x80-\xff])spdx[^0-9A-Za-z\x80-\xff]+license[^0-9A-Za-z\x80-\xff]+identifier(?![0-9A-Za-z\x80-\xff])[ \t]*[:=][ \t]*([A-Za-z0-9.+():\- \t]+)", data, re.IGNORECASE):
+        try:
+            expected |= li.evaluate(li.to_postfix(m[1].decode()))[0]
+        except li.ExpressionError:
+            pass
+    assert set(filter(None, li.scan(data)["labels"].split(","))) == expected
+
+
 def test_tags_and_notices():
     got = li.scan(b"// SPDX-License-Identifier: (MIT OR Apache-2.0)\nint x;\n# spdx-license-identifier: OR\n")
     assert got["labels"] == "apache-2,mit" and got["permissive"] and got["score"] == 1.0 and len(got["expressions"]) == 1
