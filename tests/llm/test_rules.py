@@ -270,16 +270,18 @@ def duck(tmp_path, *tables):
     return con
 
 
-def mixed(spark, tmp_path, n=2000):
+def mixed(spark, tmp_path, n=2000, more=[]):
     rng = random.Random(9)
     rows = [(i, " ".join(["word"] * rng.randint(1, 40)) + rng.choice(["", "", " | x", " @"]), rng.choice(["en", "de", None]), rng.choice(["big"] * 3 + ["a", "b", None]), 1.5) for i in range(n)]
-    rows += [(None, None, "en", "a", 0.0), (3, "", None, None, 0.0), (3, "", None, None, 0.0)]
+    rows += [(None, None, "en", "a", 0.0), (None, "no id", "en", "a", 0.0), (3, "", None, None, 0.0), (3, "", None, None, 0.0)]
+    rows = [] if more is None else rows + more
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, prob double").write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path)
 
 
-def test_op6_equals_sql(spark, tmp_path):
-    d = mixed(spark, tmp_path)
+@pytest.mark.parametrize("more", [[], [(9999, "long " * 30_000, "fr", None, 0.0)], None], ids=["plain", "very long", "empty"])
+def test_op6_equals_sql(spark, tmp_path, more):
+    d = mixed(spark, tmp_path, more=more)
     found = sorted(map(tuple, mixing.op6_mixing(spark, d).select("doc_id", "source", "lang", "topic", "n_tokens", "prob", "kept").collect()), key=str)
     expected = sorted(duck(tmp_path, "documents").sql(mixing.oracle()).fetchall(), key=str)
     assert [(*r[:5], round(r[5], 4), r[6]) for r in found] == [(*r[:5], round(r[5], 4), r[6]) for r in expected]
@@ -303,6 +305,29 @@ def test_sample_meets_its_marginals(spark, tmp_path):
     assert math.isclose(sampled / rows.agg(F.sum("n_tokens")).first()[0], 0.4, abs_tol=0.04)
 
 
+def test_op6_meets_its_targets(spark, tmp_path):
+    rows = mixing.with_cells(spark.read.parquet(f"{mixed(spark, tmp_path)}/documents.parquet"))
+    raked = mixing.probabilities(rows).where("base > 0").cache()
+    targets = {d: mixing.feasible_shares(raked, d, mixing.target_shares(raked, d)) for d in mixing.DIMENSIONS}
+    assert mixing.residual(raked, targets) <= mixing.TOLERANCE
+    assert math.isclose(raked.agg(F.sum("w") / F.sum("base")).first()[0], mixing.KEEP, abs_tol=1e-3)
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["license", " | ", "@", "!!!!", "password", "x", "\t", "secret "]), max_size=8).map("".join), min_size=1, max_size=10))
+def test_topics(spark, texts):
+    found = [r.topic for r in spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.topic_of(F.col("t")).alias("topic")).collect()]
+    for t, topic in zip(texts, found):
+        counts = [sum(t.count(m) for m in marks) for _, marks in mixing.TOPICS]
+        assert topic == ("prose" if not max(counts) else mixing.TOPICS[counts.index(max(counts))][0])
+
+
+def test_rows_without_id_are_drawn_by_text(spark, tmp_path):
+    docs = spark.createDataFrame([(None, f"{i % 200} " + "word " * 20, "en", "s") for i in range(400)], "doc_id long, text string, lang string, source string")
+    kept = [r.text for r in mixing.mix(spark, docs, str(tmp_path)).collect()]
+    assert 0.4 * 400 < len(kept) < 0.8 * 400 and all(kept.count(t) == 2 for t in kept)
+
+
 def test_mix_stage(spark, tmp_path):
     d = mixed(spark, tmp_path)
     docs = spark.read.parquet(f"{d}/documents.parquet")
