@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Of tables between steps. A row group is held in memory whole by the task that writes it, and its columns by the one that reads it.
 ROW_GROUP_BYTES = 16 << 20
+#: Edges of a graph that one task takes.
+EDGES_A_TASK = 100_000
 #: ``bytes.translate`` table that lower-cases A-Z only.
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -111,7 +113,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps until the edges are stars around each component's least node. Each step is a grouped minimum (combined before the
     shuffle, so a hub with a third of all edges costs one row a task) and a join with one row a node, which adaptive execution splits where a node is hot.
-    Each round is written to the shared folder."""
+    Each round is written to the shared folder, by as many tasks as its edges need."""
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -131,7 +133,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     if not was[0]:
         return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
-        after = cut(stars(stars(now, True), False), "edges")
+        after = cut(stars(stars(now, True), False).coalesce(was[0] // EDGES_A_TASK + 1), "edges")
         found = seen(after)
         drop_tables(now)
         now = after
