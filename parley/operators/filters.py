@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.times import parse_bound, parse_timestamp
 from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, SKIP_CONTENT_TYPES, SKIP_ROLES, TREE_PAYLOAD, TREE_SOURCE
 
+# How scratch titles begin, and the two forms of ids.
 SCRATCH_PREFIX = "Council: "
 UUID = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 NODE_ID = r"^[0-9a-f-]{20,40}$"
@@ -29,14 +30,17 @@ def between_or_null(column: str | Column, after=None, before=None) -> Column:
 
 
 def select_conversations(listing: DataFrame, after=None, before=None, date_field: str = "updated", model: str | None = None, created: str = "created_at", updated: str = "updated_at", limit: int = 0) -> DataFrame:
-    """Rows of a listing by time (text, numbers or timestamps; null or unreadable passes), and by exact model: a null model fails where one is asked for. limit: 0 means none."""
+    """Rows of a listing by time (text, numbers or timestamps; null or unreadable passes), and by exact model: a null model fails where one is asked for. limit: so many
+    rows, the first of the listing by its column pos, or newest first where it has none; 0 means all."""
     field = created if date_field == "created" else updated
     kind = dict(listing.dtypes)[field]
     value = F.col(field) if kind.startswith("timestamp") else parse_timestamp(field)
     out = listing.where(between_or_null(value, after, before))
     if model:
         out = out.where(F.col("model") == model)
-    return out.limit(limit) if limit else out
+    if not limit:
+        return out
+    return out.orderBy("pos" if "pos" in listing.columns else F.desc_nulls_last(value)).limit(limit)
 
 
 def valid_id(source, column) -> Column:
@@ -78,9 +82,9 @@ def accepted_updates(updates: DataFrame, chat_id: int, offset: int = 0) -> DataF
     return updates.where((F.col("update_id") >= offset) & (F.col("message.chat.id") == chat_id) & (F.length("message.text") > 0))
 
 
-def next_offset(updates: DataFrame) -> DataFrame:
-    """The offset after all updates, ignored ones too."""
-    return updates.agg((F.max("update_id") + 1).alias("offset"))
+def next_offset(updates: DataFrame, offset: int = 0) -> DataFrame:
+    """The offset after all updates, ignored ones too; the one given where there are none."""
+    return updates.agg(F.coalesce(F.max("update_id") + 1, F.lit(offset)).cast("long").alias("offset"))
 
 
 def first_tab(tabs: DataFrame, prefix: str) -> DataFrame:

@@ -21,9 +21,10 @@ def split_valid(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     return marked.where("valid_").drop("valid_"), marked.where(~F.col("valid_")).drop("valid_")
 
 
-def last_per_key(incoming: DataFrame, order: str = "pos") -> DataFrame:
-    """One row a key: the last in processing order. States in between collapse."""
-    return incoming.groupBy(*KEY).agg(F.max_by(F.struct(*incoming.columns), order).alias("r")).select("r.*")
+def last_per_key(incoming: DataFrame, *order: str) -> DataFrame:
+    """One row a key: the last in processing order, nulls first. States in between collapse."""
+    place = F.struct(*(F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("value")) for c in order))
+    return incoming.groupBy(*KEY).agg(F.max_by(F.struct(*incoming.columns), place).alias("r")).select("r.*")
 
 
 def superseded(stored: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -54,10 +55,10 @@ def outcomes(stored: DataFrame, incoming: DataFrame, touch: bool = False, downgr
     return j.select(*KEY, *columns, "outcome")
 
 
-def merge(stored: DataFrame, incoming: DataFrame, order: str | None = None, touch: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def merge(stored: DataFrame, incoming: DataFrame, order: str | tuple[str, ...] | None = None, touch: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(next snapshot with outcome, refused rows, superseded rows) of a batch of API rows with content_hash."""
     good, refused = split_valid(incoming)
-    good = last_per_key(good, order) if order else good
+    good = last_per_key(good, *((order,) if isinstance(order, str) else order)) if order else good
     gone = superseded(stored, good)
     return outcomes(without_superseded(stored, good), good, touch), refused, gone
 

@@ -1,4 +1,4 @@
-"""A paged listing as a data source: pages newest first, with an early stop that Spark's pushed filter sets.
+"""A paged listing as a data source: pages newest first, with an early stop by time.
 
 The pages come from a function ``fetch(offset, limit) -> (rows, has_more)``; has_more may be None where the listing doesn't say, and a short page then ends it.
 The function is given by name (module:function), so that executors find it."""
@@ -11,10 +11,13 @@ import os
 import sys
 import time
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.times import parse_timestamp
+from ..operators.filters import between_or_null
 
 FORMAT = "paged_listing"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -22,14 +25,28 @@ ROW = "id string, title string, model string, created_at string, updated_at stri
 TRIES, WAIT = 4, 10.0
 
 
+def moment(value) -> datetime | None:
+    """A listed time, ISO text or epoch seconds, in UTC where it names no zone; None for none and for what can't be read."""
+    try:
+        if isinstance(value, (int, float)) or str(value).replace(".", "", 1).isdigit():
+            return datetime.fromtimestamp(float(value), UTC)
+        found = datetime.fromisoformat(str(value))
+    except (ValueError, OverflowError, OSError):
+        return None
+    return found if found.tzinfo else found.replace(tzinfo=UTC)
+
+
 class EmptyListing(RuntimeError):
     """The first page stayed empty: a failed listing, not an empty one."""
 
 
 def walk_pages(fetch, after: str | None = None, size: int = 100, most: int | None = None, retry_empty: bool = False, wait: float = WAIT, sleep=time.sleep) -> Iterator[dict]:
-    """Rows page by page. Ends after the first page whose last row is before ``after`` (that page is kept whole; a last row without time goes on), after
+    """Rows page by page. Ends after the first page whose last row is before ``after`` (times are compared, not their texts; that page is kept whole; a last row without time goes on), after
     ``most`` rows, at has_more false or a short page. An empty page is tried again where retry_empty is set: at the start it then raises, later it ends the listing."""
     offset, given = 0, 0
+    bound = moment(after) if after is not None else None
+    if after is not None and bound is None:
+        raise ValueError(f"not a date: {after}")
     while most is None or given < most:
         rows, more = fetch(offset, size)
         if not rows and retry_empty:
@@ -45,21 +62,15 @@ def walk_pages(fetch, after: str | None = None, size: int = 100, most: int | Non
                 return
             given += 1
             yield row
-        last = rows[-1].get("updated_at") if rows else None
-        if not rows or more is False or more is None and not retry_empty and len(rows) < size or after and last and last < after:
+        last = moment(rows[-1].get("updated_at")) if rows else None
+        if not rows or more is False or more is None and not retry_empty and len(rows) < size or bound and last and last < bound:
             return
         offset += len(rows)
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.options, self.after = options, options.get("after")
-
-    def pushFilters(self, filters: list[Filter]):  # noqa: N802
-        for f in filters:
-            if isinstance(f, (GreaterThan, GreaterThanOrEqual)) and f.attribute == ("updated_at",):
-                self.after = max(self.after or "", str(f.value))
-            yield f  # whole pages are read, so Spark still filters
+        self.options = options
 
     def partitions(self):
         return [InputPartition(0)]  # an early stop needs the pages in order
@@ -70,8 +81,8 @@ class PagedReader(DataSourceReader):
             sys.path.append(o["root"])
         module, name = o["fetch"].split(":")
         fetch = getattr(importlib.import_module(module), name)
-        for r in walk_pages(fetch, self.after, int(o.get("size", 100)), int(o["most"]) if o.get("most") else None, o.get("retryempty", "false") == "true", float(o.get("wait", WAIT))):
-            yield tuple(r.get(k) for k in ("id", "title", "model", "created_at", "updated_at"))
+        for r in walk_pages(fetch, o.get("after"), int(o.get("size", 100)), int(o["most"]) if o.get("most") else None, o.get("retryempty", "false") == "true", float(o.get("wait", WAIT))):
+            yield tuple(None if r.get(k) is None else str(r[k]) for k in ("id", "title", "model", "created_at", "updated_at"))
 
 
 class PagedListing(DataSource):
@@ -87,11 +98,12 @@ class PagedListing(DataSource):
 
 
 def read_listing(spark: SparkSession, fetch: str, after: str | None = None, **options) -> DataFrame:
-    """A listing as a DataFrame, with the bound pushed to the reader, which stops early."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """A listing as a DataFrame; the reader stops early by the bound, and rows before it are left out. Rows without a time that can be read stay."""
     spark.dataSource.register(PagedListing)
-    out = spark.read.format(FORMAT).option("fetch", fetch).option("root", ROOT).options(**{k: str(v) for k, v in options.items()}).load()
-    return out.where(F.col("updated_at") >= after) if after else out
+    reader = spark.read.format(FORMAT).option("fetch", fetch).option("root", ROOT).options(**{k: str(v) for k, v in options.items()})
+    if after is None:
+        return reader.load()
+    return reader.option("after", after).load().where(between_or_null(parse_timestamp("updated_at"), after))
 
 
 def fetch_details(ids: DataFrame, fetch: str, id_col: str = "id", wait: float = WAIT) -> DataFrame:

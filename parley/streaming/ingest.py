@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.filters import accepted_updates, next_offset
 from ..operators.merge import merge
 from ..sources.snapshots import SnapshotTable
 
 OVERLAP_MINUTES, BOOTSTRAP_DAYS, INTERVAL_SECONDS = 2, 7, 60
+#: Of versions of a conversation in one batch: the last to change, then to be read; the hash settles ties.
+NEWEST = ("updated_at", "imported_at", "content_hash")
 STATE = "source string, last_success_at timestamp, last_error string"
 
 
@@ -38,9 +41,10 @@ def advance(state: DataFrame, cycle: DataFrame, started: Column) -> DataFrame:
 
 
 def merge_batch(table: SnapshotTable, batch: DataFrame, order: str | None = None) -> DataFrame:
-    """Merges a batch into the table and returns the outcomes, cut off from their inputs. A batch seen before changes nothing, so a repeated one is harmless."""
+    """Merges a batch into the table and returns the outcomes, cut off from their inputs. Of rows with one key the last by ``order``, else the newest counts. A batch
+    seen before changes nothing, so a repeated one is harmless. A writer that was slower than another fails and must begin again."""
     version = table.version()
-    merged, refused, _ = merge(table.read(), batch, order)
+    merged, refused, _ = merge(table.read(), batch, order or NEWEST)
     table.replace(merged, expected=version)
     counts = merged.where("outcome <> 'kept'").select("source", "conversation_id", "title", "outcome")
     return counts.unionByName(refused.select("source", "conversation_id", "title", F.lit("failed").alias("outcome")))
@@ -64,14 +68,12 @@ def start_merge(stream: DataFrame, table: SnapshotTable, checkpoint: str, once:
 
 def consume_updates(updates: DataFrame, offset: int, chat_id: int) -> tuple[DataFrame, DataFrame]:
     """Accepted updates from an offset on, and the next offset, which ignored ones move too."""
-    fresh = updates.where(F.col("update_id") >= offset)
-    accepted = fresh.where((F.col("message.chat.id") == chat_id) & (F.length("message.text") > 0))
-    return accepted, fresh.agg(F.coalesce(F.max("update_id") + 1, F.lit(offset)).cast("long").alias("offset"))
+    return accepted_updates(updates, chat_id, offset), next_offset(updates.where(F.col("update_id") >= offset), offset)
 
 
 def skip_backlog(updates: DataFrame) -> DataFrame:
     """The offset after everything there is, to start from."""
-    return updates.agg(F.coalesce(F.max("update_id") + 1, F.lit(0)).cast("long").alias("offset"))
+    return next_offset(updates, 0)
 
 
 def state_table(spark: SparkSession) -> DataFrame:
