@@ -14,16 +14,19 @@ MESSAGES = ("source", "conversation_id", "pos", "node_id", "parent_id", "role",
 
 
 def walk(start: Column, ids: Column, parents: Column) -> Column:
-    """The ids from ``start`` up to the last known one, in that order. ids and parents: arrays in step; of equal ids the first counts."""
+    """The ids from ``start`` up to the last known one, in that order. ids and parents: arrays in step, made once a row; of equal ids the first counts. As many steps as ids are taken, so a cycle ends; of a place that it comes back to the first stays."""
+    nothing = F.array().cast("array<string>")
 
-    def step(acc: Column, _: Column) -> Column:
-        now = acc["next"]
-        at = F.when(F.array_contains(acc["path"], now), 0).otherwise(F.array_position(ids, now))
-        up = F.struct(F.get(parents, (at - 1).cast("int")).alias("next"), F.array_append(acc["path"], now).alias("path"))
-        return F.when(at > 0, up).otherwise(F.struct(F.lit(None).cast("string").alias("next"), acc["path"].alias("path")))
+    def path(tree: Column) -> Column:
+        def step(acc: Column, _: Column) -> Column:
+            at = F.array_position(tree["ids"], acc["next"])
+            up = F.struct(F.get(tree["parents"], (at - 1).cast("int")).alias("next"), F.array_append(acc["path"], acc["next"]).alias("path"))
+            return F.when(at > 0, up).otherwise(F.struct(F.lit(None).cast("string").alias("next"), acc["path"].alias("path")))
 
-    nothing = F.array().cast("array<string>")
-    return F.when(start.isNull() | (F.size(ids) <= 0), nothing).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids), F.lit(1))), F.struct(start.cast("string").alias("next"), nothing.alias("path")), step)["path"])
+        return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.size(tree["ids"])), F.struct(start.cast("string").alias("next"), nothing.alias("path")), step)["path"])
+
+    once = F.get(F.transform(F.array(F.struct(ids.alias("ids"), parents.alias("parents"))), path), 0)
+    return F.when(start.isNull() | (F.size(ids) <= 0), nothing).otherwise(once)
 
 
 def list_text(message: Column) -> Column:
@@ -32,18 +35,12 @@ def list_text(message: Column) -> Column:
     return F.when(F.size(message["content"]) > 0, F.concat_ws("", parts)).otherwise(F.coalesce(message["text"], F.lit("")))
 
 
-def tree_text(node: Column, raw_parts: Column | None = None) -> Column:
-    """Of content parts the strings, each on its line, else the content's own text. Parts are read as JSON text; strings are told by the mapping's raw form."""
+def tree_text(node: Column) -> Column:
+    """Of content parts the strings, each on its line, else the content's own text."""
     content = node["message"]["content"]
-    strings = F.filter(F.coalesce(raw_parts, content["parts"]) if raw_parts is not None else content["parts"], lambda p: p.isNotNull())
-    return F.when(F.size(content["parts"]) > 0, F.concat_ws("\n", strings)).otherwise(F.coalesce(content["text"], F.lit("")))
-
-
-def string_parts(raw_json: Column, node_id: Column) -> Column:
-    """The parts of a node that are JSON strings; others become null."""
-    parts = F.variant_get(F.try_parse_json(raw_json), "$.mapping", "map<string,variant>")
-    found = F.try_variant_get(F.try_element_at(parts, node_id), "$.message.content.parts", "array<variant>")
-    return F.transform(found, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
+    parts = F.try_variant_get(content["parts"], "$", "array<variant>")
+    strings = F.filter(F.transform(parts, lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))), lambda p: p.isNotNull())
+    return F.when(F.size(parts) > 0, F.concat_ws("\n", strings)).otherwise(F.coalesce(content["text"], F.lit("")))
 
 
 def list_messages(conversations: DataFrame, id_col: str = "conversation_id", raw: str = "raw_json") -> DataFrame:
@@ -59,17 +56,17 @@ def list_messages(conversations: DataFrame, id_col: str = "conversation_id", raw
 
 def tree_messages(conversations: DataFrame, id_col: str = "conversation_id", raw: str = "raw_json") -> DataFrame:
     """Every node of tree payloads. The walk starts at the current node, else at the first node of the map without children; the node without parent is the root and not of the branch; hidden messages aren't either."""
-    p = conversations.select(F.col(id_col).alias("conversation_id"), F.col(raw).alias("raw"), F.from_json(raw, TREE_PAYLOAD).alias("p")).where(F.size("p.mapping") > 0)
+    p = conversations.select(F.col(id_col).alias("conversation_id"), F.from_json(raw, TREE_PAYLOAD).alias("p")).where(F.size("p.mapping") > 0)
     first_leaf = F.get(F.filter(F.map_entries("p.mapping"), lambda e: F.coalesce(F.size(e["value"]["children"]), F.lit(0)) <= 0), 0)["key"]
     start = F.coalesce(F.nullif(F.col("p.current_node"), F.lit("")), first_leaf)
     ids, parents = F.map_keys("p.mapping"), F.transform(F.map_values("p.mapping"), lambda v: v["parent"])
     rooted = F.map_from_arrays(ids, F.transform(parents, lambda x: x.isNull()))
     p = p.withColumn("path", F.filter(walk(start, ids, parents), lambda n: ~F.try_element_at(rooted, n)))
-    n = p.select("conversation_id", "raw", "path", F.posexplode(F.map_entries("p.mapping")).alias("i", "e")).select("*", F.col("e.value").alias("v"), F.col("e.key").alias("node_id"))
+    n = p.select("conversation_id", "path", F.posexplode(F.map_entries("p.mapping")).alias("i", "e")).select("*", F.col("e.value").alias("v"), F.col("e.key").alias("node_id"))
     at = F.array_position("path", F.col("node_id"))
     role, kind = F.col("v.message.author.role"), F.col("v.message.content.content_type")
     on = (at > 0) & F.col("v.message").isNotNull()
-    out = n.select(F.lit(TREE_SOURCE).alias("source"), "conversation_id", F.when(on, F.size("path") - at).otherwise(F.col("i")).cast("int").alias("pos"), "node_id", F.col("v.parent").alias("parent_id"), F.when(F.col("v.message").isNotNull(), F.coalesce(role, F.lit("unknown"))).alias("role"), kind.alias("content_type"), tree_text(F.col("v"), string_parts(F.col("raw"), F.col("node_id"))).alias("text"), F.coalesce(on, F.lit(False)).alias("on_branch"))
+    out = n.select(F.lit(TREE_SOURCE).alias("source"), "conversation_id", F.when(on, F.size("path") - at).otherwise(F.col("i")).cast("int").alias("pos"), "node_id", F.col("v.parent").alias("parent_id"), F.when(F.col("v.message").isNotNull(), F.coalesce(role, F.lit("unknown"))).alias("role"), kind.alias("content_type"), tree_text(F.col("v")).alias("text"), F.coalesce(on, F.lit(False)).alias("on_branch"))
     return out.withColumn("on_branch", F.col("on_branch") & shown_message())
 
 

@@ -23,7 +23,7 @@ def split_valid(incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def last_per_key(incoming: DataFrame, *order: str) -> DataFrame:
     """One row a key: the last in processing order, nulls first. States in between collapse."""
-    place = F.struct(*(F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("value")) for c in order))
+    place = F.struct(*(F.struct(F.col(c).isNotNull().alias("known"), F.col(c).alias("value")) for c in order or ("pos",)))
     return incoming.groupBy(*KEY).agg(F.max_by(F.struct(*incoming.columns), place).alias("r")).select("r.*")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, texts, times
-from ..operators import branch, filters, merge, parse, render, summaries
-from ..schema import API, LIST_SOURCE, TREE_SOURCE
+from ..operators import branch, filters, imports, merge, parse, render, summaries
+from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, REBUILT, TREE_SOURCE
 from ..streaming.ingest import advance, catchup_bound
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,63 @@ def transcript_text(spark, sf_dir):
     return shown.groupBy("conversation_id").agg(texts.strip(render.joined_in_order(F.concat("label", F.lit(": "), "text", F.lit("\n\n")))).alias("content"))
 
 
+def tree_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored rows whose tree payloads have a root without message, hidden system turns, left branches as in ``list_payloads``, parts that are no texts, every third
+    no current node and every fourth its text outside the parts. Every fifth has no root: its first node's parent is unknown."""
+    c = read(spark, sf_dir, "conversations")
+    node = lambda turn: F.concat(F.lit("n"), turn.cast("string"))
+    up = F.when(F.pmod("turn", F.lit(4)) == 3, F.col("turn") - 2).otherwise(F.col("turn") - 1)
+    c = c.withColumn("up", F.when(up >= 0, node(up)).otherwise("root"))
+    parts = F.when(F.col("conv_id") % 4 == 3, F.array().cast("array<variant>")).otherwise(F.array(F.col("text").cast("variant"), F.parse_json(F.lit('{"asset": 1}')), F.lit("again").cast("variant")))
+    content = F.struct(F.lit("text").alias("content_type"), parts.alias("parts"), F.when(F.col("conv_id") % 4 == 3, F.col("text")).alias("text"))
+    slug = F.when(F.col("role") == "assistant", F.concat(F.lit("m"), (F.col("turn") + F.col("conv_id") % 3).cast("string")))
+    message = F.struct(F.struct("role").alias("author"), content.alias("content"), F.struct(slug.alias("model_slug")).alias("metadata"))
+    children = c.groupBy("conv_id", F.col("up").alias("of")).agg(F.sort_array(F.collect_list(node(F.col("turn")))).alias("children"))
+    c = c.join(children.withColumnRenamed("conv_id", "of_conv"), (F.col("conv_id") == F.col("of_conv")) & (node(F.col("turn")) == F.col("of")), "left")
+    value = F.struct(F.col("up").alias("parent"), F.coalesce("children", F.array().cast("array<string>")).alias("children"), message.alias("message"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.to_json(value).alias("v")))), lambda x: F.concat(F.lit('"'), node(x["turn"]), F.lit('":'), x["v"]))
+    root = F.when(F.col("conv_id") % 5 != 0, '"root":{"parent":null,"children":["n0"],"message":null},').otherwise("")
+    now = F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit('"current_node":"'), node(F.max("turn")), F.lit('",'))).otherwise("")
+    g = c.groupBy("conv_id").agg(now.alias("now"), F.array_join(entries, ",").alias("nodes"))
+    body = F.concat(F.lit('{"title":"tree '), F.col("conv_id").cast("string"), F.lit('","create_time":1700000000.5,'), "now", F.lit('"mapping":{'), root, "nodes", F.lit("}}"))
+    return g.select(F.lit(TREE_SOURCE).alias("source"), F.col("conv_id").cast("string").alias("conversation_id"), F.concat(F.lit("tree "), F.col("conv_id").cast("string")).alias("title"), body.alias("raw_json"), F.lit(API).alias("raw_source"))
+
+
+TREE = """WITH RECURSIVE n AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 4 = 3 THEN coalesce(text, '') ELSE coalesce(text || e'\\n', '') || 'again' END AS text, CASE WHEN turn % 4 = 3 THEN turn - 2 ELSE turn - 1 END AS up FROM conversations),
+leaf AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN min(turn) FILTER (NOT EXISTS (SELECT 1 FROM n c WHERE c.conv_id = n.conv_id AND c.up = n.turn)) ELSE max(turn) END AS turn FROM n GROUP BY conv_id),
+w AS (SELECT n.* FROM n JOIN leaf USING (conv_id, turn) UNION ALL SELECT n.* FROM w JOIN n ON n.conv_id = w.conv_id AND n.turn = w.up),
+b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, role, text FROM w QUALIFY role IS DISTINCT FROM 'system'),
+shown AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY pos) AS nth FROM b WHERE length(text) > 0)
+"""
+
+
+@query(TREE + "SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'n' || turn AS node_id, CAST(pos AS BIGINT) AS pos, role, text FROM b")
+def tree_branch(spark, sf_dir):
+    return branch.active_branch(tree_payloads(spark, sf_dir)).select("conversation_id", "node_id", F.col("pos").cast("long").alias("pos"), "role", "text")
+
+
+@query(TREE + "SELECT CAST(c.conv_id AS VARCHAR) AS conversation_id, '# tree ' || c.conv_id || e'\\n\\n**Created:** 2023-11-14T22:13:20.500000+00:00\\n**Updated:** unknown\\n\\n---\\n\\n' || coalesce(string_agg('**' || CASE role WHEN 'user' THEN 'You' WHEN 'assistant' THEN 'ChatGPT' ELSE role END || e'**:\\n\\n' || text || e'\\n\\n---\\n\\n', '' ORDER BY pos), '') AS content FROM (SELECT DISTINCT conv_id FROM n) c LEFT JOIN shown USING (conv_id) GROUP BY c.conv_id")
+def tree_markdown(spark, sf_dir):
+    return render.render(tree_payloads(spark, sf_dir), "markdown").select("conversation_id", "content")
+
+
+@query(TREE + "SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'tree ' || conv_id || e'\\n\\n---\\n\\n' || rtrim(string_agg(CASE WHEN role = 'user' THEN CASE nth WHEN 1 THEN 'Human' ELSE 'H' END WHEN role = 'assistant' THEN CASE nth WHEN 1 THEN 'Assistant' ELSE 'A' END ELSE role END || ': ' || text, e'\\n\\n' ORDER BY pos), e' \\n\\t') AS content FROM shown GROUP BY conv_id")
+def tree_text(spark, sf_dir):
+    return render.render(tree_payloads(spark, sf_dir), "text").select("conversation_id", "content")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'm' || (min(turn) + conv_id % 3) AS model FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def tree_model(spark, sf_dir):
+    return tree_payloads(spark, sf_dir).select("conversation_id", branch.first_model().alias("model")).where("model is not null")
+
+
+@query("SELECT conv_id, CAST(turn AS BIGINT) AS turn, node FROM (SELECT conv_id, turn, 'n' || turn AS node FROM conversations WHERE role <> 'system')")
+def tree_ids(spark, sf_dir):
+    """Every node of the trees that shows a message of a side, on the branch or not."""
+    m = branch.tree_messages(tree_payloads(spark, sf_dir)).where("role in ('user', 'assistant')")
+    return m.select(F.col("conversation_id").cast("long").alias("conv_id"), F.substring("node_id", 2, 9).cast("long").alias("turn"), F.col("node_id").alias("node"))
+
+
 HASHES = "SELECT conv_id, sha256(string_agg(sha256(coalesce(text, '')), '' ORDER BY turn)) AS h FROM conversations GROUP BY conv_id"
 
 
@@ -102,10 +159,11 @@ def turn_hash(spark, sf_dir):
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", canonical.text_hash("text").alias("hash"))
 
 
-@query("SELECT event_id, ts FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id % 7 = 0 AND o.event_id = e.event_id AND o.ts = e.ts)")
+@query("SELECT event_id, ts FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id = e.event_id AND o.ts = e.ts AND o.event_type <> 'error')")
 def unchanged_skip(spark, sf_dir):
-    e = read(spark, sf_dir, "events").select("event_id", "ts")
-    return filters.unchanged_skip(e, e.where("event_id % 7 = 0"), ["event_id"], "ts", "ts")
+    e = read(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    stored = e.withColumn("ts", F.when(F.col("event_type") == "error", F.lit(None)).otherwise(F.col("ts")))  # every row is stored, errors without a time
+    return filters.unchanged_skip(e, stored, ["event_id"], "ts", "ts").select("event_id", "ts")
 
 
 @query("WITH p AS (SELECT event_id, ts, (row_number() OVER (ORDER BY ts DESC, event_id) - 1) // 100 AS page FROM events), s AS (SELECT min(page) AS stop FROM (SELECT page, min(ts) AS oldest FROM p GROUP BY page) WHERE oldest < TIMESTAMP '2024-01-20') SELECT event_id, CAST(page AS BIGINT) AS page FROM p, s WHERE stop IS NULL OR page <= stop")
@@ -140,9 +198,9 @@ def top_titles(spark, sf_dir):
     return summaries.top_titles(read(spark, sf_dir, "events"), "event_type", "props", "event_id").withColumn("rn", F.col("rn").cast("long")).withColumn("more", F.col("more").cast("long"))
 
 
-@query("SELECT event_type AS source, 'new' AS verb, count(*) || ' new ' || event_type || ' conversation' || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END || e':\\n' || array_to_string(list_transform(list(event_id ORDER BY event_id)[1:10], lambda x: '- ' || x), e'\\n') || CASE WHEN count(*) > 10 THEN e'\\n- (+' || (count(*) - 10) || ' more)' ELSE '' END AS note FROM events WHERE user_id < 20 GROUP BY event_type")
+@query("SELECT event_type AS source, 'new' AS verb, count(*) || ' new ' || event_type || ' conversation' || CASE WHEN count(*) <> 1 THEN 's' ELSE '' END || e':\\n' || array_to_string(list_transform(list(event_id ORDER BY event_id)[1:10], lambda x: '- ' || x), e'\\n') || CASE WHEN count(*) > 10 THEN e'\\n- (+' || (count(*) - 10) || ' more)' ELSE '' END AS note FROM events GROUP BY event_type")
 def change_notes(spark, sf_dir):
-    e = read(spark, sf_dir, "events").where("user_id < 20")
+    e = read(spark, sf_dir, "events")
     first = summaries.top_titles(e, "event_type", "event_id", "event_id")
     g = first.groupBy(F.col("event_type").alias("source")).agg(F.max("total").alias("n"), F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")).alias("titles"))
     return summaries.change_notes(g.withColumn("verb", F.lit("new")), total="n")
@@ -213,10 +271,12 @@ def watermark_advance(spark, sf_dir):
     return advance(state, e.withColumn("error", F.lit(None).cast("string")), F.expr("TIMESTAMP_NTZ'2024-02-01'")).select("source", "last_success_at")
 
 
-@query("SELECT doc_id FROM documents d WHERE doc_id < 500 AND NOT EXISTS (SELECT 1 FROM documents n WHERE n.doc_id >= 900 AND n.lang = d.lang AND n.source = d.source AND n.doc_id <> d.doc_id)")
+@query("WITH d AS (SELECT doc_id, source, lang, n_chars % 7 AS made, doc_id % 2 = 0 AS api FROM documents) SELECT doc_id FROM d WHERE api OR NOT EXISTS (SELECT 1 FROM d n WHERE n.api AND n.source = d.source AND n.lang = d.lang AND n.made = d.made AND n.doc_id <> d.doc_id)")
 def supersede_anti(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.col("source").alias("source"), F.col("lang").alias("title"), F.lit("1").alias("created_at"), F.col("doc_id").alias("conversation_id"), F.lit("markdown_reconstructed").alias("raw_source"))
-    return merge.without_superseded(d.where("conversation_id < 500"), d.where("conversation_id >= 900")).select(F.col("conversation_id").alias("doc_id"))
+    """All documents are stored, the odd ones as rebuilt, with seven creation times; all even ones come in again."""
+    even = F.col("doc_id") % 2 == 0
+    d = read(spark, sf_dir, "documents").select("source", F.col("lang").alias("title"), (F.col("n_chars") % 7).alias("created_at"), F.col("doc_id").alias("conversation_id"), F.when(even, API).otherwise(REBUILT).alias("raw_source"))
+    return merge.without_superseded(d, d.where(F.col("raw_source") == API)).select(F.col("conversation_id").alias("doc_id"))
 
 
 @query("SELECT event_id AS update_id, props FROM events WHERE event_id >= 900 AND user_id = 7 AND length(props) > 0")
@@ -225,9 +285,10 @@ def offset_consume(spark, sf_dir):
     return filters.accepted_updates(e, 7, 900).select("update_id", F.col("message.text").alias("props"))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderkey LIMIT 25")
+@query("SELECT o_orderstatus AS source, CAST(o_orderkey AS VARCHAR) AS conversation_id, o_orderpriority AS title, o_orderdate AS created_at FROM orders ORDER BY o_orderdate DESC NULLS LAST, o_orderstatus, CAST(o_orderkey AS VARCHAR) LIMIT 25")
 def newest_first_topk(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey").limit(25)
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("source"), F.col("o_orderkey").cast("string").alias("conversation_id"), F.col("o_orderpriority").alias("title"), F.col("o_orderdate").alias("created_at"))
+    return summaries.newest_first(o, 25)
 
 
 @query("SELECT event_id, CAST(i AS BIGINT) AS i, n, CASE WHEN m > 0 THEN i / m ELSE 0 END AS rate FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n, CAST(event_id % 60 AS DOUBLE) AS m FROM events)")
@@ -242,9 +303,14 @@ def title_prefix_filter(spark, sf_dir):
     return c.where(filters.not_scratch("text", "source", "Th")).select("conv_id", "turn")
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, count(*) FILTER (role <> 'system') > 0 AS valid FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role <> 'system') > 0")
+@query("SELECT source, CAST(conv_id AS VARCHAR) AS conversation_id, CASE WHEN source = 'claude' AND NOT listed THEN false ELSE conv_id % 6 > 2 END AS valid FROM (SELECT conv_id, count(*) FILTER (role <> 'system') > 0 AS listed FROM conversations GROUP BY conv_id), (VALUES ('claude'), ('chatgpt')) s(source) WHERE source = 'chatgpt' OR listed")
 def payload_validity(spark, sf_dir):
-    return list_payloads(spark, sf_dir).select("conversation_id", filters.valid_payload().alias("valid"))
+    """Both shapes; half of the payloads are empty objects, have no messages, or aren't JSON."""
+    kind = F.col("conversation_id").cast("long") % 6
+    empty = F.when(F.col("source") == LIST_SOURCE, '{"name": "x", "chat_messages": []}').otherwise('{"title": "x", "mapping": {}}')
+    rows = list_payloads(spark, sf_dir).unionByName(tree_payloads(spark, sf_dir))
+    rows = rows.withColumn("raw_json", F.when(kind == 0, "{}").when(kind == 1, empty).when(kind == 2, "{broken").otherwise(F.col("raw_json")))
+    return rows.select("source", "conversation_id", filters.valid_payload().alias("valid"))
 
 
 @query("SELECT conv_id FROM (SELECT DISTINCT conv_id, substr(sha256(CAST(conv_id AS VARCHAR)), 1, 18 + CAST(conv_id % 10 AS INT)) AS h FROM conversations) WHERE regexp_matches(h, '^[0-9a-f-]{20,40}$')")
@@ -264,10 +330,10 @@ def token_fold(spark, sf_dir):
     return summaries.fold_events(read(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "signup", F.col("event_type"))
 
 
-@query("SELECT user_id, bool_or(event_type = 'view') AS got_question, count(*) FILTER (event_type = 'click') AS beats, max_by(CASE event_type WHEN 'purchase' THEN 'sent' ELSE 'failed' END, event_id) FILTER (event_type IN ('purchase', 'error')) AS outcome FROM events GROUP BY user_id")
+@query("SELECT user_id, bool_or(event_type = 'view') AS got_question, count(*) FILTER (event_type = 'click') AS beats, max_by(CASE event_type WHEN 'purchase' THEN 'sent' ELSE 'failed' END, event_id) FILTER (event_type IN ('purchase', 'error')) AS outcome, bool_or(event_type = 'view') AND coalesce(max_by(event_type, event_id) FILTER (event_type IN ('purchase', 'error')) = 'purchase', false) AS passed FROM events GROUP BY user_id")
 def verdict(spark, sf_dir):
     line = F.when(F.col("event_type") == "view", "Question: x").when(F.col("event_type") == "click", "[heartbeat] ping sent").when(F.col("event_type") == "purchase", "Sent reply").when(F.col("event_type") == "error", "Council failed: x").otherwise("")
-    return summaries.verdicts(read(spark, sf_dir, "events").withColumn("value", line), "user_id", "event_id").drop("passed")
+    return summaries.verdicts(read(spark, sf_dir, "events").withColumn("value", line), "user_id", "event_id")
 
 
 @query("SELECT count(*) FILTER (sha256(text) <> CASE WHEN doc_id % 4 = 0 THEN 'x' ELSE sha256(text) END) AS changed, count(*) AS total FROM documents")
@@ -298,16 +364,20 @@ def api_timestamps(spark, sf_dir):
     return e.select("event_id", F.unix_micros(times.parse_timestamp(as_text)).alias("us"))
 
 
-@query("SELECT e.event_id, e.ts, o.value FROM events e JOIN events o ON o.event_id = e.event_id WHERE o.event_id % 3 = 0")
+@query("SELECT 'claude' AS source, CAST(conv_id AS VARCHAR) AS conversation_id, 'chat ' || conv_id AS title, CAST(conv_id AS BIGINT) AS pos FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def list_detail_join(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return e.select("event_id", "ts").join(e.where("event_id % 3 = 0").select("event_id", "value"), "event_id")
+    """A listing and the payloads fetched for it, as rows to store."""
+    p = list_payloads(spark, sf_dir)
+    listing = p.select(F.col("conversation_id").cast("long").alias("pos"), F.col("conversation_id").alias("id"), F.lit("listed").alias("title"))
+    rows = imports.api_rows(listing, p.select(F.col("conversation_id").alias("id"), "raw_json"), LIST_SOURCE)
+    return rows.select("source", "conversation_id", "title", "pos")
 
 
-@query()
+@query("""SELECT event_id, sha256('{"a": [' || least(event_id % 10, user_id % 10) || ', ' || greatest(event_id % 10, user_id % 10) || '], "k": ' || json_extract_string(props, '$.k') || '}') AS hash FROM events""")
 def canonical_hash(spark, sf_dir):
-    """Any depth of JSON needs a Python function; tests hold it against the definition."""
-    return read(spark, sf_dir, "events").select("event_id", canonical.content_hash("props").alias("hash"))
+    """The props after a list of two digits, in whatever order; any depth of JSON needs a Python function."""
+    digits = F.concat(F.lit('{"k": '), F.get_json_object("props", "$.k"), F.lit(', "a": ['), (F.col("event_id") % 10).cast("string"), F.lit(","), (F.col("user_id") % 10).cast("string"), F.lit("]}"))
+    return read(spark, sf_dir, "events").select("event_id", canonical.content_hash(digits).alias("hash"))
 
 
 @query()
@@ -315,34 +385,41 @@ def random_pick(spark, sf_dir):
     return summaries.random_one(read(spark, sf_dir, "conversations").select("conv_id", "turn"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'new ' || conv_id AS title, count(*) FILTER (role <> 'system') AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def streaming_merge(spark, sf_dir):
-    """The stored keys after two streams of the same payloads: read twice, taken in once."""
+    """The stored rows after two streams of the same payloads, each twice with an older title: read again and again, taken in once, the newest."""
     import uuid
 
     from ..sources.snapshots import SnapshotTable
-    from ..streaming.ingest import start_merge
+    from ..streaming.ingest import shared_folder, start_merge
 
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:/tmp/parley-checkpoints").rstrip("/") + f"/{spark.sparkContext.applicationId}/merge-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/merge-{uuid.uuid4().hex}"
     null = F.lit(None)
-    p = list_payloads(spark, sf_dir).withColumn("content_hash", F.sha2("raw_json", 256))
-    rows = p.select("source", "conversation_id", "title", null.cast("string").alias("model"), *(null.cast("timestamp").alias(c) for c in ("created_at", "updated_at")), *(null.cast("string").alias(c) for c in ("created_text", "updated_text")), "raw_json", "raw_source", "content_hash", F.current_timestamp().alias("imported_at"))
+    p = list_payloads(spark, sf_dir)
+    p = p.withColumn("age", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("title", F.concat(F.when(F.col("age") == 0, "new ").otherwise("old "), "conversation_id"))
+    p = p.withColumn("updated_at", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("age"))).withColumn("content_hash", F.sha2(F.concat("raw_json", "title"), 256))
+    rows = p.select("source", "conversation_id", "title", null.cast("string").alias("model"), null.cast("timestamp").alias("created_at"), "updated_at", *(null.cast("string").alias(c) for c in ("created_text", "updated_text")), "raw_json", "raw_source", "content_hash", F.current_timestamp().alias("imported_at"))
     rows.write.parquet(f"{folder}/in")
     table = SnapshotTable(spark, f"{folder}/table")
     for i in range(2):
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
         start_merge(stream, table, f"{folder}/offsets-{i}").awaitTermination()
-    return table.read().select("conversation_id")
+    return table.read().select("conversation_id", "title", F.size(F.from_json("raw_json", LIST_PAYLOAD)["chat_messages"]).cast("long").alias("n"))
 
 
 def three_pages(offset: int, limit: int):
-    """A listing of 15 rows on days going back, for the paged source."""
-    rows = [{"id": f"{i:02d}", "title": f"t{i}", "model": None, "created_at": f"2024-01-{20 - i:02d}T00:00:00Z", "updated_at": f"2024-01-{20 - i:02d}T00:00:00Z"} for i in range(15)]
+    """A listing of 15 rows on days going back, for the paged source: times as text without and with fraction, as epoch seconds, and none."""
+    rows = []
+    for i in range(15):
+        day = f"2024-01-{20 - i:02d}T00:00:00"
+        when = (day + "Z", day + ".500+00:00", 1705708800 - 86400 * i, None)[i % 4]
+        rows.append({"id": f"{i:02d}", "title": f"t{i}", "model": None, "created_at": when, "updated_at": when})
     return rows[offset : offset + limit], offset + limit < len(rows)
 
 
-@query()
+@query("WITH l AS (SELECT i, TIMESTAMP '2024-01-20' - to_days(CAST(i AS INT)) AS day FROM range(15) r(i)), p AS (SELECT i, i // 5 AS page, CASE i % 4 WHEN 3 THEN NULL WHEN 1 THEN day + INTERVAL 500 MILLISECOND ELSE day END AS t FROM l), s AS (SELECT min(page) AS stop FROM p WHERE i % 5 = 4 AND t < TIMESTAMP '2024-01-15') SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS id, 't' || i AS title, coalesce(epoch_us(t), -1) AS us FROM p, s WHERE page <= stop AND (t IS NULL OR t >= TIMESTAMP '2024-01-15')")
 def paged_source(spark, sf_dir):
     from ..sources.paged import read_listing
 
-    return read_listing(spark, "parley.plans.catalogue:three_pages", after="2024-01-15T00:00:00Z", size=5)
+    rows = read_listing(spark, "parley.plans.catalogue:three_pages", after="2024-01-15T00:00:00Z", size=5)
+    return rows.select("id", "title", F.coalesce(F.unix_micros(times.parse_timestamp("updated_at")), F.lit(-1)).alias("us"))

@@ -23,7 +23,7 @@ CONVERSATIONS = T.StructType([
     for n in ("source", "conversation_id", "title", "model", "created_at", "updated_at", "created_text", "updated_text", "raw_json", "raw_source", "content_hash", "imported_at")
 ])
 LIST_PAYLOAD = "struct<uuid:string,name:string,model:string,created_at:string,updated_at:string,current_leaf_message_uuid:string,chat_messages:array<struct<uuid:string,parent_message_uuid:string,sender:string,text:string,content:array<struct<text:string>>>>>"
-TREE_PAYLOAD = "struct<id:string,title:string,create_time:string,update_time:string,current_node:string,mapping:map<string,struct<id:string,parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>,text:string>,metadata:struct<model_slug:string>>>>>"
+TREE_PAYLOAD = "struct<id:string,title:string,create_time:string,update_time:string,current_node:string,mapping:map<string,struct<id:string,parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<content_type:string,parts:variant,text:string>,metadata:struct<model_slug:string>>>>>"
 FLAT_PAYLOAD = "struct<title:string,created_at:string,updated_at:string,model:string,messages:array<struct<role:string,text:string>>>"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,16 @@ NEWEST = ("updated_at", "imported_at", "content_hash")
 STATE = "source string, last_success_at timestamp, last_error string"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors share; where it is unset, a session on this machine alone has a temporary folder, and on a cluster it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file:{tempfile.gettempdir()}/parley-checkpoints"
+
+
 def catchup_bound(last_success: Column, stored_newest: Column, now: Column, overlap_minutes: int = OVERLAP_MINUTES, bootstrap_days: int = BOOTSTRAP_DAYS) -> Column:
     """From when on to read: the last success, but always some minutes back; without one the newest stored time; without that some days back."""
     back = lambda d, h, m: now - F.make_dt_interval(F.lit(d), F.lit(h), F.lit(m))

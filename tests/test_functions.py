@@ -110,3 +110,18 @@ def test_content_hash(spark):
     assert value(spark, canonical.content_hash("x"), x=None) is None
 
 
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_don_t_depend_on_the_session(spark, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        texts = ["1700000000", "1700000000.25", "2023-11-14T22:13:20Z", "2023-11-14T22:13:20", "2023-11-14 22:13:20", "2023-11-15T00:13:20+02:00", "2024-03-10T02:30:00", "2023-11-14", "1969-12-31T23:59:59.5Z", "soon", None]
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        found = [r.v for r in df.select(times.iso_text(times.parse_timestamp("t")).alias("v")).collect()]
+        evening = "2023-11-14T22:13:20+00:00"
+        assert found == [evening, "2023-11-14T22:13:20.250000+00:00", evening, evening, evening, evening, "2024-03-10T02:30:00+00:00", "2023-11-14T00:00:00+00:00", "1969-12-31T23:59:59.500000+00:00", None, None]
+        assert spark.range(1).select(F.unix_micros(times.parse_bound("2023-11-14")).alias("v")).first().v == 1699920000000000
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

@@ -34,6 +34,16 @@ def test_early_stop_keeps_the_whole_page():
         assert len(list(paged.walk_pages(fetch, "2025-01-25", 5, retry_empty=retry, sleep=lambda _: None))) == 10 and len(calls) == 2
 
 
+@pytest.mark.parametrize("times", [["2024-01-15T00:00:03.500Z", "2024-01-15T00:00:02Z", "2024-01-15T00:00:01.200Z", "2024-01-15T00:00:00Z"], [1705276803.5, 1705276802, "1705276801.2", 1705276800], ["2024-01-15T02:00:03+02:00", "2024-01-15T00:00:02", "2024-01-14T19:00:01-05:00", "2024-01-15T00:00:00+00:00"]])
+@pytest.mark.parametrize("size", [1, 2])
+def test_listed_times_are_compared_as_times(times, size):
+    rows = [{"id": i, "updated_at": t} for i, t in enumerate([*times, None, "2024-01-14T23:59:59.9Z", "2024-01-10"])]
+    walk = lambda after: [r["id"] for r in paged.walk_pages(lambda o, n: (rows[o : o + n], o + n < len(rows)), after, size)]
+    assert walk("2024-01-15T00:00:00Z") == list(range(6)) and walk("2024-01-15") == list(range(6)) and walk(None) == list(range(7))
+    with pytest.raises(ValueError):
+        walk("soon")
+
+
 def test_full_walks():
     fetch, calls = listing()
     assert len(list(paged.walk_pages(fetch, None, 5))) == 15 and len(calls) == 3
@@ -70,6 +80,36 @@ def test_snapshots(spark, tmp_path):
         table.replace(rows, expected=first)
 
 
+def test_pointers_survive_crashes(spark, tmp_path):
+    table = SnapshotTable(spark, f"file://{tmp_path}/t")
+    rows = stored(spark, ("claude", "a", LIST)).withColumn("imported_at", F.current_timestamp())
+    table.replace(rows)
+    # A writer that died after it wrote its version, and one that died before it filled its pointer.
+    rows.limit(0).write.parquet(f"{tmp_path}/t/v-dead")
+    (tmp_path / "t" / "_pointers" / "000000000002").write_text("")
+    assert table.read().count() == 1
+    table.replace(rows.unionByName(stored(spark, ("claude", "b", LIST)).withColumn("imported_at", F.current_timestamp())), expected=table.version())
+    assert table.read().count() == 2 and sorted(x.name for x in (tmp_path / "t" / "_pointers").iterdir() if x.name.isdigit())[-1] == "000000000003"
+    assert table.drop_old() == 1 and table.read().count() == 2
+    for f in (tmp_path / "t" / "_pointers").iterdir():
+        f.unlink()
+    (tmp_path / "t" / "_pointers").rmdir()
+    with pytest.raises(RuntimeError):
+        table.read()
+
+
+def test_one_of_two_writers_wins(spark, tmp_path):
+    one, two = (SnapshotTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    rows = stored(spark, ("claude", "a", LIST)).withColumn("imported_at", F.current_timestamp())
+    seen = two.version()
+    one.replace(rows, expected=one.version())
+    with pytest.raises(RuntimeError):
+        two.replace(rows.limit(0), expected=seen)
+    with pytest.raises(ValueError):
+        one.replace(rows.union(rows))
+    assert two.read().count() == 1
+
+
 def test_lock(spark, tmp_path):
     path = f"file://{tmp_path}/lock"
     with RunLock(spark, path):
@@ -111,6 +151,16 @@ def test_stream_takes_effect_once(spark, tmp_path):
     assert seen == [[("a", "inserted"), ("b", "failed")], [("a", "unchanged"), ("b", "failed")]]
 
 
+def test_newest_version_in_a_batch_counts(spark, tmp_path):
+    at = lambda day: {"updated_at": datetime(2025, 1, day) if day else None, "title": f"t{day}", "content_hash": f"h{day}"}
+    rows = stored(spark, ("claude", "a", LIST, at(2)), ("claude", "a", LIST, at(3)), ("claude", "a", LIST, at(0)), ("claude", "b", LIST, at(0))).withColumn("imported_at", F.lit(NOW))
+    rows.write.parquet(f"{tmp_path}/in")
+    table = SnapshotTable(spark, f"file://{tmp_path}/t")
+    for k in range(2):
+        ingest.start_merge(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), table, f"{tmp_path}/c{k}").awaitTermination()
+        assert sorted((r.conversation_id, r.title) for r in table.read().collect()) == [("a", "t3"), ("b", "t0")]
+
+
 def test_updates(spark):
     u = spark.createDataFrame([(1, (1, (7,), "old")), (5, (2, (7,), "hi")), (6, (3, (8,), "other")), (7, (4, (7,), None))], "update_id long, message struct<message_id:long,chat:struct<id:long>,text:string>")
     got, offset = ingest.consume_updates(u, 2, 7)
