@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed value: the order of scalars, by type name and text, which hashes must agree on.
 def canonical(value):
     """The value with every list of scalars alone sorted by type and text; other lists keep their order."""
     if isinstance(value, dict):
@@ -38,6 +39,21 @@ def canonical_json(document) -> Column:
     return F.pandas_udf(run, "string")(document)
 
 
+def indented_json(document) -> Column:
+    """The document with an indent of two, its keys in their order, in ASCII; null for null, other text as it is."""
+
+    def one(text: str) -> str:
+        try:
+            return json.dumps(json.loads(text), indent=2)
+        except ValueError:
+            return text
+
+    def run(documents: pd.Series) -> pd.Series:
+        return documents.map(one, na_action="ignore").astype(object)
+
+    return F.pandas_udf(run, "string")(document)
+
+
 def content_hash(document) -> Column:
     return F.sha2(canonical_json(document), 256)
 

@@ -11,7 +11,8 @@ from ..functions.times import iso_text, parse_timestamp
 from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, TREE_PAYLOAD
 from .branch import first_model
 from .filters import not_scratch, select_conversations, unchanged_skip, valid_id
-from .merge import merge
+from .merge import last_per_key, merge, outcomes
+from .parse import markdown_rows
 from .summaries import run_stats
 
 
@@ -54,3 +55,13 @@ def import_run(stored: DataFrame, chosen: DataFrame, details: DataFrame, source:
     retries = details.agg(F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).cast("long")).scalar()
     stats = run_stats(done.unionByName(failed)).withColumn("retries", retries).withColumn("superseded", gone.agg(F.count(F.lit(1))).scalar())
     return merged, stats
+
+
+def backfill(stored: DataFrame, files: DataFrame, name: str = "file_name", text: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(next snapshot with outcome, refused files, one row of counts) of Markdown files (file_name, value). A file replaces a stored row of its key whose hash differs,
+    also one from the API; of files with one key the last by name counts. Nothing is written: without a replace it is a dry run."""
+    rows, refused = markdown_rows(files, name, text)
+    rows = last_per_key(rows.withColumn("imported_at", F.current_timestamp()), "raw_json")
+    merged = outcomes(stored, rows, downgrade=True)
+    counts = merged.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "unchanged")), F.count(F.lit(1)).alias("total"))
+    return merged, refused, counts.withColumn("refused", refused.agg(F.count(F.lit(1))).scalar())

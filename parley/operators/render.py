@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import indented_json
 from ..functions.texts import export_filename, or_else, sender_label, strip
 from ..functions.times import iso_text, parse_timestamp
 from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, TREE_PAYLOAD, TREE_SOURCE
@@ -43,9 +44,9 @@ def heads(conversations: DataFrame) -> DataFrame:
 
 
 def render(conversations: DataFrame, fmt: str = "markdown", metadata: bool = True) -> DataFrame:
-    """(source, conversation_id, content) of stored API rows; any other format than markdown and text is the JSON itself."""
+    """(source, conversation_id, content) of stored API rows; any other format than markdown and text is the JSON, indented by two."""
     if fmt not in ("markdown", "text"):
-        return conversations.select("source", "conversation_id", F.col("raw_json").alias("content"))
+        return conversations.select("source", "conversation_id", indented_json("raw_json").alias("content"))
     keys = ["source", "conversation_id"]
     shown = active_branch(conversations).where(not_empty())
     if fmt == "markdown":

@@ -52,7 +52,7 @@ def change_notes(stats: DataFrame, shown: int = SHOWN_TITLES, total: str | None
 
 
 def run_stats(outcomes: DataFrame, position: str = "pos") -> DataFrame:
-    """One row: how many conversations were inserted, updated, unchanged and failed, and the titles of the first two in order."""
+    """One row: how many conversations were inserted, updated, unchanged and failed, and the titles of what was inserted and updated, in order; all of them, as a notice counts them."""
     named = lambda o: F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.struct(position, F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")).alias("t"))))), lambda x: x["t"])
     return outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "unchanged", "failed")), named("inserted").alias("inserted_titles"), named("updated").alias("updated_titles"))
 
@@ -146,6 +146,11 @@ def newest_first(conversations: DataFrame, limit: int | None = None) -> DataFram
     return out.limit(limit) if limit else out
 
 
+def newest_imports(conversations: DataFrame, limit: int = 8) -> DataFrame:
+    """What was stored last."""
+    return conversations.select("source", "title", "created_at", "imported_at", "raw_source").orderBy(F.desc_nulls_last("imported_at"), "source", "conversation_id").limit(limit)
+
+
 def listing_lines(rows: DataFrame, selected: DataFrame) -> DataFrame:
     """(line) of a printed listing: id and title of the selected rows in order, then how many of all they are."""
     line = F.concat_ws("  ", "conversation_id", F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")))

@@ -12,10 +12,14 @@ def markdown_exports(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), "value")
 
 
-def context(spark: SparkSession, folder: str) -> DataFrame:
-    """(content, parts): all Markdown and text files below a folder, or one file, each under its path, in order of paths. What a prompt holds bounds it, not the store."""
+def context(spark: SparkSession, folder: str, root: str | None = None) -> DataFrame:
+    """(content, parts): all Markdown and text files below a folder, or one file, each under its path (from ``root`` on, if that is given), in order of paths. What a prompt holds bounds it, not the store."""
     files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{md,txt}")
-    part = F.concat(F.lit("=== "), F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), F.lit(" ===\n"), "value")
+    path = F.url_decode(F.replace(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/"), F.lit("+"), F.lit("%2B")))
+    if root is not None:
+        top = root.rstrip("/") + "/"
+        path = F.when(F.startswith(path, F.lit(top)), F.substr(path, F.lit(len(top) + 1))).otherwise(path)
+    part = F.concat(F.lit("=== "), path, F.lit(" ===\n"), "value")
     named = files.select(F.col("_metadata.file_path").alias("o"), part.alias("v"))
     return named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]), "\n\n").alias("content"), F.count(F.lit(1)).alias("parts"))
 

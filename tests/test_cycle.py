@@ -1,0 +1,127 @@
+"""Poll cycles, budgets, restarts, backfills and the command line."""
+
+import json
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+from test_conversations import LIST, TREE, stored
+
+from parley import __main__ as cli
+from parley.operators import imports, render, summaries
+from parley.sources import files
+from parley.sources.snapshots import SnapshotTable
+from parley.streaming import cycle
+
+NOW = datetime(2025, 1, 10)
+ID = ["%08d-0000-0000-0000-000000000000" % i for i in range(6)]
+ROW = "pos int, id string, title string, model string, created_at string, updated_at string"
+DETAIL = "id string, raw_json string, attempts int"
+
+
+def source(spark, name, payloads, asked=None, broken=()):
+    """payloads: id to (time, payload)."""
+
+    def listing(after):
+        if asked is not None:
+            asked.append(after)
+        return spark.createDataFrame([(i, k, f"t{k[:8]}", None, t, t) for i, (k, (t, _)) in enumerate(payloads.items())], ROW)
+
+    def details(rows):
+        wanted = [r.id for r in rows.collect()]
+        return spark.createDataFrame([(k, None if k in broken else json.dumps(payloads[k][1] | ({"uuid": k, "name": f"t{k[:8]}"} if "chat_messages" in payloads[k][1] else {})), 1) for k in wanted], DETAIL)
+
+    return cycle.Source(name, listing, details)
+
+
+def tables(spark, tmp_path):
+    return SnapshotTable(spark, f"file://{tmp_path}/t"), cycle.state_table(spark, f"file://{tmp_path}/s")
+
+
+def states(state):
+    return {r.source: (r.last_success_at, r.last_error) for r in state.read().collect()}
+
+
+def test_two_cycles_one_of_them_failing(spark, tmp_path):
+    table, state = tables(spark, tmp_path)
+    asked, sent = [], []
+    send = lambda title, text: sent.append(title)
+
+    def down(after):
+        raise RuntimeError("no tab")
+
+    lists = {ID[0]: ("2025-01-09T00:00:00Z", LIST), ID[1]: ("2025-01-08T00:00:00.5Z", LIST)}
+    trees = {ID[2]: ("2025-01-09T00:00:00Z", TREE)}
+    first = cycle.poll_cycle(table, state, [source(spark, "claude", lists, asked), cycle.Source("chatgpt", down, down)], F.lit(NOW), send)
+    assert first["claude"].counts["inserted"] == 2 and first["chatgpt"] == "no tab"
+    assert asked == ["2025-01-03T00:00:00+00:00"] and sent == ["2 new claude conversations"]
+    assert states(state) == {"claude": (NOW, None), "chatgpt": (None, "no tab")}
+    later = datetime(2025, 1, 11)
+    changed = LIST | {"chat_messages": LIST["chat_messages"][:1]}
+    lists = {ID[0]: ("2025-01-10T12:00:00Z", changed), ID[3]: ("2025-01-10T11:00:00Z", LIST)}
+    second = cycle.poll_cycle(table, state, [source(spark, "claude", lists, asked, broken=[ID[3]]), source(spark, "chatgpt", trees)], F.lit(later), send)
+    assert asked[1] == "2025-01-09T23:58:00+00:00" or asked[1] == "2025-01-10T00:00:00+00:00"
+    assert (second["claude"].counts["updated"], second["claude"].counts["failed"], second["chatgpt"].counts["inserted"]) == (1, 1, 1)
+    assert states(state) == {"claude": (NOW, None), "chatgpt": (later, None)}
+    assert sorted(sent[1:]) == ["1 new chatgpt conversation", "1 updated claude conversation"]
+    assert table.read().count() == 3
+
+
+def test_budget_and_batches(spark, tmp_path):
+    table, _ = tables(spark, tmp_path)
+    own = source(spark, "claude", {k: ("2025-01-09T00:00:00Z", LIST) for k in ID})
+    chosen = imports.candidates(own.listing(None), "claude", table.read())
+    clock = iter([0, 0, 5, 11, 99]).__next__
+    stats = cycle.run_import(table, chosen, own, batch_rows=2, budget_seconds=10, clock=clock)
+    assert stats.stopped_early and stats.counts["inserted"] == 4 and table.read().count() == 4
+    stats = cycle.run_import(table, chosen, own, batch_rows=2)
+    assert not stats.stopped_early and (stats.counts["inserted"], stats.counts["unchanged"]) == (2, 4) and table.read().count() == 6
+    assert cycle.run_import(table, chosen.limit(0), own).counts["inserted"] == 0
+
+
+@pytest.mark.parametrize(("runs", "ended", "waits"), [(["stopped early", "done"], ("done", 2), [30]), ([None, None, "stopped early", None, None, None, None, None], ("gave up", 8), [120, 120, 30, 120, 120, 120, 120]), (["stopped early"] * 9, ("out of time", 3), [30, 30, 30])])
+def test_supervision(runs, ended, waits):
+    now, slept, budgets = [0.0], [], []
+
+    def run(budget):
+        budgets.append(budget)
+        now[0] += 900 if ended[0] == "out of time" else 1
+        found = runs[len(budgets) - 1]
+        if found is None:
+            raise OSError("killed")
+        return found
+
+    assert cycle.supervise(run, total_seconds=2000, clock=lambda: now[0], sleep=slept.append) == ended
+    assert slept == waits and budgets[0] == 900 and (ended[0] != "out of time" or budgets == [900, 900, 200])
+
+
+def test_backfill_and_commands(spark, tmp_path, capsys):
+    table, _ = tables(spark, tmp_path)
+    rows = stored(spark, ("claude", "k1", LIST, {"title": "One"}), ("chatgpt", "k2", TREE, {"title": "Two"})).withColumn("imported_at", F.lit(NOW))
+    table.replace(rows)
+    folder, out = f"file://{tmp_path}/t", tmp_path / "exports_a"
+    assert cli.main(["export", folder, f"file://{out}"], spark) == 0
+    (out / "claude-bad.md").write_text("no title")
+    (out / "other.md").write_text("# x")
+    files_ = files.markdown_exports(spark, str(tmp_path))
+    merged, refused, counts = imports.backfill(table.read(), files_)
+    assert counts.first().asDict() == {"inserted": 2, "updated": 0, "unchanged": 0, "total": 4, "refused": 2}
+    assert cli.main(["backfill", folder, str(tmp_path), "--dry-run"], spark) == 0 and table.read().count() == 2
+    assert cli.main(["backfill", folder, str(tmp_path)], spark) == 0 and table.read().count() == 4
+    assert imports.backfill(table.read(), files_)[2].first().unchanged == 2
+    # A file replaces a row of its key, from the API too.
+    same = spark.createDataFrame([("claude-k1.md", (out / "claude-One.md").read_text())], "file_name string, value string")
+    assert imports.backfill(table.read(), same)[0].where("conversation_id = 'k1'").first().raw_source == "markdown_reconstructed"
+    capsys.readouterr()
+    assert cli.main(["list", folder, "--limit", "3"], spark) == 0 and len(capsys.readouterr().out.splitlines()) == 3
+    assert cli.main(["rehash", folder], spark) == 0 and "changed" in capsys.readouterr().out
+    assert cli.main(["recent", folder], spark) == 0 and len(capsys.readouterr().out.splitlines()) == 4
+    assert summaries.newest_imports(table.read(), 1).count() == 1
+
+
+def test_indented_json_and_relative_headers(spark, tmp_path):
+    rows = stored(spark, ("claude", "k", {"b": 1, "a": ["é"]}))
+    assert render.render(rows, "json").first().content == json.dumps({"b": 1, "a": ["é"]}, indent=2)
+    (tmp_path / "a b+c").mkdir()
+    (tmp_path / "a b+c" / "x.md").write_text("X")
+    assert files.context(spark, str(tmp_path), str(tmp_path)).first().content == "=== a b+c/x.md ===\nX"
