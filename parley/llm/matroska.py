@@ -302,7 +302,7 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = [t.as_py() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array((write_samples(pad(t)) for t in texts), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return texts_to_python(docs).select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return texts_to_python(docs).select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 PACKETS = "id long, track long, timestamp_ns long, offset long, size long, keyframe boolean, lacing string, cluster long, error string"
@@ -346,4 +346,6 @@ def digests(files: DataFrame) -> DataFrame:
 
 
 def op1_matroska(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` written as a file and read back. A null text is an empty one and has one packet; a null doc_id stays null; repeated rows repeat; an
+    empty table gives no rows; other columns aren't read."""
     return digests(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet")))

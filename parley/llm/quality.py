@@ -133,7 +133,8 @@ COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows repeat."""
+    """Every row of ``documents`` with its counts and verdict. Null texts have no words and fail the base rules; a null language is a stratum of its own; labels without
+    id or quality, and of unknown documents, don't count; repeated rows repeat; an empty table gives no rows; other columns aren't read."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return judged(docs, labels).select(*COLUMNS)
 

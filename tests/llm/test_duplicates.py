@@ -267,3 +267,22 @@ def test_rows_without_id_stay_one_by_one(spark, tmp_path):
     assert kept == sorted([(1, "a b c d"), (2, "x y z w"), (None, "q r s t"), (None, "u v")], key=str)
     one = docs.where("doc_id is not null or text = 'a b c d'")
     assert sorted(r.doc_id for r in simhash.keep_one(spark, one, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_cluster_without_shared_folder(spark, monkeypatch):
+    """A cluster whose executors share no folder is an error; a session's own options come back."""
+    import pytest
+
+    from parley.llm import common
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    common.drop_tables(common.cut(spark.range(3), "three"))
+    assert spark.conf.get(key) == before
+
+    class Elsewhere:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Elsewhere)

@@ -163,3 +163,18 @@ def test_op9(spark, tmp_path):
 def test_op9_of_no_pages(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert w.op9_warc(spark, str(tmp_path)).count() == 0
+
+
+def test_op9_very_long_pages_and_clashing_columns(spark, tmp_path):
+    long = "<p>é</p>" * 400_000
+    rows = [(1, "u", long, "x", 1, b"p"), (2, "u", long, "x", 1, b"p"), (3, "u", long + "!", None, None, None), (4, None, "", "x", 1, b"p"), (None, "u", long, "x", 1, b"p")]
+    spark.createDataFrame(rows, "page_id long, url string, html string, digest string, kept int, payload binary").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in w.op9_warc(spark, str(tmp_path)).collect()}
+    n = len(long.encode())
+    assert found == {(1, n, "revisit", 2), (2, n, "response", None), (3, n + 1, "response", None), (4, 0, "response", None), (None, n, "revisit", 2)}
+
+
+def test_op1_takes_any_integer_id(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (None, "a")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = m.op1_matroska(spark, str(tmp_path))
+    assert dict(found.dtypes)["doc_id"] == "bigint" and len({r.media_sha256 for r in found.collect()}) == 1
