@@ -130,7 +130,7 @@ class SuffixAutomaton:
 class Tokenizer:
     """Encodes as a byte-level BPE file of the tokenizers library does; added tokens are found in the text first."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, kept_words: int = KEPT_WORDS):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         letters, vocab = byte_letters(), file["model"]["vocab"]
@@ -163,7 +163,7 @@ class Tokenizer:
         self.words = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.length_of = list(map(len, self.bytes_of))
         self._beside: dict[int, bool] = {}
-        self._parts = Recent(KEPT_WORDS)
+        self._parts = Recent(kept_words)
         self._decimal_of, self._bytes_of = list(map(str, range(size))).__getitem__, self.bytes_of.__getitem__
         self.signs = {c: self._packed(self.encode_word(c.encode())) for c in map(chr, range(33, 127)) if not c.isalnum()}
 
@@ -306,8 +306,8 @@ def default_pattern() -> str:
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str, pattern: str) -> Tokenizer:
-    return Tokenizer(path, pattern)
+def tokenizer(path: str, pattern: str, kept_words: int = KEPT_WORDS) -> Tokenizer:
+    return Tokenizer(path, pattern, kept_words)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -339,12 +339,12 @@ def decode_ids(encoded: DataFrame, path: str | None = None, pattern: str | None
     return texts_to_python(encoded).select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded and decoded again. A null text is an empty one; repeated rows repeat."""
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, kept_words: int = KEPT_WORDS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each whole text encoded and decoded again. A null text is an empty one; repeated rows repeat. kept_words: a smaller table saves memory and takes longer."""
     path, pattern = path or default_path(), pattern or default_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path, pattern)
+        t = tokenizer(path, pattern, kept_words)
         for batch in batches:
             rows = [t.digest(x.as_py().decode("utf-8", "replace")) for x in batch.column(1)]
             kinds = [pa.int64(), pa.string(), pa.string()]
