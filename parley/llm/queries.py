@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, matroska, minhash, mixing, quality, separators, simhash, substrings, toxicity, warczip
+from . import bpe, licenses, matroska, minhash, mixing, negatives, quality, resampling, separators, simhash, substrings, toxicity, warczip
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licenses": licenses.op8_licenses,
     "op9_warc": warczip.op9_warc,
     "op10_quality": quality.op10_quality,
+    "op11_resampling": resampling.op11_resampling,
+    "op12_negatives": negatives.op12_negatives,
     "op13_minhash": minhash.op13_minhash,
     "pipeline": pipeline,
 }
@@ -38,4 +40,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
  CASE WHEN kept IS DISTINCT FROM page_id THEN kept END AS refers_to
 FROM d LEFT JOIN k ON d.digest = k.digest AND n >= 1000"""
 
-SQL: dict[str, str] = {"op6_mixing": mixing.oracle(), "op7_substrings": substrings.oracle(), "op9_warc": OP9_SQL, "op10_quality": quality.oracle(), "op13_minhash": minhash.oracle()}
+SQL: dict[str, str] = {"op6_mixing": mixing.oracle(), "op7_substrings": substrings.oracle(), "op9_warc": OP9_SQL, "op10_quality": quality.oracle(), "op11_resampling": resampling.oracle(), "op12_negatives": negatives.oracle(), "op13_minhash": minhash.oracle()}
