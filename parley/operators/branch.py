@@ -1,9 +1,11 @@
 """Payloads to messages, and the active branch of a message tree.
 
-A branch is walked inside one row by a higher-order fold over the payload's own id-to-parent map: no join, no recursion limit, and a step already taken ends the walk, so a cycle can't run on."""
+A branch is walked inside one row over a hash map of the payload's own ids, in a function that gets the ids alone: no join, no recursion, time and memory in
+proportion to the messages, and a step already taken ends the walk, so a cycle can't run on."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,20 +15,32 @@ from .filters import shown_message
 MESSAGES = ("source", "conversation_id", "pos", "node_id", "parent_id", "role", "content_type", "text", "on_branch")
 
 
-def walk(start: Column, ids: Column, parents: Column) -> Column:
-    """The ids from ``start`` up to the last known one, in that order. ids and parents: arrays in step, made once a row; of equal ids the first counts. As many steps as ids are taken, so a cycle ends; of a place that it comes back to the first stays."""
-    nothing = F.array().cast("array<string>")
+def on_path(start: str | None, ids: list[str | None], parents: list[str | None], rootless: bool = False) -> list[int | None]:
+    """For each id its place on the way from the top down to ``start``, or None: the way up ends at an id that isn't known or was passed before. Of equal ids the last counts. rootless: an id without parent isn't of the way."""
+    at = {i: k for k, i in enumerate(ids) if i is not None}
+    way: list[int] = []
+    passed = set()
+    while start in at and start not in passed:
+        passed.add(start)
+        way.append(at[start])
+        start = parents[way[-1]]
+    if rootless and way and parents[way[-1]] is None:
+        way.pop()
+    out: list[int | None] = [None] * len(ids)
+    for k, place in enumerate(way):
+        out[place] = len(way) - 1 - k
+    return out
 
-    def path(tree: Column) -> Column:
-        def step(acc: Column, _: Column) -> Column:
-            at = F.array_position(tree["ids"], acc["next"])
-            up = F.struct(F.get(tree["parents"], (at - 1).cast("int")).alias("next"), F.array_append(acc["path"], acc["next"]).alias("path"))
-            return F.when(at > 0, up).otherwise(F.struct(F.lit(None).cast("string").alias("next"), acc["path"].alias("path")))
 
-        return F.array_distinct(F.aggregate(F.sequence(F.lit(1), F.size(tree["ids"])), F.struct(start.cast("string").alias("next"), nothing.alias("path")), step)["path"])
+def places(start: Column, ids: Column, parents: Column, rootless: bool = False) -> Column:
+    """``on_path`` of each row's arrays, ids and parents in step."""
 
-    once = F.get(F.transform(F.array(F.struct(ids.alias("ids"), parents.alias("parents"))), path), 0)
-    return F.when(start.isNull() | (F.size(ids) <= 0), nothing).otherwise(once)
+    @F.arrow_udf("array<int>")
+    def run(starts: pa.Array, ids: pa.Array, parents: pa.Array) -> pa.Array:
+        found = [on_path(s, i, p, rootless) if i is not None else None for s, i, p in zip(starts.to_pylist(), ids.to_pylist(), parents.to_pylist())]
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return run(start.cast("string"), ids, parents)
 
 
 def list_text(message: Column) -> Column:
@@ -45,13 +59,10 @@ def tree_text(node: Column) -> Column:
 
 def list_messages(conversations: DataFrame, id_col: str = "conversation_id", raw: str = "raw_json") -> DataFrame:
     """Every message of list payloads; on the branch are those from the leaf up to and with the root, at their place from the top."""
-    p = conversations.select(F.col(id_col).alias("conversation_id"), F.from_json(raw, LIST_PAYLOAD).alias("p"))
-    p = p.where(F.size("p.chat_messages") > 0).withColumn("path", walk(F.nullif(F.col("p.current_leaf_message_uuid"), F.lit("")), F.reverse("p.chat_messages.uuid"), F.reverse("p.chat_messages.parent_message_uuid")))
-    m = p.select("conversation_id", "path", F.posexplode("p.chat_messages").alias("i", "m"), F.col("p.chat_messages.uuid").alias("ids"))
-    at = F.array_position("path", F.col("m.uuid"))
-    latest = ~F.array_contains(F.slice("ids", F.col("i") + 2, F.greatest(F.size("ids") - F.col("i") - 1, F.lit(0))), F.col("m.uuid"))
-    on = (at > 0) & F.coalesce(latest, F.lit(True))
-    return m.select(F.lit(LIST_SOURCE).alias("source"), "conversation_id", F.when(on, F.size("path") - at).otherwise(F.col("i")).cast("int").alias("pos"), F.col("m.uuid").alias("node_id"), F.col("m.parent_message_uuid").alias("parent_id"), F.col("m.sender").alias("role"), F.lit(None).cast("string").alias("content_type"), list_text(F.col("m")).alias("text"), F.coalesce(on, F.lit(False)).alias("on_branch"))
+    p = conversations.select(F.col(id_col).alias("conversation_id"), F.from_json(raw, LIST_PAYLOAD).alias("p")).where(F.size("p.chat_messages") > 0)
+    p = p.withColumn("places", places(F.nullif(F.col("p.current_leaf_message_uuid"), F.lit("")), F.col("p.chat_messages.uuid"), F.col("p.chat_messages.parent_message_uuid")))
+    m = p.select("conversation_id", F.posexplode(F.zip_with("p.chat_messages", "places", lambda m, at: F.struct(m.alias("m"), at.alias("at")))).alias("i", "e")).select("conversation_id", "i", "e.m", "e.at")
+    return m.select(F.lit(LIST_SOURCE).alias("source"), "conversation_id", F.coalesce("at", "i").cast("int").alias("pos"), F.col("m.uuid").alias("node_id"), F.col("m.parent_message_uuid").alias("parent_id"), F.col("m.sender").alias("role"), F.lit(None).cast("string").alias("content_type"), list_text(F.col("m")).alias("text"), F.col("at").isNotNull().alias("on_branch"))
 
 
 def tree_messages(conversations: DataFrame, id_col: str = "conversation_id", raw: str = "raw_json") -> DataFrame:
@@ -59,14 +70,12 @@ def tree_messages(conversations: DataFrame, id_col: str = "conversation_id", raw
     p = conversations.select(F.col(id_col).alias("conversation_id"), F.from_json(raw, TREE_PAYLOAD).alias("p")).where(F.size("p.mapping") > 0)
     first_leaf = F.get(F.filter(F.map_entries("p.mapping"), lambda e: F.coalesce(F.size(e["value"]["children"]), F.lit(0)) <= 0), 0)["key"]
     start = F.coalesce(F.nullif(F.col("p.current_node"), F.lit("")), first_leaf)
-    ids, parents = F.map_keys("p.mapping"), F.transform(F.map_values("p.mapping"), lambda v: v["parent"])
-    rooted = F.map_from_arrays(ids, F.transform(parents, lambda x: x.isNull()))
-    p = p.withColumn("path", F.filter(walk(start, ids, parents), lambda n: ~F.try_element_at(rooted, n)))
-    n = p.select("conversation_id", "path", F.posexplode(F.map_entries("p.mapping")).alias("i", "e")).select("*", F.col("e.value").alias("v"), F.col("e.key").alias("node_id"))
-    at = F.array_position("path", F.col("node_id"))
+    p = p.withColumn("places", places(start, F.map_keys("p.mapping"), F.transform(F.map_values("p.mapping"), lambda v: v["parent"]), rootless=True))
+    nodes = F.zip_with(F.map_entries("p.mapping"), "places", lambda e, at: F.struct(e["key"].alias("node_id"), e["value"].alias("v"), at.alias("at")))
+    n = p.select("conversation_id", F.posexplode(nodes).alias("i", "e")).select("conversation_id", "i", "e.node_id", "e.v", "e.at")
     role, kind = F.col("v.message.author.role"), F.col("v.message.content.content_type")
-    on = (at > 0) & F.col("v.message").isNotNull()
-    out = n.select(F.lit(TREE_SOURCE).alias("source"), "conversation_id", F.when(on, F.size("path") - at).otherwise(F.col("i")).cast("int").alias("pos"), "node_id", F.col("v.parent").alias("parent_id"), F.when(F.col("v.message").isNotNull(), F.coalesce(role, F.lit("unknown"))).alias("role"), kind.alias("content_type"), tree_text(F.col("v")).alias("text"), F.coalesce(on, F.lit(False)).alias("on_branch"))
+    on = F.col("at").isNotNull() & F.col("v.message").isNotNull()
+    out = n.select(F.lit(TREE_SOURCE).alias("source"), "conversation_id", F.when(on, F.col("at")).otherwise(F.col("i")).cast("int").alias("pos"), "node_id", F.col("v.parent").alias("parent_id"), F.when(F.col("v.message").isNotNull(), F.coalesce(role, F.lit("unknown"))).alias("role"), kind.alias("content_type"), tree_text(F.col("v")).alias("text"), on.alias("on_branch"))
     return out.withColumn("on_branch", F.col("on_branch") & shown_message())
 
 

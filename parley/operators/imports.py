@@ -45,16 +45,21 @@ def api_rows(chosen: DataFrame, details: DataFrame, source: str, now=None) -> Da
 
 
 def import_run(stored: DataFrame, chosen: DataFrame, details: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """(next snapshot with outcome, one row of stats) of one source's import. What could not be fetched or holds no messages counts as failed."""
-    rows = api_rows(chosen, details, source)
-    merged, refused, gone = merge(stored, rows, order="pos")
-    places = chosen.select(F.col("id").alias("conversation_id"), "pos", "title")
-    done = merged.where("outcome <> 'kept'").select("conversation_id", "title", "outcome").join(places.select("conversation_id", "pos"), "conversation_id", "left")
-    missed = details.where("raw_json is null").select(F.col("id").alias("conversation_id")).unionByName(refused.select("conversation_id"))
-    failed = missed.join(places, "conversation_id", "left").select("conversation_id", "title", F.lit("failed").alias("outcome"), "pos")
+    """(next snapshot with outcome, one row of stats) of one source's import as one plan."""
+    merged, refused, gone = merge(stored, api_rows(chosen, details, source), order="pos")
+    outcomes = merged.where("outcome <> 'kept'").select("conversation_id", "title", "outcome").unionByName(refused.select("conversation_id", "title", F.lit("failed").alias("outcome")))
+    return merged, import_stats(outcomes, gone, chosen, details)
+
+
+def import_stats(outcomes: DataFrame, gone: DataFrame, chosen: DataFrame, details: DataFrame) -> DataFrame:
+    """One row of stats: counts, the first titles, retries, how many rows were superseded, and failed_ids. What could not be fetched or holds no messages counts as failed."""
+    places = chosen.select(F.col("id").alias("conversation_id"), "pos", F.col("title").alias("listed"))
+    missed = details.where("raw_json is null").select(F.col("id").alias("conversation_id"), F.lit(None).cast("string").alias("title"), F.lit("failed").alias("outcome"))
+    all_ = outcomes.select("conversation_id", "title", "outcome").unionByName(missed).join(places, "conversation_id", "left")
+    all_ = all_.withColumn("title", F.when(F.col("outcome") == "failed", F.col("listed")).otherwise(F.col("title")))
     retries = details.agg(F.coalesce(F.sum(F.col("attempts") - 1), F.lit(0)).cast("long")).scalar()
-    stats = run_stats(done.unionByName(failed)).withColumn("retries", retries).withColumn("superseded", gone.agg(F.count(F.lit(1))).scalar())
-    return merged, stats
+    stats = run_stats(all_).withColumn("retries", retries).withColumn("superseded", gone.agg(F.count(F.lit(1))).scalar())
+    return stats.withColumn("failed_ids", all_.where("outcome = 'failed'").agg(F.collect_set("conversation_id")).scalar())
 
 
 def backfill(stored: DataFrame, files: DataFrame, name: str = "file_name", text: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.canonical import indented_json
 from ..functions.texts import export_filename, or_else, sender_label, strip
 from ..functions.times import iso_text, parse_timestamp
-from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, TREE_PAYLOAD, TREE_SOURCE
+from ..schema import API, FLAT_PAYLOAD, LIST_PAYLOAD, LIST_SOURCE, REBUILT, TREE_PAYLOAD, TREE_SOURCE
 from .branch import active_branch
 from .filters import not_empty
 
@@ -31,7 +31,8 @@ def with_labels(branch: DataFrame) -> DataFrame:
 
 
 def heads(conversations: DataFrame) -> DataFrame:
-    """(source, conversation_id, title_, markdown_head, text_head) of API payloads."""
+    """(source, conversation_id, title_, markdown_head, text_head). Heads of rebuilt payloads have a line for each thing that is known, as the files that they came from."""
+    conversations, rebuilt = conversations.where(F.col("raw_source") != REBUILT), conversations.where(F.col("raw_source") == REBUILT)
     lists = conversations.where(F.col("source") == LIST_SOURCE).withColumn("p", F.from_json("raw_json", LIST_PAYLOAD))
     none = lambda c: F.coalesce(F.col(c), F.lit("None"))
     title = or_else("p.name", "Untitled Conversation")
@@ -40,15 +41,20 @@ def heads(conversations: DataFrame) -> DataFrame:
     when = lambda c: F.coalesce(iso_text(parse_timestamp(c)), F.lit("unknown"))
     title = or_else("p.title", "ChatGPT Conversation")
     trees = trees.select("source", "conversation_id", title.alias("title_"), F.concat(F.lit("**Created:** "), when("p.create_time"), F.lit("\n**Updated:** "), when("p.update_time"), F.lit("\n\n---\n\n")).alias("markdown_head"), F.concat(title, F.lit(RULE)).alias("text_head"))
-    return lists.unionByName(trees)
+    flat = rebuilt.withColumn("p", F.from_json("raw_json", FLAT_PAYLOAD))
+    line = lambda name, c: F.coalesce(F.concat(F.lit(f"**{name}:** "), c, F.lit("\n")), F.lit(""))
+    title = F.coalesce("p.title", F.lit(""))
+    model = F.coalesce(F.concat(F.lit("\nModel: "), "p.model"), F.lit(""))
+    flat = flat.select("source", "conversation_id", title.alias("title_"), F.concat(line("Created", "p.created_at"), line("Updated", "p.updated_at"), line("Model", "p.model"), F.lit("\n---\n\n")).alias("markdown_head"), F.concat(title, model, F.lit(RULE)).alias("text_head"))
+    return lists.unionByName(trees).unionByName(flat)
 
 
 def render(conversations: DataFrame, fmt: str = "markdown", metadata: bool = True) -> DataFrame:
-    """(source, conversation_id, content) of stored API rows; any other format than markdown and text is the JSON, indented by two."""
+    """(source, conversation_id, content) of stored rows; any other format than markdown and text is the JSON, indented by two."""
     if fmt not in ("markdown", "text"):
         return conversations.select("source", "conversation_id", indented_json("raw_json").alias("content"))
     keys = ["source", "conversation_id"]
-    shown = active_branch(conversations).where(not_empty())
+    shown = active_branch(conversations.where(F.col("raw_source") != REBUILT)).where(not_empty()).unionByName(active_branch(conversations.where(F.col("raw_source") == REBUILT)))
     if fmt == "markdown":
         part = F.concat(F.lit("**"), sender_label("source", "role"), F.lit("**:\n\n"), F.col("text"), F.lit(RULE))
         bodies = shown.groupBy(*keys).agg(joined_in_order(part).alias("body"))

@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .segments import BEFORE, CARRY, Pieces
+
 SHOWN_TITLES, RECENT, GIVE_UP = 10, 10, 5
 # Mean retries of the last items from which an import waits so many seconds; below all, it waits the base.
 PACE_BASE, PACES = 0.5, ((2.25, 20.0), (1.2, 5.0))
+# Fixed value: how a log says that the reply was sent.
+SENT = "Sent reply to Telegram."
 
 
 def count_by(rows: DataFrame, *keys: str) -> DataFrame:
@@ -51,34 +55,43 @@ def change_notes(stats: DataFrame, shown: int = SHOWN_TITLES, total: str | None
     return stats.where(F.col("n") > 0).select("source", "verb", note.alias("note"))
 
 
-def run_stats(outcomes: DataFrame, position: str = "pos") -> DataFrame:
-    """One row: how many conversations were inserted, updated, unchanged and failed, and the titles of what was inserted and updated, in order; all of them, as a notice counts them."""
-    named = lambda o: F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.struct(position, F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)")).alias("t"))))), lambda x: x["t"])
-    return outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("inserted", "updated", "unchanged", "failed")), named("inserted").alias("inserted_titles"), named("updated").alias("updated_titles"))
+def run_stats(outcomes: DataFrame, position: str = "pos", shown: int = SHOWN_TITLES) -> DataFrame:
+    """One row: how many conversations were inserted, updated, unchanged and failed, and the first titles of what was inserted and updated, in order. Ranks are cut off before anything meets, so no task sees all titles."""
+    kinds = ("inserted", "updated")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("(untitled)"))
+    rank = F.row_number().over(Window.partitionBy("outcome").orderBy(F.asc_nulls_first(position), title))
+    first = outcomes.where(F.col("outcome").isin(*kinds)).select("outcome", F.col(position).alias("p"), title.alias("t"), rank.alias("rank")).where(F.col("rank") <= shown)
+    named = lambda o: F.transform(F.array_sort(F.collect_list(F.when(F.col("outcome") == o, F.struct("rank", "t")))), lambda x: x["t"])
+    counts = outcomes.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in (*kinds, "unchanged", "failed")))
+    return counts.crossJoin(first.agg(*(named(o).alias(f"{o}_titles") for o in kinds)))
 
 
 def adaptive_pace(rows: DataFrame, key: str, order: str, retries: str, recent: int = RECENT) -> DataFrame:
-    """``rows`` with pace: what to wait after each, from the mean retries of the last items up to it."""
-    mean = F.avg(retries).over(Window.partitionBy(key).orderBy(order).rowsBetween(1 - recent, 0))
+    """``rows`` with pace: what to wait after each, from the mean retries of the last items up to it. A key with many rows is cut into pieces, each of which gets the rows just before it."""
+    cut = Pieces(rows, key, order)
+    w = cut.window().rowsBetween(1 - recent, 0)
     pace = F.lit(PACE_BASE)
     for least, seconds in reversed(PACES):
-        pace = F.when(mean >= least, seconds).otherwise(pace)
-    return rows.withColumn("pace", pace)
+        pace = F.when(F.col("mean_") >= least, seconds).otherwise(pace)
+    known = cut.with_rows_before(recent - 1, retries).withColumn("mean_", F.avg(retries).over(w)).where(~F.col(BEFORE))
+    return known.withColumn("pace", pace).select(*rows.columns, "pace")
 
 
 def failure_runs(rows: DataFrame, key: str, order: str, failed: Column, least: int = GIVE_UP) -> DataFrame:
-    """(key, run, n, first, last): runs of failures that no success breaks, of ``least`` or more."""
-    w = Window.partitionBy(key).orderBy(order)
-    islands = rows.withColumn("failed_", failed).withColumn("run", F.sum(F.when(~F.col("failed_"), 1).otherwise(0)).over(w))
+    """(key, run, n, first, last): runs of failures that no success breaks, of ``least`` or more. A key with many rows is cut into pieces, which carry how many successes came before."""
+    cut = Pieces(rows.withColumn("failed_", failed), key, order)
+    success = F.when(~F.col("failed_"), 1).otherwise(0)
+    islands = cut.with_carry(F.sum(success)).withColumn("run", F.col(CARRY) + F.sum(success).over(cut.window()))
     return islands.where("failed_").groupBy(key, "run").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("n") >= least)
 
 
 def progress(rows: DataFrame, key: str, order: str, minutes: Column) -> DataFrame:
-    """``rows`` with i, n, rate (items a minute, 0 while no time has passed) and eta (minutes left, null at rate 0)."""
-    w = Window.partitionBy(key)
-    out = rows.withColumn("i", F.row_number().over(w.orderBy(order))).withColumn("n", F.count(F.lit(1)).over(w))
+    """``rows`` with i, n, rate (items a minute, 0 while no time has passed) and eta (minutes left, null at rate 0). A key with many rows is cut into pieces, which carry how many rows came before."""
+    cut = Pieces(rows, key, order)
+    out = cut.with_carry(F.count(F.lit(1))).withColumn("i", F.col(CARRY) + F.row_number().over(cut.window()))
+    out = out.join(rows.groupBy(F.col(key).alias("of_")).agg(F.count(F.lit(1)).alias("n")), F.col(key).eqNullSafe(F.col("of_")))
     out = out.withColumn("rate", F.when(minutes > 0, F.col("i") / minutes).otherwise(0.0))
-    return out.withColumn("eta", F.try_divide(F.col("n") - F.col("i"), F.nullif("rate", F.lit(0.0))))
+    return out.withColumn("eta", F.try_divide(F.col("n") - F.col("i"), F.nullif("rate", F.lit(0.0)))).select(*rows.columns, "i", "n", "rate", "eta")
 
 
 def pages(rows: DataFrame, order: list[Column], size: int, coarse: Column, descending: bool = True) -> DataFrame:
@@ -113,7 +126,7 @@ def fold_events(events: DataFrame, key: str, order: str, replaces: Column, text:
 def verdicts(lines: DataFrame, key: str, order: str, text: str = "value") -> DataFrame:
     """(key, got_question, beats, outcome, passed): what a bot's log says of each round trip; the last outcome counts."""
     v = F.col(text)
-    outcome = F.when(F.startswith(v, F.lit("Sent reply")), "sent").when(F.startswith(v, F.lit("Council failed:")), "failed")
+    outcome = F.when(F.startswith(v, F.lit(SENT)), "sent").when(F.startswith(v, F.lit("Council failed:")), "failed")
     out = lines.withColumn("o_", outcome).groupBy(key).agg(F.max(F.startswith(v, F.lit("Question:"))).alias("got_question"), F.count_if(F.startswith(v, F.lit("[heartbeat] ping sent"))).alias("beats"), F.max_by("o_", F.when(F.col("o_").isNotNull(), F.col(order))).alias("outcome"))
     return out.withColumn("passed", F.col("got_question") & F.coalesce(F.col("outcome") == "sent", F.lit(False)))
 

@@ -332,7 +332,7 @@ def token_fold(spark, sf_dir):
 
 @query("SELECT user_id, bool_or(event_type = 'view') AS got_question, count(*) FILTER (event_type = 'click') AS beats, max_by(CASE event_type WHEN 'purchase' THEN 'sent' ELSE 'failed' END, event_id) FILTER (event_type IN ('purchase', 'error')) AS outcome, bool_or(event_type = 'view') AND coalesce(max_by(event_type, event_id) FILTER (event_type IN ('purchase', 'error')) = 'purchase', false) AS passed FROM events GROUP BY user_id")
 def verdict(spark, sf_dir):
-    line = F.when(F.col("event_type") == "view", "Question: x").when(F.col("event_type") == "click", "[heartbeat] ping sent").when(F.col("event_type") == "purchase", "Sent reply").when(F.col("event_type") == "error", "Council failed: x").otherwise("")
+    line = F.when(F.col("event_type") == "view", "Question: x").when(F.col("event_type") == "click", "[heartbeat] ping sent").when(F.col("event_type") == "purchase", summaries.SENT).when(F.col("event_type") == "error", "Council failed: x").otherwise("")
     return summaries.verdicts(read(spark, sf_dir, "events").withColumn("value", line), "user_id", "event_id")
 
 
@@ -391,7 +391,8 @@ def streaming_merge(spark, sf_dir):
     import uuid
 
     from ..sources.snapshots import SnapshotTable
-    from ..streaming.ingest import shared_folder, start_merge
+    from ..schema import shared_folder
+    from ..streaming.ingest import start_merge
 
     folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/merge-{uuid.uuid4().hex}"
     null = F.lit(None)

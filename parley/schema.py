@@ -4,6 +4,9 @@ Conversations come in three shapes: a list of messages with parent pointers, a t
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,3 +42,24 @@ def checked(conversations: DataFrame) -> DataFrame:
     for column in ("conversation_id", "raw_json", "content_hash"):
         conversations = conversations.withColumn(column, F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{column} is null"))).otherwise(F.col(column)))
     return conversations
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which the driver and all executors share; where it is unset, a session on this machine alone has a temporary folder, and on a cluster it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"file:{tempfile.gettempdir()}/parley-checkpoints"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own in the shared folder, so that all who read it see the same rows. It goes when the application ends."""
+    spark = df.sparkSession
+    top = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(top)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    at = f"{top}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)

@@ -63,7 +63,7 @@ def walk_pages(fetch, after: str | None = None, size: int = 100, most: int | Non
             given += 1
             yield row
         last = moment(rows[-1].get("updated_at")) if rows else None
-        if not rows or more is False or more is None and not retry_empty and len(rows) < size or bound and last and last < bound:
+        if not rows or more is False or more is None and len(rows) < size or bound and last and last < bound:
             return
         offset += len(rows)
 

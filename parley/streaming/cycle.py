@@ -11,14 +11,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import iso_text
-from ..operators.imports import candidates, import_run
-from ..operators.summaries import change_notes
+from ..operators.imports import api_rows, candidates, import_stats
+from ..operators.summaries import SHOWN_TITLES, change_notes
 from ..sources.snapshots import SnapshotTable
-from .ingest import BOOTSTRAP_DAYS, OVERLAP_MINUTES, STATE, advance, bounds
+from .ingest import BOOTSTRAP_DAYS, INTERVAL_SECONDS, OVERLAP_MINUTES, STATE, advance, bounds, merge_batch
 from .notices import push_changes
+from .worklist import WorkList
 
 log = logging.getLogger(__name__)
 COUNTS = ("inserted", "updated", "unchanged", "failed", "retries", "superseded")
+BATCH_ROWS = 10
 DONE, STOPPED_EARLY, OUT_OF_TIME, GAVE_UP = "done", "stopped early", "out of time", "gave up"
 
 
@@ -33,7 +35,7 @@ class Source:
 
 @dataclass
 class Stats:
-    """What an import did: counts, the titles of what is new or changed, whether the time budget ended it."""
+    """What an import did: counts, the first titles of what is new or changed, whether the time budget ended it."""
 
     counts: dict[str, int] = field(default_factory=lambda: dict.fromkeys(COUNTS, 0))
     inserted_titles: list[str] = field(default_factory=list)
@@ -45,52 +47,51 @@ def state_table(spark: SparkSession, folder: str) -> SnapshotTable:
     """The table of watermarks, one row a source."""
     from pyspark.sql.types import StructType
 
-    return SnapshotTable(spark, folder, StructType.fromDDL(STATE), None, ("source",))
+    return SnapshotTable(spark, folder, StructType.fromDDL(STATE), ("source",), 1)
 
 
-def run_import(table: SnapshotTable, chosen: DataFrame, source: Source, batch_rows: int = 100_000, budget_seconds: float | None = None, clock: Callable[[], float] = time.monotonic) -> Stats:
-    """Fetches, merges and commits the chosen rows of a listing in batches of ``batch_rows`` places, each a snapshot of its own, until none is left or the budget is used up.
+def run_import(table: SnapshotTable, chosen: DataFrame, source: Source, batch_rows: int = BATCH_ROWS, budget_seconds: float | None = None, clock: Callable[[], float] = time.monotonic) -> Stats:
+    """Fetches, merges and commits the chosen rows of a listing in batches, each a commit of its own, until none is left or the budget, which is looked at before every batch, is used up.
 
-    Details are written down before they are merged, so that each is fetched once. What is committed stays: another run begins with what is left."""
+    The listing is evaluated once: it becomes a work list beside the table, and batches claim from that. Details are written down before they are merged, so each
+    is fetched once. What is committed stays; a run after one that ended early leaves out what that has done at the same listed time."""
     spark, stats, began = table.spark, Stats(), clock()
-    most = chosen.agg(F.max("pos")).first()[0]
-    for first in range(0, (-1 if most is None else most) + 1, batch_rows):
+    work = WorkList(spark, f"{table.folder}/_work/{source.name}")
+    work.begin(chosen)
+    while True:
         if budget_seconds is not None and clock() - began >= budget_seconds:
-            stats.stopped_early = True
+            stats.stopped_early = bool(work.pending().limit(1).count())
             break
-        part = chosen.where(F.col("pos").between(first, first + batch_rows - 1))
-        fetched = f"{table.folder}/_fetched-{source.name}-{first}"
-        source.details(part).write.mode("overwrite").parquet(fetched)
-        version = table.version()
-        merged, row = import_run(table.read(), part, spark.read.parquet(fetched), source.name)
-        one = row.first()
-        if any(one[c] for c in ("inserted", "updated", "superseded")):
-            table.replace(merged, expected=version)
-        path = table._path(fetched)
-        table._fs.delete(path, True)
+        batch = work.claim(batch_rows)
+        if batch is None:
+            break
+        details = work.fetched(source.details(batch))
+        outcomes, gone = merge_batch(table, api_rows(batch, details, source.name), "pos")
+        found = import_stats(outcomes, gone, batch, details).first()
+        work.settle(batch, spark.createDataFrame([(i,) for i in found["failed_ids"]], "id string"))
         for c in COUNTS:
-            stats.counts[c] += one[c] or 0
-        stats.inserted_titles += one["inserted_titles"]
-        stats.updated_titles += one["updated_titles"]
+            stats.counts[c] += found[c] or 0
+        for kept, new in ((stats.inserted_titles, found["inserted_titles"]), (stats.updated_titles, found["updated_titles"])):
+            kept += new[: SHOWN_TITLES - len(kept)]
     return stats
 
 
-def poll_cycle(table: SnapshotTable, state: SnapshotTable, sources: list[Source], now: Column | None = None, send: Callable[[str, str], None] | None = None, overlap_minutes: int = OVERLAP_MINUTES, bootstrap_days: int = BOOTSTRAP_DAYS, **batches) -> dict[str, Stats | str]:
+def poll_cycle(table: SnapshotTable, state: SnapshotTable, sources: list[Source], now: Column | None = None, send: Callable[[str, str], None] | None = None, overlap_minutes: int = OVERLAP_MINUTES, bootstrap_days: int = BOOTSTRAP_DAYS, limit: int = 0, **batches) -> dict[str, Stats | str]:
     """One cycle: for each source its bound, its listing from there on, the import, the notices; then the new state in one step. Returns each source's stats, or its error.
 
     A source whose listing fails sits the cycle out and keeps its error; one with failed items keeps its bound, so that the next cycle tries the same window again."""
     spark = table.spark
     started = now if now is not None else F.lit(spark.range(1).select(F.current_timestamp()).first()[0])
     names = spark.createDataFrame([(s.name,) for s in sources], "source string")
-    found = bounds(state.read(), table.read(), names, started, overlap_minutes, bootstrap_days)
+    found = bounds(state.read(), table.counts(), names, started, overlap_minutes, bootstrap_days)
     after = {r.source: r.after for r in found.select("source", iso_text("after").alias("after")).collect()}
     out: dict[str, Stats | str] = {}
     for source in sources:
         try:
-            chosen = candidates(source.listing(after[source.name]), source.name, table.read(), after=after[source.name])
+            chosen = candidates(source.listing(after[source.name]), source.name, table.read(), after=after[source.name], limit=limit)
             out[source.name] = stats = run_import(table, chosen, source, **batches)
             kinds = [(source.name, verb, stats.counts[kind], titles) for verb, kind, titles in (("new", "inserted", stats.inserted_titles), ("updated", "updated", stats.updated_titles))]
-            push_changes(send, change_notes(spark.createDataFrame(kinds, "source string, verb string, n int, titles array<string>")))
+            push_changes(send, change_notes(spark.createDataFrame(kinds, "source string, verb string, n int, titles array<string>"), total="n"))
         except Exception as e:  # whatever a source raises is its error, and the others go on
             log.warning("%s: the cycle failed: %s", source.name, e)
             out[source.name] = str(e) or type(e).__name__
@@ -100,6 +101,22 @@ def poll_cycle(table: SnapshotTable, state: SnapshotTable, sources: list[Source]
     return out
 
 
+def poll(cycle: Callable[[], None], interval: float = INTERVAL_SECONDS, cycles: int | None = None, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> int:
+    """Runs ``cycle`` again and again, beginning every ``interval`` seconds, or at once after one that took longer; so many times, or for ever. One that raises is logged, and the next one is run. Returns how many raised."""
+    failed = done = 0
+    while cycles is None or done < cycles:
+        began = clock()
+        try:
+            cycle()
+        except Exception as e:  # the next cycle tries the same window again
+            log.warning("the cycle failed: %s", e)
+            failed += 1
+        done += 1
+        if cycles is None or done < cycles:
+            sleep(max(0.0, interval - (clock() - began)))
+    return failed
+
+
 def supervise(run: Callable[[float], str], chunk_seconds: float = 900, total_seconds: float = 14_400, cooldown: float = 30, crash_cooldown: float = 120, most_failures: int = 5, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> tuple[str, int]:
     """(how it ended, chunks): runs ``run(budget)`` again until it is done. It may stop early, which clears the count of failures, or raise, and so many failures in a row end it, as does the whole time."""
     deadline, failures, chunks = clock() + total_seconds, 0, 0

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQueryListener
 
 log = logging.getLogger(__name__)
+BEAT_SECONDS = 30.0
 
 
 def push(send: Callable[[str, str], None] | None, title: str, message: str) -> bool:
@@ -28,6 +31,27 @@ def push_changes(send: Callable[[str, str], None] | None, notes: DataFrame) -> i
     return sum(push(send, r.note.split(":\n", 1)[0], r.note) for r in notes.collect())
 
 
+@contextmanager
+def beating(send: Callable[[str, str], None] | None, title: str, message: str, seconds: float = BEAT_SECONDS) -> Iterator[None]:
+    """While its body runs, a notice after every so many seconds, from a timer beside it. The timer ends with the body, also by an exception, and no notice follows."""
+    if send is None:
+        yield
+        return
+    over = threading.Event()
+
+    def beat() -> None:
+        while not over.wait(seconds):
+            push(send, title, message)
+
+    timer = threading.Thread(target=beat, name="heartbeat", daemon=True)
+    timer.start()
+    try:
+        yield
+    finally:
+        over.set()
+        timer.join()
+
+
 class Heartbeat(StreamingQueryListener):
     """A notice for each micro-batch with input, for idle triggers, and for the end of a query."""
 

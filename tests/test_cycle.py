@@ -19,7 +19,7 @@ ROW = "pos int, id string, title string, model string, created_at string, update
 DETAIL = "id string, raw_json string, attempts int"
 
 
-def source(spark, name, payloads, asked=None, broken=()):
+def source(spark, name, payloads, asked=None, broken=(), fetched=None):
     """payloads: id to (time, payload)."""
 
     def listing(after):
@@ -28,7 +28,9 @@ def source(spark, name, payloads, asked=None, broken=()):
         return spark.createDataFrame([(i, k, f"t{k[:8]}", None, t, t) for i, (k, (t, _)) in enumerate(payloads.items())], ROW)
 
     def details(rows):
-        wanted = [r.id for r in rows.collect()]
+        wanted = [r.id for r in rows.orderBy("pos").collect()]
+        if fetched is not None:
+            fetched.extend(wanted)
         return spark.createDataFrame([(k, None if k in broken else json.dumps(payloads[k][1] | ({"uuid": k, "name": f"t{k[:8]}"} if "chat_messages" in payloads[k][1] else {})), 1) for k in wanted], DETAIL)
 
     return cycle.Source(name, listing, details)
@@ -69,16 +71,90 @@ def test_two_cycles_one_of_them_failing(spark, tmp_path):
 
 def test_budget_and_batches(spark, tmp_path):
     table, _ = tables(spark, tmp_path)
-    own = source(spark, "claude", {k: ("2025-01-09T00:00:00Z", LIST) for k in ID})
+    fetched = []
+    own = source(spark, "claude", {k: ("2025-01-09T00:00:00Z", LIST) for k in ID}, fetched=fetched)
     chosen = imports.candidates(own.listing(None), "claude", table.read())
     clock = iter([0, 0, 5, 11, 99]).__next__
     stats = cycle.run_import(table, chosen, own, batch_rows=2, budget_seconds=10, clock=clock)
-    assert stats.stopped_early and stats.counts["inserted"] == 4 and table.read().count() == 4
+    assert stats.stopped_early and stats.counts["inserted"] == 4 and table.read().count() == 4 and fetched == ID[:4]
+    # The next run fetches only the rest, and one after it, whose list before was finished, all.
     stats = cycle.run_import(table, chosen, own, batch_rows=2)
-    assert not stats.stopped_early and (stats.counts["inserted"], stats.counts["unchanged"]) == (2, 4) and table.read().count() == 6
+    assert not stats.stopped_early and (stats.counts["inserted"], stats.counts["unchanged"]) == (2, 0) and table.read().count() == 6 and fetched[4:] == ID[4:]
+    stats = cycle.run_import(table, chosen, own)
+    assert (stats.counts["inserted"], stats.counts["unchanged"]) == (0, 6)
     assert cycle.run_import(table, chosen.limit(0), own).counts["inserted"] == 0
 
 
+def test_a_budget_of_a_second_stops_within_a_batch(spark, tmp_path):
+    table, _ = tables(spark, tmp_path)
+    many = ["%08d-0000-0000-0000-000000000000" % i for i in range(35)]
+    own = source(spark, "claude", {k: ("2025-01-09T00:00:00Z", LIST) for k in many})
+    clock = iter([0, 0.5, 50]).__next__
+    stats = cycle.run_import(table, own.listing(None), own, budget_seconds=1, clock=clock)
+    assert stats.stopped_early and stats.counts["inserted"] == cycle.BATCH_ROWS == 10 and len(stats.inserted_titles) == 10
+
+
+def test_the_listing_is_evaluated_once(spark, tmp_path):
+    table, state = tables(spark, tmp_path)
+    own = source(spark, "chatgpt", {k: ("2025-01-09T00:00:00Z", TREE) for k in ID})
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    listing = lambda after: own.listing(after).mapInArrow(counted, ROW)
+    found = cycle.poll_cycle(table, state, [cycle.Source("chatgpt", listing, own.details)], F.lit(NOW), batch_rows=2)
+    assert found["chatgpt"].counts["inserted"] == 6 and seen.value == 6
+
+
+def test_a_changed_item_is_not_left_out(spark, tmp_path):
+    """What an unfinished list has done is left out only at the same listed time; what failed there is tried again."""
+    table, _ = tables(spark, tmp_path)
+    day = lambda n: f"2025-01-0{n}T00:00:00Z"
+    clock = lambda: iter([0, 0, 99]).__next__
+    first = source(spark, "claude", {k: (day(1), LIST) for k in ID[:5]}, broken=[ID[1]])
+    stats = cycle.run_import(table, first.listing(None), first, batch_rows=3, budget_seconds=1, clock=clock())
+    assert stats.stopped_early and (stats.counts["inserted"], stats.counts["failed"]) == (2, 1)
+    fetched = []
+    second = source(spark, "claude", {ID[0]: (day(2), LIST), **{k: (day(1), LIST) for k in ID[1:]}}, fetched=fetched)
+    stats = cycle.run_import(table, second.listing(None), second, batch_rows=3)
+    assert fetched == [ID[0], ID[1], ID[3], ID[4], ID[5]] and stats.counts["inserted"] == 4 and table.read().count() == 6
+
+
+def test_a_crash_in_a_batch(spark, tmp_path, monkeypatch):
+    """A run that dies between fetching and storing, or between storing and noting it, loses and repeats nothing."""
+    table, _ = tables(spark, tmp_path)
+    own = source(spark, "claude", {k: ("2025-01-09T00:00:00Z", LIST) for k in ID})
+    for dying in ("merge_batch", "import_stats"):
+        real = getattr(cycle, dying)
+        monkeypatch.setattr(cycle, dying, lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            cycle.run_import(table, own.listing(None), own, batch_rows=4)
+        monkeypatch.setattr(cycle, dying, real)
+        assert table.read().count() == (4 if dying == "import_stats" else 0)
+    stats = cycle.run_import(table, own.listing(None), own, batch_rows=4)
+    assert (stats.counts["inserted"], stats.counts["unchanged"]) == (2, 4) and table.read().count() == 6
+
+
+def test_polling():
+    now, slept, ran = [0.0], [], []
+
+    def once():
+        ran.append(now[0])
+        now[0] += [10, 90, 5][len(ran) - 1]
+        if len(ran) == 2:
+            raise OSError("down")
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    assert cycle.poll(once, 60, 3, sleep, lambda: now[0]) == 1
+    assert ran == [0, 60, 150] and slept == [50, 0]
+
+
 @pytest.mark.parametrize(("runs", "ended", "waits"), [(["stopped early", "done"], ("done", 2), [30]), ([None, None, "stopped early", None, None, None, None, None], ("gave up", 8), [120, 120, 30, 120, 120, 120, 120]), (["stopped early"] * 9, ("out of time", 3), [30, 30, 30])])
 def test_supervision(runs, ended, waits):
     now, slept, budgets = [0.0], [], []

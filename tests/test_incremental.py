@@ -1,6 +1,7 @@
 """Paging, snapshots, catch-up, streams, summaries."""
 
 import json
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,7 @@ from test_conversations import LIST, stored
 
 from parley.operators import render, summaries
 from parley.sources import files, paged
-from parley.sources.snapshots import RunLock, SnapshotTable
+from parley.sources.snapshots import Conflict, RunLock, SnapshotTable
 from parley.streaming import folds, ingest, notices
 
 NOW = datetime(2025, 1, 10)
@@ -80,16 +81,20 @@ def test_snapshots(spark, tmp_path):
         table.replace(rows, expected=first)
 
 
+def keyed(spark, *ids, **columns):
+    return stored(spark, *(("claude", i, LIST, columns) for i in ids)).withColumn("imported_at", F.lit(NOW))
+
+
 def test_pointers_survive_crashes(spark, tmp_path):
     table = SnapshotTable(spark, f"file://{tmp_path}/t")
-    rows = stored(spark, ("claude", "a", LIST)).withColumn("imported_at", F.current_timestamp())
-    table.replace(rows)
-    # A writer that died after it wrote its version, and one that died before it filled its pointer.
-    rows.limit(0).write.parquet(f"{tmp_path}/t/v-dead")
-    (tmp_path / "t" / "_pointers" / "000000000002").write_text("")
+    table.replace(keyed(spark, "a"))
+    # A writer that died after it wrote its rows and its manifest, and one that died before its pointer had its name.
+    table._written(keyed(spark, "dead"), table.current())
+    table._put("m-dead", "")
+    table._put("_pointers/.dead", "{")
     assert table.read().count() == 1
-    table.replace(rows.unionByName(stored(spark, ("claude", "b", LIST)).withColumn("imported_at", F.current_timestamp())), expected=table.version())
-    assert table.read().count() == 2 and sorted(x.name for x in (tmp_path / "t" / "_pointers").iterdir() if x.name.isdigit())[-1] == "000000000003"
+    table.replace(keyed(spark, "a", "b"), expected=table.version())
+    assert table.read().count() == 2 and sorted(x.name for x in (tmp_path / "t" / "_pointers").iterdir() if x.name.isdigit())[-1] == "000000000002"
     assert table.drop_old() == 1 and table.read().count() == 2
     for f in (tmp_path / "t" / "_pointers").iterdir():
         f.unlink()
@@ -98,6 +103,150 @@ def test_pointers_survive_crashes(spark, tmp_path):
         table.read()
 
 
+STEPS = ("current", "_written", "_put", "_publish")
+
+
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("after", [False, True])
+def test_a_writer_held_up_anywhere(spark, tmp_path, monkeypatch, step, after):
+    """Another writer begins and ends while one is stopped before or after each of its steps: never do both succeed from one version, and no rows go without an error."""
+    slow, quick = (SnapshotTable(spark, f"file://{tmp_path}/t") for _ in range(2))
+    base = slow.replace(keyed(spark, "a"))
+    real, ran = getattr(slow, step), []
+
+    def other():
+        if not ran:
+            ran.append(1)
+            quick.replace(keyed(spark, "a", "quick"), expected=quick.version())
+
+    def held(*args):
+        if not after:
+            other()
+        found = real(*args)
+        if after:
+            other()
+        return found
+
+    monkeypatch.setattr(slow, step, held)
+    try:
+        slow.replace(keyed(spark, "a", "slow"), expected=base)
+        won = True
+    except Conflict:
+        won = False
+    rows = {r.conversation_id for r in quick.read().collect()}
+    assert rows == {"a", "quick"}
+    # The quick one began from the slow one's version only where that was published already.
+    assert won == (step == "_publish" and after)
+    assert len([x for x in (tmp_path / "t" / "_pointers").iterdir() if not x.name.startswith(".")]) == 2 + won
+
+
+def test_many_writers_of_one_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = SnapshotTable(spark, f"file://{tmp_path}/t", buckets=2)
+    base = table.replace(keyed(spark, "a"))
+
+    def write(i):
+        try:
+            return SnapshotTable(spark, f"file://{tmp_path}/t").replace(keyed(spark, "a", f"w{i}"), expected=base)
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        won = [v for v in pool.map(write, range(6)) if v]
+    assert won == [table.version()] and table.read().count() == 2
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    table = SnapshotTable(spark, f"file://{tmp_path}/t", buckets=64)
+    table.replace(keyed(spark, *(f"k{i}" for i in range(400)), content_hash="h"))
+    before = table.current().buckets
+    batch = keyed(spark, *(f"k{i}" for i in range(9)), "new", content_hash="h2")
+    ingest.merge_batch(table, batch)
+    after = table.current().buckets
+    changed = {b for b in after if after[b] != before.get(b)}
+    assert 1 <= len(changed) <= 10 and changed == set(table.touched(batch))
+    assert table.read().count() == 401 and table.read().where("content_hash = 'h2'").count() == 10
+    # A batch that changes nothing writes nothing, and one of which one row changes one bucket.
+    ingest.merge_batch(table, batch)
+    assert table.current().buckets == after
+    ingest.merge_batch(table, batch.withColumn("content_hash", F.when(F.col("conversation_id") == "new", "h3").otherwise(F.col("content_hash"))))
+    assert len([b for b, e in table.current().buckets.items() if e != after[b]]) == 1
+    with pytest.raises(ValueError):
+        table.update([b for b in range(64) if b not in changed], batch, table.version())
+    assert SnapshotTable(spark, f"file://{tmp_path}/t", buckets=3).lookup("claude", "new").first().content_hash == "h3"
+
+
+def test_counts_come_from_the_manifest(spark, tmp_path, monkeypatch):
+    table = SnapshotTable(spark, f"file://{tmp_path}/t")
+    at = lambda day: {"updated_at": datetime(2025, 1, day), "content_hash": f"h{day}"}
+    table.replace(stored(spark, ("claude", "a", LIST, at(2)), ("claude", "b", LIST, at(5)), ("chatgpt", "c", LIST, {"updated_at": None})).withColumn("imported_at", F.lit(NOW)))
+    ingest.merge_batch(table, stored(spark, ("claude", "a", LIST, at(7))).withColumn("imported_at", F.lit(NOW)))
+    monkeypatch.setattr(table, "read", None)
+    assert [(r.source, r.n, r.rebuilt, r.newest) for r in table.counts().collect()] == [("chatgpt", 1, 0, None), ("claude", 2, 0, datetime(2025, 1, 7))]
+
+
+def test_superseded_rows_of_other_buckets(spark, tmp_path):
+    table = SnapshotTable(spark, f"file://{tmp_path}/t", buckets=32)
+    when = {"title": "T", "created_at": NOW}
+    old = stored(spark, *(("claude", f"old{i}", {"messages": []}, when | {"raw_source": "markdown_reconstructed", "title": f"T{i}"}) for i in range(20))).withColumn("imported_at", F.lit(NOW))
+    table.replace(old)
+    assert len(table.with_rebuilt()) > 1
+    _, gone = ingest.merge_batch(table, keyed(spark, "new", title="T3", created_at=NOW))
+    assert [r.conversation_id for r in gone.collect()] == ["old3"]
+    assert {r.conversation_id for r in table.read().collect()} == {"new"} | {f"old{i}" for i in range(20) if i != 3}
+
+
+def test_beats_while_busy():
+    sent = []
+    with notices.beating(lambda *x: sent.append(x), "busy", "b", 0.2):
+        time.sleep(0.5)
+    assert sent == [("busy", "b")] * 2
+    with pytest.raises(OSError), notices.beating(lambda *x: sent.append(x), "busy", "b", 0.1):
+        raise OSError
+    time.sleep(0.3)
+    assert len(sent) == 2
+    with notices.beating(None, "busy", "b", 0.01):
+        time.sleep(0.05)
+
+
+def test_beats_while_a_batch_runs(spark, tmp_path, monkeypatch):
+    rows = keyed(spark, "a")
+    rows.write.parquet(f"{tmp_path}/in")
+    table, sent = SnapshotTable(spark, f"file://{tmp_path}/t"), []
+    slow = ingest.merge_batch
+    monkeypatch.setattr(ingest, "merge_batch", lambda *a: time.sleep(0.7) or slow(*a))
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    ingest.start_merge(stream, table, f"{tmp_path}/c", send=lambda title, text: sent.append(text), beat_seconds=0.25).awaitTermination()
+    assert len(sent) >= 2 and set(sent) == {"batch 0"} and table.read().count() == 1
+
+
+UPDATE = "update_id long, message struct<message_id:long,chat:struct<id:long>,text:string>"
+
+
+def test_an_inbox_over_crashes(spark, tmp_path):
+    feed = lambda *ids: spark.createDataFrame([(i, (i, (7 if i % 4 else 8,), f"m{i}")) for i in ids], UPDATE)
+    inbox = lambda: ingest.Inbox(spark, f"file://{tmp_path}/inbox", 7)
+    assert inbox().offset is None and inbox().take(feed(1, 2)).count() == 0 and inbox().offset == 3
+    assert sorted(r.update_id for r in inbox().take(feed(2, 3, 4, 5)).collect()) == [3, 5] and inbox().offset == 6
+    # A crash after the commit: the same updates come again, and have no effect. One before it: nothing is there, and they count.
+    assert inbox().take(feed(2, 3, 4, 5)).count() == 0 and inbox().offset == 6
+    broken = inbox()
+    broken.table._publish = lambda *a: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        broken.take(feed(6, 7, 7))
+    assert inbox().offset == 6 and inbox().table.read().count() == 2
+    assert sorted(r.update_id for r in inbox().take(feed(6, 7, 7)).collect()) == [6, 7]
+    feed(8, 9).write.parquet(f"{tmp_path}/in")
+    got = []
+    for k in range(2):  # two readers with offsets of their own: the inbox knows what it has
+        stream = spark.readStream.schema(UPDATE).parquet(f"{tmp_path}/in")
+        inbox().start(stream, f"{tmp_path}/c{k}", lambda new: got.append(sorted(r.update_id for r in new.collect()))).awaitTermination()
+    assert got == [[9], []] and inbox().offset == 10
+    whole = ingest.Inbox(spark, f"file://{tmp_path}/whole", 7, skip_backlog=False)
+    assert whole.take(feed(1, 4)).count() == 1
+
+
 def test_one_of_two_writers_wins(spark, tmp_path):
     one, two = (SnapshotTable(spark, f"file://{tmp_path}/t") for _ in range(2))
     rows = stored(spark, ("claude", "a", LIST)).withColumn("imported_at", F.current_timestamp())
@@ -136,7 +285,7 @@ def test_advance(spark):
 def test_bounds_by_source(spark):
     state = spark.createDataFrame([("claude", NOW - timedelta(days=1), None)], ingest.STATE)
     sources = spark.createDataFrame([("claude",), ("chatgpt",)], "source string")
-    found = {r.source: r.after for r in ingest.bounds(state, stored(spark, ("claude", "k", LIST)), sources, F.lit(NOW)).collect()}
+    found = {r.source: r.after for r in ingest.bounds(state, spark.createDataFrame([("claude", NOW)], "source string, newest timestamp"), sources, F.lit(NOW)).collect()}
     assert found == {"claude": NOW - timedelta(days=1), "chatgpt": NOW - timedelta(days=7)}
 
 
@@ -182,7 +331,7 @@ def test_token_stream(spark, tmp_path):
     assert [(r.text, r.limit) for r in spark.table("folded").collect()] == [("Bc", "few")]
 
 
-@pytest.mark.parametrize(("lines", "passed", "beats"), [(["Question: q", "[heartbeat] ping sent", "Sent reply to it"], True, 1), (["Question: q", "Sent reply", "Council failed: x"], False, 0), (["Sent reply"], False, 0), (["Question: q"], False, 0)])
+@pytest.mark.parametrize(("lines", "passed", "beats"), [(["Question: q", "[heartbeat] ping sent", "Sent reply to Telegram. Bye"], True, 1), (["Question: q", "Sent reply to Telegram.", "Council failed: x"], False, 0), (["Sent reply to Telegram."], False, 0), (["Question: q", "Sent reply to it"], False, 0), (["Question: q"], False, 0)])
 def test_verdicts(spark, lines, passed, beats):
     df = spark.createDataFrame([("k", i, x) for i, x in enumerate(lines)], "key string, seq int, value string")
     row = summaries.verdicts(df, "key", "seq").first()
