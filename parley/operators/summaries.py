@@ -131,10 +131,18 @@ def verdicts(lines: DataFrame, key: str, order: str, text: str = "value") -> Dat
     return out.withColumn("passed", F.col("got_question") & F.coalesce(F.col("outcome") == "sent", F.lit(False)))
 
 
-def random_one(rows: DataFrame, seed: int | None = None) -> DataFrame:
+def random_one(rows: DataFrame, seed: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row at random; with ``by`` that whose hash of these columns is the least: the same one in every run, however the rows are dealt out."""
+    if by:
+        return rows.orderBy(F.sha2(F.concat_ws("-", *(F.col(c).cast("string") for c in by)), 256), *by).limit(1)
     return rows.orderBy(F.rand(seed) if seed is not None else F.rand()).limit(1)
 
 
+def field_sum(rows: DataFrame, key: str, raw_json: str, path: str) -> DataFrame:
+    """(key, total): the sum of a whole number in JSON by key; what isn't there or is no number counts nothing."""
+    return rows.groupBy(key).agg(F.sum(F.get_json_object(raw_json, path).try_cast("long")).alias("total"))
+
+
 def list_tables(spark: SparkSession) -> DataFrame:
     """(table_name) of the catalog, sorted."""
     names = sorted(t.name for t in spark.catalog.listTables())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, texts, times
+from .. import schema
 from ..operators import branch, filters, imports, merge, parse, render, summaries
 from ..schema import API, LIST_PAYLOAD, LIST_SOURCE, REBUILT, TREE_SOURCE
 from ..streaming.ingest import advance, catchup_bound
@@ -188,9 +189,9 @@ def newest_update_per_source(spark, sf_dir):
     return summaries.newest(read(spark, sf_dir, "events"), "event_type", "ts")
 
 
-@query("SELECT user_id, min_by(event_type, event_id) AS first_value FROM events WHERE value > 50 AND length(event_type) > 0 GROUP BY user_id")
+@query("SELECT user_id, min_by(event_type, event_id) AS first_value FROM events WHERE length(event_type) > 0 GROUP BY user_id")
 def first_model(spark, sf_dir):
-    return summaries.first_non_empty(read(spark, sf_dir, "events").where("value > 50"), "user_id", "event_type", "event_id")
+    return summaries.first_non_empty(read(spark, sf_dir, "events"), "user_id", "event_type", "event_id")
 
 
 @query("SELECT event_type, props, CAST(rn AS BIGINT) AS rn, total, CAST(greatest(total - 10, 0) AS BIGINT) AS more FROM (SELECT event_type, props, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY event_type) AS total FROM events) WHERE rn <= 10")
@@ -208,7 +209,7 @@ def change_notes(spark, sf_dir):
 
 @query("SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
 def json_field_sum(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+    return summaries.field_sum(read(spark, sf_dir, "events"), "event_type", "props", "$.k").withColumnRenamed("total", "k")
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate IS NULL OR (o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate <= TIMESTAMP '1995-06-01')")
@@ -353,8 +354,7 @@ def markdown_roundtrip(spark, sf_dir):
 
 @query("SELECT conv_id, turn FROM conversations ORDER BY sha256(CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR)), conv_id, turn LIMIT 1")
 def random_sample(spark, sf_dir):
-    key = F.sha2(F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")), 256)
-    return read(spark, sf_dir, "conversations").orderBy(key, "conv_id", "turn").limit(1).select("conv_id", "turn")
+    return summaries.random_one(read(spark, sf_dir, "conversations").select("conv_id", "turn"), by=("conv_id", "turn"))
 
 
 @query("SELECT event_id, epoch_us(ts) AS us FROM events")
@@ -388,39 +388,178 @@ def random_pick(spark, sf_dir):
 @query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'new ' || conv_id AS title, count(*) FILTER (role <> 'system') AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def streaming_merge(spark, sf_dir):
     """The stored rows after two streams of the same payloads, each twice with an older title: read again and again, taken in once, the newest."""
-    import uuid
-
     from ..sources.snapshots import SnapshotTable
-    from ..schema import shared_folder
     from ..streaming.ingest import start_merge
 
-    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/merge-{uuid.uuid4().hex}"
+    folder = own_folder(spark, "merge")
     null = F.lit(None)
     p = list_payloads(spark, sf_dir)
     p = p.withColumn("age", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("title", F.concat(F.when(F.col("age") == 0, "new ").otherwise("old "), "conversation_id"))
     p = p.withColumn("updated_at", F.timestamp_seconds(F.lit(1_700_000_000) - F.col("age"))).withColumn("content_hash", F.sha2(F.concat("raw_json", "title"), 256))
     rows = p.select("source", "conversation_id", "title", null.cast("string").alias("model"), null.cast("timestamp").alias("created_at"), "updated_at", *(null.cast("string").alias(c) for c in ("created_text", "updated_text")), "raw_json", "raw_source", "content_hash", F.current_timestamp().alias("imported_at"))
     rows.write.parquet(f"{folder}/in")
-    table = SnapshotTable(spark, f"{folder}/table")
+    table = SnapshotTable(spark, f"{folder}/table", buckets=8)
     for i in range(2):
         stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
         start_merge(stream, table, f"{folder}/offsets-{i}").awaitTermination()
     return table.read().select("conversation_id", "title", F.size(F.from_json("raw_json", LIST_PAYLOAD)["chat_messages"]).cast("long").alias("n"))
 
 
-def three_pages(offset: int, limit: int):
-    """A listing of 15 rows on days going back, for the paged source: times as text without and with fraction, as epoch seconds, and none."""
-    rows = []
-    for i in range(15):
-        day = f"2024-01-{20 - i:02d}T00:00:00"
-        when = (day + "Z", day + ".500+00:00", 1705708800 - 86400 * i, None)[i % 4]
-        rows.append({"id": f"{i:02d}", "title": f"t{i}", "model": None, "created_at": when, "updated_at": when})
-    return rows[offset : offset + limit], offset + limit < len(rows)
+PAGE = 1000
+
+
+def page_of(folder: str, offset: int, limit: int):
+    """A page of a listing that lies in a folder as one folder a page, for the paged source."""
+    from pyarrow import dataset, fs
+
+    store, top = fs.FileSystem.from_uri(folder)
+    at = lambda n: f"{top}/page={n}"
+    there = lambda n: store.get_file_info(at(n)).type == fs.FileType.Directory
+    if offset % limit or not there(offset // limit):
+        return [], False
+    rows = dataset.dataset(at(offset // limit), filesystem=store, format="parquet").to_table().sort_by("place").to_pylist()
+    return rows, there(offset // limit + 1)
+
+
+def listed_pages(spark: SparkSession, events: DataFrame, folder: str) -> None:
+    """The events as a listing, newest first, in pages: times as text or seconds, and none for every seventh."""
+    paged = summaries.pages(events.select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], PAGE, F.to_date("ts"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    text = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 2 == 0, (us.cast("decimal(38,6)") / 1_000_000).cast("string")).otherwise(times.iso_text(F.timestamp_micros(us)))
+    rows = paged.select(F.col("event_id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("model"), text.alias("created_at"), text.alias("updated_at"), F.struct((-us).alias("t"), "event_id").alias("o"), "page")
+    ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("o"))).drop("o")
+    ranked.repartition("page").write.mode("overwrite").partitionBy("page").parquet(folder)
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A folder of a query's own in the one that all share."""
+    import uuid
+
+    from ..schema import shared_folder
 
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-@query("WITH l AS (SELECT i, TIMESTAMP '2024-01-20' - to_days(CAST(i AS INT)) AS day FROM range(15) r(i)), p AS (SELECT i, i // 5 AS page, CASE i % 4 WHEN 3 THEN NULL WHEN 1 THEN day + INTERVAL 500 MILLISECOND ELSE day END AS t FROM l), s AS (SELECT min(page) AS stop FROM p WHERE i % 5 = 4 AND t < TIMESTAMP '2024-01-15') SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS id, 't' || i AS title, coalesce(epoch_us(t), -1) AS us FROM p, s WHERE page <= stop AND (t IS NULL OR t >= TIMESTAMP '2024-01-15')")
+
+PAGES = f"""WITH p AS (SELECT event_id, ts, (row_number() OVER (ORDER BY ts DESC, event_id) - 1) // {PAGE} AS page, (row_number() OVER (ORDER BY ts DESC, event_id) - 1) % {PAGE} AS place, event_id % 7 <> 0 AS timed FROM events),
+"""
+
+
+@query(PAGES + f"e AS (SELECT page, max_by(timed, place) AS timed, max_by(ts, place) AS ts FROM p GROUP BY page), s AS (SELECT min(page) AS stop FROM e WHERE timed AND ts < TIMESTAMP '2024-01-20') SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN timed THEN epoch_us(ts) ELSE -1 END AS us FROM p, s WHERE (stop IS NULL OR page <= stop) AND (NOT timed OR ts >= TIMESTAMP '2024-01-20')")
 def paged_source(spark, sf_dir):
+    """The events paged through by the listing source, which stops after the first page that ends before a day."""
     from ..sources.paged import read_listing
 
-    rows = read_listing(spark, "parley.plans.catalogue:three_pages", after="2024-01-15T00:00:00Z", size=5)
-    return rows.select("id", "title", F.coalesce(F.unix_micros(times.parse_timestamp("updated_at")), F.lit(-1)).alias("us"))
+    listed_pages(spark, read(spark, sf_dir, "events"), folder := own_folder(spark, "pages"))
+    rows = read_listing(spark, f"parley.plans.catalogue:page_of?{folder}", after="2024-01-20T00:00:00Z", size=PAGE)
+    return rows.select("id", F.coalesce(F.unix_micros(times.parse_timestamp("updated_at")), F.lit(-1)).alias("us"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) ELSE -1 END AS us, 1::BIGINT AS n FROM events")
+def paged_stream(spark, sf_dir):
+    """The events as a stream of a listing that grows between two runs of one query: each row comes once."""
+    from ..sources.paged import stream_listing
+
+    folder, e = own_folder(spark, "stream"), read(spark, sf_dir, "events")
+    for seen in (e.where("ts < timestamp_ntz'2024-01-10'"), e, e):
+        listed_pages(spark, seen, f"{folder}/pages")
+        rows = stream_listing(spark, f"parley.plans.catalogue:page_of?{folder}/pages", size=PAGE)
+        rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").groupBy("id", "updated_at").agg(F.count(F.lit(1)).alias("n"))
+    return found.select("id", F.coalesce(F.unix_micros(times.parse_timestamp("updated_at")), F.lit(-1)).alias("us"), "n")
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, 'chat ' || conv_id AS title, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def import_runs(spark, sf_dir):
+    """The stored rows after two imports of one listing: the first runs out of time after a third of it, the second takes the rest."""
+    from ..sources.snapshots import SnapshotTable
+    from ..streaming import cycle
+
+    p = list_payloads(spark, sf_dir)
+    listing = p.select(F.col("conversation_id").cast("long").alias("pos"), F.col("conversation_id").alias("id"), "title", F.lit(None).cast("string").alias("model"), F.lit("2024-01-01").alias("created_at"), F.lit("2024-01-02").alias("updated_at"))
+    details = lambda rows: p.join(rows.select("id"), F.col("id") == F.col("conversation_id")).select("id", "raw_json", F.lit(1).alias("attempts"))
+    table = SnapshotTable(spark, own_folder(spark, "imports"), buckets=8)
+    source, third = cycle.Source(LIST_SOURCE, lambda _: listing, details), max(1, listing.count() // 3)
+    clock = iter([0.0, 0.0, 9.0]).__next__
+    cycle.run_import(table, listing, source, third, 1.0, clock)
+    cycle.run_import(table, listing, source, 2 * third)
+    return table.read().select("conversation_id", "title", F.size(F.from_json("raw_json", LIST_PAYLOAD)["chat_messages"]).cast("long").alias("n"))
+
+
+@query("SELECT event_id AS update_id, props AS text FROM events WHERE user_id = 7 AND length(props) > 0 AND event_id > (SELECT max(event_id) FROM events WHERE ts < TIMESTAMP '2024-01-02')")
+def inbox(spark, sf_dir):
+    """The messages of one chat in an inbox that skips what is there when it begins, and then gets all updates twice over, the second time with a start anew."""
+    from ..streaming.ingest import Inbox
+
+    e = read(spark, sf_dir, "events").select("ts", F.col("event_id").alias("update_id"), F.struct(F.struct(F.col("user_id").alias("id")).alias("chat"), F.col("props").alias("text")).alias("message"))
+    folder = own_folder(spark, "inbox")
+    for updates in (e.where("ts < timestamp_ntz'2024-01-02'"), e, e):
+        Inbox(spark, folder, 7).take(updates.drop("ts"))
+    return Inbox(spark, folder, 7).table.read().select("update_id", "text")
+
+
+@query(SQL["list_markdown"])
+def rebuilt_markdown(spark, sf_dir):
+    """Transcripts taken in from the Markdown of others, and written as Markdown again."""
+    rows = list_payloads(spark, sf_dir)
+    files = render.render(rows, "markdown").select(F.concat(F.lit("claude-"), "conversation_id", F.lit(".md")).alias("file_name"), F.col("content").alias("value"))
+    rebuilt, _, _ = imports.backfill(schema.empty_conversations(spark), files)
+    return render.render(rebuilt, "markdown").select("conversation_id", "content")
+
+
+@query(f"SELECT 'claude-chat ' || conversation_id || '.md' AS file_name, CAST(octet_length(encode(content)) AS BIGINT) AS bytes FROM ({SQL['list_markdown']})")
+def exported_files(spark, sf_dir):
+    """One file a conversation, by the sink."""
+    from ..sources.exports import write_exports
+
+    return write_exports(render.export_files(list_payloads(spark, sf_dir)), own_folder(spark, "exports"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS conversation_id, CAST(count(*) AS INTEGER) AS messages, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS asked FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id")
+def message_counts(spark, sf_dir):
+    """Messages of rebuilt rows, from their file and from their payload."""
+    shown = linear(spark, sf_dir).where(F.col("role").isin("user", "assistant"))
+    part = F.concat(F.lit("**"), texts.sender_label("source", "role"), F.lit("**:\n\n"), F.coalesce("text", F.lit("")), F.lit(render.RULE))
+    files = shown.groupBy("conversation_id").agg(F.concat(F.lit("# t\n\n\n---\n\n"), render.joined_in_order(part)).alias("value"))
+    rows, _ = parse.markdown_rows(files.select(F.concat(F.lit("chatgpt-"), F.col("conversation_id").cast("string"), F.lit(".md")).alias("file_name"), "value"))
+    asked = F.size(F.filter(F.from_json("raw_json", schema.FLAT_PAYLOAD)["messages"], lambda m: m["role"] == "user"))
+    return rows.select("conversation_id", F.col("message_count").alias("messages"), asked.cast("long").alias("asked"))
+
+
+@query("WITH o AS (SELECT event_id, props, CASE event_type WHEN 'view' THEN 'inserted' WHEN 'click' THEN 'updated' WHEN 'error' THEN 'failed' ELSE 'unchanged' END AS outcome FROM events), t AS (SELECT outcome, string_agg(props, '|' ORDER BY event_id) AS titles FROM (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY event_id) <= 10) GROUP BY outcome) SELECT count(*) FILTER (outcome = 'inserted') AS inserted, count(*) FILTER (outcome = 'updated') AS updated, count(*) FILTER (outcome = 'unchanged') AS unchanged, count(*) FILTER (outcome = 'failed') AS failed, coalesce((SELECT titles FROM t WHERE outcome = 'inserted'), '') AS inserted_titles, coalesce((SELECT titles FROM t WHERE outcome = 'updated'), '') AS updated_titles FROM o")
+def run_stats(spark, sf_dir):
+    outcome = F.when(F.col("event_type") == "view", "inserted").when(F.col("event_type") == "click", "updated").when(F.col("event_type") == "error", "failed").otherwise("unchanged")
+    stats = summaries.run_stats(read(spark, sf_dir, "events").select(F.col("event_id").alias("pos"), F.col("props").alias("title"), outcome.alias("outcome")))
+    return stats.withColumns({c: F.array_join(c, "|") for c in ("inserted_titles", "updated_titles")})
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) || '  ' || o_orderpriority AS line FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT count(*) FILTER (o_orderstatus = 'P') || ' of ' || count(*) FROM orders")
+def listing_lines(spark, sf_dir):
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderkey").cast("string").alias("conversation_id"), F.col("o_orderpriority").alias("title"), "o_orderstatus")
+    return summaries.listing_lines(o, o.where("o_orderstatus = 'P'"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-31 22:00:00' AND TIMESTAMP '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 40")
+def select_with_bounds(spark, sf_dir):
+    """Bounds as a user writes them, with a zone and as a day, and a limit in the listing's order."""
+    o = read(spark, sf_dir, "orders").withColumns({"updated_at": F.col("o_orderdate").cast("timestamp"), "pos": F.struct(-F.unix_micros(F.col("o_orderdate").cast("timestamp")), "o_orderkey")})
+    return filters.select_conversations(o, "1995-02-01T00:00:00+02:00", "1996-01-01", limit=40).select("o_orderkey")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_replace(url, '^.*/', '') ELSE 'x' END AS id, CASE page_id % 3 WHEN 0 THEN '2024-01-02T03:04:05+00:00' WHEN 1 THEN 'unknown' END AS created FROM pages")
+def file_headers(spark, sf_dir):
+    """Ids from file names, and times of headers, which stay as they are where they are no times."""
+    p = read(spark, sf_dir, "pages")
+    stem = F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", "^.*/", "")).otherwise("x")
+    name = F.concat(F.lit("claude-"), stem, F.lit(".md"))
+    created = F.when(F.col("page_id") % 3 == 0, "2024-01-02T03:04:05Z").when(F.col("page_id") % 3 == 1, "unknown").otherwise("")
+    return p.select("page_id", texts.id_from_filename(name, F.lit("claude")).alias("id"), times.lenient_text(created).alias("created"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN 'e' || event_id END AS text, CASE event_id % 3 WHEN 0 THEN 'few' END AS message_limit FROM events")
+def completions(spark, sf_dir):
+    """Results that come as JSON text, with and without a limit, or as no JSON."""
+    from ..streaming import folds
+
+    body = F.concat(F.lit('{"text": "e'), F.col("event_id").cast("string"), F.lit('"'), F.when(F.col("event_id") % 3 == 0, ', "messageLimit": "few"}').otherwise("}"))
+    e = read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 2, "no JSON").otherwise(body).alias("result"))
+    return folds.completions(e).select("event_id", "text", "message_limit")

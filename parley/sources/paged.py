@@ -11,10 +11,12 @@ import os
 import sys
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.times import parse_timestamp
 from ..operators.filters import between_or_null
@@ -77,12 +79,87 @@ class PagedReader(DataSourceReader):
 
     def read(self, partition):
         o = self.options
-        if o.get("root") and o["root"] not in sys.path:  # workers of data sources don't get the session's path
-            sys.path.append(o["root"])
-        module, name = o["fetch"].split(":")
-        fetch = getattr(importlib.import_module(module), name)
-        for r in walk_pages(fetch, o.get("after"), int(o.get("size", 100)), int(o["most"]) if o.get("most") else None, o.get("retryempty", "false") == "true", float(o.get("wait", WAIT))):
-            yield tuple(None if r.get(k) is None else str(r[k]) for k in ("id", "title", "model", "created_at", "updated_at"))
+        for r in walk_pages(_pages(o), o.get("after"), int(o.get("size", 100)), int(o["most"]) if o.get("most") else None, o.get("retryempty", "false") == "true", float(o.get("wait", WAIT))):
+            yield _cells(r)
+
+
+def function(text: str):
+    """The function named by module:name or module:name?argument; that argument it gets first."""
+    name, _, argument = text.partition("?")
+    module, _, name = name.partition(":")
+    found = getattr(importlib.import_module(module), name)
+    return partial(found, argument) if argument else found
+
+
+def _pages(options: dict):
+    if options.get("root") and options["root"] not in sys.path:  # workers of data sources don't get the session's path
+        sys.path.append(options["root"])
+    return function(options["fetch"])
+
+
+def _cells(row: dict) -> tuple:
+    return tuple(None if row.get(k) is None else str(row[k]) for k in ("id", "title", "model", "created_at", "updated_at"))
+
+
+def timed(rows: Iterator[dict]) -> Iterator[tuple[float | None, dict]]:
+    """(time in seconds, row) of a listing, newest first. A row without a time that can be read has that of the row before it; None before the first that has one."""
+    last = None
+    for row in rows:
+        at = moment(row.get("updated_at"))
+        last = at.timestamp() if at else last
+        yield last, row
+
+
+@dataclass
+class Span(InputPartition):
+    start: dict
+    end: dict
+
+
+class PagedStream(DataSourceStreamReader):
+    """The listing as a stream of what is new or changed since the last batch. An offset is the newest time of the listing and the ids that have it, so rows of that same time that come later are told from those that were read.
+
+    A batch is read by one task, from the top of the listing down to the start of its span: what came after the end of the span is left to the next batch. Rows
+    that were read are read again only if their time has moved on; rows without a time also if that of the row before them has, so they come at least once."""
+
+    def __init__(self, options: dict):
+        self.options = options
+
+    def _walk(self, after: float | None) -> Iterator[tuple[float | None, dict]]:
+        o = self.options
+        bound = None if after is None else datetime.fromtimestamp(after, UTC).isoformat()
+        return timed(walk_pages(_pages(o), bound, int(o.get("size", 100)), None, o.get("retryempty", "false") == "true", float(o.get("wait", WAIT))))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"newest": None, "ids": []}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        newest, ids = None, []
+        for at, row in self._walk(None):
+            if at is None:
+                continue
+            if newest is not None and at < newest:
+                break
+            newest = at
+            ids.append(str(row.get("id")))
+        return {"newest": newest, "ids": sorted(ids)}
+
+    def partitions(self, start: dict, end: dict):
+        return [Span(start, end)] if start != end else []
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        start, end = partition.start, partition.end
+        for at, row in self._walk(start["newest"]):
+            name = str(row.get("id"))
+            place = end["newest"] if at is None else at
+            if place is None or place > end["newest"] or place == end["newest"] and at is not None and name not in end["ids"]:
+                continue
+            if start["newest"] is not None and (place < start["newest"] or place == start["newest"] and name in start["ids"]):
+                continue
+            yield _cells(row)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 class PagedListing(DataSource):
@@ -96,6 +173,9 @@ class PagedListing(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return PagedReader(dict(self.options))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return PagedStream(dict(self.options))
+
 
 def read_listing(spark: SparkSession, fetch: str, after: str | None = None, **options) -> DataFrame:
     """A listing as a DataFrame; the reader stops early by the bound, and rows before it are left out. Rows without a time that can be read stay."""
@@ -106,14 +186,19 @@ def read_listing(spark: SparkSession, fetch: str, after: str | None = None, **op
     return reader.option("after", after).load().where(between_or_null(parse_timestamp("updated_at"), after))
 
 
+def stream_listing(spark: SparkSession, fetch: str, **options) -> DataFrame:
+    """A listing as a stream; the offsets in the query's checkpoint say over restarts what was read."""
+    spark.dataSource.register(PagedListing)
+    return spark.readStream.format(FORMAT).option("fetch", fetch).option("root", ROOT).options(**{k: str(v) for k, v in options.items()}).load()
+
+
 def fetch_details(ids: DataFrame, fetch: str, id_col: str = "id", wait: float = WAIT) -> DataFrame:
     """(id, raw_json, attempts, error) of each id: one request each, tried up to four times with waits of once, twice, three times ``wait`` seconds, spread over the executors."""
 
     def run(batches):
         import pandas as pd
 
-        module, name = fetch.split(":")
-        get = getattr(importlib.import_module(module), name)
+        get = function(fetch)
         for pdf in batches:
             rows = []
             for i in pdf[id_col]:

@@ -50,7 +50,7 @@ def state_table(spark: SparkSession, folder: str) -> SnapshotTable:
     return SnapshotTable(spark, folder, StructType.fromDDL(STATE), ("source",), 1)
 
 
-def run_import(table: SnapshotTable, chosen: DataFrame, source: Source, batch_rows: int = BATCH_ROWS, budget_seconds: float | None = None, clock: Callable[[], float] = time.monotonic) -> Stats:
+def run_import(table: SnapshotTable, chosen: DataFrame, source: Source, batch_rows: int = BATCH_ROWS, budget_seconds: float | None = None, clock: Callable[[], float] = time.monotonic, on_batch: Callable[[Stats], object] | None = None) -> Stats:
     """Fetches, merges and commits the chosen rows of a listing in batches, each a commit of its own, until none is left or the budget, which is looked at before every batch, is used up.
 
     The listing is evaluated once: it becomes a work list beside the table, and batches claim from that. Details are written down before they are merged, so each
@@ -66,16 +66,29 @@ def run_import(table: SnapshotTable, chosen: DataFrame, source: Source, batch_ro
         if batch is None:
             break
         details = work.fetched(source.details(batch))
-        outcomes, gone = merge_batch(table, api_rows(batch, details, source.name), "pos")
-        found = import_stats(outcomes, gone, batch, details).first()
+        rows = api_rows(batch, details, source.name).persist()
+        try:
+            outcomes, gone = merge_batch(table, rows, "pos")
+            found = import_stats(outcomes, gone, batch, details).first()
+        finally:
+            rows.unpersist()
         work.settle(batch, spark.createDataFrame([(i,) for i in found["failed_ids"]], "id string"))
+        own = Stats({c: found[c] or 0 for c in COUNTS}, found["inserted_titles"], found["updated_titles"])
+        if on_batch:
+            on_batch(own)
         for c in COUNTS:
-            stats.counts[c] += found[c] or 0
-        for kept, new in ((stats.inserted_titles, found["inserted_titles"]), (stats.updated_titles, found["updated_titles"])):
+            stats.counts[c] += own.counts[c]
+        for kept, new in ((stats.inserted_titles, own.inserted_titles), (stats.updated_titles, own.updated_titles)):
             kept += new[: SHOWN_TITLES - len(kept)]
     return stats
 
 
+def send_notes(spark: SparkSession, send: Callable[[str, str], None] | None, source: str, stats: Stats) -> int:
+    """Sends what a run did, a notice for each kind of change; returns how many were sent."""
+    kinds = [(source, verb, stats.counts[kind], titles) for verb, kind, titles in (("new", "inserted", stats.inserted_titles), ("updated", "updated", stats.updated_titles))]
+    return push_changes(send, change_notes(spark.createDataFrame(kinds, "source string, verb string, n int, titles array<string>"), total="n"))
+
+
 def poll_cycle(table: SnapshotTable, state: SnapshotTable, sources: list[Source], now: Column | None = None, send: Callable[[str, str], None] | None = None, overlap_minutes: int = OVERLAP_MINUTES, bootstrap_days: int = BOOTSTRAP_DAYS, limit: int = 0, **batches) -> dict[str, Stats | str]:
     """One cycle: for each source its bound, its listing from there on, the import, the notices; then the new state in one step. Returns each source's stats, or its error.
 
@@ -90,8 +103,7 @@ def poll_cycle(table: SnapshotTable, state: SnapshotTable, sources: list[Source]
         try:
             chosen = candidates(source.listing(after[source.name]), source.name, table.read(), after=after[source.name], limit=limit)
             out[source.name] = stats = run_import(table, chosen, source, **batches)
-            kinds = [(source.name, verb, stats.counts[kind], titles) for verb, kind, titles in (("new", "inserted", stats.inserted_titles), ("updated", "updated", stats.updated_titles))]
-            push_changes(send, change_notes(spark.createDataFrame(kinds, "source string, verb string, n int, titles array<string>"), total="n"))
+            send_notes(spark, send, source.name, stats)
         except Exception as e:  # whatever a source raises is its error, and the others go on
             log.warning("%s: the cycle failed: %s", source.name, e)
             out[source.name] = str(e) or type(e).__name__

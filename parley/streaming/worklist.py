@@ -59,8 +59,9 @@ class WorkList:
 
     def claim(self, n: int) -> DataFrame | None:
         """The next ``n`` items in the listing's order, written down as a batch; none if there are no more."""
-        place = F.struct("pos", "id")
-        rest = self.items() if self._last is None else self.items().where(place > F.struct(F.lit(self._last[0]), F.lit(self._last[1])))
+        rest, place = self.items(), F.struct("pos", "id")
+        if self._last is not None:
+            rest = rest.where(place > F.struct(*(F.lit(v).cast(rest.schema[c].dataType).alias(c) for c, v in zip(("pos", "id"), self._last))))
         path = f"{self.folder}/{self.number:08d}/claimed-{self.batches:08d}"
         rest.orderBy(place).limit(n).write.mode("overwrite").parquet(path)
         batch = self.spark.read.parquet(path)

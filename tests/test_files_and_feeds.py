@@ -1,0 +1,159 @@
+"""The file sink, the listing as a stream, and the commands of runs."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from test_conversations import LIST, TREE, stored
+from test_cycle import ID, NOW, tables
+
+from parley import __main__ as cli
+from parley.sources import exports, paged
+
+#: What the listing of the tests below has now, and the payloads; the functions are called in workers, so both lie in files.
+ROWS, DETAILS = "rows.json", "details.json"
+
+
+def page(folder, offset, limit):
+    with open(f"{folder}/{ROWS}") as f:
+        rows = json.load(f)
+    return rows[offset : offset + limit], offset + limit < len(rows)
+
+
+def put(folder, *rows):
+    (folder / ROWS).write_text(json.dumps([{"id": i, "title": f"t{i}", "updated_at": t} for i, t in rows]))
+
+
+FETCH = "test_files_and_feeds:page?"
+
+
+def ran(spark, folder):
+    """What one run of the stream adds, as (id, time)."""
+    before = spark.read.schema(paged.ROW).parquet(f"{folder}/out").count() if (folder / "out").exists() else 0
+    rows = paged.stream_listing(spark, f"{FETCH}{folder}", size=2)
+    rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
+    found = sorted((r.id, r.updated_at) for r in spark.read.schema(paged.ROW).parquet(f"{folder}/out").collect())
+    return len(found) - before, found
+
+
+@pytest.fixture
+def importable(spark, monkeypatch):
+    import os
+
+    here = os.path.dirname(__file__)
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", os.pathsep.join(filter(None, (here, paths))))
+    monkeypatch.setattr(paged, "ROOT", here)
+
+
+def test_a_listing_as_a_stream_over_restarts(spark, tmp_path, importable):
+    put(tmp_path, ("c", "2024-01-03T00:00:00Z"), ("b", "2024-01-02T00:00:00Z"), ("n", None), ("a", "2024-01-01T00:00:00Z"))
+    assert ran(spark, tmp_path)[0] == 4
+    assert ran(spark, tmp_path)[0] == 0
+    # One of the same newest time comes in, one is changed, and rows shift by that. The row without time has another before it now.
+    put(tmp_path, ("b", "2024-01-05T00:00:00Z"), ("d", "2024-01-03T00:00:00Z"), ("c", "2024-01-03T00:00:00Z"), ("n", None), ("a", "2024-01-01T00:00:00Z"))
+    new, found = ran(spark, tmp_path)
+    assert new == 3 and ("b", "2024-01-05T00:00:00Z") in found and ("d", "2024-01-03T00:00:00Z") in found
+    assert ran(spark, tmp_path)[0] == 0
+
+
+def test_what_comes_after_a_span_is_left_to_the_next(tmp_path):
+    put(tmp_path, ("new", "2024-01-09T00:00:00Z"), ("d", "2024-01-03T00:00:00Z"), ("c", "2024-01-03T00:00:00Z"), ("b", "2024-01-02T00:00:00Z"), ("a", "2024-01-01T00:00:00Z"))
+    stream = paged.PagedStream({"fetch": f"{FETCH}{tmp_path}", "size": "2"})
+    at = lambda text: paged.moment(text).timestamp()
+    start, end = {"newest": at("2024-01-02"), "ids": ["b"]}, {"newest": at("2024-01-03"), "ids": ["c"]}
+    assert [r[0] for r in stream.read(paged.Span(start, end))] == ["c"]
+    assert stream.latestOffset() == {"newest": at("2024-01-09"), "ids": ["new"]} and stream.partitions(end, end) == []
+    assert [r[0] for r in stream.read(paged.Span(end, stream.latestOffset()))] == ["new", "d"]
+
+
+def test_a_short_page_ends_the_walk():
+    calls, waits = [], []
+
+    def fetch(offset, limit):
+        calls.append(offset)
+        return [{"id": str(i)} for i in range(offset, min(offset + limit, 13))], None
+
+    assert len(list(paged.walk_pages(fetch, None, 5, retry_empty=True, sleep=waits.append))) == 13
+    assert calls == [0, 5, 10] and waits == []
+
+
+def test_the_sink_writes_once(spark, tmp_path):
+    out = tmp_path / "out"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    files = spark.createDataFrame([(f"f{i}.md", f"é{i}") for i in range(20)], exports.FILE).repartition(4).mapInArrow(counted, exports.FILE)
+    written = exports.write_exports(files, f"file://{out}")
+    assert written.count() == written.count() == 20 and seen.value == 20
+    assert {r.file_name: r.bytes for r in written.collect()}["f12.md"] == 4
+    assert sorted(p.name for p in out.iterdir() if p.name != exports.HIDDEN) == sorted(f"f{i}.md" for i in range(20)) and (out / "f3.md").read_text() == "é3"
+    assert [p.suffix for p in (out / exports.HIDDEN).iterdir()] == [".json"]
+    again = exports.write_exports(spark.createDataFrame([("f3.md", "new")], exports.FILE), str(out))
+    assert again.count() == 1 and (out / "f3.md").read_text() == "new" and len(list(out.iterdir())) == 21
+
+
+def test_a_failed_job_leaves_no_file(spark, tmp_path):
+    out = tmp_path / "out"
+    bad = F.when(F.col("file_name") == "f7.md", F.raise_error(F.lit("no"))).otherwise(F.col("content"))
+    files = spark.createDataFrame([(f"f{i}.md", "x") for i in range(20)], exports.FILE).repartition(4).select("file_name", bad.alias("content"))
+    for rows in (files, spark.createDataFrame([("same.md", "1"), ("same.md", "2")], exports.FILE)):
+        with pytest.raises(Exception):  # noqa: B017
+            exports.write_exports(rows, f"file://{out}")
+        assert not out.exists() or [p.name for p in out.iterdir() if p.name != exports.HIDDEN] == []
+        assert not (out / exports.HIDDEN).exists() or list((out / exports.HIDDEN).iterdir()) == []
+
+
+def test_a_repeated_attempt_counts_once(tmp_path):
+    writer = exports.NamedFilesWriter(f"file://{tmp_path}", "job")
+    row = {"file_name": "a.md", "content": "x"}
+    writer.write(iter([row]))  # an attempt that was lost
+    writer.commit([writer.write(iter([row])), None])
+    assert (tmp_path / "a.md").read_text() == "x" and len(list(tmp_path.iterdir())) == 2
+
+
+def detail(folder, i):
+    with open(f"{folder}/{DETAILS}") as f:
+        return json.load(f)[i]
+
+
+def test_import_and_poll_commands(spark, tmp_path, capsys, importable):
+    put(tmp_path, *((k, "2025-01-09T00:00:00Z") for k in ID))
+    (tmp_path / DETAILS).write_text(json.dumps({k: LIST | {"uuid": k} for k in ID}))
+    folder, own = f"file://{tmp_path}/t", f"claude={FETCH}{tmp_path},test_files_and_feeds:detail?{tmp_path}"
+    assert cli.main(["import", folder, own, "--batch-size", "2", "--max-runtime-minutes", "0"], spark) == cli.EARLY
+    assert "'inserted': 0" in capsys.readouterr().out
+    assert cli.main(["import", folder, own, "--after", "2025-01-01", "--limit", "5"], spark) == cli.OK
+    assert "'inserted': 5" in capsys.readouterr().out
+    assert cli.main(["poll", folder, f"file://{tmp_path}/s", own, "--once"], spark) == cli.OK
+    assert cli.main(["poll", folder, f"file://{tmp_path}/s", f"claude={FETCH}{tmp_path}/none,test_files_and_feeds:detail?{tmp_path}", "--once"], spark) == cli.FAILED
+
+
+def test_export_filters_and_show(spark, tmp_path, capsys):
+    table, _ = tables(spark, tmp_path)
+    rows = stored(spark, ("claude", "k1", LIST, {"title": "One", "model": "m", "updated_at": NOW}), ("chatgpt", "k2", TREE, {"title": "Two", "model": None, "updated_at": None})).withColumn("imported_at", F.lit(NOW))
+    table.replace(rows)
+    folder = f"file://{tmp_path}/t"
+    for options, names in ((["--model", "m"], ["claude-One.md"]), (["--before", "2025-01-01"], ["chatgpt-Two.md"]), (["--after", "2025-01-01"], ["chatgpt-Two.md", "claude-One.md"]), (["--limit", "1"], ["claude-One.md"])):
+        out = tmp_path / "-".join(options).strip("-")
+        assert cli.main(["export", folder, f"file://{out}", *options], spark) == 0
+        assert sorted(p.name for p in out.iterdir() if p.suffix == ".md") == names
+    capsys.readouterr()
+    assert cli.main(["show", folder, "claude", "k1"], spark) == 0 and capsys.readouterr().out.startswith("# Talk\n")
+    assert cli.main(["show", folder, "claude", "none"], spark) == cli.FAILED
+
+
+def test_supervise_command(monkeypatch, capsys):
+    codes, asked = iter([3, 1, 0]), []
+    monkeypatch.setattr(cli.subprocess, "run", lambda command, check: asked.append(command) or type("Ended", (), {"returncode": next(codes)}))
+    monkeypatch.setattr(cli.cycle.time, "sleep", lambda _: None)
+    run = ["supervise", "--cooldown", "0", "--crash-cooldown", "0", "/t"]
+    assert cli.main([*run, "claude=a:b,c:d", "--batch-size", "5"]) == cli.OK
+    assert len(asked) == 3 and asked[0][3:8] == ["import", "/t", "claude=a:b,c:d", "--batch-size", "5"] and asked[0][8:] == ["--max-runtime-minutes", "15.0"]
+    codes = iter([1] * 5)
+    assert cli.main([*run, "claude=a:b,c:d"]) == cli.FAILED
+    assert cli.main(["supervise", "--total-minutes", "0", "/t", "claude=a:b,c:d"]) == cli.TIMED_OUT
