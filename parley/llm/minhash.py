@@ -145,11 +145,15 @@ class Search:
         found = rows.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
         return cut(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
-    def confirm(self, pairs: DataFrame) -> None:
-        """Joins the components of those (a, b) of ``pairs`` whose full sets are similar enough; pairs that sizes and signatures rule out are never looked at."""
+    def sifted(self, pairs: DataFrame) -> DataFrame:
+        """The (a, b) of ``pairs`` that sizes and signatures don't rule out."""
         for side in "ab":
             pairs = pairs.join(self.classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_signature")), side)
-        likely = cut(pairs.where(may_be_linked(self.least, self.all_)).select("a", "b"), "likely")
+        return pairs.where(may_be_linked(self.least, self.all_)).select("a", "b")
+
+    def confirm(self, pairs: DataFrame) -> None:
+        """Joins the components of those (a, b) of ``pairs`` whose full sets are similar enough."""
+        likely = cut(pairs, "likely")
         if not likely.limit(1).count():
             return
         texts = self.texts(likely.select(F.explode(F.array("a", "b")).alias("needed")).distinct())
@@ -181,14 +185,14 @@ class Search:
 
         In each round every band's members are compared with one of them, its hub, and the hub, whose links are then known, leaves the band; so a group of
         near copies becomes a star and not its pairs. Bands whose members are joined to each other by then are settled. Of others, those with up to CROWD
-        members are compared by pairs, so a member has CROWD pairs a band at most; members of larger ones are banded again by more orders, where what is only
-        somewhat similar seldom meets."""
+        members are tried by pairs, so a member has CROWD pairs a band at most; members of larger ones are banded again by more orders, where what is only
+        somewhat similar seldom meets. Pairs are tried inside the join, and only those that sizes and signatures don't rule out come out of it."""
         members, done = banded, []
         for _ in range(HUB_ROUNDS):
             hubs = members.groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", "band")).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("band", "hub")
             tied = cut(members.join(hubs, "band").where("cid <> hub"), "tied")
             pairs = tied.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
-            self.confirm(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs))
+            self.confirm(self.sifted(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs)))
             done.append(pairs)
             members, before = cut(self.unsettled(tied.select("band", "cid")), "members"), members
             if before is not banded:
@@ -200,10 +204,10 @@ class Search:
         if deeper:
             again = cut(members.join(crowded, "band", "left_semi").select("cid").distinct(), "again")
             members = members.join(crowded, "band", "left_anti")
-        rooted = cut(self.rooted(members), "rooted")
-        a, b = (rooted.select(F.col("band").alias(f"{k}_band"), F.col("cid").alias(k), F.col("root").alias(f"{k}_root")) for k in "ab")
-        pairs = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root"))).select("a", "b").distinct()
-        self.confirm(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs))
+        rooted = cut(self.rooted(members).join(self.classes.select("cid", "n", "signature"), "cid"), "rooted")
+        a, b = (rooted.select(F.col("cid").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("band", "root", "n", "signature"))) for k in "ab")
+        likely = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_linked(self.least, self.all_)).select("a", "b").distinct()
+        self.confirm(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, likely))
         drop_tables(rooted, members)
         if deeper:
             self.settle(self.banded_again(again, level + 1), level + 1)
