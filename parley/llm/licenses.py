@@ -47,7 +47,7 @@ OWN_LABELS = frozenset((
     "ijg", "isc", "lppl-1.3c", "mit", "mit-0", "ms-pl", "ms-rl", "mulanpsl-2.0", "ncsa", "odbl-1.0", "ofl-1.1", "openssl", "osl-3.0", "php-3.01", "postgresql", "psf-2.0", "python-2.0", "unicode-dfs-2016",
     "unlicense", "upl-1.0", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl-2.1",
 ))
-EXCEPTION = re.compile(r"[a-z0-9.+\-]*exception[a-z0-9.+\-]*|llvm-exception|openjdk-assembly-exception-1\.0")
+EXCEPTION = re.compile(r"[a-z0-9.+\-]*exception[a-z0-9.+\-]*|linux-syscall-note|gpl-cc-1\.0|shl-2\.[01]")
 #: Names that a document defines itself.
 OWN_NAME = re.compile(r"(?:documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+")
 PERMISSIVE = frozenset(("mit", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "cc0", "cc-by", "zlib", "unlicense", "public-domain"))

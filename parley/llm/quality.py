@@ -107,9 +107,10 @@ def cutoffs(ruled: DataFrame, labels: DataFrame, false_rejection: float = FALSE_
 
     A rule with cutoff t rejects a document of more than t. Among the n good labelled documents of a stratum it rejects k; if its true rate were above its
     part of the allowed one, so few would be seen with at most the binomial probability P(X <= k). Cutoffs are tried from the most lenient on and the last
-    before the first failure is taken, so that a rule costs one error (fixed sequence); the error is divided by rules times strata, the rate by rules."""
+    before the first failure is taken, so that a rule costs one error (fixed sequence); the error is divided by rules times strata, the rate by rules. A document
+    counts once in a stratum, by its worst values, however often its row is repeated: copies of one draw tell no more than the draw."""
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("good_id")).agg(F.min("quality").alias("q")).where("q = 1").select("good_id")
-    labelled = ruled.join(good, ruled["doc_id"] == good["good_id"], "left_semi")
+    labelled = ruled.join(good, ruled["doc_id"] == good["good_id"], "left_semi").groupBy("stratum", "doc_id").agg(*(F.max(r).alias(r) for r in RULES))
     cells = [(r, t) for r, ts in RULES.items() for t in ts]
     counted = labelled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(r) > t).alias(f"k{i}") for i, (r, t) in enumerate(cells)))
     strata = ruled.agg(F.count_distinct("stratum")).first()[0]
@@ -155,7 +156,8 @@ m AS (SELECT doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(re
 s AS (SELECT *, CASE WHEN n_words > 0 THEN n_symbols / n_words ELSE 0 END AS symbols, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS duplicate_lines, CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeats, CASE WHEN n_words > 0 THEN n_shouts / n_words ELSE 0 END AS shouts,
  n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM s SEMI JOIN good USING (doc_id) CROSS JOIN (VALUES {grid}) AS v(rule, cutoff) GROUP BY ALL),
+l AS (SELECT stratum, doc_id, {", ".join(f"max({r}) AS {r}" for r in RULES)} FROM s SEMI JOIN good USING (doc_id) GROUP BY stratum, doc_id),
+k AS (SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER ({value} > cutoff) AS k FROM l CROSS JOIN (VALUES {grid}) AS v(rule, cutoff) GROUP BY ALL),
 b AS (SELECT *, CASE WHEN k > n * {p} THEN 1 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i > 0 THEN lgamma(i + 1) ELSE 0 END - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS tail FROM k),
 f AS (SELECT stratum, rule, cutoff, bool_and(tail <= {error} / {len(RULES)} / (SELECT count(DISTINCT stratum) FROM s)) OVER (PARTITION BY stratum, rule ORDER BY cutoff DESC) AS safe FROM b),
 t AS (SELECT stratum, {", ".join(f"min(cutoff) FILTER (rule = '{r}') AS cut_{r}" for r in RULES)} FROM f WHERE safe GROUP BY stratum)

@@ -170,41 +170,62 @@ def risk_of(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> float:
     return prior * (z_p < 0).mean() + max(0.0, (z_u >= 0).mean() - prior * (z_p >= 0).mean())
 
 
-def fit(features: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rules: tuple[Rule, ...] = RULES, folds: int = FOLDS) -> Classifier:
+def chosen_columns(features: np.ndarray, p: Sample, u: Sample, in_p: np.ndarray, in_u: np.ndarray, prior: float, rule: Rule) -> np.ndarray:
+    return choose(features, p.counts(in_p), u.counts(in_u), int(in_p.sum()), int(in_u.sum()), prior, rule)
+
+
+def fold_risk(features: np.ndarray, p: Sample, u: Sample, prior: float, rule: Rule, fold: int, folds: int) -> float:
+    """The risk in one fold of what the others teach by a rule."""
+    own_p, own_u = np.arange(p.n) % folds == fold, np.arange(u.n) % folds == fold
+    cols = chosen_columns(features, p, u, ~own_p, ~own_u, prior, rule)
+    w = minimised(p.part(~own_p, cols), u.part(~own_u, cols), prior, FOLD_STEPS)
+    return risk_of(p.part(own_p, cols).scores(w), u.part(own_u, cols).scores(w), prior)
+
+
+def fit(features: np.ndarray, positives: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rules: tuple[Rule, ...] = RULES, folds: int = FOLDS, spark: SparkSession | None = None) -> Classifier:
     """A classifier over texts given by those of their features that are in ``features``, which is sorted. The rule is the one with the least risk over the folds, each
-    scored by what the others teach; of equals the first. Without positives or without unlabelled text everything scores the prior."""
+    scored by what the others teach; of equals the first. Without positives or without unlabelled text everything scores the prior. With a session rules and folds
+    are tried as its tasks, which get the sample, bounded as it is, as a broadcast."""
     if not positives or not unlabelled:
         return Classifier({}, start_bias(prior))
     p, u = Sample(features, positives), Sample(features, unlabelled)
-
-    def chosen(rule: Rule, in_p: np.ndarray, in_u: np.ndarray) -> np.ndarray:
-        return choose(features, p.counts(in_p), u.counts(in_u), int(in_p.sum()), int(in_u.sum()), prior, rule)
-
-    def risk(rule: Rule) -> float:
-        out = 0.0
-        for f in range(folds):
-            own_p, own_u = np.arange(p.n) % folds == f, np.arange(u.n) % folds == f
-            cols = chosen(rule, ~own_p, ~own_u)
-            w = minimised(p.part(~own_p, cols), u.part(~own_u, cols), prior, FOLD_STEPS)
-            out += risk_of(p.part(own_p, cols).scores(w), u.part(own_u, cols).scores(w), prior)
-        return out
-
+    best = rules[0]
+    if len(rules) > 1 and min(p.n, u.n) >= 2 * folds:
+        tried = [(r, f) for r in range(len(rules)) for f in range(folds)]
+        risks = in_tasks(spark, (features, p, u, prior, rules, folds), tried) if spark else [fold_risk(features, p, u, prior, rules[r], f, folds) for r, f in tried]
+        best = min(enumerate(rules), key=lambda x: sum(risk for (r, _), risk in zip(tried, risks) if r == x[0]))[1]
     all_p, all_u = np.ones(p.n, bool), np.ones(u.n, bool)
-    best = min(rules, key=risk) if len(rules) > 1 and min(p.n, u.n) >= 2 * folds else rules[0]
-    cols = chosen(best, all_p, all_u)
+    cols = chosen_columns(features, p, u, all_p, all_u, prior, best)
     w = minimised(p.part(all_p, cols), u.part(all_u, cols), prior)
     return Classifier({int(c): float(x) for c, x in zip(features[cols], w)}, float(w[-1]))
 
 
+def in_tasks(spark: SparkSession, sample: tuple, tried: list[tuple[int, int]]) -> list[float]:
+    """The risk of each (rule, fold), one task each."""
+    held = spark.sparkContext.broadcast(sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features, p, u, prior, rules, folds = held.value
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            risks = [float(fold_risk(features, p, u, prior, rules[tried[i][0]], tried[i][1], folds)) for i in at]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(risks, pa.float64())], names=["id", "risk"])
+
+    found = {r.id: r.risk for r in spark.range(0, len(tried), 1, len(tried)).mapInArrow(run, "id long, risk double").collect()}
+    held.destroy()
+    return [found[i] for i in range(len(tried))]
+
+
 def sample_features(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(toxic, features) of the documents in ``chosen`` (chosen_id, toxic), whose number the sample's bounds limit."""
+    """(toxic, features) of the documents in ``chosen`` (chosen_id, toxic), one row each, whose number the sample's bounds limit. Of texts that share an id the least counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((features(x.as_py()) for x in batch.column(1)), pa.list_(pa.int32()))], names=["toxic", "features"])
 
-    joined = texts_to_python(docs).join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen_id"]).select("toxic", F.coalesce("text", F.lit("")).alias("text"))
-    return joined.mapInArrow(run, "toxic int, features array<int>")
+    joined = texts_to_python(docs).join(F.broadcast(chosen), docs["doc_id"] == chosen["chosen_id"])
+    one = joined.groupBy("chosen_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    return one.select("toxic", "text").mapInArrow(run, "toxic int, features array<int>")
 
 
 def feature_counts(sample: DataFrame) -> DataFrame:
@@ -245,8 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     total = known.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     prior = (total[1] or 0) / total[0] if total[0] else 0.0
     pick = lambda rows, n: rows.orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(n).select("chosen_id")
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("chosen_id"))
-    chosen = cut(pick(known.where("toxic = 1"), positives).withColumn("toxic", F.lit(1)).union(pick(every, unlabelled).distinct().withColumn("toxic", F.lit(0))), "sample")
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").where(~held_out()).select(F.col("doc_id").alias("chosen_id")).distinct()
+    chosen = cut(pick(known.where("toxic = 1"), positives).withColumn("toxic", F.lit(1)).union(pick(every, unlabelled).withColumn("toxic", F.lit(0))), "sample")
     sample = cut(sample_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), chosen), "features")
     n_p, n_u = (int(x or 0) for x in sample.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     if not n_p or not n_u:
@@ -260,7 +281,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     keys = list(zip(*(found.column(c).to_pylist() for c in ("n", "crc", "total"))))
     order = sorted(range(len(rows)), key=keys.__getitem__)  # the order that rows arrive in must not matter
     drop_tables(sample, chosen)
-    return fit(seen, [rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior)
+    return fit(seen, [rows[i] for i in order if marks[i] == 1], [rows[i] for i in order if marks[i] == 0], prior, spark=docs.sparkSession)
 
 
 def scores(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,6 +48,8 @@ def test_base_places(text):
         ("MIT AND GPL-2.0+", ["mit", "gpl-2.0+", "and"], {"mit", "gpl-2"}, False),
         ("(MIT OR GPL-3.0) AND Apache-2.0", ["mit", "gpl-3.0", "or", "apache-2.0", "and"], {"mit", "gpl-3", "apache-2"}, True),
         ("GPL-2.0 WITH Classpath-exception-2.0 OR MIT", ["gpl-2.0", "classpath-exception-2.0", "with", "mit", "or"], {"gpl-2", "mit"}, True),
+        ("(GPL-2.0 WITH Linux-syscall-note) OR MIT", ["gpl-2.0", "linux-syscall-note", "with", "mit", "or"], {"gpl-2", "mit"}, True),
+        ("Apache-2.0 WITH LLVM-exception", ["apache-2.0", "llvm-exception", "with"], {"apache-2"}, True),
         ("mit and isc or epl-2.0 and wtfpl", ["mit", "isc", "and", "epl-2.0", "wtfpl", "and", "or"], {"mit", "isc", "epl-2.0", "wtfpl"}, True),
         ("MIT This file is free", ["mit"], {"mit"}, True),
         ("LicenseRef-Mine OR DocumentRef-a.b:LicenseRef-c", ["licenseref-mine", "documentref-a.b:licenseref-c", "or"], {"licenseref-mine", "documentref-a.b:licenseref-c"}, False),
@@ -249,6 +251,35 @@ def test_unlabelled_text_is_of_all_documents(spark, tmp_path, monkeypatch):
     assert {r.chosen_id for r in drawn if r.toxic} == {i for i, _, x in rows[:60] if x and i in training}
 
 
+def test_a_repeated_row_is_one_of_the_sample(spark, monkeypatch):
+    """Rows of one id, repeated beyond both bounds, leave the sample its size; of texts that share an id the least counts."""
+    rows = [(1, "b toxic", "x"), (1, "a toxic", "x")] * 700 + [(i, f"text {i}", "x") for i in range(2, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, int(i < 40)) for i in range(1, 400)], "doc_id long, quality int, toxic int")
+    sizes, texts = [], []
+    whole = toxicity.sample_features
+
+    def watched(docs, chosen):
+        found = whole(docs, chosen)
+        sizes.append((chosen.where("toxic = 0").count(), chosen.where("toxic = 1").count(), found.count()))
+        texts.extend(len(r.features) for r in found.collect())
+        return found
+
+    monkeypatch.setattr(toxicity, "sample_features", watched)
+    toxicity.train(docs, labels, positives=20, unlabelled=100)
+    assert sizes == [(100, 20, 120)]
+    everyone = spark.createDataFrame([(1, 0)], "chosen_id long, toxic int")
+    assert whole(docs, everyone).first().features == toxicity.features("a toxic").tolist()
+
+
+def test_rules_tried_in_tasks_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    positives, unlabelled = ([np.unique(rng.integers(0, 60, 12)) * 4 for _ in range(n)] for n in (30, 80))
+    every = np.unique(np.concatenate(positives + unlabelled))
+    one, other = (toxicity.fit(every, positives, unlabelled, 0.1, spark=s) for s in (None, spark))
+    assert one.weights == other.weights and one.bias == other.bias
+
+
 def test_long_training_texts_keep_all_their_words(spark, tmp_path):
     """Toxic words have the highest hashes of texts of more than 40,000 features."""
     filler = [f"{i:x}" for i in range(60_000)]
@@ -373,6 +404,7 @@ def test_op10_equals_sql(spark, tmp_path):
     edge = [(None, None, None), (4000, "", "en"), (4001, " \n\t ", "en"), (4002, "x y\n\nx y\n x y", "fr"), (4003, "one two three four five six seven eight " * 2000, "en"), (4004, "é# ﬁ|<> " * 30, "en"), (5, "again", "en"), (4005, "a b c d e f g h\n" * 3, "en")]
     rows += edge
     labels += [(1, 1, 0), (2, None, 0), (None, 1, 0), (99999, 1, 0)]
+    rows += [r for r in rows[:40] for _ in range(60)]
     spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, n_words int").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     con = duck(tmp_path, "documents", "labels")
@@ -395,6 +427,18 @@ def plain_repeat(words, size=8):
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=60), min_size=1, max_size=20))
+def test_a_repeated_document_counts_once(spark):
+    """Good documents repeated 2,000 times are no more evidence than once."""
+    few = [(i, "en", 0.0, 0.0, 0.0, 0.0) for i in range(3)]
+    columns = ", ".join(f"{r} double" for r in quality.RULES)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id long, quality int, toxic int")
+    for rows in (few, few * 2000):
+        assert quality.cutoffs(spark.createDataFrame(rows, f"doc_id long, stratum string, {columns}"), labels).count() == 0
+    many = [(i, "en", *[0.0] * 4) for i in range(3000)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)], "doc_id long, quality int, toxic int")
+    assert quality.cutoffs(spark.createDataFrame(many, f"doc_id long, stratum string, {columns}"), labels).count() == 1
+
+
 def test_repeat_words(spark, texts):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "i int, t string")
     found = {r.i: r.n for r in df.select("i", quality.let(quality.words_of(F.col("t")), quality.repeat_words).alias("n")).collect()}
