@@ -1,6 +1,7 @@
 """Paging, snapshots, catch-up, streams, summaries."""
 
 import json
+import random
 import time
 from datetime import datetime, timedelta
 
@@ -326,9 +327,68 @@ def test_token_stream(spark, tmp_path):
     parsed = folds.parse_events(df)
     assert summaries.fold_events(parsed.where("text is not null"), "key", "seq", F.col("replaces"), F.col("text")).first().text == "Bc"
     df.coalesce(1).write.parquet(f"{tmp_path}/in")
-    q = folds.fold_stream(folds.parse_events(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"))).writeStream.outputMode("update").format("memory").queryName("folded").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    found = folded(spark, tmp_path, df.schema)
+    assert found == [("k", "Bc", "few", 4, True)]
+
+
+def folded(spark, tmp_path, schema, **options):
+    """The rows of a stream over one file a batch."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = folds.fold_stream(folds.parse_events(stream), **options).writeStream.outputMode("append").format("memory").queryName("folded").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert [(r.text, r.limit) for r in spark.table("folded").collect()] == [("Bc", "few")]
+    return sorted(map(tuple, spark.table("folded").collect()))
+
+
+def piece(i):
+    return {"completion": f"<{i}>"} if i in (400, 700) else {"type": "content_block_delta", "delta": {"type": "text_delta", "text": f"{i},"}}
+
+
+def test_pieces_in_any_order_over_batches(spark, tmp_path):
+    """Equal to the fold of the whole, whichever batch a piece comes in; the end mark last."""
+    rng = random.Random(6)
+    lines = [(k, i, folds.dumps(piece(i))) for k in "ab" for i in range(1000)]
+    rng.shuffle(lines)
+    schema = "key string, seq long, value string"
+    for n in range(4):
+        part = lines[n::4] + ([("a", 1000, "data: [DONE]")] if n == 3 else [])
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    df = spark.createDataFrame(lines, schema)
+    parsed = folds.parse_events(df)
+    whole = {r.key: r.text for r in summaries.fold_events(parsed, "key", "seq", F.col("replaces"), F.col("text")).collect()}
+    assert whole["a"] == "<700>" + "".join(f"{i}," for i in range(701, 1000))
+    found = folded(spark, tmp_path, df.schema)
+    assert found == [("a", whole["a"], None, 1000, True)]  # b has no end yet
+
+
+def test_running_and_idle_texts(spark, tmp_path):
+    schema = "key string, seq long, value string"
+    for n in range(2):
+        spark.createDataFrame([("k", n, folds.dumps(piece(n)))], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(0.05)
+    df = spark.createDataFrame([], schema)
+    assert sorted(r[1] for r in folded(spark, tmp_path, df.schema, every_batch=True))[-1] == "0,1,"
+    q = folds.fold_stream(folds.parse_events(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")), idle_seconds=1).writeStream.outputMode("append").format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/i").trigger(processingTime="1 second").start()
+    try:
+        until = time.monotonic() + 60
+        while time.monotonic() < until and not spark.table("idle").count():
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert [tuple(r)[1:] for r in spark.table("idle").collect()] == [("0,1,", None, 2, False)]
+
+
+def test_a_hundred_thousand_pieces(spark, tmp_path):
+    """Appended in time by their number: no batch reads what is there."""
+    schema = "key string, seq long, value string"
+    text = F.concat(F.lit('data: {"completion": null, "type": "content_block_delta", "delta": {"type": "text_delta", "text": "'), F.col("id").cast("string"), F.lit(',"}}'))
+    for n in range(4):
+        spark.range(n * 25_000, (n + 1) * 25_000, 1, 1).select(F.lit("k").alias("key"), F.col("id").alias("seq"), text.alias("value")).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("k", 100_000, "data: [DONE]")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    began = time.monotonic()
+    found = folded(spark, tmp_path, spark.createDataFrame([], schema).schema)
+    assert [(r[3], r[4]) for r in found] == [(100_000, True)] and found[0][1] == "".join(f"{i}," for i in range(100_000))
+    assert time.monotonic() - began < 120
 
 
 @pytest.mark.parametrize(("lines", "passed", "beats"), [(["Question: q", "[heartbeat] ping sent", "Sent reply to Telegram. Bye"], True, 1), (["Question: q", "Sent reply to Telegram.", "Council failed: x"], False, 0), (["Sent reply to Telegram."], False, 0), (["Question: q", "Sent reply to it"], False, 0), (["Question: q"], False, 0)])
