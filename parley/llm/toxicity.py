@@ -18,9 +18,10 @@ from .common import cut, drop_tables, fresh, held_out, texts_to_python
 #: The classifier is fitted on at most so many confirmed toxic documents and so many unlabelled ones, of the training folds, those with the least hashes of their ids.
 POSITIVES, UNLABELLED = 4_000, 12_000
 BITS = 23
-#: Beginnings of words, by characters. These and the levels below have the least risk in three folds of the training documents of the 0.1 scale (0.0088, of eight pairs tried: without levels, with
-#: none, 5, 4 and 6, or 4 to 7 characters, 0.018 to 0.030; with levels 0.017, 0.009, 0.012 and 0.018); no label of a held-out document was read for it.
+#: Beginnings of words count too, by characters, if the rule says so. Five and the levels below have the least risk in three folds of the training documents of the 0.1 scale (0.0088, of eight pairs
+#: tried: without levels, with none, 5, 4 and 6, or 4 to 7 characters, 0.018 to 0.030; with levels 0.017, 0.009, 0.012 and 0.018); no label of a held-out document was read for it.
 PREFIXES = (5,)
+PREFIX = 1 << BITS - 3
 STRIP = ".,;:!?\"()[]{}*|%&$#<>'-"
 #: Levels of a feature: it occurs once, twice, three times or more, or twice or more and in at least so large a share of the words.
 COUNTS, DENSE = (1, 2, 3), 0.01
@@ -29,15 +30,16 @@ LEAST_POSITIVES, LEAST_RATIO = 3, 4.0
 
 
 class Rule(NamedTuple):
-    """Which features are learned from: those that at least a share of the positives have, that are more frequent in them than in unlabelled text by so many standard errors, of the levels given."""
+    """Which features are learned from: those that at least a share of the positives have, that are more frequent in them than in unlabelled text by so many standard errors, of the levels given, of beginnings of words or of words alone."""
 
     share: float
     errors: float
     levels: tuple[int, ...]
+    beginnings: bool = True
 
 
 #: Rules tried, the strictest first, in so many folds of the training sample, with so many steps.
-RULES = tuple(Rule(s, e, v) for v in ((0,), (0, 1, 2, 3)) for s in (0.03, 0.01) for e in (4.0, 2.0))
+RULES = tuple(Rule(s, e, v, b) for b in (False, True) for v in ((0,), (0, 1, 2, 3)) for s in (0.03, 0.01) for e in (4.0, 2.0))
 FOLDS, FOLD_STEPS = 3, 150
 STEPS, RATE, DECAY = 400, 0.05, 1e-5
 
@@ -47,8 +49,8 @@ def stems(token: str) -> list[int]:
     word = token.strip(STRIP)
     if not word:
         return []
-    mask = (1 << BITS - 2) - 1
-    return [zlib.crc32(word.encode()) & mask, *(zlib.crc32(word[:k].encode(), 1) & mask for k in PREFIXES if len(word) > k)]
+    mask = PREFIX - 1
+    return [zlib.crc32(word.encode()) & mask, *(zlib.crc32(word[:k].encode(), 1) & mask | PREFIX for k in PREFIXES if len(word) > k)]
 
 
 def levels(count: int, total: int) -> list[int]:
@@ -109,7 +111,7 @@ def choose(seen: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u:
     error = np.sqrt(f_p * (1 - f_p) / n_p + (f_u * (1 - f_u) + 1 / n_u) / n_u)
     # A feature of toxic text alone is 1/prior times as frequent in positives, so less than this is asked where toxic text is common.
     least = min(LEAST_RATIO, 0.5 / max(prior, 1e-6))
-    return np.isin(seen & 3, rule.levels) & (in_p >= least_positives(n_p, rule.share)) & (f_p - f_u > rule.errors * error) & (f_p > least * f_u)
+    return np.isin(seen & 3, rule.levels) & (rule.beginnings | (seen >> 2 & PREFIX == 0)) & (in_p >= least_positives(n_p, rule.share)) & (f_p - f_u > rule.errors * error) & (f_p > least * f_u)
 
 
 def start_bias(prior: float) -> float:
