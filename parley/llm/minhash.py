@@ -184,12 +184,12 @@ class Search:
         """Finds the links between classes (band, cid) that share a band.
 
         In each round every band's members are compared with one of them, its hub, and the hub, whose links are then known, leaves the band; so a group of
-        near copies becomes a star and not its pairs. Bands whose members are joined to each other by then are settled. Of others, those with up to CROWD
+        near copies becomes a star and not its pairs. Hubs are the first in one order of all classes, so that a group has few of them over its bands. Bands whose members are joined to each other by then are settled. Of others, those with up to CROWD
         members are tried by pairs, so a member has CROWD pairs a band at most; members of larger ones are banded again by more orders, where what is only
         somewhat similar seldom meets. Pairs are tried inside the join, and only those that sizes and signatures don't rule out come out of it."""
         members, done = banded, []
-        for _ in range(HUB_ROUNDS):
-            hubs = members.groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", "band")).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("band", "hub")
+        for round_ in range(HUB_ROUNDS):
+            hubs = members.groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", F.lit(round_))).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("band", "hub")
             tied = cut(members.join(hubs, "band").where("cid <> hub"), "tied")
             pairs = tied.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
             self.confirm(self.sifted(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs)))
