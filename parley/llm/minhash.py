@@ -19,8 +19,9 @@ LEAST, ALL = 85, 100
 #: Bands, and the orders of each, by level. At similarity 0.85 a pair shares no band of the first level with probability (1 - 0.85^6)^40 = 6e-9; none of the second, which
 #: only members of crowded bands reach, with probability (1 - 0.85^16)^220 = 4e-8.
 LEVELS = ((40, 6), (220, 16))
-#: A signature keeps so many low bits of each of so many minima; 16 of them are packed into a long.
-BITS, MINIMA = 4, 256
+#: Low bits of each minimum, and minima, of a signature, by level; they are packed into longs. Single bits tell most for their size, but need many minima; only members of
+#: crowded bands, whose bands are made of as many, have such. The least estimate that a pair at 0.85 may have is 0.70 by the first, 0.79 by the second.
+SIGNATURES = ((4, 256), (1, 3520))
 #: Standard deviations that the estimate for a similar pair may fall short: beyond this many with probability 1e-10.
 MARGIN = 6.4
 #: Rounds of comparisons with one hub a band, before pairs; bands of more unsettled members than CROWD go to the next level instead of to pairs.
@@ -47,10 +48,11 @@ def minima(hashes: np.ndarray, n: int) -> np.ndarray:
     return least
 
 
-def packed(least: np.ndarray) -> np.ndarray:
-    """The low bits of mixed minima, 64 / BITS of them a long."""
-    low = ((least.astype(np.uint64) * _MIX) >> np.uint64(64 - BITS)).reshape(-1, 64 // BITS)
-    return np.bitwise_or.reduce(low << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)), axis=1).view(np.int64)
+def packed(least: np.ndarray, level: int = 0) -> np.ndarray:
+    """The signature of a level: the low bits of as many mixed minima as it asks for, side by side in longs."""
+    bits, n = SIGNATURES[level]
+    low = ((least[:n].astype(np.uint64) * _MIX) >> np.uint64(64 - bits)).reshape(-1, 64 // bits)
+    return np.bitwise_or.reduce(low << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=1).view(np.int64)
 
 
 def band_keys(least: np.ndarray, level: int) -> np.ndarray:
@@ -59,6 +61,12 @@ def band_keys(least: np.ndarray, level: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(x.tobytes(), band) for band, x in enumerate(least[: bands * orders].reshape(bands, orders))], np.uint64).view(np.int64)
 
 
+def orders_of(level: int) -> int:
+    """The orders that a level's bands and signatures need."""
+    bands, orders = LEVELS[level]
+    return max(SIGNATURES[level][1], bands * orders)
+
+
 def shingle_set(data: bytes, shingle_words: int) -> np.ndarray:
     """A text's set of lower-cased word shingles, as sorted 64-bit hashes made of those of the words. A text of fewer words is one shingle; one without words has none."""
     words = data.translate(LOWER_AZ).split()
@@ -78,7 +86,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(doc_id, text_hash, k1, k2, n, bands, signature) of each row: 128 bits that name its set, the set's size, band keys and packed signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = max(MINIMA, LEVELS[0][0] * LEVELS[0][1])
+        orders = orders_of(0)
         for batch in batches:
             keys, sizes, bands, signatures = [], [], [], []
             for t in batch.column(2):
@@ -87,7 +95,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 bands.append(band_keys(least, 0) if len(s) else None)
-                signatures.append(packed(least[:MINIMA]))
+                signatures.append(packed(least))
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             columns = [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "k1", "k2", "n", "bands", "signature"])
@@ -100,35 +108,38 @@ def text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def matches(a: Column, b: Column) -> Column:
-    """How many of the minima behind two signatures agree in their low bits: the groups of BITS bits in which nothing differs, counted by bits."""
-    ones = sum(1 << (BITS * i) for i in range(64 // BITS))
+def matches(a: Column, b: Column, level: int = 0) -> Column:
+    """How many of the minima behind two signatures agree in their low bits: the groups of bits in which nothing differs, counted by bits."""
+    bits, n = SIGNATURES[level]
+    ones = sum(1 << (bits * i) for i in range(64 // bits))
     ones = F.lit(ones - (1 << 64) if ones >> 63 else ones).cast("long")
 
     def differing(i: int) -> Column:
         x = a[i].bitwiseXOR(b[i])
-        return F.bit_count(reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, k) for k in range(BITS)]).bitwiseAND(ones))
+        return F.bit_count(reduce(Column.bitwiseOR, [F.shiftrightunsigned(x, k) for k in range(bits)]).bitwiseAND(ones))
 
-    return F.lit(MINIMA) - reduce(Column.__add__, [differing(i) for i in range(MINIMA * BITS // 64)])
+    return F.lit(n) - reduce(Column.__add__, [differing(i) for i in range(n * bits // 64)])
 
 
-def estimate(a: Column, b: Column) -> Column:
-    """The similarity that two signatures tell of: minima that differ agree by chance in one of 2^BITS cases, which is taken off."""
-    chance = 2.0**-BITS
-    return (matches(a, b) / F.lit(float(MINIMA)) - chance) / (1 - chance)
+def estimate(a: Column, b: Column, level: int = 0) -> Column:
+    """The similarity that two signatures tell of: minima that differ agree by chance in one of 2^bits cases, which is taken off."""
+    bits, n = SIGNATURES[level]
+    chance = 2.0**-bits
+    return (matches(a, b, level) / F.lit(float(n)) - chance) / (1 - chance)
 
 
-def lowest_estimate(similarity: float) -> float:
+def lowest_estimate(similarity: float, level: int = 0) -> float:
     """Pairs of this similarity are estimated lower with probability 1e-10 only."""
-    chance = 2.0**-BITS
+    bits, n = SIGNATURES[level]
+    chance = 2.0**-bits
     p = similarity + (1 - similarity) * chance
-    return similarity - MARGIN * (p * (1 - p) / MINIMA) ** 0.5 / (1 - chance)
+    return similarity - MARGIN * (p * (1 - p) / n) ** 0.5 / (1 - chance)
 
 
-def may_be_linked(least: int, all_: int) -> Column:
+def may_be_linked(least: int, all_: int, level: int) -> Column:
     """Of columns a_n, a_signature, b_n, b_signature: false only for pairs that sizes rule out, or estimates but for that probability."""
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (small * all_ >= large * least) & (estimate(F.col("a_signature"), F.col("b_signature")) >= lowest_estimate(least / all_))
+    return (small * all_ >= large * least) & (estimate(F.col("a_signature"), F.col("b_signature"), level) >= lowest_estimate(least / all_, level))
 
 
 class Search:
@@ -145,11 +156,11 @@ class Search:
         found = rows.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
         return cut(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
-    def sifted(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) of ``pairs`` that sizes and signatures don't rule out."""
+    def sifted(self, pairs: DataFrame, known: DataFrame, level: int) -> DataFrame:
+        """The (a, b) of ``pairs`` that sizes and signatures, from ``known`` (cid, n, signature), don't rule out."""
         for side in "ab":
-            pairs = pairs.join(self.classes.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_signature")), side)
-        return pairs.where(may_be_linked(self.least, self.all_)).select("a", "b")
+            pairs = pairs.join(known.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_signature")), side)
+        return pairs.where(may_be_linked(self.least, self.all_, level)).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Joins the components of those (a, b) of ``pairs`` whose full sets are similar enough."""
@@ -180,19 +191,20 @@ class Search:
         stars = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         self.roots = components(found.union(stars))
 
-    def settle(self, banded: DataFrame, level: int = 0) -> None:
-        """Finds the links between classes (band, cid) that share a band.
+    def settle(self, known: DataFrame, level: int = 0) -> None:
+        """Finds the links between classes ``known`` (cid, n, bands, signature) that share a band.
 
         In each round every band's members are compared with one of them, its hub, and the hub, whose links are then known, leaves the band; so a group of
         near copies becomes a star and not its pairs. Hubs are the first in one order of all classes, so that a group has few of them over its bands. Bands whose members are joined to each other by then are settled. Of others, those with up to CROWD
         members are tried by pairs, so a member has CROWD pairs a band at most; members of larger ones are banded again by more orders, where what is only
-        somewhat similar seldom meets. Pairs are tried inside the join, and only those that sizes and signatures don't rule out come out of it."""
+        somewhat similar seldom meets, and get longer signatures, which tell better what is just below the threshold. Pairs are tried inside the join, and only those that sizes and signatures don't rule out come out of it."""
+        banded = known.select(F.explode("bands").alias("band"), "cid")
         members, done = banded, []
         for round_ in range(HUB_ROUNDS):
             hubs = members.groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", F.lit(round_))).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("band", "hub")
             tied = cut(members.join(hubs, "band").where("cid <> hub"), "tied")
             pairs = tied.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
-            self.confirm(self.sifted(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs)))
+            self.confirm(self.sifted(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs), known, level))
             done.append(pairs)
             members, before = cut(self.unsettled(tied.select("band", "cid")), "members"), members
             if before is not banded:
@@ -204,13 +216,15 @@ class Search:
         if deeper:
             again = cut(members.join(crowded, "band", "left_semi").select("cid").distinct(), "again")
             members = members.join(crowded, "band", "left_anti")
-        rooted = cut(self.rooted(members).join(self.classes.select("cid", "n", "signature"), "cid"), "rooted")
+        rooted = cut(self.rooted(members).join(known.select("cid", "n", "signature"), "cid"), "rooted")
         a, b = (rooted.select(F.col("cid").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("band", "root", "n", "signature"))) for k in "ab")
-        likely = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_linked(self.least, self.all_)).select("a", "b").distinct()
+        likely = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_linked(self.least, self.all_, level)).select("a", "b").distinct()
         self.confirm(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, likely))
         drop_tables(rooted, members)
         if deeper:
-            self.settle(self.banded_again(again, level + 1), level + 1)
+            further = self.banded_again(again, level + 1)
+            self.settle(further, level + 1)
+            drop_tables(again, further)
 
     def rooted(self, members: DataFrame) -> DataFrame:
         roots = self.roots
@@ -223,16 +237,22 @@ class Search:
         return rooted.join(mixed, "band").select("band", "cid")
 
     def banded_again(self, cids: DataFrame, level: int) -> DataFrame:
-        """(band, cid) by the bands of a further level."""
-        words, orders = self.shingle_words, LEVELS[level][0] * LEVELS[level][1]
+        """(cid, n, bands, signature) by the orders of a further level, one row a class."""
+        words = self.shingle_words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for cid, text in zip(batch.column(0), batch.column(1)):
-                    keys = band_keys(minima(shingle_set(text.as_py(), words), orders), level)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), cid.as_py(), np.int64))], names=["band", "cid"])
+                sizes, bands, signatures = [], [], []
+                for text in batch.column(1):
+                    s = shingle_set(text.as_py(), words)
+                    least = minima(s, orders_of(level))
+                    sizes.append(len(s))
+                    bands.append(band_keys(least, level))
+                    signatures.append(packed(least, level))
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "bands", "signature"])
 
-        return cut(texts_to_python(self.texts(cids)).mapInArrow(run, "band long, cid long"), "banded")
+        return cut(texts_to_python(self.texts(cids)).mapInArrow(run, "cid long, n long, bands array<long>, signature array<long>"), "banded")
 
 
 def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, least: int = LEAST, all_: int = ALL, link_empty: bool = False) -> DataFrame:
@@ -246,7 +266,7 @@ def groups(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, least: int = LEA
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("own_id"), one.alias("one")).select("k1", "k2", "own_id", F.col("one.text_hash").alias("own_hash"), "one.n", "one.bands", "one.signature")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     search = Search(docs, classes, shingle_words, least, all_)
-    search.settle(classes.select(F.explode("bands").alias("band"), "cid"))
+    search.settle(classes.select("cid", "n", "bands", "signature"))
     roots = search.roots
     rooted = classes.join(roots, classes["cid"] == roots["node"], "left").select("k1", "k2", "own_id", F.coalesce("root", "cid").alias("root"))
     best = rooted.groupBy("root").agg(F.min("own_id").alias("component_id"))
