@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -16,12 +17,19 @@ from .common import LOWER_AZ, components, cut, drop_tables, fresh, texts_to_pyth
 
 SHINGLE_WORDS = 3
 RADIUS = 2
-#: The pipeline's stage links texts whose sets of five-word shingles have at least this Jaccard similarity.
-STAGE_WORDS, SIMILARITY = 5, 0.8
-#: Its candidates share one of so many fingerprints, each made of the least shingles in so many orders: at similarity 0.8 a pair is missed with probability (1 - 0.8^6)^40 = 5e-6.
-BANDS, BAND_ORDERS = 40, 6
+#: The pipeline's stage links texts whose sets of five-word shingles have at least this Jaccard similarity. Smaller sets than LEAST_SET are similar to equal ones only.
+STAGE_WORDS, SIMILARITY, LEAST_SET = 5, 0.8, 4
+#: Its fingerprint has so many blocks of 32 bits. Around each block the ball over its LOOSE bits of least majority is walked, 2^LOOSE variants, and two texts are candidates
+#: if their balls meet in a block: if every differing bit is loose in one of the two. At similarity 0.8 a block is met with probability 0.144, and none of all with (1 - 0.144)^74 = 1e-5.
+BLOCKS, LOOSE = 74, 4
+#: Blocks are walked in waves, so that the variants of all aren't on disk at once; what the first wave links drops out of the others.
+WAVES = (8, 22, 22, 22)
+#: Sets of up to so many shingles vote with weights instead of single votes, as few votes often tie. From SIMILARITY of that many on they have single votes, too, so sets that may be similar share a kind.
+WEIGHTED = 64
 SKETCH_BITS = 1024
-_SEEDS, _FACTORS = (np.array([[xxhash.xxh64_intdigest(b"%d" % i, k) | k] for i in range(BANDS * BAND_ORDERS)], np.uint64) for k in (0, 1))
+_SEEDS = np.array([xxhash.xxh64_intdigest(b"block %d" % i) for i in range(BLOCKS * 4)], np.uint64)
+#: The bits of a byte, each in a byte of its own.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def shingle_hashes(data: bytes, shingle_words: int) -> np.ndarray:
@@ -100,12 +108,46 @@ def set_key(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), 42)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """A set's fingerprints, one for each band: a hash of its least shingles in the band's orders. Two sets share the least of an order with a probability equal to their similarity."""
-    least = np.full(BANDS * BAND_ORDERS, ~np.uint64(0))
-    for i in range(0, len(hashes), 1024):
-        np.minimum(least, ((hashes[i : i + 1024] ^ _SEEDS) * _FACTORS).min(axis=1), out=least)
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), band) for band, x in enumerate(least.reshape(BANDS, BAND_ORDERS))], np.uint64)
+def mixed(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``n`` further 64-bit hashes of each hash, as bytes: a row of 8 n."""
+    x = (hashes[:, None] ^ _SEEDS[:n]) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    return x.astype("<u8", copy=False).view(np.uint8)
+
+
+def votes(hashes: np.ndarray, weighted: bool) -> np.ndarray:
+    """The majority of each bit of all blocks among a set's shingles: above zero, the bit is 1."""
+    total = np.zeros(BLOCKS * 32, np.int64)
+    if weighted:
+        for i in range(0, len(hashes), 32):
+            total += mixed(hashes[i : i + 32], BLOCKS * 4).sum(axis=0, dtype=np.int64)
+        return 2 * total - 255 * len(hashes)
+    for i in range(0, len(hashes), 255):  # so many fit a byte
+        total += _SPREAD[mixed(hashes[i : i + 255], BLOCKS // 2)].sum(axis=0).astype("<u8", copy=False).view(np.uint8)
+    return 2 * total - len(hashes)
+
+
+def blocks(hashes: np.ndarray, weighted: bool) -> np.ndarray:
+    """A row for each block of a set's fingerprint: its 32 bits, and its loose bits, as masks."""
+    majority = votes(hashes, weighted).reshape(BLOCKS, 32)
+    words = np.packbits(majority > 0, axis=1, bitorder="little").view("<u4")
+    loose = np.argpartition(np.abs(majority), LOOSE, axis=1)[:, :LOOSE]
+    return np.concatenate([words, np.uint32(1) << loose.astype(np.uint32)], axis=1)
+
+
+def kinds(n: int) -> list[bool]:
+    """Whether a set of ``n`` shingles has blocks of weighted votes, of single ones, or both."""
+    return [weighted for weighted in (True, False) if n >= LEAST_SET and (n <= WEIGHTED if weighted else n >= int(WEIGHTED * SIMILARITY))]
+
+
+def balls(found: np.ndarray) -> np.ndarray:
+    """Of (..., 1 + LOOSE) blocks and their masks, the (..., 2^LOOSE) variants in the ball of each."""
+    variants = found[..., :1]
+    for i in range(1, found.shape[-1]):
+        variants = np.concatenate([variants, variants ^ found[..., i : i + 1]], axis=-1)
+    return variants
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -129,16 +171,40 @@ def set_of(data: bytes) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, bands, n, bits): the number, fingerprints, size and sketch of each row's set of five-word shingles; the sets themselves, which are larger than the texts, aren't kept."""
+    """(doc_id, fp, n, bits, weighted, single): the number, size and sketch of each row's set of five-word shingles, and its blocks of either kind; the sets themselves, which are larger than the texts, aren't kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sizes, bits, made = [], [], [], {True: [], False: []}
+            for t in batch.column(1):
+                x = set_of(t.as_py())
+                fps.append(set_key(x))
+                sizes.append(len(x))
+                bits.append(sketch(x))
+                for weighted, column in made.items():
+                    column.append(blocks(x, weighted).tobytes() if weighted in kinds(len(x)) else None)
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), *(pa.array(made[k], pa.binary()) for k in (True, False))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "n", "bits", "weighted", "single"])
+
+    return texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long, n long, bits array<long>, weighted binary, single binary")
+
+
+def variants(known: DataFrame, first: int, end: int) -> DataFrame:
+    """(variant, fp, root) of ``known`` (fp, root, weighted, single): the balls around the blocks from ``first`` to before ``end``. A variant names its block and kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_key(x), band_keys(x).view(np.int64), len(x), sketch(x)) for x in (set_of(t.as_py()) for t in batch.column(1))]
-            fps, bands, sizes, bits = zip(*rows) if rows else [()] * 4
-            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "bands", "n", "bits"])
+            for kind in (0, 1):
+                have = batch.filter(batch.column(2 + kind).is_valid())
+                if have.num_rows:
+                    found = np.frombuffer(b"".join(have.column(2 + kind).to_pylist()), np.uint32).reshape(have.num_rows, BLOCKS, 1 + LOOSE)[:, first:end]
+                    places = (np.arange(first, end) + kind * BLOCKS)[None, :, None] << 32
+                    keys = (balls(found).astype(np.int64) | places).reshape(-1)
+                    each = len(keys) // have.num_rows
+                    owners = (pa.array(np.repeat(have.column(c).to_numpy(), each)) for c in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *owners], names=["variant", "fp", "root"])
 
-    return texts_to_python(docs).select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, fp long, bands array<long>, n long, bits array<long>")
+    return texts_to_python(known).select("fp", "root", "weighted", "single").mapInArrow(run, "variant long, fp long, root long")
 
 
 def sets_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -167,6 +233,12 @@ def side(sets: DataFrame, key: str, *columns: str) -> DataFrame:
     return sets.select(F.col("fp").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in columns))
 
 
+def compared(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The (a, b) of ``pairs`` that sizes and sketches, from ``known`` (fp, n, bits), don't rule out. What is known of an a is joined once for all its pairs."""
+    of_a = pairs.groupBy("a").agg(F.collect_list("b").alias("bs")).join(side(known, "a", "n", "bits"), "a")
+    return of_a.select("a", "a_n", "a_bits", F.explode("bs").alias("b")).join(side(known, "b", "n", "bits"), "b").where(may_be_similar("a", "b")).select("a", "b")
+
+
 def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The (a, b) of ``pairs`` whose sets have at least the similarity asked for."""
 
@@ -182,33 +254,45 @@ def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found
 
 
+def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(variant, fp, root): the ``members`` (variant, fp) of variants that hold more than one component."""
+    rooted = members.join(roots, members.fp == roots.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
+    return rooted.join(rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("variant"), "variant")
+
+
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): each row of ``docs`` with the smallest doc_id that links between similar texts lead to; ids as in ``near_duplicates``.
 
-    Texts that share a fingerprint are compared, unless they are linked already or their sketches rule the similarity out: first each with one text of its band,
-    then what is in one band but not yet in one component. So a large group of copies of one text is settled without its pairs. Sets are made only for texts
-    that are compared."""
+    Texts whose balls meet are compared by their full sets, unless they are linked already or their sketches rule the similarity out. In each wave of blocks those that meet
+    in a variant are compared with the least of them; after the last, what still shares a variant but not yet a component is compared by pairs. So a large group of copies
+    of one text is settled without its pairs. Sets are made only for texts that are compared."""
     rows = cut(sketches(docs), "sketches")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    banded = rows.select("fp", F.explode("bands").alias("band"))
-    hubs = cut(banded.groupBy("band").agg(F.min_by("fp", F.xxhash64("fp", "band")).alias("hub"), F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high").select("band", "hub"), "hubs")
-    members = cut(banded.join(hubs, "band").distinct(), "members")
-    known = cut(rows.join(members.select("fp").distinct(), "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "bits"), "known")
-    tied = members.where("fp <> hub").select(F.greatest("fp", "hub").alias("a"), F.least("fp", "hub").alias("b")).distinct()
-    first = cut(tied.join(side(known, "a", "n", "bits"), "a").join(side(known, "b", "n", "bits"), "b").where(may_be_similar("a", "b")).select("a", "b"), "pairs")
-    linked = similar(first, docs, classes)
-    roots = components(linked)
-    placed = members.select("band", "fp").join(roots, members.fp == roots.node, "left").select("band", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    unsettled = cut(placed.join(mixed, "band").join(known, "fp"), "unsettled")
-    a, b = (unsettled.select("band", F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("root", "n", "bits"))) for k in ("a", "b"))
-    rest = cut(a.join(b, (a["band"] == b["band"]) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_similar("a", "b")).select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    roots = components(linked.union(similar(rest, docs, classes)))
+    blocked = cut(rows.dropDuplicates(["fp"]).select("fp", "n", "bits", "weighted", "single"), "blocks")
+    known = blocked.select("fp", "n", "bits")
+    linked = tried = rows.sparkSession.createDataFrame([], "a long, b long")
+    roots, members, end = rows.sparkSession.createDataFrame([], "node long, root long"), [], 0
+    for size in WAVES:
+        first, end = end, end + size
+        rooted = blocked.join(roots, blocked.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "weighted", "single")
+        group = Window.partitionBy("variant")
+        met = variants(rooted, first, end).select("variant", "fp", "root", F.min(F.struct("fp", "root")).over(group).alias("hub"), F.min("root").over(group).alias("low"), F.max("root").over(group).alias("high"))
+        members.append(cut(met.where("low < high").select("variant", "fp", "root", "hub"), "members"))
+        tied = members[-1].where("root <> hub.root").select(F.col("fp").alias("a"), F.col("hub.fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        likely = cut(compared(tied, known), "pairs")
+        if likely.limit(1).count():
+            tried, linked = tried.union(likely), linked.union(similar(likely, docs, classes))
+            roots = components(linked)
+    rest = cut(unsettled(reduce(DataFrame.union, members).select("variant", "fp"), roots).join(known, "fp"), "unsettled")
+    a, b = (rest.select(F.col("variant").alias(f"{k}_variant"), F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("root", "n", "bits"))) for k in ("a", "b"))
+    likely = cut(a.join(b, (F.col("a_variant") == F.col("b_variant")) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_similar("a", "b")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if likely.limit(1).count():
+        roots = components(linked.union(similar(likely, docs, classes)))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(best, "root").select("fp", "component_id"), "components")
     found = cut(rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), "groups")
-    drop_tables(rows, hubs, members, known, first, rest, unsettled, named)
+    drop_tables(rows, blocked, *members, rest, likely, named)
     return found
 
 

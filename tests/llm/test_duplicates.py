@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,6 +133,43 @@ def test_one_of_each_group_stays(spark, tmp_path):
     assert simhash.keep_one(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def near_copies(seed):
+    """Texts of 1 to 400 words and copies in which some words are others, so that similarities lie on both sides of 0.8."""
+    rng, rows = random.Random(seed), []
+    for n in (1, 3, 5, 8, 9, 12, 20, 40, 55, 58, 62, 66, 75, 120, 400):
+        for _ in range(3):
+            words = [f"w{rng.randrange(100_000)}" for _ in range(n)]
+            for _ in range(4):
+                rows.append(" ".join(words))
+                for _ in range(rng.choice([0, 1, 1, 1 + n // 60])):
+                    words[rng.choice([0, -1, rng.randrange(n)])] = f"w{rng.randrange(100_000)}"
+                words = words + ["end"] * rng.choice([0, 0, 1])
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_balls_over_blocks_find_all_similar_texts(spark, tmp_path):
+    rows = near_copies(5)
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)]) for w in (t.split() for _, t in rows)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert sum(sets[i] != sets[j] for i, j in near) > 20
+    found = simhash.similar_groups(write(spark, tmp_path, rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == groups(near, range(len(rows)))
+
+
+def test_balls_meet_where_all_differing_bits_are_loose():
+    x, y = (np.array([[v, *(1 << b for b in loose)]], np.uint32) for v, loose in ((0b1011, (0, 5, 6, 7)), (0b0010, (3, 9, 10, 11))))
+    both = set(simhash.balls(x)[0].tolist()) & set(simhash.balls(y)[0].tolist())
+    assert len(set(simhash.balls(x)[0].tolist())) == 1 << simhash.LOOSE and both == {0b1010}
+    y[0, 0] ^= 1 << 20
+    assert not set(simhash.balls(x)[0].tolist()) & set(simhash.balls(y)[0].tolist())
+
+
+def test_kinds_of_sets_that_may_be_similar_overlap():
+    assert all(set(simhash.kinds(n)) & set(simhash.kinds(m)) for n in range(4, 200) for m in range(n, n * 5 // 4 + 1))
+    assert sum(simhash.WAVES) == simhash.BLOCKS
+
+
 def plain_repeats(rows, window=13):
     words = [(t or "").encode().split() for _, t in rows]
     least = {}
