@@ -72,23 +72,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], keep: float = KEEP, ro
     columns = [c for c in cells.columns if c != "w"]
     small = cells.count() <= one_task_rows and all(t.count() <= one_task_rows for t in targets.values())
 
-    def scaled(step: DataFrame, sum_w: Column) -> DataFrame:
-        factor = F.when(sum_w > 0, F.col("share") * F.lit(float(keep) * whole) / sum_w).otherwise(0.0)
-        return step.select(*columns, F.least(F.col("w") * factor, F.col("base").cast("double")).alias("w"))
+    def scaled(step: DataFrame, share: str, sum_w: Column, *kept: str) -> DataFrame:
+        factor = F.when(sum_w > 0, F.col(share) * F.lit(float(keep) * whole) / sum_w).otherwise(0.0)
+        return step.select(*columns, *kept, F.least(F.col("w") * factor, F.col("base").cast("double")).alias("w"))
 
     now = cells if "w" in cells.columns else cells.withColumn("w", F.col("base").cast("double") * F.lit(float(keep)))
     if small:
+        # Targets are looked up once: a join in every step makes the driver plan and keep a stage for each.
+        shares = {d: fresh(now.columns, f"share_{d}") for d in targets}
         now = now.repartition(1)
+        for d, target in targets.items():
+            now = now.join(F.broadcast(target.withColumnRenamed("share", shares[d])), d, "left")
         for _ in range(rounds):
-            for d, target in targets.items():
-                step = now.join(F.broadcast(target), d)
-                now = scaled(step, F.sum("w").over(Window.partitionBy(d)))
-        return cut(now, "cells")
+            for d, share in shares.items():
+                now = scaled(now.where(F.col(share).isNotNull()), share, F.sum("w").over(Window.partitionBy(d)), *shares.values())
+        return cut(now.select(*columns, "w"), "cells")
     now = cut(now, "cells")
     for _ in range(rounds):
         for d, target in targets.items():
             sums = now.groupBy(d).agg(F.sum("w").alias("sum_w")).join(target, d)
-            after = cut(scaled(now.join(sums, d), F.col("sum_w")), "cells")
+            after = cut(scaled(now.join(sums, d), "share", F.col("sum_w")), "cells")
             drop_tables(now)
             now = after
     return now
