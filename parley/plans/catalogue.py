@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -406,29 +409,39 @@ def streaming_merge(spark, sf_dir):
 
 
 PAGE = 1000
+#: Pages that lie in one file; with a file each, the time that a store takes for files outgrows that for rows.
+PAGES_A_BLOCK = 64
 
 
-def page_of(folder: str, offset: int, limit: int):
-    """A page of a listing that lies in a folder as one folder a page, for the paged source."""
-    from pyarrow import dataset, fs
+@lru_cache(2)
+def block_of(folder: str, files: tuple[str, ...]) -> pa.Table:
+    """The rows of a block of pages, in order, from its files in the folder's store."""
+    store, _ = fs.FileSystem.from_uri(folder)
+    return dataset.dataset(list(files), filesystem=store, format="parquet").to_table().sort_by([("page", "ascending"), ("place", "ascending")])
+
 
+def page_of(folder: str, offset: int, limit: int):
+    """A page of a listing that lies in a folder as one folder for each block of pages, for the paged source. Pages are full but for the last."""
     store, top = fs.FileSystem.from_uri(folder)
-    at = lambda n: f"{top}/page={n}"
+    at = lambda n: f"{top}/block={n}"
     there = lambda n: store.get_file_info(at(n)).type == fs.FileType.Directory
-    if offset % limit or not there(offset // limit):
+    block, place = divmod(offset // limit, PAGES_A_BLOCK)
+    if offset % limit or not there(block):
         return [], False
-    rows = dataset.dataset(at(offset // limit), filesystem=store, format="parquet").to_table().sort_by("place").to_pylist()
-    return rows, there(offset // limit + 1)
+    files = store.get_file_info(fs.FileSelector(at(block)))
+    rows = block_of(folder, tuple(sorted(f.path for f in files if not f.base_name.startswith((".", "_")))))  # files of other runs have other names
+    end = (place + 1) * limit
+    return rows.slice(place * limit, limit).to_pylist(), end < len(rows) or place + 1 == PAGES_A_BLOCK and there(block + 1)
 
 
 def listed_pages(spark: SparkSession, events: DataFrame, folder: str) -> None:
-    """The events as a listing, newest first, in pages: times as text or seconds, and none for every seventh."""
+    """The events as a listing, newest first, in blocks of pages: times as text or seconds, and none for every seventh."""
     paged = summaries.pages(events.select("event_id", "ts"), [F.desc("ts"), F.col("event_id")], PAGE, F.to_date("ts"))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     text = F.when(F.col("event_id") % 7 == 0, None).when(F.col("event_id") % 2 == 0, (us.cast("decimal(38,6)") / 1_000_000).cast("string")).otherwise(times.iso_text(F.timestamp_micros(us)))
     rows = paged.select(F.col("event_id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("model"), text.alias("created_at"), text.alias("updated_at"), F.struct((-us).alias("t"), "event_id").alias("o"), "page")
     ranked = rows.withColumn("place", F.row_number().over(Window.partitionBy("page").orderBy("o"))).drop("o")
-    ranked.repartition("page").write.mode("overwrite").partitionBy("page").parquet(folder)
+    ranked.withColumn("block", F.floor(F.col("page") / PAGES_A_BLOCK)).repartition("block").write.mode("overwrite").partitionBy("block").parquet(folder)
 
 
 def own_folder(spark: SparkSession, name: str) -> str:
@@ -456,12 +469,13 @@ def paged_source(spark, sf_dir):
 
 @query("SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) ELSE -1 END AS us, 1::BIGINT AS n FROM events")
 def paged_stream(spark, sf_dir):
-    """The events as a stream of a listing that grows between two runs of one query: each row comes once."""
+    """The events as a stream of a listing that grows between two of three runs of one query: each row comes once."""
     from ..sources.paged import stream_listing
 
     folder, e = own_folder(spark, "stream"), read(spark, sf_dir, "events")
-    for seen in (e.where("ts < timestamp_ntz'2024-01-10'"), e, e):
-        listed_pages(spark, seen, f"{folder}/pages")
+    for seen in (e.where("ts < timestamp_ntz'2024-01-10'"), e, None):
+        if seen is not None:
+            listed_pages(spark, seen, f"{folder}/pages")
         rows = stream_listing(spark, f"parley.plans.catalogue:page_of?{folder}/pages", size=PAGE)
         rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(f"{folder}/out").groupBy("id", "updated_at").agg(F.count(F.lit(1)).alias("n"))

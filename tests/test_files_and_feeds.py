@@ -157,3 +157,21 @@ def test_supervise_command(monkeypatch, capsys):
     codes = iter([1] * 5)
     assert cli.main([*run, "claude=a:b,c:d"]) == cli.FAILED
     assert cli.main(["supervise", "--total-minutes", "0", "/t", "claude=a:b,c:d"]) == cli.TIMED_OUT
+
+
+def test_pages_of_a_listing_lie_in_few_files(spark, tmp_path, monkeypatch):
+    from parley.plans import catalogue
+
+    monkeypatch.setattr(catalogue, "PAGE", 10)
+    events = spark.range(10 * catalogue.PAGES_A_BLOCK + 25).select(F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 - F.col("id") * 9_000).cast("timestamp_ntz").alias("ts"))
+    folder = f"file://{tmp_path}/pages"
+    for seen in (events.where("event_id >= 300"), events):  # written anew under the same name
+        catalogue.listed_pages(spark, seen, folder)
+        ids, offset, more = [], 0, True
+        while more:
+            rows, more = catalogue.page_of(folder, offset, 10)
+            ids += [int(r["id"]) for r in rows]
+            offset += len(rows)
+        assert ids == sorted(r.event_id for r in seen.collect())
+    assert catalogue.page_of(folder, 10 * offset, 10) == ([], False)
+    assert len(list(tmp_path.glob("pages/*/*.parquet"))) == 2
