@@ -157,10 +157,10 @@ class Search:
         return cut(found.groupBy("cid").agg(F.first("text").alias("text")), "texts")
 
     def sifted(self, pairs: DataFrame, known: DataFrame, level: int) -> DataFrame:
-        """The (a, b) of ``pairs`` that sizes and signatures, from ``known`` (cid, n, signature), don't rule out."""
-        for side in "ab":
-            pairs = pairs.join(known.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_signature")), side)
-        return pairs.where(may_be_linked(self.least, self.all_, level)).select("a", "b")
+        """The (a, b) of ``pairs`` that sizes and signatures, from ``known`` (cid, n, signature), don't rule out. What is known of an a is joined once for all its pairs."""
+        of_a, of_b = (known.select(F.col("cid").alias(side), F.col("n").alias(f"{side}_n"), F.col("signature").alias(f"{side}_signature")) for side in "ab")
+        tried = pairs.groupBy("a").agg(F.collect_list("b").alias("bs")).join(of_a, "a").select("a", "a_n", "a_signature", F.explode("bs").alias("b"))
+        return tried.join(of_b, "b").where(may_be_linked(self.least, self.all_, level)).select("a", "b")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Joins the components of those (a, b) of ``pairs`` whose full sets are similar enough."""
@@ -195,15 +195,16 @@ class Search:
         """Finds the links between classes ``known`` (cid, n, bands, signature) that share a band.
 
         In each round every band's members are compared with one of them, its hub, and the hub, whose links are then known, leaves the band; so a group of
-        near copies becomes a star and not its pairs. Hubs are the first in one order of all classes, so that a group has few of them over its bands. Bands whose members are joined to each other by then are settled. Of others, those with up to CROWD
+        near copies becomes a star and not its pairs. What is in one component with its hub already, by an earlier round or level, isn't compared with it. Hubs are the first in one order of all classes, so that a group has few of them over its bands. Bands whose members are joined to each other by then are settled. Of others, those with up to CROWD
         members are tried by pairs, so a member has CROWD pairs a band at most; members of larger ones are banded again by more orders, where what is only
         somewhat similar seldom meets, and get longer signatures, which tell better what is just below the threshold. Pairs are tried inside the join, and only those that sizes and signatures don't rule out come out of it."""
-        banded = known.select(F.explode("bands").alias("band"), "cid")
+        roots = self.roots
+        banded = known.join(roots, known["cid"] == roots["node"], "left").select(F.explode("bands").alias("band"), "cid", F.coalesce("root", "cid").alias("root"))
         members, done = banded, []
         for round_ in range(HUB_ROUNDS):
-            hubs = members.groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", F.lit(round_))).alias("hub"), F.min("cid").alias("low"), F.max("cid").alias("high")).where("low < high").select("band", "hub")
+            hubs = members.groupBy("band").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(round_))).alias("hub"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band", F.col("hub.cid").alias("hub"), F.col("hub.root").alias("hub_root"))
             tied = cut(members.join(hubs, "band").where("cid <> hub"), "tied")
-            pairs = tied.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
+            pairs = tied.where("root <> hub_root").select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct()
             self.confirm(self.sifted(reduce(lambda p, d: p.join(d, ["a", "b"], "left_anti"), done, pairs), known, level))
             done.append(pairs)
             members, before = cut(self.unsettled(tied.select("band", "cid")), "members"), members
@@ -227,14 +228,14 @@ class Search:
             drop_tables(again, further)
 
     def rooted(self, members: DataFrame) -> DataFrame:
-        roots = self.roots
+        roots, members = self.roots, members.select("band", "cid")
         return members.join(roots, members["cid"] == roots["node"], "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
 
     def unsettled(self, members: DataFrame) -> DataFrame:
         """The members of bands that hold more than one component."""
         rooted = self.rooted(members)
         mixed = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-        return rooted.join(mixed, "band").select("band", "cid")
+        return rooted.join(mixed, "band").select("band", "cid", "root")
 
     def banded_again(self, cids: DataFrame, level: int) -> DataFrame:
         """(cid, n, bands, signature) by the orders of a further level, one row a class."""

@@ -129,3 +129,21 @@ def test_errors_of_estimates_are_as_small_as_the_margin_supposes():
                 equal = n - np.bitwise_count(differing).sum()
             errors.append((equal / n - 2.0**-bits) / (1 - 2.0**-bits) - 0.85)
         assert np.std(errors) < 1.2 * sigma and abs(np.mean(errors)) < 0.3 * sigma
+
+
+def test_what_is_joined_already_is_not_compared_with_its_hub(spark, monkeypatch):
+    known = spark.createDataFrame([(i, 10, [1, 2, 3 + i // 29], [0] * 16) for i in range(30)], "cid long, n long, bands array<long>, signature array<long>")
+    search = minhash.Search(spark.createDataFrame([], "doc_id long, text string"), known, 3, 85, 100)
+    search.roots = spark.createDataFrame([(i, 0) for i in range(1, 29)], "node long, root long")
+    compared = []
+    monkeypatch.setattr(minhash.Search, "sifted", lambda self, pairs, known, level: compared.extend(map(tuple, pairs.collect())) or pairs.limit(0))
+    monkeypatch.setattr(minhash.Search, "confirm", lambda self, pairs: None)
+    search.settle(known)
+    assert compared and all(29 in pair for pair in compared)
+
+
+def test_pairs_are_sifted_with_one_row_of_what_is_known_of_a(spark):
+    known = spark.createDataFrame([(i, 10, [0] * 16) for i in range(4)] + [(9, 99, [0] * 16)], "cid long, n long, signature array<long>")
+    pairs = spark.createDataFrame([(3, 0), (3, 1), (2, 1), (9, 1), (9, 3)], "a long, b long")
+    search = minhash.Search(known, known, 3, 85, 100)
+    assert sorted(map(tuple, search.sifted(pairs, known, 0).collect())) == [(2, 1), (3, 0), (3, 1)]
