@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, cut, drop_tables, fresh, texts_to_python, whole_text
+from .common import LOWER_AZ, bitmap, components, cut, drop_tables, fresh, texts_to_python, whole_text
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -158,13 +158,6 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / either if either else 1.0
 
 
-def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Which of ``SKETCH_BITS`` equal ranges of hashes a set reaches, as longs. A bit that only one of two sets has is a shingle that only that one has, at least."""
-    bits = np.zeros(SKETCH_BITS, np.uint8)
-    bits[(hashes >> np.uint64(65 - SKETCH_BITS.bit_length())).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.int64)
-
-
 def set_of(data: bytes) -> np.ndarray:
     """A text's five-word shingles, as sorted hashes without repeats."""
     return np.unique(shingle_hashes(data, STAGE_WORDS))
@@ -180,7 +173,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 x = set_of(t.as_py())
                 fps.append(set_key(x))
                 sizes.append(len(x))
-                bits.append(sketch(x))
+                bits.append(bitmap(x, SKETCH_BITS))
                 for weighted, column in made.items():
                     column.append(blocks(x, weighted).tobytes() if weighted in kinds(len(x)) else None)
             columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), *(pa.array(made[k], pa.binary()) for k in (True, False))]
@@ -254,18 +247,33 @@ def similar(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return found
 
 
-def unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(variant, fp, root): the ``members`` (variant, fp) of variants that hold more than one component."""
-    rooted = members.join(roots, members.fp == roots.node, "left").select("variant", "fp", F.coalesce("root", "fp").alias("root"))
-    return rooted.join(rooted.groupBy("variant").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("variant"), "variant")
+def merged(members: DataFrame) -> DataFrame:
+    """(hub, fp): groups that hold together what ``members`` (hub, fp) hold together. A hub that is itself a member gives its own to the least hub that it is a member of, so that a crowd
+    whose variants have many hubs becomes a few groups and not as many overlapping ones."""
+    pairs = members.distinct()
+    over = pairs.groupBy("fp").agg(F.min("hub").alias("over")).select(F.col("fp").alias("hub"), F.lit(None).cast("long").alias("fp"), "over")
+    looked_up = F.least("hub", F.min("over").over(Window.partitionBy("hub")))
+    return pairs.withColumn("over", F.lit(None).cast("long")).union(over).select(looked_up.alias("hub"), "fp").where("fp is not null").distinct()
+
+
+def untried(members: DataFrame, roots: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b), a above b: what shares a group of ``members`` (hub, fp) but no component, and isn't ruled out by sizes and sketches, from ``known`` (fp, n, bits).
+
+    The component with the most members of a group is on one side of its pairs only, so a large group that is linked but for a few isn't paired with itself."""
+    rooted = members.join(roots, members.fp == roots.node, "left").select("hub", "fp", F.coalesce("root", "fp").alias("root"))
+    tops = rooted.groupBy("hub", "root").count().groupBy("hub").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("hub", "top")
+    rest = cut(rooted.join(tops, "hub").join(known, "fp"), "unsettled")
+    a, b = (rest.select(F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("hub", "root", "top", "n", "bits"))) for k in ("a", "b"))
+    once = F.expr("a_root <> b_root and (b_root = b_top or a > b)")
+    return a.where("a_root <> a_top").join(b, (F.col("a_hub") == F.col("b_hub")) & once & may_be_similar("a", "b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): each row of ``docs`` with the smallest doc_id that links between similar texts lead to; ids as in ``near_duplicates``.
 
     Texts whose balls meet are compared by their full sets, unless they are linked already or their sketches rule the similarity out. In each wave of blocks those that meet
-    in a variant are compared with the least of them; after the last, what still shares a variant but not yet a component is compared by pairs. So a large group of copies
-    of one text is settled without its pairs. Sets are made only for texts that are compared."""
+    in a variant are compared with the least of them, its hub, which is then done with; after the last, what still shares a variant but not yet a component is compared by pairs,
+    in groups of all variants of a hub. So a large group of copies of one text is settled without its pairs. Sets are made only for texts that are compared."""
     rows = cut(sketches(docs), "sketches")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     blocked = cut(rows.dropDuplicates(["fp"]).select("fp", "n", "bits", "weighted", "single"), "blocks")
@@ -277,22 +285,23 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         rooted = blocked.join(roots, blocked.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "weighted", "single")
         group = Window.partitionBy("variant")
         met = variants(rooted, first, end).select("variant", "fp", "root", F.min(F.struct("fp", "root")).over(group).alias("hub"), F.min("root").over(group).alias("low"), F.max("root").over(group).alias("high"))
-        members.append(cut(met.where("low < high").select("variant", "fp", "root", "hub"), "members"))
-        tied = members[-1].where("root <> hub.root").select(F.col("fp").alias("a"), F.col("hub.fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        other = F.when(F.col("fp") != F.col("hub.fp"), F.col("root"))
+        met = cut(met.where("low < high").select("fp", "root", "hub", (F.min(other).over(group) < F.max(other).over(group)).alias("open")), "met")
+        members.append(cut(met.where("open and fp <> hub.fp").select(F.col("hub.fp").alias("hub"), "fp").distinct(), "members"))
+        tied = met.where("root <> hub.root").select(F.col("fp").alias("a"), F.col("hub.fp").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         likely = cut(compared(tied, known), "pairs")
+        drop_tables(met)
         if likely.limit(1).count():
             tried, linked = tried.union(likely), linked.union(similar(likely, docs, classes))
             roots = components(linked)
-    rest = cut(unsettled(reduce(DataFrame.union, members).select("variant", "fp"), roots).join(known, "fp"), "unsettled")
-    a, b = (rest.select(F.col("variant").alias(f"{k}_variant"), F.col("fp").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("root", "n", "bits"))) for k in ("a", "b"))
-    likely = cut(a.join(b, (F.col("a_variant") == F.col("b_variant")) & (F.col("a") > F.col("b")) & (F.col("a_root") != F.col("b_root")) & may_be_similar("a", "b")).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    likely = cut(untried(merged(reduce(DataFrame.union, members)), roots, known).join(tried, ["a", "b"], "left_anti"), "pairs")
     if likely.limit(1).count():
         roots = components(linked.union(similar(likely, docs, classes)))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(rooted.join(best, "root").select("fp", "component_id"), "components")
     found = cut(rows.select("doc_id", "fp").join(named, "fp").select("doc_id", "fp", "component_id"), "groups")
-    drop_tables(rows, blocked, *members, rest, likely, named)
+    drop_tables(rows, blocked, *members, likely, named)
     return found
 
 

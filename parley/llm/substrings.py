@@ -173,7 +173,8 @@ def _contexts(parts: list[list[np.ndarray]], lines: list[bytes]) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.binary())], names=[c.split(" ")[0] for c in CONTEXT.split(", ")])
 
 
-KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+HASHES = pa.struct([("high", pa.int64()), ("low", pa.int64())])
+KINDS = {"array<struct<high:long,low:long>>": pa.list_(HASHES), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -192,12 +193,17 @@ def extended(words: list[bytes], lead: int, hub: list[bytes], hub_lead: int) ->
     return lead - left, lead + right
 
 
-MATCH = "doc_id long, row_key long, first int, end int, high long, low long"
+MATCH = "doc_id long, row_key long, first int, end int, high long, low long, windows array<struct<high:long,low:long>>"
+
+
+def halves(words: list[bytes]) -> tuple[int, int]:
+    """128 bits of hash of some words, as two longs."""
+    return struct.unpack(">qq", xxhash.xxh3_128_digest(b" ".join(words)))
 
 
 def matches(seeds: DataFrame, window: int) -> DataFrame:
-    """For ``seeds`` (a context with its hub's hub_doc, hub_lead, hub_words): the (first, end) words that the seed extends to in a smaller document; and each window
-    beyond that extent, which other documents may have, with 128 bits of hash."""
+    """For ``seeds`` (a context with its hub's hub_doc, hub_lead, hub_words): the (first, end) words that the seed extends to in a smaller document; and each run of windows
+    beyond that extent, which other documents may have, with 128 bits of hash of its words and of those of each of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +211,7 @@ def matches(seeds: DataFrame, window: int) -> DataFrame:
             same = pc.and_(pc.equal(words, hub_words), pc.equal(lead, hub_lead))
             gone = pc.and_(same, pc.less(hub_doc, doc))
             ends = pc.add(pc.add(first, windows), pa.scalar(window - 1, pa.int32()))
-            found = pa.RecordBatch.from_arrays([doc, key, first, ends, pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64())], names=["doc_id", "row_key", "first", "end", "high", "low"])
+            found = pa.RecordBatch.from_arrays([doc, key, first, ends, *(pa.nulls(len(doc), t) for t in (pa.int64(), pa.int64(), pa.list_(HASHES)))], names=["doc_id", "row_key", "first", "end", "high", "low", "windows"])
             yield found.filter(gone)
             out: list[tuple] = []
             for doc_id, row_key, first, lead, windows, words, hub_doc, hub_lead, hub_words in zip(*(c.to_pylist() for c in batch.filter(pc.invert(same)).columns)):
@@ -213,11 +219,10 @@ def matches(seeds: DataFrame, window: int) -> DataFrame:
                 begin, end = extended(own, lead, hub_words.split(b" "), hub_lead)
                 last = min(windows - 1, end - window)
                 if last >= begin and hub_doc < doc_id:
-                    out.append((doc_id, row_key, first + begin, first + last + window, None, None))
-                for i in range(windows):
-                    if not begin <= i <= last:
-                        high, low = struct.unpack(">qq", xxhash.xxh3_128_digest(b" ".join(own[i : i + window])))
-                        out.append((doc_id, row_key, first + i, first + i + window, high, low))
+                    out.append((doc_id, row_key, first + begin, first + last + window, None, None, None))
+                for i, j in ((0, begin), (last + 1, windows)) if last >= begin else ((0, windows),):
+                    if i < j:
+                        out.append((doc_id, row_key, first + i, first + j - 1 + window, *halves(own[i : j - 1 + window]), [halves(own[x : x + window]) for x in range(i, j)]))
                 if len(out) > 100_000:
                     yield _batch(out, MATCH)
                     out = []
@@ -238,8 +243,9 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
     Every window has one anchor, a run of k words picked by winnowing; equal windows have equal anchors. Documents are joined on anchors: each place of a shared
     anchor is a seed, and is extended both ways, word by word, against one place in the least document that has it, its hub. An extent in a smaller document
     settles its windows, and so it does in every document, as all are compared with the same hub. The few windows beyond the extents may still be shared by
-    documents that differ from the hub; these are joined on 128 bits of hash of their words (among 10^13 windows two differing ones are equal with a
-    probability of 10^-13), again with the least document of each. So pairs of documents are never listed, and nothing is missed."""
+    documents that differ from the hub, and if the hub itself was edited, by a whole crowd of them. First whole runs of such windows are joined on 128 bits of hash of their words
+    (among 10^13 windows two differing ones are equal with a probability of 10^-13): what a smaller document has as well is settled in one row. Then the windows of the least
+    documents' runs are joined in the same way; the least document of a window is among those. So pairs of documents are never listed, and nothing is missed."""
     rows = keyed(docs, id_col, text_col)
     found = cut(anchors(rows, window, k), "anchors")
     seeds = cut(shared(found, "anchor"), "seeds")
@@ -251,12 +257,17 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, k: int = ANCHOR_WOR
     hubs = cut(places.where("hub").groupBy("anchor").agg(hub).select("anchor", F.col("h.doc_id").alias("hub_doc"), F.col("h.lead").alias("hub_lead"), F.col("h.words").alias("hub_words")), "hubs")
     found = cut(matches(places.join(hubs, "anchor"), window), "matches")
     drop_tables(places, hubs)
-    rest = found.where("high is not null")
+    runs = found.where("high is not null")
+    first_runs = cut(shared(runs, "high", "low"), "firsts")
+    marked = cut(runs.join(first_runs, ["high", "low"], "left"), "runs")
+    place = F.posexplode("windows").alias("at", "window")
+    rest = marked.where("least is null or least = doc_id").select("doc_id", "row_key", "first", place).select("doc_id", "row_key", (F.col("first") + F.col("at")).alias("first"), "window.high", "window.low")
     firsts = cut(shared(rest, "high", "low"), "firsts")
-    late = rest.join(firsts, ["high", "low"]).where("least < doc_id").select("doc_id", "row_key", "first", "end")
-    every = found.where("high is null").select("doc_id", "row_key", "first", "end").union(late)
+    late = rest.join(firsts, ["high", "low"]).where("least < doc_id").select("doc_id", "row_key", "first", (F.col("first") + window).alias("end"))
+    settled = found.where("high is null").union(marked.where("least < doc_id").select(found.columns))
+    every = settled.select("doc_id", "row_key", "first", "end").union(late)
     out = cut(every.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "end")).alias("extents")), "repeats")
-    drop_tables(found, firsts)
+    drop_tables(found, first_runs, marked, firsts)
     return out
 
 

@@ -324,3 +324,32 @@ def test_cluster_without_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.shared_folder(Elsewhere)
+
+
+def test_variants_of_one_hub_are_one_group(spark):
+    """A crowd whose variants have twenty hubs is one group, and what shared a hub still shares a group."""
+    members = [(h, x) for h in range(1, 21) for x in range(h + 1, 31)] + [(100, 101), (100, 102)]
+    found = sorted(map(tuple, simhash.merged(spark.createDataFrame(members, "hub long, fp long")).collect()))
+    assert len(found) < len(members) / 6
+    for h in {h for h, _ in members}:
+        own = {x for g, x in members if g == h}
+        assert any(own <= {x for k, x in found if k == g} for g, _ in found)
+
+
+def test_a_linked_group_is_not_paired_with_itself(spark):
+    rows = [(0, x) for x in range(1, 41)]
+    roots = spark.createDataFrame([(x, 1) for x in range(2, 39)], "node long, root long")
+    known = spark.createDataFrame([(x, 20, [0] * (simhash.SKETCH_BITS // 64)) for _, x in rows], "fp long, n long, bits array<long>")
+    found = sorted(map(tuple, simhash.untried(spark.createDataFrame(rows, "hub long, fp long"), roots, known).collect()))
+    assert found == sorted([(a, b) for a in (39, 40) for b in range(1, 39)] + [(40, 39)])
+
+
+def test_a_crowd_around_an_edited_document_is_settled_by_runs(spark, monkeypatch):
+    """The least document is the edited one, so that what all others share is beyond their extents."""
+    rng, seen, shared = random.Random(11), [], substrings.shared
+    passage = [f"w{rng.randint(0, 9999)}" for _ in range(40)]
+    rows = [(i, " ".join([*passage[:20], "edited" if i == 0 else passage[20], *passage[21:], f"u{i}"])) for i in range(40)]
+    monkeypatch.setattr(substrings, "shared", lambda pairs, *keys: seen.append(pairs.count() if keys == ("high", "low") else 0) or shared(pairs, *keys))
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("repeats").collect()
+    assert sorted(map(tuple, found), key=str) == sorted(plain_repeats(rows), key=str)
+    assert 0 < max(seen) <= 6 * len(rows)  # of 13 windows each
