@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_AZ, components, cut, drop_tables, read, texts_to_python, whole_text
+from .common import LOWER_AZ, bitmap, components, cut, drop_tables, read, texts_to_python, whole_text
 
 SHINGLE_WORDS = 3
 #: Texts are linked whose sets share at least LEAST of ALL parts of their union.
@@ -22,6 +22,8 @@ LEVELS = ((40, 6), (220, 16))
 #: Low bits of each minimum, and minima, of a signature, by level; they are packed into longs. Single bits tell most for their size, but need many minima; only members of
 #: crowded bands, whose bands are made of as many, have such. The least estimate that a pair at 0.85 may have is 0.70 by the first, 0.79 by the second.
 SIGNATURES = ((4, 256), (1, 3520))
+#: Behind its minima a signature has a bitmap of the set's hashes, in so many bits: what differs in two bitmaps differs in the sets, so it rules pairs out for certain, and most of those just below the threshold if sets have up to about as many shingles.
+SKETCH_BITS = 2048
 #: Standard deviations that the estimate for a similar pair may fall short: beyond this many with probability 1e-10.
 MARGIN = 6.4
 #: Rounds of comparisons with one hub a band, before pairs; bands of more unsettled members than CROWD go to the next level instead of to pairs.
@@ -55,6 +57,11 @@ def packed(least: np.ndarray, level: int = 0) -> np.ndarray:
     return np.bitwise_or.reduce(low << (np.arange(64 // bits, dtype=np.uint64) * np.uint64(bits)), axis=1).view(np.int64)
 
 
+def signature(hashes: np.ndarray, least: np.ndarray, level: int = 0) -> np.ndarray:
+    """The packed minima of a set, then its bitmap."""
+    return np.concatenate([packed(least, level), bitmap(hashes, SKETCH_BITS)])
+
+
 def band_keys(least: np.ndarray, level: int) -> np.ndarray:
     """One key for each band of a level: a hash of the minima of the band's orders."""
     bands, orders = LEVELS[level]
@@ -83,7 +90,7 @@ def shingle_set(data: bytes, shingle_words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(doc_id, text_hash, k1, k2, n, bands, signature) of each row: 128 bits that name its set, the set's size, band keys and packed signature."""
+    """(doc_id, text_hash, k1, k2, n, bands, signature) of each row: 128 bits that name its set, the set's size, band keys and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = orders_of(0)
@@ -95,7 +102,7 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 bands.append(band_keys(least, 0) if len(s) else None)
-                signatures.append(packed(least))
+                signatures.append(signature(s, least))
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             columns = [batch.column(0), batch.column(1), pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "k1", "k2", "n", "bands", "signature"])
@@ -137,9 +144,13 @@ def lowest_estimate(similarity: float, level: int = 0) -> float:
 
 
 def may_be_linked(least: int, all_: int, level: int) -> Column:
-    """Of columns a_n, a_signature, b_n, b_signature: false only for pairs that sizes rule out, or estimates but for that probability."""
+    """Of columns a_n, a_signature, b_n, b_signature: false only for pairs that sizes or bitmaps rule out, or estimates but for that probability. A signature may lack its bitmap."""
     small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    return (small * all_ >= large * least) & (estimate(F.col("a_signature"), F.col("b_signature"), level) >= lowest_estimate(least / all_, level))
+    bits, n = SIGNATURES[level]
+    differing = [F.bit_count(F.get("a_signature", F.lit(i)).bitwiseXOR(F.get("b_signature", F.lit(i)))) for i in range(n * bits // 64, (n * bits + SKETCH_BITS) // 64)]
+    # of a + b hashes, twice those shared are what doesn't differ
+    close = F.coalesce(reduce(Column.__add__, differing) * (all_ + least) <= (small + large) * (all_ - least), F.lit(True))
+    return (small * all_ >= large * least) & close & (estimate(F.col("a_signature"), F.col("b_signature"), level) >= lowest_estimate(least / all_, level))
 
 
 class Search:
@@ -249,7 +260,7 @@ class Search:
                     least = minima(s, orders_of(level))
                     sizes.append(len(s))
                     bands.append(band_keys(least, level))
-                    signatures.append(packed(least, level))
+                    signatures.append(signature(s, least, level))
                 columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["cid", "n", "bands", "signature"])
 

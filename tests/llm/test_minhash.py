@@ -147,3 +147,17 @@ def test_pairs_are_sifted_with_one_row_of_what_is_known_of_a(spark):
     pairs = spark.createDataFrame([(3, 0), (3, 1), (2, 1), (9, 1), (9, 3)], "a long, b long")
     search = minhash.Search(known, known, 3, 85, 100)
     assert sorted(map(tuple, search.sifted(pairs, known, 0).collect())) == [(2, 1), (3, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("level", [0, 1])
+def test_bitmaps_rule_out_pairs_just_below_the_threshold(spark, level):
+    rng, rows = np.random.default_rng(9), []
+    for n in (20, 150, 400):
+        for shared in [n - k for k in range(n // 4)]:
+            x, y, z = (np.sort(rng.integers(0, 1 << 63, k, np.uint64) * np.uint64(2)) for k in (shared, n - shared, n - shared))
+            a, b = np.union1d(x, y), np.union1d(x, z)
+            rows.append((shared / (2 * n - shared), len(a), minhash.signature(a, minhash.minima(a, minhash.orders_of(level)), level).tolist(), len(b), minhash.signature(b, minhash.minima(b, minhash.orders_of(level)), level).tolist()))
+    df = spark.createDataFrame(rows, "share double, a_n long, a_signature array<long>, b_n long, b_signature array<long>")
+    found = df.select("share", minhash.may_be_linked(85, 100, level).alias("may")).collect()
+    assert all(r.may for r in found if r.share >= 0.85)
+    assert not any(r.may for r in found if r.share < 0.81)
